@@ -1,0 +1,215 @@
+"""Similarity of a bounded set of request vectors against an index table.
+
+An index is a table ``(path, vec)``. Requests of one pass are few (see
+``plans.search.PASS_REQUESTS``), so their matrix travels with the tasks while
+the index is only ever scanned: no index row is shuffled to be scored. Scores
+are summed dimension by dimension in double, so equal vectors score equal bits
+in any batch, and ties are settled by path.
+"""
+
+from __future__ import annotations
+
+import heapq
+from bisect import bisect_left
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Probe:
+    """One request as a scoring kernel sees it, for one modality."""
+
+    query_id: str
+    vector: tuple[float, ...]
+    filtered: bool = False
+    depth: int = 0
+    # (score, path) of rows whose exact rank is wanted, best first.
+    targets: tuple[tuple[float, str], ...] = field(default=())
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal-length vectors as a double matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """[rows, queries] dot products, accumulated in dimension order."""
+    by_dim = np.ascontiguousarray(vectors.T)
+    total = np.zeros((vectors.shape[0], queries.shape[0]))
+    for d in range(by_dim.shape[0]):
+        total += by_dim[d][:, None] * queries[:, d][None, :]
+    return total
+
+
+def _row_choices(batch: pa.RecordBatch, probes: Sequence[Probe]) -> list[np.ndarray]:
+    """Per probe, the positions of the rows it may see."""
+    every = np.arange(batch.num_rows)
+    if not any(p.filtered for p in probes):
+        return [every] * len(probes)
+    allowed = [set(ids or ()) for ids in batch.column("permits").to_pylist()]
+    return [
+        np.array([i for i, ids in enumerate(allowed) if p.query_id in ids], dtype=np.int64)
+        if p.filtered else every
+        for p in probes
+    ]
+
+
+def _emit(ids: list[str], paths: list[str], values: list, name: str, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.string()), pa.array(paths, pa.string()), pa.array(values, kind)],
+        names=["query_id", "path", name],
+    )
+
+
+def _batches(batches, probes: Sequence[Probe]):
+    """Yield (batch, paths, [rows, queries] scores) for every non-empty batch."""
+    queries = np.array([p.vector for p in probes], dtype=np.float64)
+    for batch in batches:
+        if batch.num_rows:
+            yield batch, batch.column("path"), _scores(_matrix(batch.column("vec")), queries)
+
+
+def best_rows(index: DataFrame, probes: Sequence[Probe]) -> DataFrame:
+    """(query_id, path, score): each partition's best ``depth`` rows per probe.
+
+    A superset of every probe's overall best ``depth`` rows, cut further by
+    the caller. Each task keeps only its running best, so the output is
+    bounded by tasks x probes x depth whatever the index holds.
+    """
+    probes = list(probes)
+
+    def kernel(batches):
+        kept: list[list[tuple[float, str]]] = [[] for _ in probes]
+        for batch, paths, scores in _batches(batches, probes):
+            choices = _row_choices(batch, probes)
+            for q, probe in enumerate(probes):
+                rows = choices[q]
+                if not rows.size:
+                    continue
+                column = scores[rows, q]
+                if len(kept[q]) == probe.depth:
+                    rows = rows[column >= -kept[q][-1][0]]
+                    column = scores[rows, q]
+                if rows.size > probe.depth:
+                    edge = -np.partition(-column, probe.depth - 1)[probe.depth - 1]
+                    rows = rows[column >= edge]
+                if not rows.size:
+                    continue
+                fresh = zip(
+                    (-scores[rows, q]).tolist(), paths.take(pa.array(rows)).to_pylist()
+                )
+                kept[q] = heapq.nsmallest(probe.depth, [*kept[q], *fresh])
+        ids, out_paths, values = [], [], []
+        for probe, best in zip(probes, kept):
+            for negative, path in best:
+                ids.append(probe.query_id)
+                out_paths.append(path)
+                values.append(-negative)
+        yield _emit(ids, out_paths, values, "score", pa.float64())
+
+    return index.mapInArrow(kernel, "query_id string, path string, score double")
+
+
+def rows_ahead(index: DataFrame, probes: Sequence[Probe]) -> DataFrame:
+    """(query_id, path, ahead): rows ranked before each target, over the index.
+
+    Exact ranks of a few rows without sorting the rest: every task counts the
+    rows that beat each target and emits one number per target.
+    """
+    probes = [p for p in probes if p.targets]
+
+    def kernel(batches):
+        edges = [np.array([-s for s, _ in p.targets]) for p in probes]
+        names = [[path for _, path in p.targets] for p in probes]
+        first = [np.zeros(len(p.targets) + 1, dtype=np.int64) for p in probes]
+        for batch, paths, scores in _batches(batches, probes):
+            choices = _row_choices(batch, probes)
+            for q, probe in enumerate(probes):
+                rows = choices[q]
+                if not rows.size:
+                    continue
+                keys = -scores[rows, q]
+                low = np.searchsorted(edges[q], keys, side="left")
+                high = np.searchsorted(edges[q], keys, side="right")
+                ties = np.flatnonzero(low < high)
+                place = high.copy()
+                if ties.size:
+                    tied = paths.take(pa.array(rows[ties])).to_pylist()
+                    for t, path in zip(ties.tolist(), tied):
+                        lo, hi = int(low[t]), int(high[t])
+                        at = bisect_left(names[q], path, lo, hi)
+                        # A target is not ahead of itself.
+                        if at < hi and names[q][at] == path:
+                            at += 1
+                        place[t] = at
+                first[q] += np.bincount(place, minlength=first[q].size)
+        ids, out_paths, values = [], [], []
+        for q, probe in enumerate(probes):
+            running = np.cumsum(first[q][:-1])
+            for path, count in zip(names[q], running.tolist()):
+                ids.append(probe.query_id)
+                out_paths.append(path)
+                values.append(count)
+        yield _emit(ids, out_paths, values, "ahead", pa.int64())
+
+    partial = index.mapInArrow(kernel, "query_id string, path string, ahead long")
+    return partial.groupBy("query_id", "path").agg(F.sum("ahead").alias("ahead"))
+
+
+def score_pairs(pairs: DataFrame, index: DataFrame, probes: Sequence[Probe]) -> DataFrame:
+    """(query_id, path, score) for given (query_id, path) pairs in the index."""
+    vectors = {p.query_id: np.array(p.vector, dtype=np.float64) for p in probes}
+
+    def kernel(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("query_id").to_pylist()
+            matrix = _matrix(batch.column("vec"))
+            asked = np.array([vectors[i] for i in ids])
+            total = np.zeros(len(ids))
+            for d in range(matrix.shape[1]):
+                total += matrix[:, d] * asked[:, d]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id"), batch.column("path"), pa.array(total)],
+                names=["query_id", "path", "score"],
+            )
+
+    joined = pairs.select("query_id", "path").join(index.select("path", "vec"), "path")
+    return joined.mapInArrow(kernel, "query_id string, path string, score double")
+
+
+def score_all(index: DataFrame, probes: Sequence[Probe]) -> DataFrame:
+    """(query_id, path, score) for every permitted row of every probe."""
+    probes = list(probes)
+
+    def kernel(batches):
+        for batch, paths, scores in _batches(batches, probes):
+            choices = _row_choices(batch, probes)
+            for q, probe in enumerate(probes):
+                rows = choices[q]
+                column, names = scores[rows, q], paths.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([probe.query_id] * len(column), pa.string()),
+                     names.cast(pa.string()), pa.array(column)],
+                    names=["query_id", "path", "score"],
+                )
+
+    return index.mapInArrow(kernel, "query_id string, path string, score double")
+
+
+def with_permits(index: DataFrame, pool: DataFrame | None) -> DataFrame:
+    """The index as (path, vec, permits): the filtered requests allowing a row.
+
+    ``permits`` is at most one id per request of the pass.
+    """
+    if pool is None:
+        return index.select("path", "vec")
+    permits = pool.groupBy("path").agg(F.collect_set("query_id").alias("permits"))
+    return index.select("path", "vec").join(permits, "path", "left")
