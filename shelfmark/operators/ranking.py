@@ -17,7 +17,8 @@ _CHUNK_SHIFT = 33  # monotonically_increasing_id: partition above, row below
 
 
 def rank_within(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank"
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank",
+    few_groups: bool = False,
 ) -> DataFrame:
     """Add the exact 1-based ordinal of every row inside its ``by`` group.
 
@@ -27,6 +28,7 @@ def rank_within(
     ordinal is its place in its chunk plus the size of the group's earlier
     chunks. ``order`` must be total (end it with a key). The sorted rows are
     materialised because sampled range bounds differ between evaluations.
+    ``few_groups`` says the caller has bounded the number of groups.
     """
     keys = [F.col(c) for c in by]
     spread = (
@@ -49,9 +51,13 @@ def rank_within(
         *by, "_chunk", "_first",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
+    if few_groups or not by:
+        offsets = F.broadcast(offsets)  # groups + partitions rows at most
+    else:
+        offsets = small_side(offsets)
     ordinal = F.col("_slot") - F.col("_first") + F.col("_before") + 1
     return (
-        spread.join(small_side(offsets), [*by, "_chunk"])
+        spread.join(offsets, [*by, "_chunk"])
         .withColumn(name, ordinal)
         .drop("_slot", "_chunk", "_first", "_before")
     )
@@ -102,22 +108,13 @@ def gradient_cut(
     drops = (
         top.filter(F.col("rank") <= ceiling)
         .withColumn("_drop", F.col("score") - F.lead("score").over(window))
+        .withColumn("_lead", F.first("_drop").over(window))
     )
-    summary = drops.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.max(F.when(F.col("rank") == 1, F.col("_drop"))).alias("_lead"),
-    )
-    usable = (F.col("_n") >= 3) & (F.col("_lead") > 0)
-    flat = (
-        drops.join(summary, list(by))
-        .filter(usable & (F.col("_drop") < F.col("_lead") * floor))
-        .groupBy(*by)
-        .agg(F.min("rank").alias("_flat"))
-    )
-    return summary.join(flat, list(by), "left").select(
-        *by,
-        F.coalesce(F.col("_flat"), F.col("_n")).cast("int").alias("cut"),
-        F.col("_flat").isNotNull().alias("plateau"),
+    flat = F.min(F.when(F.col("_drop") < F.col("_lead") * floor, F.col("rank")))
+    usable = (F.count("*") >= 3) & (F.max("_lead") > 0)
+    return drops.groupBy(*by).agg(
+        F.when(usable & flat.isNotNull(), flat).otherwise(F.count("*")).cast("int").alias("cut"),
+        F.coalesce(usable & flat.isNotNull(), F.lit(False)).alias("plateau"),
     )
 
 

@@ -201,7 +201,7 @@ def _run_pass(rows: list[Row], corpus: Corpus, pool: DataFrame | None,
     parts = []
     if fused_ids:
         parts.append(_fused_results(state, tops, branch, fused_ids))
-    trimmed = spark.createDataFrame([], "query_id string, path string, score double")
+    trimmed = None
     if matched_ids:
         kept, trimmed = _matched_results(state, hits, summary, branch, matched_ids)
         parts.append(kept)
@@ -216,8 +216,13 @@ def _run_pass(rows: list[Row], corpus: Corpus, pool: DataFrame | None,
     else:
         results = results.withColumn("hits", F.lit(None).cast("int"))
     results = results.withColumn("term_hits", F.coalesce("hits", F.lit(0)))
-    counted = trimmed.groupBy("query_id").agg(F.count("*").cast("int").alias("trimmed"))
-    summary = _with_basis(summary.join(counted, "query_id", "left"))
+    if trimmed is None:
+        trimmed = spark.createDataFrame([], "query_id string, path string, score double")
+        summary = summary.withColumn("trimmed", F.lit(0))
+    else:
+        counted = trimmed.groupBy("query_id").agg(F.count("*").cast("int").alias("trimmed"))
+        summary = summary.join(F.broadcast(counted), "query_id", "left")
+    summary = _with_basis(summary)
     return Outcome(results.select(RESULT_COLUMNS), summary, hits, trimmed)
 
 
@@ -269,20 +274,19 @@ def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFra
             F.col("hits") >= F.least(F.lit(options.min_partial_terms), F.col("total_terms"))
         ).cast("int").alias("partial_count"),
     )
-    cuts = gradient_cut(tops, ["side", "query_id"], options.floor, options.ceiling)
-
-    def side_cut(side: str, short: str) -> DataFrame:
-        return cuts.filter(F.col("side") == side).select(
-            "query_id", F.col("cut").alias(f"{short}_cut"),
-            F.col("plateau").alias(f"{short}_plateau"),
-        )
+    cut = gradient_cut(tops, ["side", "query_id"], options.floor, options.ceiling)
+    cuts = cut.groupBy("query_id").agg(*[
+        F.max(F.when(F.col("side") == side, F.col(column))).alias(f"{short}_{column}")
+        for side, short in (("image", "img"), ("caption", "cap"))
+        for column in ("cut", "plateau")
+    ])
 
     corpus_size = state.corpus.caption.count()
+    # Every table here has at most one row per request of the pass.
     rows = (
-        state.requests.join(sized, "query_id")
-        .join(counts, "query_id", "left")
-        .join(side_cut("image", "img"), "query_id", "left")
-        .join(side_cut("caption", "cap"), "query_id", "left")
+        state.requests.withColumn("total_terms", F.size(content_terms(F.col("text"))))
+        .join(F.broadcast(counts), "query_id", "left")
+        .join(F.broadcast(cuts), "query_id", "left")
     )
     pool_size: Column = F.lit(corpus_size)
     if state.pool is not None:
@@ -290,7 +294,7 @@ def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFra
             state.pool.join(state.corpus.caption.select("path"), "path", "left_semi")
             .groupBy("query_id").agg(F.count_distinct("path").alias("_pool"))
         )
-        rows = rows.join(sizes, "query_id", "left")
+        rows = rows.join(F.broadcast(sizes), "query_id", "left")
         pool_size = F.when(F.col("has_filter"), F.coalesce("_pool", F.lit(0))).otherwise(
             pool_size)
 
@@ -366,7 +370,8 @@ def _fused_results(state: _Pass, tops: DataFrame, branch: dict, ids: list[str])
         chosen.append(ranked.select("query_id", F.col("rank").cast("long"), "path", "score"))
     if deep:
         fused = _fuse_by_sorting(state, branch, deep)
-        ranked = rank_within(fused, ["query_id"], [F.desc("score"), F.col("path")])
+        ranked = rank_within(
+            fused, ["query_id"], [F.desc("score"), F.col("path")], few_groups=True)
         chosen.append(
             ranked.join(F.broadcast(limits), "query_id").filter("rank <= _limit")
             .select("query_id", "rank", "path", "score")
@@ -421,7 +426,7 @@ def modality_ranks_of(state: _Pass, ids) -> DataFrame:
                           .select(F.lit(side).alias("side"), "query_id", "path", "score"))
     return rank_within(
         reduce(DataFrame.unionByName, scored), ["side", "query_id"],
-        [F.desc("score"), F.col("path")],
+        [F.desc("score"), F.col("path")], few_groups=True,
     )
 
 
@@ -449,7 +454,7 @@ def modality_ranks(
 
 def _matched_results(
     state: _Pass, hits: DataFrame, summary: DataFrame, branch: dict, ids: list[str]
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     info = F.broadcast(summary.filter(F.col("query_id").isin(ids)).select(
         "query_id", "basis_kind", "total_terms", "_threshold", "trim"))
     needed = F.when(F.col("basis_kind") == "full_match", F.col("total_terms")).otherwise(
@@ -465,16 +470,20 @@ def _matched_results(
         scored = score_pairs(rows, table.filter("vec IS NOT NULL"), state.probes(side, own))
         # A matched row absent from the index keeps its place, last.
         parts.append(rows.join(scored, ["query_id", "path"], "left"))
-    rows = spread_trim(
-        reduce(DataFrame.unionByName, parts), ["query_id"],
-        drop_ratio=state.options.semantic_drop, when=F.col("trim"), few_groups=True,
-    )
-    rows = materialize(rows, "matched")
+    rows = reduce(DataFrame.unionByName, parts)
+    trimmed = None
+    if any(r["trim"] for r in state.rows if r["query_id"] in set(ids)):
+        rows = materialize(spread_trim(
+            rows, ["query_id"], drop_ratio=state.options.semantic_drop,
+            when=F.col("trim"), few_groups=True,
+        ), "matched")
+        trimmed = rows.filter("trimmed").select("query_id", "path", "score")
+        rows = rows.filter(~F.col("trimmed"))
     kept = rank_within(
-        rows.filter(~F.col("trimmed")).select("query_id", "path", "score"),
-        ["query_id"], [F.desc_nulls_last("score"), F.col("path")],
+        rows.select("query_id", "path", "score"),
+        ["query_id"], [F.desc_nulls_last("score"), F.col("path")], few_groups=True,
     ).withColumn("matched", F.lit(True))
-    return kept, rows.filter("trimmed").select("query_id", "path", "score")
+    return kept, trimmed
 
 
 def _listed_results(state: _Pass, ids: list[str]) -> DataFrame:
@@ -491,7 +500,8 @@ def _listed_results(state: _Pass, ids: list[str]) -> DataFrame:
         rows = state.pool.filter(F.col("query_id").isin(inside))
         parts.append(catalog.select(*columns).join(rows, "path"))
     listed = rank_within(
-        reduce(DataFrame.unionByName, parts), ["query_id"], state.corpus.catalog_order()
+        reduce(DataFrame.unionByName, parts), ["query_id"], state.corpus.catalog_order(),
+        few_groups=True,
     )
     return listed.select(
         "query_id", "rank", "path", F.lit(0.0).alias("score"), F.lit(False).alias("matched")
