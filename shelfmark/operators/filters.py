@@ -11,36 +11,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNASSIGNED = "unassigned"
-GRAM = 3  # longest lead gram of the substring index
+GRAM = 3  # gram length of the substring index; shorter references probe whole
+
+
+def _pieces(lowered: Column, n: int) -> Column:
+    """Every substring of length ``n``."""
+    size = F.length(lowered)
+    starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(starts, lambda i: F.substring(lowered, i, F.lit(n)))
 
 
 def _grams(text: Column) -> Column:
     """Every distinct gram of length 0 to GRAM of a lower-cased text."""
     lowered = F.lower(text)
-    size = F.length(lowered)
-    pieces = [F.array(F.lit(""))]
-    for n in range(1, GRAM + 1):
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        pieces.append(F.transform(starts, lambda i, n=n: F.substring(lowered, i, F.lit(n))))
-    return F.array_distinct(F.concat(*pieces))
+    pieces = [_pieces(lowered, n) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
 
 
-def _lead(lowered: Column) -> Column:
-    return F.substring(lowered, 1, GRAM)
+def _probes(references: DataFrame, grams: DataFrame) -> DataFrame:
+    """(reference, _q, _gram): each reference with its rarest gram in the index.
+
+    A text that contains the reference contains all of its grams, so any one
+    finds every match; the rarest meets the fewest texts.
+    """
+    asked = references.select("reference").distinct().withColumn(
+        "_q", F.lower(F.trim("reference")))
+    own = F.when(F.length("_q") >= GRAM, _pieces(F.col("_q"), GRAM)).otherwise(F.array("_q"))
+    seen = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    return (
+        asked.select("reference", "_q", F.explode(own).alias("_gram"))
+        .join(seen, "_gram", "left")
+        .groupBy("reference", "_q")
+        .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    )
 
 
 def name_candidates(references: DataFrame, roster: DataFrame) -> DataFrame:
     """(reference, name, tier): roster names a typed person reference may mean.
 
     Tier 1 is the whole name, 2 a word prefix, 3 any substring, case folded.
-    All three contain the reference's lead gram, so the lookup is an equi-join
-    on grams of the roster instead of comparing every pair.
+    All three contain the reference, so the lookup is an equi-join on grams of
+    the roster instead of comparing every pair.
     """
-    asked = references.select("reference").distinct().withColumn(
-        "_q", F.lower(F.trim("reference"))
-    ).withColumn("_gram", _lead(F.col("_q")))
     names = roster.select("name").distinct().withColumn(
         "_gram", F.explode(_grams(F.col("name")))
     )
@@ -52,7 +66,7 @@ def name_candidates(references: DataFrame, roster: DataFrame) -> DataFrame:
         .when(F.contains(lowered, F.col("_q")), 3)
     )
     return (
-        asked.join(names, "_gram")
+        _probes(references, names).join(names, "_gram")
         .select("reference", "name", tier.alias("tier"))
         .filter("tier IS NOT NULL")
     )
@@ -96,17 +110,11 @@ def event_candidates(references: DataFrame, events: DataFrame) -> DataFrame:
     Tier 1 is the id, 2 the whole name, 3 a substring of the name or id or a
     prefix of the start text. ``events`` is (event_id, name, start).
     """
-    asked = references.select("reference").distinct().withColumn(
-        "_q", F.lower(F.trim("reference"))
-    ).withColumn("_gram", _lead(F.col("_q")))
-    start = F.coalesce(F.col("start"), F.lit(""))
-    leads = F.transform(
-        F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring(start, F.lit(1), n)
-    )
+    events = events.select("event_id", "name", F.coalesce("start", F.lit("")).alias("start"))
     known = events.select(
-        "event_id", "name", start.alias("start"),
+        "event_id", "name", "start",
         F.explode(F.array_distinct(F.concat(
-            _grams(F.col("name")), _grams(F.col("event_id")), leads
+            _grams(F.col("name")), _grams(F.col("event_id")), _grams(F.col("start"))
         ))).alias("_gram"),
     )
     lowered = F.lower("name")
@@ -117,7 +125,7 @@ def event_candidates(references: DataFrame, events: DataFrame) -> DataFrame:
               | F.contains(F.col("event_id"), F.col("_q")), 3)
     )
     return (
-        asked.join(known, "_gram")
+        _probes(references, known).join(known, "_gram")
         .select("reference", "event_id", "name", tier.alias("tier"))
         .filter("tier IS NOT NULL")
     )

@@ -1,0 +1,17 @@
+"""Registered queries over the given tables, each with its SQL where there is one."""
+
+from __future__ import annotations
+
+
+def _modules():
+    from shelfmark.registry import search
+
+    return [search]
+
+
+def queries() -> dict:
+    return {name: run for module in _modules() for name, run in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _modules() for name, sql in module.ORACLE.items()}
