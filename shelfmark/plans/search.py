@@ -38,9 +38,10 @@ from shelfmark.operators.ranking import (
 from shelfmark.operators.scoring import (
     Probe, best_rows, rows_ahead, score_all, score_pairs, with_permits,
 )
-from shelfmark.session import materialize, small_side
+from shelfmark.session import materialize
 
 PASS_REQUESTS = 256  # requests whose vectors travel with the tasks at once
+BROADCAST_CHARACTERS = 8_000_000  # request text of a pass whose terms are broadcast
 COUNTED_TOP = 1_000  # largest top_k ranked by counting; above it, by sorting
 MIN_PARTIAL_TERMS = 2
 SEMANTIC_DROP = 0.80
@@ -189,8 +190,10 @@ def _run_pass(rows: list[Row], corpus: Corpus, pool: DataFrame | None,
 
     hits = _pass_hits(state)
     tops = _pass_tops(state)
-    summary = materialize(_pass_summary(state, sized, hits, tops), "summary")
-    branch = {r["query_id"]: r for r in summary.collect()}  # one row per request
+    plan = _pass_summary(state, sized, hits, tops)
+    settled = plan.collect()  # one row per request of the pass
+    summary = spark.createDataFrame(settled, plan.schema)
+    branch = {r["query_id"]: r for r in settled}
 
     fused_ids = [q for q, r in branch.items() if r["basis_kind"] in ("top_k", "gradient")]
     matched_ids = [
@@ -230,7 +233,11 @@ def _pass_hits(state: _Pass) -> DataFrame:
     if not state.text_ids:
         return state.spark.createDataFrame([], "query_id string, path string, hits int")
     texts = state.requests.filter(F.col("query_id").isin(list(state.text_ids)))
-    hits = term_hits(state.corpus.caption, small_side(request_terms(texts)))
+    terms = request_terms(texts)
+    # A text has fewer terms than characters, so this bounds the broadcast.
+    if sum(len(r["text"]) for r in state.rows) <= BROADCAST_CHARACTERS:
+        terms = F.broadcast(terms)
+    hits = term_hits(state.corpus.caption, terms)
     if state.pool is not None:
         open_ids = [r["query_id"] for r in state.rows if not r["has_filter"]]
         inside = hits.join(state.pool, ["query_id", "path"], "left_semi")
@@ -281,14 +288,14 @@ def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFra
         for column in ("cut", "plateau")
     ])
 
-    corpus_size = state.corpus.caption.count()
+    corpus_size = state.corpus.caption.agg(F.count("*")).scalar()
     # Every table here has at most one row per request of the pass.
     rows = (
         state.requests.withColumn("total_terms", F.size(content_terms(F.col("text"))))
         .join(F.broadcast(counts), "query_id", "left")
         .join(F.broadcast(cuts), "query_id", "left")
     )
-    pool_size: Column = F.lit(corpus_size)
+    pool_size: Column = corpus_size
     if state.pool is not None:
         sizes = (
             state.pool.join(state.corpus.caption.select("path"), "path", "left_semi")
@@ -326,7 +333,7 @@ def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFra
         img_plateau.alias("img_plateau"),
         F.coalesce("cap_cut", has_text.cast("int")).alias("cap_cut"),
         cap_plateau.alias("cap_plateau"),
-        F.lit(corpus_size).cast("long").alias("corpus_size"),
+        corpus_size.cast("long").alias("corpus_size"),
         pool_size.cast("long").alias("pool_size"),
         kind.alias("basis_kind"),
         F.when(kind.isin("top_k", "gradient"), "rrf_sum")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from shelfmark.registry import search
+    from shelfmark.registry import events, people, search
 
-    return [search]
+    return [search, people, events]
 
 
 def queries() -> dict:
