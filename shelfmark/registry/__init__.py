@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from shelfmark.registry import events, people, search
+    from shelfmark.registry import catalog, duplicates, events, people, search
 
-    return [search, people, events]
+    return [search, people, events, duplicates, catalog]
 
 
 def queries() -> dict:

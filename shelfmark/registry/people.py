@@ -91,8 +91,8 @@ QUERIES["label_lines"] = lambda spark, sf: labels_json(base.labels(spark, sf), 5
 ORACLE["label_lines"] = _MODEL + """,
 p AS (SELECT *, ((row_number() OVER (PARTITION BY name ORDER BY face_id) - 1) // 50)::INT AS page
   FROM labelled)
-SELECT name, page, '{"' || name || '":["' || string_agg(face_id, '","' ORDER BY face_id) || '"]}'
-  AS value FROM p GROUP BY ALL"""
+SELECT name, page, '{"' || name || '":["' || ids || '"]}' AS value FROM (SELECT name, page,
+  string_agg(face_id, '","' ORDER BY face_id) AS ids FROM p GROUP BY name, page)"""
 QUERIES["label_coverage"] = lambda spark, sf: label_coverage(*_faces(spark, sf)).select(
     "people", "labelled", "faces", F.round("pct", 6).alias("pct"))
 ORACLE["label_coverage"] = _MODEL + """SELECT count(DISTINCT name) AS people, count(*) AS labelled,
