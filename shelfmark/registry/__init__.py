@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 def _modules():
-    from shelfmark.registry import catalog, duplicates, events, people, search
+    from shelfmark.registry import (
+        audit, catalog, duplicates, events, palette, people, search,
+    )
 
-    return [search, people, events, duplicates, catalog]
+    return [search, people, events, duplicates, catalog, palette, audit]
 
 
 def queries() -> dict:

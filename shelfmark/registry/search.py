@@ -17,7 +17,9 @@ from shelfmark.operators.ranking import (
 from shelfmark.operators.scoring import Probe, best_rows
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.report import result_captions
-from shelfmark.plans.search import Options, modality_ranks, search
+from shelfmark.plans.search import (
+    PASS_REQUESTS, Options, modality_ranks, prepare_requests, search,
+)
 from shelfmark.registry import base
 from shelfmark.session import small_side
 
@@ -249,23 +251,25 @@ SELECT query_id, path, sum(copies)::INT AS hits FROM words JOIN terms USING (ter
 
 
 def _vector_topk(spark, sf):
-    emb, _ = base.vectors(spark, sf)
-    index = base.corpus(spark, sf).image
-    asked = emb.filter("vec_id < 5").collect()
-    probes = [Probe(f"v{r['vec_id']}", tuple(r["embedding"]), depth=10) for r in asked]
-    best = top_within(best_rows(index, probes), ["query_id"],
+    """The ten nearest documents of every benchmark item's vector."""
+    asked = prepare_requests(_batch_requests(spark, sf))
+    if asked.count() > PASS_REQUESTS:  # then in passes, as a search does
+        out = search(asked.withColumns({
+            "mode": F.lit("image"), "top_k": F.lit(10), "text": F.lit("nearest")}),
+            base.corpus(spark, sf)).results
+        return out.select("query_id", "path", "rank")
+    probes = [Probe(r["query_id"], tuple(r["image_query"]), depth=10) for r in asked.collect()]
+    best = top_within(best_rows(base.corpus(spark, sf).image, probes), ["query_id"],
                       [F.desc("score"), F.col("path")], 10)
-    return best.select("query_id", "path", F.round("score", 6).alias("score"),
-                       F.col("rank").cast("long").alias("rank"))
+    return best.select("query_id", "path", F.col("rank").cast("long").alias("rank"))
 
 
 QUERIES["vector_topk"] = _vector_topk
-ORACLE["vector_topk"] = f"""WITH {base.SQL_DOCS}, {base.SQL_EMB},
-s AS (SELECT 'v' || q.vec_id AS query_id, d.path, list_inner_product(e.v, q.v) AS score
-  FROM docs d, n JOIN emb e ON e.vec_id = d.pos % n.n
-  JOIN emb q ON q.vec_id < 5),
+ORACLE["vector_topk"] = f"""WITH {base.SQL_DOCS}, {base.SQL_EMB}, {_BATCH_REQ},
+s AS (SELECT query_id, d.path, list_inner_product(e.v, q.iv) AS score
+  FROM docs d, n JOIN emb e ON e.vec_id = d.pos % n.n CROSS JOIN req q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s)
-SELECT query_id, path, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
+SELECT query_id, path, rank FROM r WHERE rank <= 10"""
 
 
 def _ranks(spark, sf):
