@@ -32,7 +32,7 @@ _SQL_PIXELS = """px AS (SELECT l_partkey AS id, round(l_extendedprice * 100)::BI
 unit AS (SELECT id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM px),
 span AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS sp FROM unit),
 sect AS (SELECT *, CASE WHEN sp = 0 THEN 0.0
-  WHEN hi = r THEN (((g - b) / sp) % 6 + 6) % 6 WHEN hi = g THEN (b - r) / sp + 2
+  WHEN hi = r THEN (g - b) / sp + CASE WHEN g < b THEN 6 ELSE 0 END WHEN hi = g THEN (b - r) / sp + 2
   ELSE (r - g) / sp + 4 END * 60 AS h FROM span),
 hsv AS (SELECT id, r, g, b, h % 360 AS hue, CASE WHEN hi = 0 THEN 0.0 ELSE sp / hi END AS sat,
   hi AS val FROM sect),
@@ -40,7 +40,8 @@ lit AS (SELECT *, floor(hue / 10)::INT AS bin FROM hsv WHERE sat >= 0.15 AND val
 peak AS (SELECT id, bin FROM lit GROUP BY id, bin QUALIFY row_number() OVER
   (PARTITION BY id ORDER BY count(*) DESC, bin) = 1),
 near AS (SELECT l.id, l.hue FROM lit l JOIN peak p USING (id)
-  WHERE abs(((l.hue - (p.bin + 0.5) * 10 + 180) % 360 + 360) % 360 - 180) <= 10),
+  WHERE abs((l.hue - (p.bin + 0.5) * 10 + 180 + CASE WHEN l.hue - (p.bin + 0.5) * 10 < -180
+    THEN 360 ELSE 0 END) % 360 - 180) <= 10),
 hues AS (SELECT id, (degrees(atan2(avg(sin(radians(hue))), avg(cos(radians(hue))))) + 360) % 360
   AS hue FROM near GROUP BY id),
 lin AS (SELECT id, list_sum(list_transform([(r, 0.2126), (g, 0.7152), (b, 0.0722)], lambda c:
