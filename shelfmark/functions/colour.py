@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hsv(red: Column, green: Column, blue: Column) -> Column:
-    """Struct of real-valued hue (0-360), saturation and value (0-1)."""
-    r, g, b = (c.cast("double") / 255.0 for c in (red, green, blue))
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    spread = high - low
+def with_hsv(pixels: DataFrame) -> DataFrame:
+    """Pixels (r, g, b) with real-valued hue (0-360), saturation and value (0-1).
+
+    Built in steps, so that generated code computes each part once.
+    """
+    shares = pixels.withColumns({
+        f"_{c}": F.col(c).cast("double") / 255.0 for c in ("r", "g", "b")})
+    r, g, b = F.col("_r"), F.col("_g"), F.col("_b")
+    ranged = shares.withColumns({"value": F.greatest(r, g, b), "_low": F.least(r, g, b)})
+    ranged = ranged.withColumn("_spread", F.col("value") - F.col("_low"))
+    high, spread = F.col("value"), F.col("_spread")
     sector = (
-        F.when(high == r, F.pmod((g - b) / spread, F.lit(6.0)))
+        F.when(spread == 0, 0.0)
+        .when(high == r, F.pmod((g - b) / spread, F.lit(6.0)))
         .when(high == g, (b - r) / spread + 2.0)
         .otherwise((r - g) / spread + 4.0)
     )
-    hue = F.when(spread == 0, 0.0).otherwise(F.pmod(sector * 60.0, F.lit(360.0)))
-    saturation = F.when(high == 0, 0.0).otherwise(spread / high)
-    return F.struct(
-        hue.alias("hue"), saturation.alias("saturation"), high.alias("value")
-    )
+    coloured = ranged.withColumn("_sector", sector)
+    return coloured.withColumns({
+        "hue": F.pmod(F.col("_sector") * 60.0, F.lit(360.0)),
+        "saturation": F.when(high == 0, 0.0).otherwise(spread / high),
+    }).drop("_r", "_g", "_b", "_low", "_spread", "_sector")
 
 
 def linear_channel(channel: Column) -> Column:

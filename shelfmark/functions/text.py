@@ -58,7 +58,7 @@ def content_terms(text: Column) -> Column:
 
 def caption_terms(text: Column) -> Column:
     """The distinct folded tokens of one caption."""
-    return F.array_distinct(F.transform(tokens(text), singular))
+    return F.array_distinct(F.transform(F.array_distinct(tokens(text)), singular))
 
 
 def comparable_words(text: Column) -> Column:

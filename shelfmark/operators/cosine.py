@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.components import connected_components, thin_edges
-from shelfmark.session import materialize
+from shelfmark.session import materialize, spread
 
 BLOCK = 2_048  # vectors per side of one comparison task
 MAX_CELLS = 1_024  # pivots travel with the tasks
@@ -29,6 +29,7 @@ EPS = 0.45
 MIN_SAMPLES = 3
 
 _SLACK = 1e-9
+_TASK = ["cell", "kind", "i", "j"]
 
 
 def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -120,8 +121,9 @@ def place(vectors: DataFrame, threshold: float, cells: int | None = None,
     guests = F.transform(upto(F.col("ko")), lambda o: task(1, o, blk, F.lit(False)))
     tasks = F.when(F.col("guest"), guests).otherwise(
         F.concat(own_pairs, F.coalesce(own_guests, F.slice(own_pairs, 1, 0))))
-    return rows.select("cell", F.explode(tasks).alias("_t"), "id", "vec", "copies").select(
+    out = rows.select("cell", F.explode(tasks).alias("_t"), "id", "vec", "copies").select(
         "cell", "_t.kind", "_t.i", "_t.j", "_t.left", "id", "vec", "copies")
+    return spread(out, *_TASK)
 
 
 def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
@@ -149,9 +151,6 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-_TASK = ["cell", "kind", "i", "j"]
-
-
 def cosine_pairs(
     rows: DataFrame, threshold: float = COSINE, cells: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
@@ -249,7 +248,7 @@ def _density_links(placed: DataFrame, cores: DataFrame, threshold: float) -> Dat
         })
 
     flagged = placed.join(cores, "id").select(*_TASK, "left", "id", "vec", "copies", "core")
-    return flagged.groupBy(*_TASK).applyInArrow(kernel, "src long, dst long, border boolean")
+    return spread(flagged, *_TASK).groupBy(*_TASK).applyInArrow(kernel, "src long, dst long, border boolean")
 
 
 def density_clusters(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNASSIGNED = "unassigned"
-GRAM = 3  # gram length of the substring index; shorter references probe whole
+GRAM = 4  # gram length of the substring index; shorter references probe whole
 
 
 def _pieces(lowered: Column, n: int) -> Column:

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import HASH_BITS, hamming
-from shelfmark.session import small_side
+from shelfmark.session import small_side, spread
 
 DISTANCE = 6
-HOT_BUCKET = 1_000  # signatures one band value may hold before it is split
+HOT_BUCKET = 4_000  # signatures one band value may hold before it is split
 
 
 def _signed(mask: int) -> int:
@@ -26,6 +26,10 @@ def _slices(positions: list[int], parts: int) -> list[int]:
     ]
 
 
+def _choices(distance: int, bands: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(bands), bands - distance))
+
+
 def band_masks(distance: int, bands: int) -> list[int]:
     """Masks of every choice of ``bands - distance`` of ``bands`` bit bands.
 
@@ -33,7 +37,7 @@ def band_masks(distance: int, bands: int) -> list[int]:
     bands, so they agree on at least one of these masks.
     """
     parts = _slices(list(range(HASH_BITS)), bands)
-    return [sum(chosen) for chosen in combinations(parts, bands - distance)]
+    return [sum(parts[b] for b in chosen) for chosen in _choices(distance, bands)]
 
 
 def _child_masks(mask: int, distance: int) -> list[int]:
@@ -46,10 +50,24 @@ def _array(masks: list[int]) -> Column:
     return F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks])
 
 
-def _first_agreeing(masks: Column, differing: Column) -> Column:
-    """Position of the first mask under which two signatures agree."""
-    agree = F.transform(masks, lambda m: m.bitwiseAND(differing) == 0)
-    return F.array_position(agree, True) - 1
+def _is_first_choice(last: Column, differing: Column, distance: int, bands: int) -> Column:
+    """Whether a choice of bands is the first one two signatures agree on.
+
+    It is when the agreeing bands up to its ``last`` one are just its own.
+    """
+    agreeing = F.lit(0)
+    for b, mask in enumerate(_slices(list(range(HASH_BITS)), bands)):
+        same = differing.bitwiseAND(F.lit(_signed(mask)).cast("bigint")) == 0
+        agreeing = agreeing + F.when(same & (last >= b), 1).otherwise(0)
+    return agreeing == bands - distance
+
+
+def _first_agreeing(masks: list[Column], differing: Column) -> Column:
+    """Position of the first of a few masks under which two signatures agree."""
+    first = F.lit(None).cast("int")
+    for i, mask in reversed(list(enumerate(masks))):
+        first = F.when(differing.bitwiseAND(mask) == 0, F.lit(i)).otherwise(first)
+    return first
 
 
 def hamming_pairs(
@@ -70,10 +88,15 @@ def hamming_pairs(
         known = signatures.count()
         bands = distance + (2 if known <= 1 << 18 else 3 if known <= 1 << 26 else 4)
     masks = band_masks(distance, bands)
+    lasts = F.array(*[F.lit(chosen[-1]) for chosen in _choices(distance, bands)])
     coarse = signatures.select(
         "id", "signature", F.posexplode(_array(masks)).alias("m", "_mask")
-    ).select("id", "signature", "m", F.col("signature").bitwiseAND(F.col("_mask")).alias("value"))
+    ).select(
+        "id", "signature", "m", F.get(lasts, F.col("m")).alias("last"),
+        F.col("signature").bitwiseAND(F.col("_mask")).alias("value"),
+    )
     keys = ["m", "value"]
+    coarse = spread(coarse, *keys)
     hot = coarse.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket)
     hot = small_side(hot.select(*keys))
 
@@ -93,7 +116,7 @@ def hamming_pairs(
             F.bit_count(differing()).alias("bits"),
         )
 
-    first = _first_agreeing(_array(masks), differing()) == F.col("a.m")
+    first = _is_first_choice(F.col("a.last"), differing(), distance, bands)
     found = meet(coarse.join(hot, keys, "left_anti"), keys, first)
 
     if hot.isEmpty():
@@ -102,17 +125,21 @@ def hamming_pairs(
     children = [_child_masks(m, distance) for m in masks]
     table = F.array(*[_array(c) for c in children])
     fine = coarse.join(hot, keys, "left_semi").select(
-        "id", "signature", "m", F.posexplode(F.get(table, F.col("m"))).alias("c", "_mask")
+        "id", "signature", "m", "last",
+        F.posexplode(F.get(table, F.col("m"))).alias("c", "_mask")
     ).select(
-        "id", "signature", "m", "c",
+        "id", "signature", "m", "last", "c",
         F.col("signature").bitwiseAND(F.col("_mask")).alias("value"),
     )
     keys = ["m", "c", "value"]
+    fine = spread(fine, *keys)
     crowd = fine.groupBy(*keys).agg(F.count("*").alias("n"))
     crowd = small_side(crowd.filter(F.col("n") > hot_bucket).select(
         *keys, F.ceil(F.col("n") / hot_bucket).cast("int").alias("k")))
     first = first & (
-        _first_agreeing(F.get(table, F.col("a.m")), differing()) == F.col("a.c")
+        _first_agreeing(
+            [F.get(F.get(table, F.col("a.m")), F.lit(c)) for c in range(distance + 1)],
+            differing()) == F.col("a.c")
     )
     found = found.unionByName(meet(fine.join(crowd, keys, "left_anti"), keys, first))
     if crowd.isEmpty():
@@ -120,12 +147,13 @@ def hamming_pairs(
     blocks = fine.join(crowd, keys).withColumn(
         "blk", F.pmod(F.xxhash64("signature"), F.col("k")).cast("int")
     ).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "id", "signature", *keys, "blk",
+        "id", "signature", "last", *keys, "blk",
         F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
     )
     # Inside a task of two blocks only the cross pairs are new.
     cross = (F.col("a.i") == F.col("a.j")) | (F.col("a.blk") != F.col("b.blk"))
-    return found.unionByName(meet(blocks, [*keys, "i", "j"], first & cross))
+    keys = [*keys, "i", "j"]
+    return found.unionByName(meet(spread(blocks, *keys), keys, first & cross))
 
 
 def hamming_edges(

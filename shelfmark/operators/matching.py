@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import content_terms, singular, tokens
+from shelfmark.functions.text import caption_terms, content_terms
 
 
 def request_terms(requests: DataFrame) -> DataFrame:
@@ -20,14 +20,12 @@ def request_terms(requests: DataFrame) -> DataFrame:
 def term_hits(captions: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, path, hits): query terms a caption holds, repeats counted.
 
-    Caption tokens are only filtered map-side when ``terms`` is broadcast; the
-    distinct on (query, path, term) then shuffles matches, never the corpus.
+    A caption's terms are distinct before they are exploded, so one aggregate
+    is enough. With ``terms`` broadcast the join only filters, and the sums are
+    complete inside a map task, as a caption never spans two.
     """
-    words = captions.select("path", F.explode(tokens(F.col("caption"))).alias("_t"))
-    found = (
-        words.select("path", singular(F.col("_t")).alias("term"))
-        .join(terms, "term")
-        .groupBy("query_id", "path", "term")
-        .agg(F.first("copies").alias("copies"))
+    words = captions.select("path", F.explode(caption_terms(F.col("caption"))).alias("term"))
+    return (
+        words.join(terms, "term").groupBy("query_id", "path")
+        .agg(F.sum("copies").cast("int").alias("hits"))
     )
-    return found.groupBy("query_id", "path").agg(F.sum("copies").cast("int").alias("hits"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.colour import (
-    angle_distance, hsv, lightness, luminance, mean_angle,
+    angle_distance, lightness, luminance, mean_angle, with_hsv,
 )
 from shelfmark.operators.ranking import rank_within
 
@@ -32,39 +32,55 @@ MARK_WIDTH, UNDATED_MARK_WIDTH, SEGMENT_GAP = 3.0, 1.6, 40.0
 MIN_MARK, MAX_MARK, ASSUMED_LIGHTNESS = 5.0, 72.0, 0.5
 
 
-def dominant_hue(pixels: DataFrame, key: str = "id") -> DataFrame:
-    """(key, hue): the circular mean around each picture's fullest hue bin.
+def _parts(pixels: DataFrame, key: str) -> DataFrame:
+    """(key, _slot, _edge, _n, _sin, _cos, _light): pixels summed per half hue bin.
 
-    Pixels (key, r, g, b) near grey or black carry no hue; a picture of only
-    those has a NULL one. The mean covers one bin width on both sides of the
-    peak's centre, so pixels are pre-aggregated to half bins, a boundary value
-    apart, and never read twice. A picture has at most 4 x BINS partial rows.
+    ``_slot`` is NULL for pixels without a usable hue; ``_edge`` marks values
+    exactly on a slot's lower boundary. A picture has at most 4 x BINS + 1 rows,
+    combined map-side, so one with very many pixels shuffles no more.
     """
-    width = 360.0 / BINS
-    half = width / 2
-    h = F.col("_c.hue")
-    carries = (F.col("_c.saturation") >= MIN_SATURATION) & (F.col("_c.value") >= MIN_VALUE)
-    coloured = pixels.select(key, hsv(F.col("r"), F.col("g"), F.col("b")).alias("_c"))
-    slot = F.floor(h / half).cast("int")
-    parts = coloured.groupBy(
-        key, F.when(carries, slot).alias("_slot"),
-        F.when(carries, h == slot * half).alias("_edge"),
-    ).agg(
-        F.count("*").alias("_n"), F.sum(F.sin(F.radians(h))).alias("_sin"),
-        F.sum(F.cos(F.radians(h))).alias("_cos"),
-    )
-    bins = parts.filter("_slot IS NOT NULL").groupBy(
-        key, F.floor(F.col("_slot") / 2).cast("int").alias("_bin")
-    ).agg(F.sum("_n").alias("_n"))
-    peaks = bins.groupBy(key).agg(
-        F.max_by("_bin", F.struct(F.col("_n"), -F.col("_bin"))).alias("_bin"))
+    half = 180.0 / BINS
+    h = F.col("hue")
+    carries = (F.col("saturation") >= MIN_SATURATION) & (F.col("value") >= MIN_VALUE)
+    coloured = with_hsv(pixels.select(key, "r", "g", "b")).select(
+        key, F.when(carries, h).alias("hue"),
+        luminance(F.col("r"), F.col("g"), F.col("b")).alias("_y"),
+    ).withColumns({"_slot": F.floor(h / half).cast("int"), "_a": F.radians(h)})
+    coloured = coloured.withColumn("_edge", h == F.col("_slot") * half)
+    return coloured.groupBy(key, "_slot", "_edge").agg(
+        F.count("*").alias("_n"), F.sum(F.sin("_a")).alias("_sin"),
+        F.sum(F.cos("_a")).alias("_cos"), F.sum("_y").alias("_light"))
+
+
+def palette(pixels: DataFrame, key: str = "id") -> DataFrame:
+    """(key, hue, lightness) per picture from pixels (key, r, g, b), in one scan.
+
+    The hue is the circular mean around the fullest of BINS bins, over one bin
+    width on both sides of its centre; NULL when every pixel is near grey or
+    black. Lightness is that of the mean luminance.
+    """
+    slot = F.col("_slot")
+    # At most 4 x BINS + 1 rows per picture, so these windows are small.
+    parts = _parts(pixels, key).withColumn("_bin", F.floor(slot / 2).cast("int"))
+    full = F.sum("_n").over(Window.partitionBy(key, "_bin"))
+    parts = parts.withColumn(
+        "_rank", F.when(slot.isNotNull(), full * BINS + (BINS - 1 - F.col("_bin"))))
+    best = F.max("_rank").over(Window.partitionBy(key))
+    parts = parts.withColumn("_peak", BINS - 1 - F.pmod(best, F.lit(BINS)))
     # Half bins 2b-1 .. 2b+2 lie within one width of the centre; so does a
     # value exactly on the far boundary, which opens half bin 2b+3.
-    ahead = F.pmod(F.col("_slot") - (2 * F.col("_bin") - 1), F.lit(2 * BINS))
+    ahead = F.pmod(slot - (2 * F.col("_peak") - 1), F.lit(2 * BINS))
     near = (ahead < 4) | ((ahead == 4) & F.col("_edge"))
-    hues = parts.join(peaks, key).filter(near).groupBy(key).agg(
-        mean_angle(F.sum("_sin"), F.sum("_cos")).alias("hue"))
-    return parts.select(key).distinct().join(hues, key, "left")
+    return parts.groupBy(key).agg(
+        mean_angle(F.sum(F.when(near, F.col("_sin"))), F.sum(F.when(near, F.col("_cos"))))
+        .alias("hue"),
+        lightness(F.sum("_light") / F.sum("_n")).alias("lightness"),
+    )
+
+
+def dominant_hue(pixels: DataFrame, key: str = "id") -> DataFrame:
+    """(key, hue) per picture; see ``palette``."""
+    return palette(pixels, key).select(key, "hue")
 
 
 def mean_lightness(pixels: DataFrame, key: str = "id") -> DataFrame:
@@ -73,11 +89,6 @@ def mean_lightness(pixels: DataFrame, key: str = "id") -> DataFrame:
     return pixels.groupBy(key).agg(lightness(F.avg(light)).alias("lightness"))
 
 
-def palette(pixels: DataFrame, key: str = "id") -> DataFrame:
-    """(key, hue, lightness) per picture."""
-    return dominant_hue(pixels, key).join(mean_lightness(pixels, key), key)
-
-
 def nearest_anchor(hue: Column) -> Column:
     """Struct (anchor, color, muted) of the closest anchor; the first wins ties.
 

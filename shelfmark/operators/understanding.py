@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import STOPWORDS, mentioned, remaining_text, tokens
 from shelfmark.operators.filters import resolve_events, resolve_names
+from shelfmark.session import materialize
 
 MAX_FILTERS = 3
 
@@ -126,7 +127,8 @@ def understand(answers: DataFrame, people: DataFrame, events: DataFrame) -> Data
         proposals(F.col("_object"), "events").alias("_events"),
     )
     usable = F.coalesce("_usable", F.lit(False)) & (F.col("text") != "")
-    base = base.withColumn("_usable", usable)
+    # Both kinds of proposals and the report read the parsed answers.
+    base = materialize(base.withColumn("_usable", usable), "answers")
 
     def asked(column: str) -> DataFrame:
         return (

@@ -178,7 +178,8 @@ def _run_pass(rows: list[Row], corpus: Corpus, pool: DataFrame | None,
     filtered = [r["query_id"] for r in rows if r["has_filter"]]
     pass_pool = None
     if filtered and pool is not None:
-        pass_pool = pool.filter(F.col("query_id").isin(filtered)).select("query_id", "path")
+        pass_pool = materialize(
+            pool.filter(F.col("query_id").isin(filtered)).select("query_id", "path"), "pool")
     elif filtered:
         raise ValueError("a request has a filter but no pool was given")
 

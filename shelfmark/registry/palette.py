@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.functions.colour import circular_mean, hsv
+from shelfmark.functions.colour import circular_mean, with_hsv
 from shelfmark.operators.palette import (
     dominant_hue, mean_lightness, nearest_anchor, palette, palette_marks, palette_totals,
     timeline,
@@ -53,10 +53,9 @@ colour AS (SELECT i.id, h.hue, l.lightness FROM (SELECT DISTINCT id FROM px) i
   LEFT JOIN hues h USING (id) JOIN light l USING (id))"""
 _HEAD = f"WITH {_SQL_PIXELS} "
 
-QUERIES["pixel_hsv"] = lambda spark, sf: _pixels(spark, sf).select(
-    "id", "r", "g", "b", hsv(F.col("r"), F.col("g"), F.col("b")).alias("c")).groupBy(
-        "id", "r", "g", "b").agg(
-    F.round(F.max("c.hue"), 6).alias("hue"), F.round(F.max("c.saturation"), 6).alias("sat"))
+QUERIES["pixel_hsv"] = lambda spark, sf: with_hsv(_pixels(spark, sf)).groupBy(
+    "id", "r", "g", "b").agg(F.round(F.max("hue"), 6).alias("hue"),
+                             F.round(F.max("saturation"), 6).alias("sat"))
 ORACLE["pixel_hsv"] = _HEAD + """SELECT id, round(r * 255)::INT AS r, round(g * 255)::INT AS g,
   round(b * 255)::INT AS b, round(max(hue), 6)::DOUBLE AS hue, round(max(sat), 6)::DOUBLE AS sat
   FROM hsv GROUP BY 1, 2, 3, 4"""

@@ -72,3 +72,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned on ``keys`` over all shuffle partitions.
+
+    For steps that cost far more than their bytes suggest: adaptive coalescing
+    goes by size and would give a few cores all of the work.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
