@@ -204,22 +204,18 @@ def _run_pass(rows: list[Row], corpus: Corpus, pool: DataFrame | None,
 
     parts = []
     if fused_ids:
-        parts.append(_fused_results(state, tops, branch, fused_ids))
+        parts.append(_fused_results(state, tops, hits, branch, fused_ids))
     trimmed = None
     if matched_ids:
         kept, trimmed = _matched_results(state, hits, summary, branch, matched_ids)
         parts.append(kept)
     if listed_ids:
         parts.append(_listed_results(state, listed_ids))
-    schema = "query_id string, rank long, path string, score double, matched boolean"
+    schema = ("query_id string, rank long, path string, score double, term_hits int, "
+              "matched boolean")
     results = reduce(
         DataFrame.unionByName, parts or [spark.createDataFrame([], schema)]
     )
-    if text_ids:
-        results = results.join(hits, ["query_id", "path"], "left")
-    else:
-        results = results.withColumn("hits", F.lit(None).cast("int"))
-    results = results.withColumn("term_hits", F.coalesce("hits", F.lit(0)))
     if trimmed is None:
         trimmed = spark.createDataFrame([], "query_id string, path string, score double")
         summary = summary.withColumn("trimmed", F.lit(0))
@@ -351,7 +347,9 @@ def _wanted(row: Row) -> int:
     return row["top_k"] if row["top_k"] > 0 else max(row["img_cut"], row["cap_cut"])
 
 
-def _fused_results(state: _Pass, tops: DataFrame, branch: dict, ids: list[str]) -> DataFrame:
+def _fused_results(
+    state: _Pass, tops: DataFrame, hits: DataFrame, branch: dict, ids: list[str]
+) -> DataFrame:
     deep = [q for q in ids if branch[q]["top_k"] > COUNTED_TOP]
     near = [q for q in ids if q not in set(deep)]
     limits = state.spark.createDataFrame(
@@ -375,7 +373,9 @@ def _fused_results(state: _Pass, tops: DataFrame, branch: dict, ids: list[str])
             reduce(DataFrame.unionByName, parts).join(F.broadcast(limits), "query_id"),
             ["query_id"], [F.desc("score"), F.col("path")], F.col("_limit"),
         )
-        chosen.append(ranked.select("query_id", F.col("rank").cast("long"), "path", "score"))
+        ranked = ranked.select("query_id", F.col("rank").cast("long"), "path", "score")
+        held = hits.join(F.broadcast(ranked.select("query_id", "path")), ["query_id", "path"])
+        chosen.append(ranked.join(F.broadcast(held), ["query_id", "path"], "left"))
     if deep:
         fused = _fuse_by_sorting(state, branch, deep)
         ranked = rank_within(
@@ -383,8 +383,11 @@ def _fused_results(state: _Pass, tops: DataFrame, branch: dict, ids: list[str])
         chosen.append(
             ranked.join(F.broadcast(limits), "query_id").filter("rank <= _limit")
             .select("query_id", "rank", "path", "score")
+            .join(hits, ["query_id", "path"], "left")
         )
-    return reduce(DataFrame.unionByName, chosen).withColumn("matched", F.lit(False))
+    return reduce(DataFrame.unionByName, chosen).select(
+        "query_id", "rank", "path", "score",
+        F.coalesce("hits", F.lit(0)).alias("term_hits"), F.lit(False).alias("matched"))
 
 
 def _fuse_by_counting(state: _Pass, tops: DataFrame, ids: list[str]) -> DataFrame:
@@ -473,7 +476,8 @@ def _matched_results(
         own = [q for q in ids if branch[q]["mode"] in modes]
         if not own:
             continue
-        rows = inside.filter(F.col("query_id").isin(own)).select("query_id", "path", "trim")
+        rows = inside.filter(F.col("query_id").isin(own)).select(
+            "query_id", "path", "hits", "trim")
         table = state.corpus.image if side == "image" else state.corpus.caption
         scored = score_pairs(rows, table.filter("vec IS NOT NULL"), state.probes(side, own))
         # A matched row absent from the index keeps its place, last.
@@ -488,7 +492,7 @@ def _matched_results(
         trimmed = rows.filter("trimmed").select("query_id", "path", "score")
         rows = rows.filter(~F.col("trimmed"))
     kept = rank_within(
-        rows.select("query_id", "path", "score"),
+        rows.select("query_id", "path", "score", F.col("hits").alias("term_hits")),
         ["query_id"], [F.desc_nulls_last("score"), F.col("path")], few_groups=True,
     ).withColumn("matched", F.lit(True))
     return kept, trimmed
@@ -512,7 +516,8 @@ def _listed_results(state: _Pass, ids: list[str]) -> DataFrame:
         few_groups=True,
     )
     return listed.select(
-        "query_id", "rank", "path", F.lit(0.0).alias("score"), F.lit(False).alias("matched")
+        "query_id", "rank", "path", F.lit(0.0).alias("score"), F.lit(0).alias("term_hits"),
+        F.lit(False).alias("matched"),
     )
 
 
