@@ -17,8 +17,10 @@ STOPWORDS = [
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
-def stopword_array() -> Column:
-    return F.array(*[F.lit(word) for word in STOPWORDS])
+def is_stopword(token: Column) -> Column:
+    """Whether a token is a stopword; the list is one constant array."""
+    listed = ", ".join(f"'{word}'" for word in STOPWORDS)
+    return F.array_contains(F.expr(f"array({listed})"), token)
 
 
 def tokens(text: Column) -> Column:
@@ -51,7 +53,7 @@ def content_terms(text: Column) -> Column:
     """Folded query tokens without stopwords; a repeated term stays repeated."""
     kept = F.filter(
         tokens(text),
-        lambda t: ~t.isin(STOPWORDS) & ~singular(t).isin(STOPWORDS),
+        lambda t: ~is_stopword(t) & ~is_stopword(singular(t)),
     )
     return F.transform(kept, singular)
 
@@ -65,7 +67,7 @@ def comparable_words(text: Column) -> Column:
     """Distinct tokens longer than one character, stopwords removed, no fold."""
     return F.filter(
         F.array_distinct(tokens(text)),
-        lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS),
+        lambda t: (F.length(t) > 1) & ~is_stopword(t),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import STOPWORDS, mentioned, remaining_text, tokens
+from shelfmark.functions.text import is_stopword, mentioned, remaining_text, tokens
 from shelfmark.operators.filters import resolve_events, resolve_names
 from shelfmark.session import materialize
 
@@ -161,7 +161,7 @@ def understand(answers: DataFrame, people: DataFrame, events: DataFrame) -> Data
         F.concat(F.coalesce("_pn", none), F.coalesce("_en", none)), tokens
     ))
     taken = F.filter(
-        F.concat(words, event_ids), lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS)
+        F.concat(words, event_ids), lambda w: (F.length(w) > 1) & ~is_stopword(w)
     )
     nothing = (F.size(persons) == 0) & (F.size(event_ids) == 0)
     fallback = ~F.col("_usable") | (nothing & (F.size(dropped) == 0))

@@ -186,7 +186,9 @@ def _run_pass(rows: list[Row], corpus: Corpus, pool: DataFrame | None,
     sized = requests.select(
         "query_id", F.size(content_terms(F.col("text"))).alias("total_terms")
     )
-    text_ids = frozenset(r["query_id"] for r in sized.filter("total_terms > 0").collect())
+    counted_terms = sized.collect()  # one row per request of the pass
+    sized = spark.createDataFrame(counted_terms, sized.schema)
+    text_ids = frozenset(r["query_id"] for r in counted_terms if r["total_terms"])
     state = _Pass(spark, corpus, options, rows, requests, pass_pool, text_ids)
 
     hits = _pass_hits(state)
@@ -288,7 +290,7 @@ def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFra
     corpus_size = state.corpus.caption.agg(F.count("*")).scalar()
     # Every table here has at most one row per request of the pass.
     rows = (
-        state.requests.withColumn("total_terms", F.size(content_terms(F.col("text"))))
+        state.requests.join(F.broadcast(sized), "query_id")
         .join(F.broadcast(counts), "query_id", "left")
         .join(F.broadcast(cuts), "query_id", "left")
     )
