@@ -108,7 +108,7 @@ def hamming_pairs(
         on = F.lit(True)
         for key in keys:
             on = on & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-        close = F.bit_count(differing()) <= distance
+        close = hamming(F.col("a.signature"), F.col("b.signature")) <= distance
         return a.join(
             b, on & (F.col("a.signature") < F.col("b.signature")) & close & extra
         ).select(
@@ -174,6 +174,3 @@ def hamming_edges(
         lone.select(F.col("lead").alias("id"), "signature"), distance, bands, hot_bucket
     )
     return stars.unionByName(pairs.select("src", "dst"))
-
-
-__all__ = ["band_masks", "hamming", "hamming_edges", "hamming_pairs"]

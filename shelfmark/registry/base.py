@@ -93,15 +93,16 @@ def faces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """(face_id, name): two faces in three of the first seven clusters are named."""
-    rows = faces(spark, sf).filter(
-        (F.pmod("pos", F.lit(3)) != 2) & (F.col("cluster") < "Person_008")
-        & (F.col("cluster") != "unassigned"))
-    number = F.substring("cluster", 8, 3)
-    return rows.select(
-        "face_id",
-        F.concat(F.lit("Guest "), F.when(F.pmod("pos", F.lit(10)) == 0, "000").otherwise(number))
-        .alias("name"))
+    """(face_id, name): placed faces of the documents labelled as good.
+
+    Faces of toxic ones carry another name, so that clusters are not unanimous.
+    """
+    judged = load(spark, sf, "labels").filter("quality = 1")
+    rows = faces(spark, sf).filter("cluster <> 'unassigned'").join(
+        judged, F.floor(F.col("pos") / 2) == F.col("doc_id"))
+    return rows.select("face_id", F.concat(
+        F.lit("Guest "),
+        F.when(F.col("toxic") == 1, "000").otherwise(F.substring("cluster", 8, 3))).alias("name"))
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,9 +169,9 @@ faces AS (SELECT pos, 'f' || pos AS face_id,
   path, (pos * 37 % 1000) / 1000.0 AS det_score,
   CASE WHEN pos % 3 = 0 THEN 'F' ELSE 'M' END AS sex,
   CASE WHEN pos % 11 = 0 THEN '' ELSE (pos * 7 % 80 + 1)::VARCHAR END AS age FROM face0),
-labelled AS (SELECT face_id, 'Guest ' || CASE WHEN pos % 10 = 0 THEN '000'
-  ELSE substr(cluster, 8, 3) END AS name FROM faces
-  WHERE pos % 3 <> 2 AND cluster < 'Person_008' AND cluster <> 'unassigned'),
+labelled AS (SELECT face_id, 'Guest ' || CASE WHEN toxic = 1 THEN '000'
+  ELSE substr(cluster, 8, 3) END AS name FROM faces JOIN labels ON doc_id = pos // 2
+  WHERE quality = 1 AND cluster <> 'unassigned'),
 members AS (SELECT DISTINCT CASE WHEN cluster = 'unassigned' THEN 'Nobody Placed'
   ELSE 'Guest ' || substr(cluster, 8, 3) END AS name, path FROM faces)"""
 SQL_EVENTS = """source_events AS (SELECT
