@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.minhash_bayes import near_duplicates
 from shelfmark.llm.url_cascade import judge_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -21,8 +22,13 @@ def op1_url_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(_table(spark, sf, "pages"), rules)
 
 
+def op2_minhash_bayes(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
+    "op2_minhash_bayes": op2_minhash_bayes,
 }
 
 ORACLE = {
