@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.bitplane import token_files
 from shelfmark.llm.minhash_bayes import near_duplicates
 from shelfmark.llm.url_cascade import judge_urls
 
@@ -12,6 +14,8 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
          ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -26,9 +30,14 @@ def op2_minhash_bayes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op6_bitplane_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files(_table(spark, sf, "documents"), VOCABULARY, end_id=2)
+
+
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
     "op2_minhash_bayes": op2_minhash_bayes,
+    "op6_bitplane_files": op6_bitplane_files,
 }
 
 ORACLE = {
