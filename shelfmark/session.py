@@ -49,8 +49,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the checkpoint folder (with writer ``options``) and read it back.
 
     Used where a plan must not be evaluated twice (range bounds are sampled)
     or where several later steps read the same expensive rows. The copy is a
@@ -59,7 +59,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/shelfmark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
