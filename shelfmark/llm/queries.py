@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.bitplane import token_files
 from shelfmark.llm.minhash_bayes import near_duplicates
+from shelfmark.llm.mixture_packing import pack
 from shelfmark.llm.url_cascade import judge_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -30,6 +31,10 @@ def op2_minhash_bayes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op4_mixture_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_table(spark, sf, "documents"), VOCABULARY, end_id=1)
+
+
 def op6_bitplane_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(_table(spark, sf, "documents"), VOCABULARY, end_id=2)
 
@@ -37,6 +42,7 @@ def op6_bitplane_files(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
     "op2_minhash_bayes": op2_minhash_bayes,
+    "op4_mixture_packing": op4_mixture_packing,
     "op6_bitplane_files": op6_bitplane_files,
 }
 
