@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.ball_tree import top_k
 from shelfmark.llm.bitplane import token_files
 from shelfmark.llm.minhash_bayes import near_duplicates
 from shelfmark.llm.mixture_packing import pack
+from shelfmark.llm.sphere_cells import near_vectors
 from shelfmark.llm.url_cascade import judge_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -31,6 +33,10 @@ def op2_minhash_bayes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op3_sphere_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(_table(spark, sf, "embeddings"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), VOCABULARY, end_id=1)
 
@@ -39,14 +45,42 @@ def op6_bitplane_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(_table(spark, sf, "documents"), VOCABULARY, end_id=2)
 
 
+def op9_ball_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
     "op2_minhash_bayes": op2_minhash_bayes,
+    "op3_sphere_cells": op3_sphere_cells,
     "op4_mixture_packing": op4_mixture_packing,
     "op6_bitplane_files": op6_bitplane_files,
+    "op9_ball_tree": op9_ball_tree,
 }
 
 ORACLE = {
+    "op3_sphere_cells": """
+WITH RECURSIVE unit AS (SELECT vec_id, embedding::DOUBLE[] AS v,
+  sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id
+  AND a.n > 0 AND b.n > 0 AND len(a.v) = len(b.v)
+  AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(lo, vec_id)) AS component_id,
+  vec_id <= coalesce(lo, vec_id) AS kept FROM embeddings
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, min(b) AS lo FROM reach GROUP BY a) USING (vec_id)""",
+    "op9_ball_tree": """
+WITH q AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT a.vec_id AS query_id,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id)::INT
+    AS rank,
+  b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0
+QUALIFY rank <= 20""",
     "op1_url_cascade": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES_SQL}),
 rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0
