@@ -10,7 +10,9 @@ from shelfmark.llm.ball_tree import top_k
 from shelfmark.llm.bitplane import token_files
 from shelfmark.llm.minhash_bayes import near_duplicates
 from shelfmark.llm.mixture_packing import pack
+from shelfmark.llm.sentence_spans import remove_repeats
 from shelfmark.llm.sphere_cells import near_vectors
+from shelfmark.llm.temperature_mix import mix_order
 from shelfmark.llm.url_cascade import judge_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -45,6 +47,14 @@ def op6_bitplane_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(_table(spark, sf, "documents"), VOCABULARY, end_id=2)
 
 
+def op7_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op8_temperature_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_order(_table(spark, sf, "documents"))
+
+
 def op9_ball_tree(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(_table(spark, sf, "embeddings"))
 
@@ -55,6 +65,8 @@ QUERIES = {
     "op3_sphere_cells": op3_sphere_cells,
     "op4_mixture_packing": op4_mixture_packing,
     "op6_bitplane_files": op6_bitplane_files,
+    "op7_sentence_spans": op7_sentence_spans,
+    "op8_temperature_mix": op8_temperature_mix,
     "op9_ball_tree": op9_ball_tree,
 }
 
@@ -71,6 +83,33 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(lo, vec_id)) AS
   vec_id <= coalesce(lo, vec_id) AS kept FROM embeddings
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
 LEFT JOIN (SELECT a AS vec_id, min(b) AS lo FROM reach GROUP BY a) USING (vec_id)""",
+    "op8_temperature_mix": """
+WITH RECURSIVE light AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS k,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
+s AS (SELECT k, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM light GROUP BY k),
+ts AS (SELECT list(tokens::DOUBLE ORDER BY tokens) AS l FROM s WHERE tokens > 0),
+bisect(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2
+    ELSE hi END
+  FROM (SELECT *, list_max([pow(t, (lo + hi) / 2 - 1) FOR t IN l])
+      / list_min([pow(t, (lo + hi) / 2 - 1) FOR t IN l]) <= 2.0 AS ok FROM bisect, ts)
+  WHERE i < 60),
+alpha AS (SELECT hi AS a FROM bisect WHERE i = 60),
+least AS (SELECT min(pow(tokens, a) / tokens) AS m FROM s, alpha WHERE tokens > 0),
+budgets AS (SELECT k, docs, tokens, CASE WHEN tokens = 0 THEN 0
+  ELSE greatest(round(pow(tokens, a) / m)::BIGINT, tokens) END AS budget FROM s, alpha, least),
+plan AS (SELECT k, CASE WHEN tokens = 0 THEN 1 ELSE budget // tokens END AS passes,
+  CASE WHEN tokens = 0 THEN 0 ELSE budget % tokens END AS rest,
+  ceil(docs / 4096)::BIGINT AS blocks FROM budgets),
+copies AS (SELECT doc_id, source, l.k, tokens, passes, rest, blocks, unnest(range(passes + 1))
+  AS epoch FROM light l JOIN plan USING (k)),
+keyed AS (SELECT *, md5('1|' || epoch || '|' || coalesce(doc_id::VARCHAR, 'null')) AS mix_key
+  FROM copies),
+placed AS (SELECT *, ('0x' || substr(mix_key, 1, 8))::BIGINT % blocks AS block FROM keyed),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY k, epoch ORDER BY block, mix_key) AS upto
+  FROM placed)
+SELECT doc_id, source, tokens, epoch, block, mix_key FROM summed
+WHERE epoch < passes OR rest > 0 AND upto <= rest""",
     "op9_ball_tree": """
 WITH q AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v
   FROM embeddings WHERE embedding IS NOT NULL
