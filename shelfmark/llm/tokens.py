@@ -20,7 +20,7 @@ import numpy as np
 GAP = re.compile(r"(?<=\S) (?=\S)")
 # Every character that Python counts as white space, but for the space itself.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-LONGEST, GENERATION = 48, 200_000
+LONGEST, GENERATION = 48, 300_000
 
 
 def _pieces(text: str) -> list[str]:
@@ -57,6 +57,7 @@ class Encoder:
                 " ", add_special_tokens=False).ids[0])
             for token, at in self.model.get_vocab().items():
                 self.heads[at] = token.startswith(space)
+        self.marks = {c: self._whole(c) for c in ".,;:!?"} if self.cuts else {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -64,28 +65,44 @@ class Encoder:
         ids = self.model.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of ``words``, each as it reads after a space."""
+    def _learn(self, words: set[str]) -> list[str]:
+        """Remember the ids of ``words``, each as it reads after a space; the long ones, to forget."""
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
-        fresh = []
-        for word in words.difference(self.young):
-            if (known := self.old.get(word)) is not None:
-                self.young[word] = known
+        young, old = self.young, self.old
+        fresh, ended, long = set(), [], []
+        for word in words.difference(young):
+            if (known := old.get(word)) is not None:
+                young[word] = known
+            elif len(word) > LONGEST:
+                young[word] = self._whole(" " + word)
+                long.append(word)
+            elif word[-1] in self.marks and word[:-1].isalpha():
+                # Letters and the mark behind them are never joined.
+                ended.append(word)
+                if (body := word[:-1]) not in young:
+                    if (known := old.get(body)) is not None:
+                        young[body] = known
+                    else:
+                        fresh.add(body)
             else:
-                fresh.append(word)
+                fresh.add(word)
+        fresh = list(fresh)
         for at in range(0, len(fresh), 1000):
             part = fresh[at:at + 1000]
             ids = np.array(self.model.encode(
                 " " + " ".join(part), add_special_tokens=False).ids, self.dtype)
             starts = np.flatnonzero(self.heads[ids])
             if len(starts) != len(part):
-                self.young.update((w, self._whole(" " + w)) for w in part)
+                young.update((w, self._whole(" " + w)) for w in part)
                 continue
             data, step = ids.tobytes(), self.dtype.itemsize
             ends = np.append(starts[1:], len(ids)) * step
-            self.young.update(
+            young.update(
                 (w, data[s:e]) for w, s, e in zip(part, (starts * step).tolist(), ends.tolist()))
+        for word in ended:
+            young[word] = young[word[:-1]] + self.marks[word[-1]]
+        return long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; of a null text none."""
@@ -95,13 +112,13 @@ class Encoder:
         heads = [p[0] if p else "" for p in parts]
         for p in parts:
             del p[:1]
-        self._learn({w for p in parts for w in p if len(w) <= LONGEST})
-        known = self.young
-        return [
-            (self._whole(h) if h else b"") + b"".join(
-                [known[w] if len(w) <= LONGEST else self._whole(" " + w) for w in p])
-            for h, p in zip(heads, parts)
-        ]
+        long = self._learn(set().union(*parts))
+        find = self.young.__getitem__
+        out = [(self._whole(h) if h else b"") + b"".join(map(find, p))
+               for h, p in zip(heads, parts)]
+        for word in long:
+            del self.young[word]
+        return out
 
 
 def encoder(path: str) -> Encoder:
