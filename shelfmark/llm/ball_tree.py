@@ -202,12 +202,12 @@ def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, every: int = 20,
             F.when(F.col("n") >= k, F.col("least")).otherwise(lowest).alias("floor"))
         # Each block of queries against each shard but the one already seen.
         ask = known.select(
-            "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"),
+            "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
             "block", F.lit(True).alias("asks"), "vec_id", "vec", "floor", "own"
         ).filter("shard <> own").drop("own")
         give = give.select(
-            "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
-            .alias("block"), "asks", "vec_id", "vec", "floor")
+            "dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1)
+                                                  .cast("long"))).alias("block"), "asks", "vec_id", "vec", "floor")
         far = _search(give.unionByName(ask), ["dim", "shard", "block"], k)
         found = near.unionByName(far)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
