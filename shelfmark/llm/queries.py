@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.ball_tree import top_k
 from shelfmark.llm.bitplane import token_files
+from shelfmark.llm.log_bilinear import score_texts
 from shelfmark.llm.minhash_bayes import near_duplicates
 from shelfmark.llm.mixture_packing import pack
 from shelfmark.llm.sentence_spans import remove_repeats
 from shelfmark.llm.sphere_cells import near_vectors
 from shelfmark.llm.temperature_mix import mix_order
+from shelfmark.llm.toxic_automata import toxicity
 from shelfmark.llm.url_cascade import judge_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -43,6 +45,10 @@ def op4_mixture_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), VOCABULARY, end_id=1)
 
 
+def op5_toxic_automata(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op6_bitplane_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(_table(spark, sf, "documents"), VOCABULARY, end_id=2)
 
@@ -59,15 +65,21 @@ def op9_ball_tree(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(_table(spark, sf, "embeddings"))
 
 
+def op10_log_bilinear(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
     "op2_minhash_bayes": op2_minhash_bayes,
     "op3_sphere_cells": op3_sphere_cells,
     "op4_mixture_packing": op4_mixture_packing,
+    "op5_toxic_automata": op5_toxic_automata,
     "op6_bitplane_files": op6_bitplane_files,
     "op7_sentence_spans": op7_sentence_spans,
     "op8_temperature_mix": op8_temperature_mix,
     "op9_ball_tree": op9_ball_tree,
+    "op10_log_bilinear": op10_log_bilinear,
 }
 
 ORACLE = {
