@@ -276,6 +276,21 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, *, id_col: str
         kernel, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, *,
+               text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``limit``."""
+    at = docs.columns.index(text_col)
+
+    def kernel(batches):
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            x = np.array([features(matcher, t) for t in batch.column(at).to_pylist()], float)
+            z = x.reshape(-1, 4) @ weights[:4] + weights[4]
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < limit))
+
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def training_labels(labels: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, toxic) outside the held-out fold; a document labelled twice is toxic if ever so."""
     return labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(
