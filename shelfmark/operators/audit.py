@@ -18,10 +18,12 @@ EXAMPLES = 5
 def order_fingerprint(rows: DataFrame, chunk: int = FINGERPRINT_CHUNK) -> DataFrame:
     """(rows, fingerprint) of paths in position order; input (pos, path).
 
-    SHA-256 over ``path + newline`` in order. One running digest cannot be
-    spread over tasks, so longer tables hash each ``chunk`` of positions and
-    then the chunk digests in order; up to one chunk it is the plain digest.
-    Positions must be dense from 0.
+    One rule at every size: each ``chunk`` of positions gets the SHA-256 of
+    ``path + newline`` in order, and the fingerprint is the SHA-256 of the row
+    count and two sums over 60-bit pieces of SHA-256(chunk number, chunk
+    digest). The sums are partial aggregates, so no task holds more than one
+    chunk. Positions must be dense from 0; fingerprints compare only at the
+    same chunk size, which the index manifest records.
     """
     parts = rows.groupBy(F.floor(F.col("pos") / chunk).alias("_chunk")).agg(
         F.count("*").alias("_n"),
@@ -29,14 +31,17 @@ def order_fingerprint(rows: DataFrame, chunk: int = FINGERPRINT_CHUNK) -> DataFr
             F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda r: r["path"]
         ), "\n"), F.lit("\n")), 256).alias("_digest"),
     )
-    listed = F.array_sort(F.collect_list(F.struct("_chunk", "_digest")))
-    whole = F.when(
-        F.count("*") == 1, F.max("_digest")
-    ).when(F.count("*") > 1, F.sha2(
-        F.array_join(F.transform(listed, lambda r: r["_digest"]), "\n"), 256)
-    ).otherwise(F.sha2(F.lit(""), 256))
+    bound = F.sha2(F.concat_ws("|", F.col("_chunk").cast("string"), "_digest"), 256)
+
+    def piece(start: int) -> Column:
+        number = F.conv(F.substring(bound, start, 15), 16, 10).cast("decimal(38,0)")
+        return F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)")).cast("string")
+
     return parts.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), whole.alias("fingerprint"))
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), piece(1).alias("_low"),
+        piece(16).alias("_high"),
+    ).select("rows", F.sha2(F.concat_ws(
+        "|", F.col("rows").cast("string"), "_low", "_high"), 256).alias("fingerprint"))
 
 
 def verify_index(

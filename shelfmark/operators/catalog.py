@@ -230,8 +230,14 @@ def library(catalog: DataFrame, captions: DataFrame, thumbnails: DataFrame) -> D
 
 
 def library_page(items: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Rows of one page, by stored position; past the end it is empty."""
-    return items.filter((F.col("pos") >= offset) & (F.col("pos") < offset + limit))
+    """Rows of one page in ``pos`` order, with the ``total`` of all rows; past the end it is empty.
+
+    Pages count rows, not stored positions, which may have holes.
+    """
+    placed = with_position(items, [F.col("pos")], "_place")
+    return placed.filter(
+        (F.col("_place") >= offset) & (F.col("_place") < offset + limit)
+    ).drop("_place").withColumn("total", placed.agg(F.count("*")).scalar())
 
 
 def first_by_hash(items: DataFrame) -> DataFrame:
@@ -260,11 +266,13 @@ def by_hash(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def neighbours(items: DataFrame, targets: DataFrame, reach: int = 1) -> DataFrame:
-    """(sha256, pos, offset, path): rows around each target's position."""
-    around = targets.select("sha256", "pos").withColumn(
-        "offset", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    around = around.select("sha256", "offset", (F.col("pos") + F.col("offset")).alias("pos"))
-    return around.join(items.select("pos", "path"), "pos")
+    """(sha256, pos, offset, path): rows around each target, counted in rows of ``items``."""
+    placed = with_position(items.select("pos", "path"), [F.col("pos")], "_place")
+    around = targets.select("sha256", "pos").join(placed.select("pos", "_place"), "pos").select(
+        "sha256", "_place", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset"))
+    around = around.select(
+        "sha256", "offset", (F.col("_place") + F.col("offset")).alias("_place"))
+    return around.join(placed, "_place").drop("_place")
 
 
 def item_view(

@@ -75,23 +75,29 @@ def name_candidates(references: DataFrame, roster: DataFrame) -> DataFrame:
 def resolve_names(references: DataFrame, roster: DataFrame) -> DataFrame:
     """(reference, status, resolved, candidates) per distinct person reference.
 
-    ``candidates`` counts the names of the best tier; the names themselves are
-    rows of ``name_candidates``, never one array.
+    Whole names and word prefixes are counted before the join, so a reference
+    meets one row of each however many names fit it; grams are only needed for
+    references that neither of the two knows. ``candidates`` counts the names
+    of the best tier; the names themselves are rows of ``name_candidates``.
     """
-    tiers = name_candidates(references, roster).groupBy("reference").agg(
-        *[F.count_if(F.col("tier") == t).alias(f"_n{t}") for t in (1, 2, 3)],
-        *[F.min(F.when(F.col("tier") == t, F.col("name"))).alias(f"_name{t}")
-          for t in (1, 2, 3)],
-    )
-    found = references.select("reference").distinct().join(tiers, "reference", "left")
-    exact, prefix = F.col("_n1") > 0, F.col("_n2") > 0
-    count = (
-        F.when(exact, F.lit(1)).when(prefix, F.col("_n2")).otherwise(
-            F.coalesce(F.col("_n3"), F.lit(0)))
-    ).cast("int")
-    name = F.when(exact, F.col("_name1")).when(prefix, F.col("_name2")).otherwise(
-        F.col("_name3"))
-    return _resolution(found, count, name)
+    names = roster.select("name", F.lower("name").alias("_l")).distinct()
+    whole = names.groupBy(F.col("_l").alias("_q")).agg(F.min("name").alias("_name1"))
+    words = F.filter(F.split("_l", r"\s+"), lambda w: w != "")
+    starts = F.flatten(F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(0), F.length(w)), lambda n: F.substring(w, F.lit(1), n))))
+    begun = names.select("name", F.explode(F.array_distinct(starts)).alias("_q")).groupBy("_q").agg(
+        F.count("*").alias("_n2"), F.min("name").alias("_name2"))
+    asked = references.select("reference").distinct().withColumn(
+        "_q", F.lower(F.trim("reference")))
+    known = asked.join(whole, "_q", "left").join(begun, "_q", "left")
+    inside = name_candidates(
+        known.filter("_name1 IS NULL AND _n2 IS NULL").select("reference"), roster
+    ).groupBy("reference").agg(F.count("*").alias("_n3"), F.min("name").alias("_name3"))
+    found = known.join(inside, "reference", "left")
+    exact = F.col("_name1").isNotNull()
+    count = F.when(exact, F.lit(1)).otherwise(
+        F.coalesce("_n2", "_n3", F.lit(0))).cast("int")
+    return _resolution(found, count, F.coalesce("_name1", "_name2", "_name3"))
 
 
 def _resolution(found: DataFrame, count: Column, value: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import HASH_BITS, hamming
-from shelfmark.session import small_side, spread
+from shelfmark.session import spread
 
 DISTANCE = 6
 HOT_BUCKET = 4_000  # signatures one band value may hold before it is split
@@ -98,7 +98,7 @@ def hamming_pairs(
     keys = ["m", "value"]
     coarse = spread(coarse, *keys)
     hot = coarse.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket)
-    hot = small_side(hot.select(*keys))
+    hot = hot.select(*keys)
 
     def differing(a: str = "a", b: str = "b") -> Column:
         return F.col(f"{a}.signature").bitwiseXOR(F.col(f"{b}.signature"))
@@ -134,8 +134,8 @@ def hamming_pairs(
     keys = ["m", "c", "value"]
     fine = spread(fine, *keys)
     crowd = fine.groupBy(*keys).agg(F.count("*").alias("n"))
-    crowd = small_side(crowd.filter(F.col("n") > hot_bucket).select(
-        *keys, F.ceil(F.col("n") / hot_bucket).cast("int").alias("k")))
+    crowd = crowd.filter(F.col("n") > hot_bucket).select(
+        *keys, F.ceil(F.col("n") / hot_bucket).cast("int").alias("k"))
     first = first & (
         _first_agreeing(
             [F.get(F.get(table, F.col("a.m")), F.lit(c)) for c in range(distance + 1)],

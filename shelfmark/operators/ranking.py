@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import materialize, small_side
+from shelfmark.session import materialize
 
 RRF_K = 60
 CUT_CEILING = 40
@@ -53,8 +53,6 @@ def rank_within(
     )
     if few_groups or not by:
         offsets = F.broadcast(offsets)  # groups + partitions rows at most
-    else:
-        offsets = small_side(offsets)
     ordinal = F.col("_slot") - F.col("_first") + F.col("_before") + 1
     return (
         spread.join(offsets, [*by, "_chunk"])
@@ -77,6 +75,16 @@ def top_within(
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
 
 
+def largest(groups: DataFrame, size: str, key: str, n: int) -> DataFrame:
+    """The ``n`` groups of the greatest ``size``, numbered from 1; ties by ``key``.
+
+    The limit is taken in every task first, so no task sees all groups.
+    """
+    head = groups.orderBy(F.desc(size), key).limit(n)
+    order = Window.orderBy(F.desc(size), key)  # n rows
+    return head.withColumn("place", F.row_number().over(order))
+
+
 def reciprocal_rank(rank: Column, k: int = RRF_K) -> Column:
     return 1.0 / (rank + F.lit(k))
 

@@ -41,7 +41,6 @@ from shelfmark.operators.scoring import (
 from shelfmark.session import materialize
 
 PASS_REQUESTS = 256  # requests whose vectors travel with the tasks at once
-BROADCAST_CHARACTERS = 8_000_000  # request text of a pass whose terms are broadcast
 COUNTED_TOP = 1_000  # largest top_k ranked by counting; above it, by sorting
 MIN_PARTIAL_TERMS = 2
 SEMANTIC_DROP = 0.80
@@ -232,11 +231,7 @@ def _pass_hits(state: _Pass) -> DataFrame:
     if not state.text_ids:
         return state.spark.createDataFrame([], "query_id string, path string, hits int")
     texts = state.requests.filter(F.col("query_id").isin(list(state.text_ids)))
-    terms = request_terms(texts)
-    # A text has fewer terms than characters, so this bounds the broadcast.
-    if sum(len(r["text"]) for r in state.rows) <= BROADCAST_CHARACTERS:
-        terms = F.broadcast(terms)
-    hits = term_hits(state.corpus.caption, terms)
+    hits = term_hits(state.corpus.caption, request_terms(texts))
     if state.pool is not None:
         open_ids = [r["query_id"] for r in state.rows if not r["has_filter"]]
         inside = hits.join(state.pool, ["query_id", "path"], "left_semi")

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def _modules():
     from shelfmark.registry import (
-        audit, catalog, duplicates, events, palette, people, search,
+        audit, catalog, duplicates, events, palette, people, search, sources,
     )
 
-    return [search, people, events, duplicates, catalog, palette, audit]
+    return [search, people, events, duplicates, catalog, palette, audit, sources]
 
 
 def queries() -> dict:

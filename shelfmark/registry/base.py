@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.plans.search import Corpus
+from shelfmark.session import LOCAL_SPREAD
 
 CAPTION_SHIFT = 7
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    """A given table; one too small to fill the cores is spread over them."""
+    """A given table, read as it is; its timestamps are taken as UTC.
+
+    A local session may ask for its rows to be dealt out over the cores,
+    because the given tables are single files there (``LOCAL_SPREAD``).
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, df.columns[0])
-    return df
+    cores = spark.conf.get(LOCAL_SPREAD, None)
+    return df.repartition(int(cores)) if cores else df
 
 
 def doc_path(column: str = "doc_id"):
@@ -93,11 +96,11 @@ def faces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """(face_id, name): placed faces of the documents labelled as good.
+    """(face_id, name): placed faces of the labelled documents.
 
     Faces of toxic ones carry another name, so that clusters are not unanimous.
     """
-    judged = load(spark, sf, "labels").filter("quality = 1")
+    judged = load(spark, sf, "labels")
     rows = faces(spark, sf).filter("cluster <> 'unassigned'").join(
         judged, F.floor(F.col("pos") / 2) == F.col("doc_id"))
     return rows.select("face_id", F.concat(
@@ -171,7 +174,7 @@ faces AS (SELECT pos, 'f' || pos AS face_id,
   CASE WHEN pos % 11 = 0 THEN '' ELSE (pos * 7 % 80 + 1)::VARCHAR END AS age FROM face0),
 labelled AS (SELECT face_id, 'Guest ' || CASE WHEN toxic = 1 THEN '000'
   ELSE substr(cluster, 8, 3) END AS name FROM faces JOIN labels ON doc_id = pos // 2
-  WHERE quality = 1 AND cluster <> 'unassigned'),
+  WHERE cluster <> 'unassigned'),
 members AS (SELECT DISTINCT CASE WHEN cluster = 'unassigned' THEN 'Nobody Placed'
   ELSE 'Guest ' || substr(cluster, 8, 3) END AS name, path FROM faces)"""
 SQL_EVENTS = """source_events AS (SELECT

@@ -205,17 +205,19 @@ def _size(column):
         "x", F.col(f"{column}.width").cast("string"), F.col(f"{column}.height").cast("string")))
 
 
-def _shown(items):
+def _shown(items, *extra):
     return items.withColumns({"grid": _size("grid"), "lightbox": _size("lightbox")}).select(
-        "pos", "path", "sha256", "filename", "caption", "captured", "grid", "lightbox")
+        "pos", "path", "sha256", "filename", "caption", "captured", "grid", "lightbox", *extra)
 
 
 _ITEM_COLUMNS = "pos, path, sha256, filename, caption, captured, grid, lightbox"
 QUERIES["library_join"] = lambda spark, sf: _shown(_items(spark, sf))
 ORACLE["library_join"] = _SQL_ITEMS + f" SELECT {_ITEM_COLUMNS} FROM items"
-QUERIES["library_page"] = lambda spark, sf: _shown(library_page(_items(spark, sf), 40, 60))
+QUERIES["library_page"] = lambda spark, sf: _shown(
+    library_page(_items(spark, sf), 40, 60), "total")
 ORACLE["library_page"] = _SQL_ITEMS + (
-    f" SELECT {_ITEM_COLUMNS} FROM items WHERE pos >= 40 AND pos < 100")
+    f" SELECT {_ITEM_COLUMNS}, (SELECT count(*) FROM items) AS total FROM items "
+    "QUALIFY row_number() OVER (ORDER BY pos) BETWEEN 41 AND 100")
 QUERIES["library_first_by_hash"] = lambda spark, sf: first_by_hash(_items(spark, sf)).select(
     "sha256", "pos", "path")
 ORACLE["library_first_by_hash"] = _SQL_ITEMS + (
@@ -224,8 +226,9 @@ ORACLE["library_first_by_hash"] = _SQL_ITEMS + (
 QUERIES["library_neighbours"] = lambda spark, sf: neighbours(
     _items(spark, sf), _items(spark, sf).filter("captured IS NOT NULL"), 2)
 ORACLE["library_neighbours"] = _SQL_ITEMS + (
-    ' SELECT a.sha256, (b.pos - a.pos)::INT AS "offset", b.pos, b.path FROM items a JOIN items b '
-    "ON b.pos BETWEEN a.pos - 2 AND a.pos + 2 WHERE a.captured IS NOT NULL")
+    ", placed AS (SELECT *, row_number() OVER (ORDER BY pos) AS place FROM items) "
+    'SELECT a.sha256, (b.place - a.place)::INT AS "offset", b.pos, b.path FROM placed a '
+    "JOIN placed b ON b.place BETWEEN a.place - 2 AND a.place + 2 WHERE a.captured IS NOT NULL")
 
 
 def _labelled_paths(spark, sf):

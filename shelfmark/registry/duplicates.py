@@ -162,15 +162,18 @@ def _graph(spark, sf):
     """Orders linked to their customer, customers to the one a tenth of their id."""
     orders = base.load(spark, sf, "orders").select(
         F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 10_000_000).alias("dst"))
-    chain = base.load(spark, sf, "customer").filter("c_acctbal >= 0").select(
-        F.floor(F.col("c_custkey") / 10).alias("src"), F.col("c_custkey").alias("dst"))
+    # A customer in debt is linked with itself only.
+    chain = base.load(spark, sf, "customer").select(
+        F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_custkey") / 10))
+        .otherwise(F.col("c_custkey")).alias("src"), F.col("c_custkey").alias("dst"))
     return orders.unionByName(chain)
 
 
 QUERIES["connected_components"] = lambda spark, sf: connected_components(_graph(spark, sf))
 ORACLE["connected_components"] = """WITH RECURSIVE e AS (
   SELECT o_custkey AS s, o_orderkey + 10000000 AS d FROM orders
-  UNION ALL SELECT c_custkey // 10, c_custkey FROM customer WHERE c_acctbal >= 0),
+  UNION ALL SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey // 10 ELSE c_custkey END, c_custkey
+  FROM customer),
 u AS (SELECT s, d FROM e WHERE s <> d UNION SELECT d, s FROM e WHERE s <> d),
 tops AS (SELECT DISTINCT s AS node FROM u),
 climb(node, spot) AS (SELECT node, node FROM tops

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import base_name, caption_terms, content_terms
@@ -21,7 +25,6 @@ from shelfmark.plans.search import (
     PASS_REQUESTS, Options, modality_ranks, prepare_requests, search,
 )
 from shelfmark.registry import base
-from shelfmark.session import small_side
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -236,7 +239,7 @@ def _hits(spark, sf):
     docs = base.documents(spark, sf).select("path", F.col("text").alias("caption"))
     asked = base.load(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), "text")
-    return term_hits(docs, small_side(request_terms(asked)))
+    return term_hits(docs, request_terms(asked))
 
 
 QUERIES["term_hits"] = _hits
@@ -252,14 +255,12 @@ SELECT query_id, path, sum(copies)::INT AS hits FROM words JOIN terms USING (ter
 
 def _vector_topk(spark, sf):
     """The ten nearest documents of every benchmark item's vector."""
-    asked = prepare_requests(_batch_requests(spark, sf))
-    if asked.count() > PASS_REQUESTS:  # then in passes, as a search does
-        out = search(asked.withColumns({
-            "mode": F.lit("image"), "top_k": F.lit(10), "text": F.lit("nearest")}),
-            base.corpus(spark, sf)).results
-        return out.select("query_id", "path", "rank")
-    probes = [Probe(r["query_id"], tuple(r["image_query"]), depth=10) for r in asked.collect()]
-    best = top_within(best_rows(base.corpus(spark, sf).image, probes), ["query_id"],
+    asked = prepare_requests(_batch_requests(spark, sf)).toLocalIterator()
+    index, found = base.corpus(spark, sf).image, []
+    while chunk := list(islice(asked, PASS_REQUESTS)):  # as many as travel with the tasks
+        found.append(best_rows(index, [
+            Probe(r["query_id"], tuple(r["image_query"]), depth=10) for r in chunk]))
+    best = top_within(reduce(DataFrame.unionByName, found), ["query_id"],
                       [F.desc("score"), F.col("path")], 10)
     return best.select("query_id", "path", F.col("rank").cast("long").alias("rank"))
 

@@ -69,5 +69,5 @@ REGRESSION_BASELINE = (
     "note STRING, queries MAP<STRING, STRUCT<count: INT, filenames: ARRAY<STRING>>>")
 INDEX_MANIFEST = (
     "vectors BIGINT, dimension INT, dtype STRING, min_norm DOUBLE, max_norm DOUBLE, "
-    "lookup_fingerprint STRING, source_sha256 STRING"
+    "lookup_fingerprint STRING, fingerprint_chunk INT, source_sha256 STRING"
 )

@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may hold before it is shuffled instead of broadcast. The sides
-# this is used for hold a few short columns, so a full one is tens of MB.
-BROADCAST_ROWS = 500_000
+# Set by local sessions only: over how many partitions given tables are dealt.
+LOCAL_SPREAD = "shelfmark.local.spread"
 
 
 def local_session(app: str = "shelfmark", cores: str = "*", **conf) -> SparkSession:
@@ -29,6 +28,7 @@ def local_session(app: str = "shelfmark", cores: str = "*", **conf) -> SparkSess
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(LOCAL_SPREAD, str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -63,17 +63,6 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small, else as it is.
-
-    Beyond the bound the join is left to the optimiser (sort-merge, with
-    adaptive skew splitting).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hash-partitioned on ``keys`` over all shuffle partitions.
 

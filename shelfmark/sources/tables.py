@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import suffix
-from shelfmark.operators.audit import index_statistics, order_fingerprint
+from shelfmark.operators.audit import FINGERPRINT_CHUNK, index_statistics, order_fingerprint
 from shelfmark.operators.catalog import IMAGE_EXTENSIONS
 from shelfmark.operators.people import read_label_map
 from shelfmark.operators.ranking import with_position
@@ -96,13 +96,15 @@ def publish_index(
     """Write a vector index (path, vec, ...) with positions and its manifest.
 
     A vector lives in its row, so nothing depends on file order; ``pos`` fixes
-    the catalog order and feeds the fingerprint. Returns the one manifest row.
+    the catalog order and feeds the fingerprint, whose chunk size is recorded
+    with it. Returns the one manifest row.
     """
     with_position(rows, [F.col("path")]).write.mode("overwrite").parquet(f"{path}/vectors")
     stored = read_index(rows.sparkSession, path)
     manifest = index_statistics(stored).select(
         "*", order_fingerprint(stored.select("pos", "path")).select("fingerprint").scalar()
-        .alias("lookup_fingerprint"), F.lit(source_sha256).alias("source_sha256"))
+        .alias("lookup_fingerprint"), F.lit(FINGERPRINT_CHUNK).alias("fingerprint_chunk"),
+        F.lit(source_sha256).alias("source_sha256"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return read_manifest(rows.sparkSession, path)
 
@@ -121,12 +123,26 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """(query, filename) from a regression baseline JSON file."""
+    """(query, filename) from a regression baseline; a query without results has a NULL filename."""
     stored = spark.read.schema(REGRESSION_BASELINE).json(path, multiLine=True)
     return stored.select(F.explode("queries").alias("query", "_q")).select(
-        "query", F.explode("_q.filenames").alias("filename"))
+        "query", F.explode_outer("_q.filenames").alias("filename"))
 
 
-def write_baseline(measured: DataFrame, path: str) -> None:
-    """Store (query, filename) rows as the next run's baseline."""
-    measured.select("query", "filename").write.mode("overwrite").json(path)
+def write_baseline(
+    measured: DataFrame, path: str, queries: DataFrame | None = None, note: str = ""
+) -> None:
+    """Store (query, filename) rows as the next run's baseline, as ``read_baseline`` reads it.
+
+    ``queries`` (query) names the whole suite, so that queries without results
+    are kept. The file is one object for a suite that people write by hand:
+    {note, queries: {query: {count, filenames}}}.
+    """
+    named = measured.select("query", "filename")
+    if queries is not None:
+        named = named.unionByName(queries.select("query", F.lit(None).cast("string").alias("filename")))
+    found = F.collect_list("filename")  # leaves NULLs out
+    each = named.groupBy("query").agg(F.struct(
+        F.size(found).alias("count"), F.array_sort(found).alias("filenames")).alias("entry"))
+    each.agg(F.map_from_entries(F.collect_list(F.struct("query", "entry"))).alias("queries")).select(
+        F.lit(note).alias("note"), "queries").coalesce(1).write.mode("overwrite").json(path)

@@ -1,4 +1,7 @@
+import hashlib
 import json
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -22,7 +25,7 @@ from shelfmark.operators.people import (
 from shelfmark.plans.report import enrichment_run
 from shelfmark.sources.tables import (
     append_table, hash_files, list_files, publish_index, read_baseline, read_index, read_labels,
-    read_manifest, read_optional, write_csv,
+    read_manifest, read_optional, write_baseline, write_csv,
 )
 from shelfmark.streaming.landing import enrich_landed, live_events
 
@@ -167,7 +170,9 @@ def test_library(spark):
     assert (got["s1"].caption, got["s1"].grid.width) == ("new", 400)
     assert got["s1"].captured == "2002-08-31T20:01:57" and got["s2"].captured is None
     assert got["s3"].grid is None and got["s3"].lightbox is None
-    assert library_page(items, 1, 5).count() == 2 and library_page(items, 9, 5).count() == 0
+    page = library_page(items, 1, 5)
+    assert page.count() == 2 and page.first().total == 3
+    assert library_page(items, 9, 5).count() == 0
     stray = spark.createDataFrame([("/q/x.jpg", 1)], "path string, rank int")
     row = with_records(stray, items).first()
     assert (row.sha256, row.filename, row.caption) == (None, "x.jpg", "")
@@ -175,64 +180,102 @@ def test_library(spark):
 
 # -- audit -------------------------------------------------------------------
 
-def test_fingerprint_guards(spark):
-    def digest(paths, chunk=65_536):
+def fingerprint(paths, chunk):
+    """The rule in plain Python: chunk digests, bound to their number, summed in two parts."""
+    low = high = 0
+    for at in range(0, len(paths), chunk):
+        body = "".join(p + "\n" for p in paths[at:at + chunk])
+        digest = hashlib.sha256(body.encode()).hexdigest()
+        bound = hashlib.sha256(f"{at // chunk}|{digest}".encode()).hexdigest()
+        low, high = low + int(bound[:15], 16), high + int(bound[15:30], 16)
+    return hashlib.sha256(f"{len(paths)}|{low}|{high}".encode()).hexdigest()
+
+
+def test_fingerprint_has_one_rule_at_every_size(spark):
+    def digest(paths, chunk=2):
         return order_fingerprint(spark.createDataFrame(
             list(enumerate(paths)), "pos long, path string"), chunk)
-    import hashlib
 
-    ab, ba = digest(["a", "b"]), digest(["b", "a"])
-    assert ab.first().fingerprint == hashlib.sha256(b"a\nb\n").hexdigest()
-    assert ab.first() != ba.first()
-    assert digest(["a", "b", "c"], 2).first() != digest(["a", "c", "b"], 2).first()
-    good = ab.select(F.col("fingerprint").alias("lookup_fingerprint"))
-    assert verify_index(2, ab, good).first() == (True, "")
-    assert verify_index(3, ab, good).first().reason == "row counts differ"
-    assert not verify_index(2, ba, good).first().ok
-    assert verify_index(2, ab, good.limit(0)).first().reason == "manifest missing"
-
-
-def test_coverage_report(spark):
-    base = spark.createDataFrame([(k,) for k in "abcd"], "key string")
-    arts = spark.createDataFrame([("one", "a"), ("one", "x"), ("one", "b"), ("two", "a"), ("two", "b"),
-                                  ("two", "c"), ("two", "d")], "artifact string, key string")
-    statuses = spark.createDataFrame(
-        [("two", i, f"/p/{i}.jpg", s) for i, s in enumerate(["ok", "unreadable", "", "unreadable"])]
-        + [("one", i, f"/p/{i}.jpg", "unreadable") for i in range(40)],
-        "artifact string, pos int, path string, status string")
-    sources = source_state(spark.createDataFrame(
-        [("one", "m.json", '{"f": "new"}', "f", "cat.csv", "old")],
+    for n in (0, 1, 2, 3, 9):  # none, one, one full, two and five chunks
+        paths = [f"row/{i}" for i in range(n)]
+        assert digest(paths).first() == (n, fingerprint(paths, 2))
+    straight, turned = digest(["x", "y", "z"]), digest(["x", "z", "y"])
+    assert straight.first() != turned.first()
+    kept = straight.select(F.col("fingerprint").alias("lookup_fingerprint"))
+    assert verify_index(3, straight, kept).first() == (True, "")
+    assert verify_index(4, straight, kept).first().reason == "row counts differ"
+    assert verify_index(3, turned, kept).first().reason == "rows added, removed or reordered"
+    assert verify_index(3, straight, kept.limit(0)).first().reason == "manifest missing"
+
+
+def test_coverage_equals_sets(spark):
+    rng = random.Random(11)
+    wanted = {f"k{i}" for i in range(30)}
+    held = {name: {f"k{rng.randrange(40)}" for _ in range(25)} for name in ("wide", "narrow", "odd")}
+    held["full"] = set(wanted)
+    base = spark.createDataFrame([(k,) for k in wanted], "key string")
+    rows = spark.createDataFrame([(n, k) for n, own in held.items() for k in own for _ in range(2)],
+                                 "artifact string, key string")
+    got = {r.artifact: (r.covers, r.missing, r.orphaned)
+           for r in coverage(base, rows, sorted(held)).collect()}
+    assert got == {n: (len(own), len(wanted - own), len(own - wanted)) for n, own in held.items()}
+
+    states = ["ok", "", "broken", "locked"]
+    seen = [(n, i, f"/d/{n}{i}.png", rng.choice(states)) for n in ("wide", "full") for i in range(50)]
+    noted = spark.createDataFrame(seen, "artifact string, pos int, path string, status string")
+    stamp = spark.createDataFrame(
+        [("narrow", "info.json", '{"hash": "b1"}', "hash", "rows.csv", "b2"),
+         ("full", "info.json", '{"hash": "b2"}', "hash", "rows.csv", "b2")],
         "artifact string, manifest_name string, manifest_text string, field string, "
-        "source_name string, source_sha256 string"))
+        "source_name string, source_sha256 string")
     built = spark.createDataFrame(
-        [("one", True, True, "c"), ("two", True, True, "c"), ("three", False, True, "c"),
-         ("four", True, False, "manifest.csv")],
+        [(n, True, True, "rows.csv") for n in held]
+        + [("absent", False, True, "rows.csv"), ("baseless", True, False, "lost.csv")],
         "artifact string, built boolean, base_built boolean, base_name string")
-    got = {r.artifact: r for r in coverage_report(
-        built, coverage(base, arts, ["one", "two"]), sources, failure_report(statuses)).collect()}
-    assert got["one"].status == ("STALE - 2 not covered, 1 no longer in catalog, built from "
-                                 "superseded cat.csv, 40 unreadable")
-    assert len(got["one"].examples) == 5 and got["one"].stale and got["one"].source_stale
-    assert (got["two"].status, got["two"].stale) == ("OK, 2 unreadable", False)
-    assert got["two"].examples == ["1.jpg", "3.jpg"]
-    assert (got["three"].status, got["three"].covers) == ("MISSING", None)
-    assert got["four"].status == "UNMEASURABLE - manifest.csv missing"
-
-
-def test_regression(spark):
-    def rows(*pairs):
-        return spark.createDataFrame(list(pairs), "query string, filename string")
-    before = rows(("q", "a"), ("q", "a"), ("q", "b"), ("dog", "a"), ("dog", "b"), ("old", "z"))
-    after = rows(("q", "a"), ("q", "b"), ("dog", "a"), ("dog", "c"), ("cat", "b"))
+    report = {r.artifact: r for r in coverage_report(
+        built, coverage(base, rows, sorted(held)), source_state(stamp),
+        failure_report(noted)).collect()}
+    for n, own in held.items():
+        why = [f"{len(wanted - own)} not covered"] * bool(wanted - own)
+        why += [f"{len(own - wanted)} no longer in catalog"] * bool(own - wanted)
+        why += ["built from superseded rows.csv"] * (n == "narrow")
+        bad = Counter(s for a, _, _, s in seen if a == n and s not in ("ok", ""))
+        note = ", ".join(f"{c} {s}" for s, c in sorted(bad.items()))
+        assert report[n].status == ", ".join(
+            ["STALE - " + ", ".join(why) if why else "OK"] + [note] * bool(note))
+        assert report[n].stale == bool(why) and report[n].source_stale == (n == "narrow")
+        first = [p.rsplit("/", 1)[1] for a, _, p, s in seen if a == n and s in bad][:5]
+        assert (report[n].examples or []) == first
+    assert (report["absent"].status, report["absent"].covers) == ("MISSING", None)
+    assert report["baseless"].status == "UNMEASURABLE - lost.csv missing"
+
+
+def test_regression_equals_multisets(spark):
+    rng = random.Random(12)
+
+    def run(suite):
+        return [(q, f"f{rng.randrange(5)}") for q in suite for _ in range(rng.randrange(1, 6))]
+
+    was, now = run(["oar", "hull", "keel", "gone"]), run(["oar", "hull", "keel", "added"])
+    frame = lambda rows: spark.createDataFrame(rows, "query string, filename string")
+    old, new = Counter(was), Counter(now)
     delta = {(r.query, r.filename): (r.gained, r.lost)
-             for r in multiset_delta(before, after, ["query", "filename"]).collect()}
-    assert delta[("q", "a")] == (0, 1) and delta[("q", "b")] == (0, 0)
-    got = {r.query: (r.kind, r.was, r.now, r.gained, r.lost)
-           for r in regression_report(before, after).collect()}
-    assert got == {"q": ("moved", 3, 2, 0, 1), "dog": ("moved", 2, 2, 1, 1),
-                   "cat": ("new", None, 1, 1, 0), "old": ("dropped", 1, None, 0, 1)}
-    assert regression_files(before, before).count() == 0
-    assert regression_report(before, before).count() == 0
+             for r in multiset_delta(frame(was), frame(now), ["query", "filename"]).collect()}
+    assert delta == {k: (max(0, new[k] - old[k]), max(0, old[k] - new[k])) for k in old | new}
+    want = {}
+    for q in ("oar", "hull", "keel"):
+        up = sum(n for k, n in (new - old).items() if k[0] == q)
+        down = sum(n for k, n in (old - new).items() if k[0] == q)
+        if up or down:
+            want[q] = ("moved", sum(k == q for k, _ in was), sum(k == q for k, _ in now), up, down)
+    want["gone"] = ("dropped", sum(k == "gone" for k, _ in was), None, 0,
+                    sum(k == "gone" for k, _ in was))
+    want["added"] = ("new", None, sum(k == "added" for k, _ in now),
+                     sum(k == "added" for k, _ in now), 0)
+    assert want == {r.query: (r.kind, r.was, r.now, r.gained, r.lost)
+                    for r in regression_report(frame(was), frame(now)).collect()}
+    assert regression_files(frame(was), frame(was)).count() == 0
+    assert regression_report(frame(now), frame(now)).count() == 0
 
 
 # -- colour ------------------------------------------------------------------
@@ -346,9 +389,15 @@ def test_files_and_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
 
     stored = tmp_path / "baseline.json"
-    stored.write_text(json.dumps({"note": "n", "queries": {
-        "dog": {"count": 2, "filenames": ["a", "a"]}, "cat": {"count": 0, "filenames": []}}}))
-    assert [tuple(r) for r in read_baseline(spark, str(stored)).collect()] == [("dog", "a")] * 2
+    stored.write_text(json.dumps({"note": "by hand", "queries": {
+        "keel": {"count": 3, "filenames": ["f", "f", "g"]}, "mast": {"count": 0, "filenames": []}}}))
+    kept = [("keel", "f"), ("keel", "f"), ("keel", "g"), ("mast", None)]
+    read = read_baseline(spark, str(stored))
+    assert sorted(map(tuple, read.collect())) == kept
+    write_baseline(read.filter("filename is not null"), str(tmp_path / "again"),
+                   read.select("query").distinct(), "by hand")
+    again = str(tmp_path / "again")
+    assert sorted(map(tuple, read_baseline(spark, again).collect())) == kept
 
 
 def test_streams(spark, tmp_path):

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators.filters import (
@@ -5,172 +8,187 @@ from shelfmark.operators.filters import (
 )
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.report import answer_requests, resolve_filters, search_payload
-from shelfmark.plans.search import Corpus
-
-PEOPLE = ["Ada Fixture", "Bo Sample", "Cy Placeholder", "Robert One", "Robert Two"]
-TRIPS = [("event-001", "Fixture Picnic", "2020-06-01"), ("event-002", "Sample Trip", "2021-08-14"),
-         ("event-003", "Sample Trip", "2021-08-20")]
-EVENTS = TRIPS[:2]
-
-
-def names(spark, values, column):
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+from shelfmark.plans.search import Corpus, search
+
+CREW = ["Ines Okafor", "Marek Lindqvist", "Marta Okonjo", "Tomas van Dyk", "Yun Hee Park"]
+REGATTAS = [("r-07", "Spring Regatta", "2019-04-13"), ("r-08", "Harbour Relay", "2019-09-02"),
+            ("r-09", "Harbour Relay", "2019-09-21"), ("r-10", "Lantern Row", "2020-12-05")]
+CLUB = "event_id string, name string, start string"
+
+
+def column(spark, values, name):
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def name_answer(reference, names):
+    """The rule in plain Python: whole name, else word prefixes, else substrings."""
+    q = reference.strip().lower()
+    tiers = [[n for n in names if n.lower() == q],
+             [n for n in names if any(w.startswith(q) for w in n.lower().split())],
+             [n for n in names if q in n.lower()]]
+    best = next((sorted(t) for t in tiers if t), [])
+    if len(best) == 1 or tiers[0]:
+        return "ok", best[0], 1
+    return ("ambiguous" if best else "unknown"), None, len(best)
+
+
+def test_names_equal_the_rule(spark):
+    rng = random.Random(6)
+    names = sorted({" ".join("".join(rng.choices("abC", k=rng.randint(1, 5)))
+                             for _ in range(rng.randint(1, 3))) for _ in range(60)})
+    asked = ["", " ", "zz", "b c", *CREW, "ok", "mar", "van d", "qvi", "PARK "]
+    asked += ["".join(rng.choices("abc ", k=rng.randint(1, 6))) for _ in range(80)]
+    asked += [n.upper() for n in names[:10]]
+    names += CREW
+    got = {r.reference: (r.status, r.resolved, r.candidates) for r in resolve_names(
+        column(spark, asked, "reference"), column(spark, names, "name")).collect()}
+    assert got == {a: name_answer(a, names) for a in asked}
 
 
-def test_name_tiers(spark):
-    asked = ["ada fixture", "Ada", "robert", "placeh", "holder", "zed", "o", "", "fix"]
-    got = {r.reference: (r.status, r.resolved, r.candidates) for r in resolve_names(
-        names(spark, asked, "reference"), names(spark, PEOPLE, "name")).collect()}
-    assert got["ada fixture"] == ("ok", "Ada Fixture", 1)
-    assert got["Ada"] == ("ok", "Ada Fixture", 1)
-    assert got["robert"] == ("ambiguous", None, 2)
-    assert got["placeh"] == ("ok", "Cy Placeholder", 1)
-    assert got["holder"] == ("ok", "Cy Placeholder", 1)
-    assert got["zed"] == ("unknown", None, 0)
-    assert got["o"] == ("ok", "Robert One", 1)  # a word prefix beats any substring
-    assert got[""] == ("ambiguous", None, 5)
-    assert got["fix"] == ("ok", "Ada Fixture", 1)
-
-
-def test_event_tiers(spark):
-    known = spark.createDataFrame(TRIPS, "event_id string, name string, start string")
-    asked = ["EVENT-001", "fixture picnic", "Sample Trip", "2020-06", "2021-08", "002", "event", "zz"]
+def test_events_by_id_name_or_part(spark):
+    asked = ["R-09", "lantern row", "harbour relay", "2019-04", "2019-09", "r-1", "relay", "gala"]
     got = {r.reference: (r.status, r.resolved) for r in resolve_events(
-        names(spark, asked, "reference"), known).collect()}
+        column(spark, asked, "reference"), spark.createDataFrame(REGATTAS, CLUB)).collect()}
     assert got == {
-        "EVENT-001": ("ok", "event-001"), "fixture picnic": ("ok", "event-001"),
-        "Sample Trip": ("ambiguous", None), "2020-06": ("ok", "event-001"),
-        "2021-08": ("ambiguous", None), "002": ("ok", "event-002"),
-        "event": ("ambiguous", None), "zz": ("unknown", None)}
-
-
-def members(spark):
-    rows = [("Ada Fixture", p) for p in ("img1.jpg", "img2.jpg", "img3.jpg")]
-    rows += [("Bo Sample", p) for p in ("img2.jpg", "img3.jpg")] + [("Cy Placeholder", "img5.jpg")]
-    return spark.createDataFrame(rows, "name string, path string")
-
-
-def trips(spark):
-    return spark.createDataFrame(
-        [("event-001", "img1.jpg"), ("event-001", "img2.jpg"), ("event-002", "img4.jpg"),
-         ("event-002", "img5.jpg")], "event_id string, path string")
-
-
-def test_pools(spark):
-    people = spark.createDataFrame(
-        [("and", "Ada Fixture"), ("and", "Bo Sample"), ("mix", "Ada Fixture"),
-         ("apart", "Ada Fixture"), ("twice", "Bo Sample"), ("twice", "Bo Sample")],
-        "query_id string, name string")
-    wanted = spark.createDataFrame(
-        [("mix", "event-001"), ("apart", "event-002"), ("any", "event-001"), ("any", "event-002")],
-        "query_id string, event_id string")
-    pool = combine_pools(people, images_with_all(people, members(spark)),
-                         wanted, images_in_any(wanted, trips(spark)))
+        "R-09": ("ok", "r-09"), "lantern row": ("ok", "r-10"), "harbour relay": ("ambiguous", None),
+        "2019-04": ("ok", "r-07"), "2019-09": ("ambiguous", None), "r-1": ("ok", "r-10"),
+        "relay": ("ambiguous", None), "gala": ("unknown", None)}
+
+
+@pytest.fixture(scope="module")
+def logbook(spark):
+    """Who and which regatta is on which of 40 pictures, at random."""
+    rng = random.Random(8)
+    people = {n: set(rng.sample(range(40), 18)) for n in CREW}
+    races = {e: set(rng.sample(range(40), 15)) for e, _, _ in REGATTAS}
+    frame = lambda table, fields: spark.createDataFrame(
+        [(k, f"p{i:02d}") for k, own in table.items() for i in own], fields)
+    return (people, races, frame(people, "name string, path string"),
+            frame(races, "event_id string, path string"))
+
+
+def test_pools_are_all_people_and_any_event(spark, logbook):
+    people, races, members, places = logbook
+    rng = random.Random(9)
+    wants = {f"q{i}": (rng.choices(CREW, k=rng.randint(0, 3)),
+                       rng.choices(sorted(races), k=rng.randint(0, 2))) for i in range(30)}
+    named = spark.createDataFrame([(q, n) for q, (ns, _) in wants.items() for n in ns],
+                                  "query_id string, name string")
+    raced = spark.createDataFrame([(q, e) for q, (_, es) in wants.items() for e in es],
+                                  "query_id string, event_id string")
+    pool = combine_pools(named, images_with_all(named, members), raced,
+                         images_in_any(raced, places))
     got = {}
     for r in pool.collect():
-        got.setdefault(r.query_id, set()).add(r.path)
-    assert got == {"and": {"img2.jpg", "img3.jpg"}, "mix": {"img1.jpg", "img2.jpg"},
-                   "twice": {"img2.jpg", "img3.jpg"},
-                   "any": {"img1.jpg", "img2.jpg", "img4.jpg", "img5.jpg"}}
-
-
-def parsed(spark, *rows):
-    asked = spark.createDataFrame(
-        [(str(i), t, a) for i, (t, a) in enumerate(rows)],
-        "query_id string, text string, answer string")
-    known = spark.createDataFrame(EVENTS, "event_id string, name string, start string")
-    out = understand(asked, names(spark, PEOPLE, "name"), known)
-    return {int(r.query_id): r for r in out.collect()}
-
-
-def test_understanding(spark):
-    got = parsed(
-        spark,
-        ("Zebediah at the beach", '{"persons": ["Zebediah Nonexistent"]}'),
-        ("photos of Robert", '{"persons": ["Robert"]}'),
-        ("Ada with sunglasses", 'Sure! ```json\n{"persons": ["Ada"], "events": []}\n```'),
-        ("people wearing sunglasses", '{"persons": ["Cy Placeholder"]}'),
-        ("photos from the Fixture Picnic", '{"events": "Fixture Picnic"}'),
-        ("birthday cake", '{"events": [' + ", ".join(['"Fixture Picnic"'] * 30) + "]}"),
-        ("Ada and Ada Fixture", '{"persons": ["Ada", "Ada Fixture"]}'),
-        ("Ada Fixture", '{"persons": ["Ada Fixture", 7, " "]}'),
-        ("cake", '{unclosed'), ("cake", "[1, 2]"), ("cake", "null"), ("cake", ""),
-        ("cake", '{"persons": ["Ada"'), ("cake", None), ("  ", '{"persons": ["Ada"]}'),
-        ("cake", '{"persons": []} and {more}'), ("cake", "{}"),
-    )
-    def why(i):
-        return [(d.text, getattr(d, "as"), d.why) for d in got[i].dropped]
-    assert why(0) == [("Zebediah Nonexistent", "person", "unknown")]
-    assert got[0].terms == "Zebediah at the beach" and got[0].source == "model"
-    assert got[0].note == "nothing proposed survived validation"
-    assert why(1) == [("Robert", "person", "ambiguous")]
-    assert got[2].persons == ["Ada Fixture"] and got[2].terms == "with sunglasses"
-    assert why(3) == [("Cy Placeholder", "person", "not named in the query")]
-    assert got[4].events == ["event-001"] and got[4].terms == "photos from the"
-    assert why(5) == [("30 events", "event", "too many to be a filter")]
-    assert got[6].persons == ["Ada Fixture"] and got[6].terms == "and"
-    assert got[7].persons == ["Ada Fixture"] and got[7].terms == ""
-    for i in (8, 9, 10, 11, 12, 15):
-        assert (got[i].source, got[i].note) == ("fallback", "model returned no usable JSON"), i
-    assert got[13].note == "model unavailable"
-    assert (got[14].note, got[14].query) == ("no query text", "")
-    assert got[16].note == "no person or event named"
-
-
-def test_requests_end_to_end(spark):
-    paths = [f"img{i}.jpg" for i in range(1, 7)]
-    image = spark.createDataFrame([(p, [1.0 / i, .5]) for i, p in enumerate(paths, 1)],
+        got.setdefault(r.query_id, set()).add(int(r.path[1:]))
+    want = {}
+    for q, (ns, es) in wants.items():
+        sides = ([set.intersection(*(people[n] for n in ns))] if ns else []) + (
+            [set.union(*(races[e] for e in es))] if es else [])
+        if sides and (found := set.intersection(*sides)):
+            want[q] = found
+    assert got == want
+
+
+CASES = [
+    # text, answer, persons, events, remaining terms, dropped (text, as, why), source, note
+    ("Ines rowing at dawn", '{"persons": ["Ines"]}', ["Ines Okafor"], [], "rowing at dawn", [],
+     "model", None),
+    ("Lantern Row by night", 'Here: {"events": ["Lantern Row"], "persons": []} done', [], ["r-10"],
+     "by night", [], "model", None),
+    ("a blue oar", '{"persons": ["Gustav Null"]}', [], [], None,
+     [("Gustav Null", "person", "unknown")], "model", "nothing proposed survived validation"),
+    ("Mar with a cox", '{"persons": ["Mar"]}', [], [], None, [("Mar", "person", "ambiguous")],
+     "model", None),
+    ("eight oars", '{"persons": ["Yun Hee Park"]}', [], [], None,
+     [("Yun Hee Park", "person", "not named in the query")], "model", None),
+    ("Harbour Relay finish", '{"events": ["Harbour Relay"]}', [], [], None,
+     [("Harbour Relay", "event", "ambiguous")], "model", None),
+    ("Tomas and Tomas van Dyk", '{"persons": ["Tomas", "Tomas van Dyk"]}', ["Tomas van Dyk"], [],
+     "and", [], "model", None),
+    ("boathouse", "{}", [], [], None, [], "fallback", "no person or event named"),
+    ("boathouse", "[]", [], [], None, [], "fallback", "model returned no usable JSON"),
+    ("boathouse", '{"persons": [', [], [], None, [], "fallback", "model returned no usable JSON"),
+    ("boathouse", None, [], [], None, [], "fallback", "model unavailable"),
+]
+
+
+def test_answers_become_filters(spark):
+    asked = spark.createDataFrame([(str(i), c[0], c[1]) for i, c in enumerate(CASES)],
+                                  "query_id string, text string, answer string")
+    out = understand(asked, column(spark, CREW, "name"), spark.createDataFrame(REGATTAS, CLUB))
+    rows = {int(r.query_id): r for r in out.collect()}
+    for i, (_, _, persons, events, terms, dropped, source, note) in enumerate(CASES):
+        r = rows[i]
+        assert (r.persons, r.events, r.source) == (persons, events, source), i
+        assert [(d.text, getattr(d, "as"), d.why) for d in r.dropped] == dropped, i
+        assert terms is None or r.terms == terms, i
+        assert note is None or r.note == note, i
+
+
+def test_more_events_than_a_filter_holds(spark):
+    many = '{"events": [' + ", ".join(['"Spring Regatta"'] * 12) + "]}"
+    asked = spark.createDataFrame([("q", "Spring Regatta", many)],
+                                  "query_id string, text string, answer string")
+    row = understand(asked, column(spark, CREW, "name"),
+                     spark.createDataFrame(REGATTAS, CLUB)).first()
+    assert [(d.text, d.why) for d in row.dropped] == [("12 events", "too many to be a filter")]
+
+
+def test_requests_end_to_end(spark, logbook):
+    people, races, members, places = logbook
+    paths = [f"p{i:02d}" for i in range(40)]
+    image = spark.createDataFrame([(p, [1.0 / (i + 1), 0.25]) for i, p in enumerate(paths)],
                                   "path string, vec array<double>")
-    caption = image.withColumn("caption", F.lit("a quiet beach"))
-    corpus = Corpus(image, caption.select("path", "caption", "vec"))
-    known = spark.createDataFrame(EVENTS, "event_id string, name string, start string")
+    corpus = Corpus(image, image.withColumn("caption", F.lit("calm water")).select(
+        "path", "caption", "vec"))
+    known = spark.createDataFrame(REGATTAS, CLUB)
     asked = spark.createDataFrame(
-        [("a", "Ada at the beach", '{"persons": ["Ada"]}', [], []),
-         ("b", "", None, ["Bo"], ["Fixture Picnic"]), ("c", "", None, [], []),
-         ("d", "beach", None, ["Robert"], []), ("e", "beach", None, [], ["event-002"])],
+        [("named", "Ines on calm water", '{"persons": ["Ines"]}', [], []),
+         ("listed", "", None, ["Marek"], ["Lantern Row"]), ("blank", "", None, [], []),
+         ("unclear", "water", None, ["Mar"], []), ("raced", "water", None, [], ["r-08"])],
         "query_id string, text string, answer string, persons array<string>, "
         "events array<string>").withColumns({
             "image_query": F.array(F.lit(1.0), F.lit(0.0)),
             "caption_query": F.array(F.lit(1.0), F.lit(0.0))})
-    people = members(spark).unionByName(spark.createDataFrame(
-        [("Robert One", "img6.jpg"), ("Robert Two", "img6.jpg")], "name string, path string"))
-    outcome, rejected = answer_requests(asked, corpus, people, known, trips(spark))
+    outcome, rejected = answer_requests(asked, corpus, members, known, places)
     assert {(r.query_id, r.status) for r in rejected.collect()} == {
-        ("c", "give q, person or event"), ("d", "ambiguous")}
+        ("blank", "give q, person or event"), ("unclear", "ambiguous")}
     got = {}
     for r in outcome.results.orderBy("rank").collect():
-        got.setdefault(r.query_id, []).append(r.path)
-    assert got == {"a": ["img1.jpg", "img2.jpg", "img3.jpg"], "b": ["img2.jpg"],
-                   "e": ["img4.jpg", "img5.jpg"]}
-    summary = {r.query_id: r for r in outcome.summary.collect()}
-    assert summary["b"].basis.startswith(
-        "There is no query text, so this is everything matching Bo Sample, within Fixture Picnic")
+        got.setdefault(r.query_id, []).append(int(r.path[1:]))
+    assert got["named"] == sorted(people["Ines Okafor"])
+    assert sorted(got["listed"]) == sorted(people["Marek Lindqvist"] & races["r-10"])
+    assert got["raced"] == sorted(races["r-08"])
+    basis = {r.query_id: r.basis for r in outcome.summary.collect()}["listed"]
+    assert "Marek Lindqvist" in basis and "Lantern Row" in basis
 
 
 def test_payload_shows_ranks_and_placeholders(spark):
-    image = spark.createDataFrame([("a.jpg", [1.0]), ("b.jpg", [.5])],
+    image = spark.createDataFrame([("oar.jpg", [1.0]), ("hull.jpg", [.5])],
                                   "path string, vec array<double>")
-    corpus = Corpus(image, image.withColumn("caption", F.lit("sea")).select("path", "caption", "vec"))
-    asked = spark.createDataFrame([("q", "sea", [1.0], [1.0])],
+    corpus = Corpus(image, image.withColumn("caption", F.lit("wood")).select(
+        "path", "caption", "vec"))
+    asked = spark.createDataFrame([("q", "wood", [1.0], [1.0])],
                                   "query_id string, text string, image_query array<double>, "
                                   "caption_query array<double>")
-    from shelfmark.plans.search import search
-
-    items = spark.createDataFrame([(0, "a.jpg", "s1", "a.jpg", "sea")],
+    items = spark.createDataFrame([(0, "oar.jpg", "d1", "oar.jpg", "wood")],
                                   "pos long, path string, sha256 string, filename string, "
                                   "caption string")
     rows = {r.path: r for r in search_payload(search(asked, corpus), asked, corpus, items).collect()}
-    assert (rows["b.jpg"].sha256, rows["b.jpg"].filename, rows["b.jpg"].image_rank) == (
-        None, "b.jpg", 2)
-    assert rows["a.jpg"].sha256 == "s1" and rows["a.jpg"].caption_rank == 1
+    assert (rows["hull.jpg"].sha256, rows["hull.jpg"].filename, rows["hull.jpg"].image_rank) == (
+        None, "hull.jpg", 2)
+    assert rows["oar.jpg"].sha256 == "d1" and rows["oar.jpg"].caption_rank == 1
 
 
-def test_resolve_filters_counts(spark):
-    asked = spark.createDataFrame([("q", ["Ada"], ["event-001"])],
+def test_resolve_filters_counts(spark, logbook):
+    people, races, members, places = logbook
+    asked = spark.createDataFrame([("q", ["Marta"], ["r-07"])],
                                   "query_id string, persons array<string>, events array<string>")
-    known = spark.createDataFrame(EVENTS, "event_id string, name string, start string")
-    ready, pool, problems = resolve_filters(asked, members(spark), known, trips(spark))
+    ready, pool, problems = resolve_filters(
+        asked, members, spark.createDataFrame(REGATTAS, CLUB), places)
     row = ready.first()
-    assert row.person_counts == {"Ada Fixture": 3} and row.event_counts == {"Fixture Picnic": 2}
-    assert {r.path for r in pool.collect()} == {"img1.jpg", "img2.jpg"}
+    assert row.person_counts == {"Marta Okonjo": 18}
+    assert row.event_counts == {"Spring Regatta": 15}
+    assert {int(r.path[1:]) for r in pool.collect()} == people["Marta Okonjo"] & races["r-07"]
     assert problems.count() == 0
