@@ -20,7 +20,7 @@ from shelfmark.operators.ranking import (
 )
 from shelfmark.operators.scoring import Probe, best_rows
 from shelfmark.operators.understanding import understand
-from shelfmark.plans.report import result_captions
+from shelfmark.plans.report import answer_requests, result_captions, search_payload
 from shelfmark.plans.search import (
     PASS_REQUESTS, Options, modality_ranks, prepare_requests, search,
 )
@@ -202,6 +202,63 @@ QUERIES["search_filter_only"] = _filtered(_LISTED)
 ORACLE["search_filter_only"] = _sql_filtered(_LISTED, "true")
 
 
+_TYPED = [  # query_id, text, answer, persons, events; the first three give the pools above
+    ("both", "Guest 001 Guest 002 that tion", '{"persons": ["guest 001", "Guest 002"]}', [], []),
+    ("mixed", "zebra", None, ["Guest 003"], ["event-002", "EVENT-004"]),
+    ("trips", "ing", '{"persons": [], "events": []}', [], ["event-001", "event-003"]),
+    ("blank", "", None, [], []), ("vague", "zebra", None, ["guest"], []),
+    ("wrong", "zebra", None, [], ["Trip to nowhere"]),
+]
+
+
+def _requests(spark, sf):
+    """Requests as users send them: read, resolved, filtered and searched; refusals last."""
+    typed = spark.createDataFrame(
+        _TYPED, "query_id string, text string, answer string, persons array<string>, "
+                "events array<string>")
+    vectors = base.requests(spark, sf, [{"query_id": t[0]} for t in _TYPED]).drop("text", "mode")
+    asked = typed.join(vectors, "query_id").withColumn(
+        "mode", F.when(F.col("query_id") == "trips", "image").otherwise("hybrid"))
+    outcome, refused = answer_requests(
+        asked, base.corpus(spark, sf), base.members(spark, sf), _trip_index(spark, sf),
+        base.source_events(spark, sf).select("event_id", "path"))
+    return _rounded(outcome.results).select("query_id", "rank", "path", "score").unionByName(
+        refused.select("query_id", F.lit(None).cast("long").alias("rank"),
+                       F.col("status").alias("path"), F.lit(None).cast("double").alias("score")))
+
+
+QUERIES["search_requests"] = _requests
+ORACLE["search_requests"] = base.sql_search(
+    _SQL_POOLS + ", " + base.sql_requests(_FILTERED[:3], "true"), "pool") + """,
+known AS (SELECT DISTINCT name FROM members),
+refused AS (SELECT 'blank' AS query_id, 'give q, person or event' AS why
+  UNION ALL SELECT 'vague', CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'unknown' END FROM known
+    WHERE starts_with(lower(name), 'guest')
+  UNION ALL SELECT 'wrong', CASE WHEN count(*) = 0 THEN 'unknown' ELSE 'ambiguous' END
+    FROM source_events WHERE contains(lower(name), 'trip to nowhere'))
+SELECT query_id, rank, path, score FROM results
+UNION ALL SELECT query_id, NULL, why, NULL FROM refused"""
+
+
+def _payload(spark, sf):
+    """Result rows with their records and their ranks in both indexes."""
+    asked, corpus = base.requests(spark, sf, _PLAIN), base.corpus(spark, sf)
+    items = base.documents(spark, sf).select(
+        "pos", "path", F.sha2("text", 256).alias("sha256"), F.col("lang").alias("filename"),
+        F.lit("").alias("caption"))
+    rows = search_payload(search(asked, corpus), asked, corpus, items)
+    return rows.select("query_id", "rank", "path", "sha256", "filename", "image_rank",
+                       "caption_rank")
+
+
+_PLAIN = [{"query_id": "words", "text": "that tion"}, {"query_id": "none", "text": "zebra"}]
+QUERIES["search_payload"] = _payload
+ORACLE["search_payload"] = base.sql_search(base.sql_requests(_PLAIN)) + """
+SELECT s.query_id, s.rank, s.path, sha256(d.text) AS sha256, d.lang AS filename,
+  r.ir AS image_rank, r.cr AS caption_rank
+FROM results s JOIN docs d USING (path) LEFT JOIN ranks r USING (query_id, path)"""
+
+
 def _empty_pool(spark, sf):
     asked = base.requests(spark, sf, _EMPTY).withColumn("has_filter", F.lit(True))
     pool = combine_pools(*_pools(spark, sf))
