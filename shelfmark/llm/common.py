@@ -103,3 +103,14 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     """Equally long binary values as the rows of a matrix."""
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
+
+
+def joined(names_l: np.ndarray, names_r: np.ndarray, linked: np.ndarray):
+    """The smallest name each row and column is connected with through ``linked``."""
+    left, right, top = names_l.copy(), names_r.copy(), np.iinfo(np.int64).max
+    while True:
+        new_l = np.minimum(left, np.where(linked, right[None, :], top).min(axis=1, initial=top))
+        new_r = np.minimum(right, np.where(linked, new_l[:, None], top).min(axis=0, initial=top))
+        if (new_l == left).all() and (new_r == right).all():
+            return left, right
+        left, right = new_l, new_r

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import partitions, sorted_groups
+from shelfmark.llm.common import joined, partitions, sorted_groups
 from shelfmark.llm.vectors import components, from_bytes, to_bytes
 from shelfmark.operators.components import connected_components
 from shelfmark.session import materialize
@@ -118,17 +118,6 @@ def _place(classes: DataFrame, models: dict[int, list[np.ndarray]], cosine: floa
         kernel, "dim long, cell long, home boolean, class_id long, copies long, vec binary")
 
 
-def _joined(names_l: np.ndarray, names_r: np.ndarray, linked: np.ndarray):
-    """The smallest name each row and column is connected with through ``linked``."""
-    left, right, top = names_l.copy(), names_r.copy(), np.iinfo(np.int64).max
-    while True:
-        new_l = np.minimum(left, np.where(linked, right[None, :], top).min(axis=1, initial=top))
-        new_r = np.minimum(right, np.where(linked, new_l[:, None], top).min(axis=0, initial=top))
-        if (new_l == left).all() and (new_r == right).all():
-            return left, right
-        left, right = new_l, new_r
-
-
 def _compare(placed: DataFrame, cosine: float) -> DataFrame:
     """(class_id, links, peer): links counted with copies, per pair of blocks."""
     sizes = placed.groupBy("dim", "cell").agg(
@@ -160,7 +149,7 @@ def _compare(placed: DataFrame, cosine: float) -> DataFrame:
             if not len(rows_l):
                 continue
             left, right, linked = left[rows_l], right[rows_r], linked[np.ix_(rows_l, rows_r)]
-            peer_l, peer_r = _joined(name[left], name[right], linked)
+            peer_l, peer_r = joined(name[left], name[right], linked)
             parts = [(name[left], linked @ copies[right], peer_l)]
             if i != j:
                 parts.append((name[right], linked.T @ copies[left], peer_r))
