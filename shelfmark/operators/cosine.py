@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.components import connected_components, thin_edges
+from shelfmark.operators.components import connected_components, star_forest, thin_edges
 from shelfmark.session import materialize, spread
 
 BLOCK = 2_048  # vectors per side of one comparison task
-MAX_CELLS = 1_024  # pivots travel with the tasks
+MAX_PIVOTS = 1_024  # of one clustering; they travel with the tasks
 
 COSINE = 0.92
 EPS = 0.45
@@ -41,11 +41,16 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return matrix / np.where(length == 0, 1.0, length)
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a 128-bit key (_k1, _k2) of ``vec``, so that no vector is a shuffle key."""
+    return rows.withColumns({"_k1": F.xxhash64("vec"), "_k2": F.xxhash64(F.lit(1), "vec")})
+
+
 def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """(id, vec, copies): one row per distinct vector, its lowest id and count."""
-    return rows.groupBy("vec").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies")
-    ).select("id", "vec", "copies")
+    """(id, vec, copies, _k1, _k2): one row per distinct vector, its lowest id and count."""
+    return keyed(rows).groupBy("_k1", "_k2").agg(
+        F.min("id").alias("id"), F.any_value("vec").alias("vec"), F.count("*").alias("copies")
+    ).select("id", "vec", "copies", "_k1", "_k2")
 
 
 def place(vectors: DataFrame, threshold: float, cells: int | None = None,
@@ -54,30 +59,44 @@ def place(vectors: DataFrame, threshold: float, cells: int | None = None,
 
     Every pair at or above ``threshold`` meets in exactly one task. ``kind`` 0
     compares two blocks of a cell's own vectors, 1 a block of its own with a
-    block of visitors from higher cells.
+    block of visitors from higher cells. Cells grow with the vectors: beyond
+    MAX_PIVOTS a second, independent set of pivots is crossed with the first.
     """
     if cells is None:
-        cells = min(MAX_CELLS, math.ceil(vectors.count() / block))
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(max(cells, 1)).select("vec").collect()
+        cells = math.ceil(vectors.count() / block)
+    layers = 1 if cells <= MAX_PIVOTS else 2
+    each = max(1, cells if layers == 1 else min(MAX_PIVOTS, math.ceil(math.sqrt(cells))))
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(layers * each).select("vec").collect()
     raw = np.array([row["vec"] for row in picked], dtype=np.float64).reshape(len(picked), -1)
     length = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
     pivots = raw / np.where(length == 0, 1.0, length)
     # Chord length of the threshold; everything is in reach at -1.
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-    gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
+    sets = [pivots[i::layers] for i in range(layers) if len(pivots[i::layers])]
+    gaps = [np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T))) for p in sets]
+
+    def cells_of(unit):
+        """Home cell of each row, and (row, cell) of every lower cell in reach."""
+        home = np.zeros(len(unit), np.int64)
+        row, cell = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+        for p, gap in zip(sets, gaps):
+            near = unit @ p.T
+            best = near.argmax(axis=1)
+            own = near[np.arange(len(best)), best]
+            seen = (own[:, None] - near) <= reach * gap[best] + _SLACK
+            seen[np.arange(len(best)), best] = True
+            at, which = np.nonzero(seen[row])
+            home, row, cell = home * len(p) + best, row[at], cell[at] * len(p) + which
+        lower = cell < home[row]
+        return home, row[lower], cell[lower]
 
     def assign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = _unit_rows(batch.column("vec")) @ pivots.T
-            home = near.argmax(axis=1)
-            own = near[np.arange(len(home)), home]
-            visits = (own[:, None] - near) <= reach * gaps[home] + _SLACK
-            visits &= np.arange(near.shape[1])[None, :] < home[:, None]
-            row, cell = np.nonzero(visits)
+            home, row, cell = cells_of(_unit_rows(batch.column("vec")))
             rows = np.concatenate([np.arange(len(home)), row])
-            cell = np.concatenate([home, cell]).astype(np.int32)
+            cell = np.concatenate([home, cell])
             guest = np.arange(len(rows)) >= len(home)
             taken = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
@@ -88,10 +107,9 @@ def place(vectors: DataFrame, threshold: float, cells: int | None = None,
     kind = dict(vectors.dtypes)["vec"]
     placed = materialize(
         vectors.select(F.col("id").cast("long"), "vec", F.col("copies").cast("long"))
-        .mapInArrow(assign, f"cell int, guest boolean, id long, vec {kind}, copies long"),
+        .mapInArrow(assign, f"cell long, guest boolean, id long, vec {kind}, copies long"),
         "cells",
     )
-    # One row per cell: at most MAX_CELLS.
     sizes = placed.groupBy("cell").agg(
         F.count_if(~F.col("guest")).alias("_own"), F.count_if("guest").alias("_guests")
     ).select(
@@ -100,7 +118,7 @@ def place(vectors: DataFrame, threshold: float, cells: int | None = None,
           for c, k in (("_own", "ko"), ("_guests", "kg"))],
         (F.col("_guests") > 0).alias("_visited"),
     )
-    rows = placed.join(F.broadcast(sizes), "cell").withColumn(
+    rows = placed.join(sizes, "cell").withColumn(
         "blk",
         F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("kg")).otherwise(F.col("ko")))
         .cast("int"),
@@ -179,7 +197,8 @@ def cosine_edges(
     """
     lone = materialize(distinct_vectors(rows), "vectors")
     stars = (
-        rows.join(lone.select("vec", F.col("id").alias("lead")), "vec")
+        keyed(rows).drop("vec").join(
+            lone.select("_k1", "_k2", F.col("id").alias("lead")), ["_k1", "_k2"])
         .filter("id <> lead").select(F.col("lead").alias("src"), F.col("id").alias("dst"))
     )
     pairs = cosine_pairs(lone.select("id", "vec"), threshold, cells, block)
@@ -223,28 +242,14 @@ def _density_links(placed: DataFrame, cores: DataFrame, threshold: float) -> Dat
         core_a = left.column("core").to_numpy(zero_copy_only=False).astype(bool)[a]
         core_b = right.column("core").to_numpy(zero_copy_only=False).astype(bool)[b]
         both = np.flatnonzero(core_a & core_b)
-        parent: dict[int, int] = {}
-
-        def root(node: int) -> int:
-            while (up := parent.setdefault(node, node)) != node:
-                parent[node] = parent[up]
-                node = up
-            return node
-
-        kept = []
-        for at, x, y in zip(both.tolist(), one[both].tolist(), two[both].tolist()):
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                kept.append(at)
-        kept = np.array(kept, dtype=np.int64)
+        low, node = star_forest(one[both], two[both])
         edge = np.flatnonzero(core_a != core_b)
         outer = np.where(core_a[edge], two[edge], one[edge])
         inner = np.where(core_a[edge], one[edge], two[edge])
         return pa.table({
-            "src": np.concatenate([one[kept], outer]),
-            "dst": np.concatenate([two[kept], inner]),
-            "border": np.concatenate([np.zeros(len(kept), bool), np.ones(len(edge), bool)]),
+            "src": np.concatenate([low, outer]),
+            "dst": np.concatenate([node, inner]),
+            "border": np.concatenate([np.zeros(len(low), bool), np.ones(len(edge), bool)]),
         })
 
     flagged = placed.join(cores, "id").select(*_TASK, "left", "id", "vec", "copies", "core")
@@ -284,6 +289,7 @@ def density_clusters(
         .groupBy(F.col("src").alias("id")).agg(F.min("cluster").alias("cluster"))
     )
     labels = core_label.unionByName(border)
-    named = vectors.select(F.col("id").alias("lead"), "vec").join(
+    named = vectors.select(F.col("id").alias("lead"), "_k1", "_k2").join(
         labels.select(F.col("id").alias("lead"), "cluster"), "lead", "left")
-    return rows.select("id", "vec").join(named, "vec").select("id", "cluster")
+    return keyed(rows.select("id", "vec")).drop("vec").join(
+        named, ["_k1", "_k2"]).select("id", "cluster")
