@@ -20,7 +20,9 @@ from shelfmark.operators.ranking import (
 )
 from shelfmark.operators.scoring import Probe, best_rows
 from shelfmark.operators.understanding import understand
-from shelfmark.plans.report import answer_requests, result_captions, search_payload
+from shelfmark.plans.report import (
+    answer_requests, regression_run, result_captions, search_payload,
+)
 from shelfmark.plans.search import (
     PASS_REQUESTS, Options, modality_ranks, prepare_requests, search,
 )
@@ -444,6 +446,16 @@ q AS (SELECT query, sum(was) AS was, sum(now) AS now, sum(greatest(now - was, 0)
 SELECT query, CASE WHEN was = 0 THEN 'new' WHEN now = 0 THEN 'dropped' ELSE 'moved' END AS kind,
   nullif(was, 0)::BIGINT AS was, nullif(now, 0)::BIGINT AS now, gained::BIGINT AS gained,
   lost::BIGINT AS lost FROM q WHERE was = 0 OR now = 0 OR gained > 0 OR lost > 0"""
+
+
+def _regression_run(spark, sf):
+    """A suite measured anew against the stored answers of another one."""
+    return regression_run(base.requests(spark, sf, _CHANGED), base.corpus(spark, sf),
+                          _measured(spark, sf, _SUITE), Options())
+
+
+QUERIES["regression_run"] = _regression_run
+ORACLE["regression_run"] = ORACLE["regression_diff"]
 QUERIES["regression_files"] = _regression_files
 ORACLE["regression_files"] = _SQL_DELTA + """
 SELECT query, filename, CASE WHEN now > was THEN 'gained' ELSE 'lost' END AS change,

@@ -1,4 +1,4 @@
-"""Given tables written in every stored form and read back."""
+"""Given tables written in every stored form and read back, and small rules over whole tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions.dates import age_seconds, capture_time
+from shelfmark.operators.catalog import first_text
+from shelfmark.operators.duplicates import keepers
 from shelfmark.operators.ranking import largest
 from shelfmark.registry import base
 from shelfmark.session import checkpoint_root
@@ -142,3 +145,70 @@ ORACLE["cluster_largest"] = f"""WITH {base.SQL_FACES},
 c AS (SELECT cluster, count(*) AS faces FROM faces GROUP BY cluster),
 r AS (SELECT *, row_number() OVER (ORDER BY faces DESC, cluster)::INT AS place FROM c)
 SELECT cluster, faces, place FROM r WHERE place <= 5"""
+
+
+# -- small expressions over whole tables ---------------------------------------
+
+def _written_times(spark, sf):
+    """Order dates as cameras write them: two layouts, zero, early, broken and absent ones."""
+    key, day = F.pmod("o_orderkey", F.lit(8)), F.col("o_orderdate")
+    text = (
+        F.when(key == 0, F.date_format(day, "yyyy:MM:dd HH:mm:ss"))
+        .when(key == 1, F.date_format(day, "yyyy-M-d H:m:s"))
+        .when(key == 2, F.lit("0000:00:00 00:00:00"))
+        .when(key == 3, F.date_format(day, "1985:MM:dd HH:mm:ss"))
+        .when(key == 4, F.date_format(day, "yyyy:MM:dd"))
+        .when(key == 5, F.lit("")).when(key == 6, F.date_format(day, "' 'yyyy:MM:dd 12:30:00"))
+    )
+    return base.load(spark, sf, "orders").select("o_orderkey", text.alias("written"))
+
+
+def _capture_times(spark, sf):
+    return _written_times(spark, sf).select("o_orderkey", F.date_format(
+        capture_time(F.col("written"), 2030), "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+QUERIES["capture_times"] = _capture_times
+ORACLE["capture_times"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 1)
+    THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+  WHEN o_orderkey % 8 = 6 THEN strftime(o_orderdate, '%Y-%m-%d 12:30:00') END AS taken
+FROM orders"""
+QUERIES["artifact_ages"] = lambda spark, sf: base.load(spark, sf, "orders").select(
+    "o_orderkey", age_seconds(F.lit("2000-01-01 00:00:00").cast("timestamp"),
+                              F.col("o_orderdate").cast("timestamp")).alias("age"))
+ORACLE["artifact_ages"] = """SELECT o_orderkey,
+  (epoch(TIMESTAMP '2000-01-01 00:00:00') - epoch(o_orderdate))::BIGINT AS age FROM orders"""
+
+
+def _first_names(spark, sf):
+    """The first field with text of each part."""
+    key = F.pmod("p_partkey", F.lit(4))
+    rows = base.load(spark, sf, "part").select(
+        "p_partkey", F.when(key != 0, F.when(key == 1, "").otherwise(F.col("p_name"))).alias("a"),
+        F.when(key != 1, F.col("p_brand")).alias("b"), F.col("p_type").alias("c"))
+    return rows.select("p_partkey", first_text("a", "b", "c").alias("shown"))
+
+
+QUERIES["first_texts"] = _first_names
+ORACLE["first_texts"] = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand
+  WHEN 1 THEN p_type ELSE p_name END AS shown FROM part"""
+
+
+def _text_sizes(spark, sf):
+    """Keepers by sizes that are stored as text, some of them no numbers."""
+    key = F.pmod("p_partkey", F.lit(5))
+    rows = base.load(spark, sf, "part").select(
+        F.col("p_partkey").alias("pos"), F.col("p_brand").alias("lead"),
+        F.when(key == 0, "wide").when(key == 1, "").otherwise(
+            F.col("p_size").cast("string")).alias("width"),
+        F.lit(" 10 ").alias("height"),
+        F.floor("p_retailprice").cast("long").alias("bytes"))
+    return keepers(rows.select("pos", "lead"), rows.drop("lead"), ["lead"]).select(
+        "lead", "keeper", "size")
+
+
+QUERIES["keeper_text_sizes"] = _text_sizes
+ORACLE["keeper_text_sizes"] = """WITH r AS (SELECT p_partkey AS pos, p_brand AS lead,
+  CASE WHEN p_partkey % 5 IN (0, 1) THEN 0 ELSE p_size * 10 END AS pixels,
+  floor(p_retailprice) AS bytes FROM part)
+SELECT lead, arg_max(pos, (pixels, bytes, -pos)) AS keeper, count(*) AS size FROM r GROUP BY lead"""
