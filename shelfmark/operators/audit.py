@@ -134,6 +134,7 @@ def source_state(records: DataFrame) -> DataFrame:
     # The field's name is data, so the lookup goes through a map.
     fields = F.from_json("manifest_text", "map<string,string>")
     recorded = F.coalesce(F.try_element_at(fields, F.col("field")), F.lit(""))
+    # The notes on a source.
     note = (
         F.when(F.col("manifest_text").isNull(), "no manifest, so its source is unrecorded")
         .when(~usable, F.concat("manifest_name", F.lit(" is unreadable")))
@@ -175,6 +176,7 @@ def coverage_report(
     measured = F.col("built") & F.col("base_built")
     missing = F.coalesce("missing", F.lit(0))
     orphaned = F.coalesce("orphaned", F.lit(0))
+    # The phrases of the status line.
     reasons = F.concat_ws(
         ", ",
         F.when(missing > 0, F.concat(missing.cast("string"), F.lit(" not covered"))),

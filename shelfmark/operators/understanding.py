@@ -54,6 +54,7 @@ def proposals(parsed: Column, field: str) -> Column:
 
 def _runaway(found: Column, kind: str) -> Column:
     """One report entry when a list is too long to be an answer."""
+    # Fixed value: the reason of a list that is too long.
     report = F.struct(
         F.concat(F.size(found).cast("string"), F.lit(f" {kind}s")).alias("text"),
         F.lit(kind).alias("as"),
@@ -165,6 +166,7 @@ def understand(answers: DataFrame, people: DataFrame, events: DataFrame) -> Data
     )
     nothing = (F.size(persons) == 0) & (F.size(event_ids) == 0)
     fallback = ~F.col("_usable") | (nothing & (F.size(dropped) == 0))
+    # The notes of an answer.
     note = (
         F.when(F.col("text") == "", "no query text")
         .when(F.col("answer").isNull(), "model unavailable")

@@ -133,6 +133,7 @@ def source_events(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- the same model as DuckDB SQL --------------------------------------------
 
+# The stopwords of functions/text.py, for SQL.
 SQL_STOPWORDS = (
     "'a','an','the','of','in','on','at','with','and','or','someone','somebody','something',"
     "'anyone','people','person','photo','photos','picture','pictures','image','images','is',"

@@ -76,6 +76,7 @@ ORACLE["circular_mean"] = """SELECT l_suppkey, round((degrees(atan2(
   avg(sin(radians(l_extendedprice % 90 - 45))), avg(cos(radians(l_extendedprice % 90 - 45)))))
   + 360) % 360, 5)::DOUBLE AS angle FROM lineitem GROUP BY l_suppkey"""
 
+# The anchors of operators/palette.py, for SQL.
 _ANCHORS = """anchor AS (SELECT * FROM (VALUES (6, 0, '#c35d52', '#9e716c', 'terracotta'),
   (18, 1, '#b66745', '#987464', 'burnt orange'), (28, 2, '#a57142', '#917761', 'amber'),
   (40, 3, '#937842', '#887b5f', 'ochre'), (90, 4, '#68854a', '#718162', 'moss'),

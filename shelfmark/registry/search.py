@@ -74,6 +74,7 @@ def _summary(spark, sf):
 
 
 QUERIES["search_summary"] = _summary
+# The sentences must read as the search itself words them.
 ORACLE["search_summary"] = base.sql_search(base.sql_requests(list(_TEXTS.values()))) + """
 , cutoff AS (SELECT query_id, count(*) FILTER (trimmed)::INT AS trimmed FROM flagged GROUP BY ALL)
 SELECT query_id, mode, total_terms, full_count, partial_count, img_cut, img_plateau, cap_cut,
