@@ -229,7 +229,7 @@ def _score(docs: DataFrame, model: LogBilinear, vocabulary: Vocabulary, head: np
                 result = pa.RecordBatch.from_arrays(
                     [pa.array([i for i, _ in held], pa.int64()),
                      pa.array([len(c) for c in classes], pa.int64()),
-                     pa.array(by_text(known.astype(np.int64))),
+                     pa.array(by_text((known & (head_counts[at] > 0)).astype(np.int64))),
                      pa.array(by_text(others.astype(np.int64))),
                      pa.array(by_text(log_count)), pa.array(by_text(log_count * others)),
                      pa.array(by_text(logs)),
@@ -272,10 +272,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     top = counts.orderBy(F.desc("n"), "hash").limit(head_words).toArrow()  # a fixed number of rows
     hashes, numbers = (top.column(i).to_numpy() for i in range(2))
     if END not in hashes[:classes]:  # the end is always a class of its own
-        end = counts.filter(F.col("hash") == END).first()
-        hashes = np.concatenate([[END], hashes[hashes != END]]).astype(np.int64)
-        numbers = np.concatenate([[end["n"] if end else 0], numbers[-len(hashes) + 1:]
-                                  if len(hashes) > 1 else []]).astype(np.int64)
+        end, words = counts.filter(F.col("hash") == END).first(), hashes != END
+        hashes = np.concatenate([[END], hashes[words]]).astype(np.int64)
+        numbers = np.concatenate([[end["n"] if end else 0], numbers[words]]).astype(np.int64)
     vocabulary = Vocabulary(hashes[:classes])
     by_class = np.zeros(vocabulary.other + 1)
     by_class[vocabulary.of(hashes[:classes])] = numbers[:classes]

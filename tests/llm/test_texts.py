@@ -213,6 +213,31 @@ def test_scores_and_counts(spark):
     assert empty.count() == 0
 
 
+def base_scores(data, counts):
+    size, distinct = sum(counts.values()), len(counts)
+    out = []
+    for i, text, _ in data:
+        words = (text or "").encode().lower().split() + [None]
+        out.append((len(words), sum(counts[w] > 0 for w in words), round(sum(
+            math.log10((counts[w] + 1) / (size + distinct + 1)) for w in words), 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ids", [[0, 3, 4], [2]], ids=["rare end", "nothing to learn from"])
+def test_counts_where_the_end_is_rare_or_unknown(spark, ids):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    if len(ids) == 1:
+        data = [(held[0], "beta beta gamma", "s")]
+    else:
+        data = [(free[k], "alpha beta gamma delta " * 50, "s") for k in ids]
+        data.append((held[0], "omega beta", "s"))
+    counts = Counter(w for i, t, _ in data if i not in held for w in t.encode().split() + [None])
+    got = score_texts(frame(spark, data), classes=3, head_words=4).collect()
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == base_scores(
+        data, counts)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     model = LogBilinear(np.array([5.0, 3, 2, 1, 4]), 2)
