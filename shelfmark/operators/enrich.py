@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,36 +27,54 @@ def todo(catalog: DataFrame, done: DataFrame, force: bool = False,
 
 
 def run_enricher(
-    rows: DataFrame, enrich: Callable[[dict], Iterable[dict]], schema: str,
+    rows: DataFrame, enrich: Callable, schema: str, batch_rows: int | None = None,
 ) -> DataFrame:
-    """Apply a caller's per-row function; failures become status rows.
-
-    ``enrich`` gets a row as a dict and yields dicts of ``schema``. The output
-    is (path, status, found, outputs): one row per input, so a row that was
-    read without results differs from one that could not be read.
+    """Apply a caller's function; failures become status rows that say why.
+
+    ``enrich`` gets a row as a dict and yields dicts of ``schema``. With
+    ``batch_rows`` it gets a pandas frame of up to so many rows instead and
+    returns one list of dicts per row, as models that work on batches do; a
+    batch that fails is tried again row by row, so one bad row fails alone.
+    The output is (path, status, reason, found, outputs), one row per input:
+    a row that was read without results differs from one that could not be.
     """
+    def whole(frame: pd.DataFrame) -> list[list[dict]]:
+        if batch_rows:
+            made = [list(found) for found in enrich(frame)]
+            if len(made) != len(frame):
+                raise ValueError(f"{len(made)} results for {len(frame)} rows")
+            return made
+        return [list(enrich(record)) for record in frame.to_dict("records")]
+
+    def tried(frame: pd.DataFrame) -> Iterator[tuple[list[dict], str]]:
+        try:
+            yield from [(made, "") for made in whole(frame)]
+        except Exception as error:  # noqa: BLE001  (any failure is a status)
+            if len(frame) == 1:
+                yield [], f"{type(error).__name__}: {error}"
+            else:
+                for i in range(len(frame)):
+                    yield from tried(frame.iloc[i:i + 1])
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            paths, states, counts, outputs = [], [], [], []
-            for record in frame.to_dict("records"):
-                try:
-                    made, state = list(enrich(record)), "ok"
-                except Exception:  # noqa: BLE001  (any failure is a status)
-                    made, state = [], "unreadable"
-                paths.append(record["path"])
-                states.append(state)
-                counts.append(len(made))
-                outputs.append(made)
-            yield pd.DataFrame(
-                {"path": paths, "status": states, "found": counts, "outputs": outputs})
+            step = batch_rows or 1
+            results = [r for i in range(0, len(frame), step)
+                       for r in tried(frame.iloc[i:i + step])]
+            yield pd.DataFrame({
+                "path": frame["path"], "status": ["unreadable" if r else "ok" for _, r in results],
+                "reason": [r for _, r in results], "found": [len(made) for made, _ in results],
+                "outputs": [made for made, _ in results]})
 
     return rows.mapInPandas(
-        batches, f"path string, status string, found int, outputs array<struct<{schema}>>")
+        batches, "path string, status string, reason string, found int, "
+                 f"outputs array<struct<{schema}>>")
 
 
 def scanned_rows(enriched: DataFrame) -> DataFrame:
-    """(path, filename, found, status): the ledger the next run skips by."""
-    return enriched.select("path", base_name(F.col("path")).alias("filename"), "found", "status")
+    """(path, filename, found, status, reason): the ledger the next run skips by."""
+    return enriched.select(
+        "path", base_name(F.col("path")).alias("filename"), "found", "status", "reason")
 
 
 def output_rows(enriched: DataFrame, first_id: int = 0, id_name: str = "face_id") -> DataFrame:

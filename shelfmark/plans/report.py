@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,13 +145,15 @@ def regression_run(
 
 
 def enrichment_run(
-    catalog: DataFrame, done: DataFrame, enrich: Callable[[dict], Iterable[dict]], schema: str,
+    catalog: DataFrame, done: DataFrame, enrich: Callable, schema: str,
     existing_outputs: int = 0, force: bool = False, limit: int | None = None,
+    batch_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(ledger, outputs) of one resumable run over what is not done yet.
 
-    The enricher runs once per row: its output is materialised before the
-    ledger and the numbered outputs are taken from it.
+    The enricher's output is materialised before the ledger and the numbered
+    outputs are taken from it; ``batch_rows`` as in ``run_enricher``.
     """
-    made = materialize(run_enricher(todo(catalog, done, force, limit), enrich, schema), "enriched")
+    made = materialize(run_enricher(
+        todo(catalog, done, force, limit), enrich, schema, batch_rows), "enriched")
     return scanned_rows(made), output_rows(made, existing_outputs)

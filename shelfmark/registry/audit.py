@@ -276,7 +276,8 @@ _SQL_TODO = f"""WITH {base.SQL_DOCS}, d AS (SELECT *, suffix(source, '3') AS bad
   WHERE pos NOT IN (SELECT doc_id FROM labels)) """
 ORACLE["enrich_ledger"] = _SQL_TODO + """SELECT path, path AS filename,
   CASE WHEN bad THEN 0 ELSE len(string_split(text, chr(10))) END::INT AS found,
-  CASE WHEN bad THEN 'unreadable' ELSE 'ok' END AS status FROM d"""
+  CASE WHEN bad THEN 'unreadable' ELSE 'ok' END AS status,
+  CASE WHEN bad THEN 'ValueError: cannot be read' ELSE '' END AS reason FROM d"""
 QUERIES["enrich_outputs"] = _run("outputs")
 ORACLE["enrich_outputs"] = _SQL_TODO + """, l AS (SELECT path, unnest(string_split(text, chr(10)))
   AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE NOT bad)

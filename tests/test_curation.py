@@ -346,6 +346,16 @@ def test_enrichment_resumes(spark):
     got = {r.path: (r.filename, r.found, r.status) for r in ledger.collect()}
     assert got["/p/0.jpg"] == ("0.jpg", 0, "ok") and got["/p/3.jpg"] == ("3.jpg", 0, "unreadable")
     assert "/p/1.jpg" not in got and len(got) == 5
+    assert {r.path: r.reason for r in ledger.collect()}["/p/3.jpg"] == "OSError: broken"
+
+    def in_batches(frame):
+        assert len(frame) <= 4
+        return [enrich(row) for row in frame.to_dict("records")]
+
+    batched = enrichment_run(catalog, done, in_batches, "score: double", existing_outputs=7,
+                             batch_rows=4)
+    for one, other in zip(batched, (ledger, outputs)):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
     rows = [(r.face_id, r.path, r.score) for r in outputs.collect()]
     assert sorted(rows) == [("10", "/p/5.jpg", 0.0), ("11", "/p/5.jpg", 1.0), ("7", "/p/2.jpg", 0.0),
                             ("8", "/p/2.jpg", 1.0), ("9", "/p/4.jpg", 0.0)]
