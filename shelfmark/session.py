@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Set by local sessions only: over how many partitions given tables are dealt.
 LOCAL_SPREAD = "shelfmark.local.spread"
