@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfmark.llm.ball_tree import top_k
 from shelfmark.llm.bitplane import token_files

@@ -6,7 +6,6 @@ import pytest
 from shelfmark.llm import sphere_cells
 from shelfmark.llm.ball_tree import BallTree, top_k
 from shelfmark.llm.sphere_cells import near_vectors, spherical_kmeans
-from tests_llm_odd import WORDS  # noqa: F401  (the folder of helpers is on the path)
 
 FIELDS = "vec_id long, embedding array<double>, key string, copies int, dim int, rank string"
 
