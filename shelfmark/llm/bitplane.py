@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import partitions
-from shelfmark.llm.tokens import encoder, slices
+from shelfmark.llm.common import lean, partitions
+from shelfmark.llm.tokens import encoding, slices
 from shelfmark.session import checkpoint_root, materialize
 
 MAGIC = b"IDPLANE1"
@@ -153,7 +153,10 @@ def write_planes(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int,
     """Write the files; (part, seq, name, docs, ids, before) of each, ``before`` in its part."""
 
     def kernel(batches):
-        model = encoder(vocabulary)
+        with encoding(vocabulary) as model:
+            yield from written_by(batches, model)
+
+    def written_by(batches, model):
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, root = pafs.FileSystem.from_uri(folder)
@@ -190,7 +193,7 @@ def write_planes(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int,
     dealt = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions(
         "doc_id", "text")
     written = dealt.mapInArrow(
-        kernel, "part long, seq long, name string, docs long, ids long, before long")
+        lean(kernel), "part long, seq long, name string, docs long, ids long, before long")
     return materialize(written, "manifest")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,27 @@ def partitions(df: DataFrame) -> int:
                spark.sparkContext.defaultParallelism)
 
 
+def lean(kernel, rows: int = 256):
+    """``kernel`` for texts: fed small slices of each batch, memory given back at the end.
+
+    A batch may hold ten thousand texts; as Python strings they would be alive
+    together. Workers outlive a task, so what its allocators still hold is
+    returned to the system.
+    """
+
+    def run(batches):
+        try:
+            yield from kernel(
+                batch.slice(at, rows) for batch in batches
+                for at in range(0, batch.num_rows, rows))
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every system has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased runs of anything but 0x20 and 0x09-0x0D.
 

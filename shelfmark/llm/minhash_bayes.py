@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import (
-    WordHashes, checked_broadcast, joined, matrix, mixed, partitions, shingle_set, sorted_groups,
+    WordHashes, checked_broadcast, joined, lean, matrix, mixed, partitions, shingle_set, sorted_groups,
 )
 from shelfmark.operators.components import connected_components
 from shelfmark.session import materialize
@@ -114,7 +114,7 @@ def _sign(docs: DataFrame, shingle: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "key", "bands", "sig"])
 
     return docs.mapInArrow(
-        kernel, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
+        lean(kernel), "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
                 names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(kernel, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(lean(kernel), "doc_id long, shingles array<long>")
 
 
 class _Verifier:

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import checked_broadcast, partitions, sorted_groups
-from shelfmark.llm.tokens import encoder, slices
+from shelfmark.llm.common import checked_broadcast, lean, partitions, sorted_groups
+from shelfmark.llm.tokens import Encoder, encoding, slices
 from shelfmark.session import materialize
 
 # Sources beyond the largest so many share one queue.
@@ -118,7 +118,11 @@ def _encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, source, part, at, n, ids); ``at`` counts the task's own tokens of the source."""
 
     def kernel(batches):
-        model, counts = encoder(vocabulary), {}
+        with encoding(vocabulary) as model:
+            yield from encoded(batches, model)
+
+    def encoded(batches, model):
+        counts: dict[str | None, int] = {}
         part, end = TaskContext.get().partitionId(), np.array([end_id], model.dtype).tobytes()
         for batch in batches:
             keys, names, texts = (c.to_pylist() for c in batch.columns)
@@ -137,7 +141,7 @@ def _encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                     names=["doc_id", "source", "part", "at", "n", "ids"])
 
     return docs.mapInArrow(
-        kernel, "doc_id long, source string, part long, at long, n long, ids binary")
+        lean(kernel), "doc_id long, source string, part long, at long, n long, ids binary")
 
 
 def _segments(rows: DataFrame, schedule: Schedule, group_tokens: int, dtype: str) -> DataFrame:
@@ -322,6 +326,6 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, length: int = 204
         inside = Window.partitionBy("name", "part").orderBy("source", "at")
         place = F.col("base") + F.sum("n").over(inside) - F.col("n")
     rows = rows.select("doc_id", "queue", place.alias("place"), "n", "ids")
-    dtype = encoder(vocabulary).dtype.str
+    dtype = Encoder(vocabulary).dtype.str
     return _fill(_segments(rows, schedule, group_tokens, dtype), schedule, group_tokens,
                  length, window, dtype)

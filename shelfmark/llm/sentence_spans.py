@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import mixed
+from shelfmark.llm.common import lean, mixed
 from shelfmark.session import materialize
 
 WORD = re.compile(r"\S+")
@@ -35,7 +35,7 @@ CAPITAL, CLOSING = np.uint64(1), np.uint64(2)
 class _Words(dict):
     """Hash of a word's lower-cased form; the lowest bits say how it is written."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -126,18 +126,16 @@ def _spans(rows: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).to_pylist()
-            for at in range(0, len(texts), 512):
-                found = [tool.spans(t) for t in texts[at:at + 512]]
-                counts = [len(f[0]) for f in found]
-                hashes, first, many = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)),
-                     *(pa.array(np.repeat(k[at:at + 512], counts)) for k in keys),
-                     pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))],
-                    names=["hash", "doc_id", "version", "first", "count"])
+            found = [tool.spans(t) for t in texts]
+            counts = [len(f[0]) for f in found]
+            hashes, first, many = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), *(pa.array(np.repeat(k, counts)) for k in keys),
+                 pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))],
+                names=["hash", "doc_id", "version", "first", "count"])
 
     return rows.mapInArrow(
-        kernel, "hash long, doc_id long, version long, first int, count int")
+        lean(kernel), "hash long, doc_id long, version long, first int, count int")
 
 
 def remove_repeats(docs: DataFrame, *, sentences: int = 2, min_words: int = 30, alone: int = 50,
@@ -194,4 +192,4 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, min_words: int = 30,
                 [*columns, pa.array(total, pa.int32()), pa.array(removed, pa.int32())],
                 names=[*keep, "n_sentences", "n_removed"])
 
-    return joined.mapInArrow(kernel, schema)
+    return joined.mapInArrow(lean(kernel), schema)

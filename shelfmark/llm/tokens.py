@@ -9,6 +9,8 @@ encodes whole texts.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
 import os
 import re
@@ -20,7 +22,7 @@ import numpy as np
 GAP = re.compile(r"(?<=\S) (?=\S)")
 # Every character that Python counts as white space, but for the space itself.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-LONGEST, GENERATION = 48, 300_000
+LONGEST, GENERATION, KEPT = 48, 200_000, 100_000
 
 
 def _pieces(text: str) -> list[str]:
@@ -121,16 +123,21 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a file, kept for the life of a Python worker.
+@contextlib.contextmanager
+def encoding(path: str):
+    """An encoder for one task, with the words that the worker's last task met first.
 
     Functions reach workers by value, so what is to outlive a task is kept in
-    a module of the worker's own.
+    a module of the worker's own: KEPT words, not the model and not all words,
+    because idle workers share an executor with later stages.
     """
-    kept = sys.modules.setdefault("kept_encoders", types.ModuleType("kept_encoders")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    kept = sys.modules.setdefault("kept_words", types.ModuleType("kept_words")).__dict__
+    model = Encoder(path)
+    model.young = kept.pop(path, {})
+    try:
+        yield model
+    finally:
+        kept[path] = dict(itertools.islice({**model.old, **model.young}.items(), KEPT))
 
 
 def slices(texts: list, characters: int = 1_000_000):

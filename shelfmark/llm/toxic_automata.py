@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import lean
 from shelfmark.session import materialize
 
 PART = re.compile(r"[^\W_]+")
@@ -273,7 +274,7 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, *, id_col: str
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text")).mapInArrow(
-        kernel, "doc_id long, score double")
+        lean(kernel), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, *,
@@ -288,7 +289,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, *,
             z = x.reshape(-1, 4) @ weights[:4] + weights[4]
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < limit))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(lean(kernel), docs.schema)
 
 
 def training_labels(labels: DataFrame, folds: int = 5) -> DataFrame:
