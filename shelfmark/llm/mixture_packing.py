@@ -173,7 +173,7 @@ def _segments(rows: DataFrame, schedule: Schedule, group_tokens: int, dtype: str
                     [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 6 + [pa.binary()])],
                     names=["group", "queue", "place", "doc_id", "start", "doc_tokens", "ids"])
 
-    return rows.mapInArrow(kernel, "group long, queue long, place long, doc_id long, "
+    return rows.mapInArrow(lean(kernel), "group long, queue long, place long, doc_id long, "
                                    "start long, doc_tokens long, ids binary")
 
 
@@ -263,7 +263,7 @@ def _fill(segments: DataFrame, schedule: Schedule, group_tokens: int, length: in
     keys = ["group", "queue", "place"]
     return (
         segments.repartition(partitions(segments), "group").sortWithinPartitions(*keys)
-        .mapInArrow(kernel, "doc_id long, start long, length long, ids_crc32 long, "
+        .mapInArrow(lean(kernel), "doc_id long, start long, length long, ids_crc32 long, "
                             "doc_tokens long, sequence_id long, offset long")
     )
 

@@ -22,7 +22,7 @@ import numpy as np
 GAP = re.compile(r"(?<=\S) (?=\S)")
 # Every character that Python counts as white space, but for the space itself.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-LONGEST, GENERATION, KEPT = 48, 200_000, 100_000
+LONGEST, GENERATION, KEPT = 48, 150_000, 50_000
 
 
 def _pieces(text: str) -> list[str]:
