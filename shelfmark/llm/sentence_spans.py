@@ -6,8 +6,10 @@ running text begins with one. From every sentence on, and back from every
 sentence, the shortest run of at least ``sentences`` sentences and
 ``min_words`` words is a span (or of over ``alone`` words in fewer sentences).
 Both directions together cover every sentence of a shared passage of more than
-``alone`` words. Of equal spans the first by (document, place) stays; sentences
-covered by any other one are removed.
+``alone`` words. With ``whole``, every run of that many whole sentences is a span
+too, however few its words; a capital inside a sentence starts none of those. Of
+equal spans the first by (document, place) stays; sentences covered by any other
+one are removed.
 
 Counting runs map-side first and keeps one row per hash, so a passage that
 every document holds is one row per task. Only spans that repeat are joined
@@ -49,8 +51,9 @@ class _Words(dict):
 class Sentences:
     """Cuts texts into sentences and hashes their runs."""
 
-    def __init__(self, sentences: int, min_words: int, alone: int):
+    def __init__(self, sentences: int, min_words: int, alone: int, whole: int = 0):
         self.sentences, self.min_words, self.alone = sentences, min_words, alone
+        self.whole = whole
         self.words = _Words()
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
@@ -58,16 +61,22 @@ class Sentences:
 
     def cut(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(word hashes, first word of each sentence and the number of words)."""
+        return self._cut(text)[:2]
+
+    def _cut(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``cut`` says, and which of these places do not rest on a capital alone."""
         lines = [line.split() for line in text.split("\n")] if text else []
         flat = [w for line in lines for w in line]
         if not flat:
-            return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.ones(1, bool)
         values = np.fromiter(map(self.words.__getitem__, flat), np.uint64, len(flat))
-        starts = (values & CAPITAL) > 0
-        starts[1:] |= (values[:-1] & CLOSING) > 0
-        heads = np.cumsum([0, *map(len, lines)])
-        starts[heads[heads < len(flat)]] = True
-        return values & ~np.uint64(3), np.append(np.flatnonzero(starts), len(flat))
+        sure = np.append((values & CLOSING) > 0, True)
+        sure[1:] = sure[:-1].copy()
+        sure[np.cumsum([0, *map(len, lines)])] = True
+        starts = sure.copy()
+        starts[:-1] |= (values & CAPITAL) > 0
+        starts = np.flatnonzero(starts)
+        return values & ~np.uint64(3), starts, sure[starts]
 
     def _grow(self, n: int) -> None:
         if n > len(self.powers):
@@ -79,7 +88,7 @@ class Sentences:
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first sentence, sentences) of every span of a text."""
-        values, starts = self.cut(text)
+        values, starts, sure = self._cut(text)
         total, last = len(values), len(starts) - 1
         at = np.arange(last + 1)
         ahead = np.minimum(
@@ -91,7 +100,8 @@ class Sentences:
             np.searchsorted(starts, starts - self.alone - 1, "right") - 1)
         pairs = np.concatenate([
             np.stack([at, ahead], axis=1)[ahead <= last],
-            np.stack([back, at], axis=1)[back >= 0]])
+            np.stack([back, at], axis=1)[back >= 0],
+            self._whole_runs(np.flatnonzero(sure))])
         if not len(pairs):
             none = np.zeros(0, np.int64)
             return none.view(np.uint64), none, none
@@ -103,6 +113,12 @@ class Sentences:
         hashed = (sums[end] - sums[begin]) * self.inverses[begin]
         return mixed(hashed ^ mixed((end - begin).astype(np.uint64))), first, stop - first
 
+    def _whole_runs(self, bounds: np.ndarray) -> np.ndarray:
+        """(first, stop) of the runs of ``whole`` sentences between ``bounds``."""
+        if not 0 < self.whole < len(bounds):
+            return np.zeros((0, 2), np.int64)
+        return np.stack([bounds[:-self.whole], bounds[self.whole:]], axis=1)
+
     def without(self, text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
         """(text without the sentences of ``cuts``, sentences, sentences removed)."""
         _, starts = self.cut(text)
@@ -120,7 +136,7 @@ class Sentences:
         return left if left.strip() else "", len(starts) - 1, int(gone.sum())
 
 
-def _spans(rows: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
+def _spans(rows: DataFrame, sizes: tuple[int, int, int, int]) -> DataFrame:
     def kernel(batches):
         tool = Sentences(*sizes)
         for batch in batches:
@@ -139,7 +155,7 @@ def _spans(rows: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, sentences: int = 2, min_words: int = 30, alone: int = 50,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   whole: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text cleaned, plus n_sentences and n_removed.
 
     Columns of these two names in ``docs`` are replaced. Equal rows under one
@@ -149,7 +165,7 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, min_words: int = 30,
     no sentences and stay; a text of which nothing is left is empty. A text
     that loses nothing is returned unchanged, to the byte.
     """
-    sizes = (sentences, min_words, alone)
+    sizes = (sentences, min_words, alone, whole)
     keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     version = F.xxhash64(text_col)
     rows = docs.filter(F.col(id_col).isNotNull()).select(

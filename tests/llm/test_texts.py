@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
+from shelfmark.llm import queries
 from shelfmark.llm.log_bilinear import LogBilinear, contexts, score_texts
 from shelfmark.llm.sentence_spans import Sentences, remove_repeats
 from shelfmark.llm.temperature_mix import mix, mix_order
@@ -138,6 +140,21 @@ def test_repeats_equal_brute_force(spark):
     assert sum(r.n_removed > 0 for r in got.values()) > 25
 
 
+def test_short_runs_of_whole_sentences_go_in_query_and_pipeline(spark, tmp_path):
+    footer = "Read on. Sign up here."
+    texts = [f"Text one of Anna ends so.\n{footer}", f"{footer}\nText two of Bob goes on.",
+             f"Text three is new. {footer} More follows.", "See Anna. Sign up now.",
+             "Met Anna. Sign off now.", "Ask Bob. Text one is it.", "Text one is it. Ask Bob."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op7_sentence_spans(spark, str(tmp_path)),
+                corpus_pipeline.passages(spark, docs, str(tmp_path))):
+        assert {r.doc_id: (r.text or "").split() for r in got.collect()} == dict(enumerate(
+            t.split() for t in [texts[0], "Text two of Bob goes on.",
+                                "Text three is new. More follows.", *texts[3:]]))
+
+
 def test_odd_rows_keep_their_texts(spark):
     table = frame(spark, rows())
     got = remove_repeats(table)
