@@ -3,10 +3,12 @@
 Centroids are fitted on a bounded sample; every vector is then indexed. Each
 has one home cell and is also sent to lower-numbered cells whose border it is
 near: two vectors at the threshold angle a are apart by at most sin(a) across
-any border, and in d dimensions by about sin(a) / sqrt(d) across one that has
-nothing to do with their difference. ``reach`` standard deviations of that are
-allowed for (never more than sin(a), where the search is exact). A pair is
-compared in the home cell of one of the two, once.
+any border, which is the margin, so every pair is found. (A smaller ``reach``
+allows for that many times sin(a) / sqrt(d) in d dimensions. This misses pairs
+where differences do not spread evenly over all dimensions.) A pair is compared
+in the home cell of one of the two, once. Where the sample shows that the margin
+leaves so little apart that cells move more rows than blocks of the whole table,
+the table is one cell.
 
 Equal vectors are one class. Cells are cut into blocks, and pairs of blocks
 are compared by one product each; a task reports per vector its number of
@@ -74,21 +76,33 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(kernel, "vec_id long, dim long, key binary, vec binary")
 
 
+def _gaps(centroids: np.ndarray) -> np.ndarray:
+    return np.maximum(np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0)), 1e-9)
+
+
+def _margin(cosine: float, reach: float, dim: int) -> float:
+    return math.sqrt(1 - cosine * cosine) * min(1.0, reach / math.sqrt(dim))
+
+
+def _entered(rows: np.ndarray, centroids: np.ndarray, gaps: np.ndarray, margin: float):
+    """(home cell of each row, which cells it is in or near)."""
+    score = rows @ centroids.T
+    best = score.argmax(axis=1)
+    inside = (score[np.arange(len(rows)), best][:, None] - score) / gaps[best] <= margin
+    inside[np.arange(len(rows)), best] = True
+    return best, inside
+
+
 def _place(classes: DataFrame, models: dict[int, list[np.ndarray]], cosine: float,
            reach: float) -> DataFrame:
     """(dim, cell, home, class_id, copies, vec): a row for the home cell and each cell nearby."""
-    sine = math.sqrt(1 - cosine * cosine)
-    apart = {dim: [np.maximum(np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)), 1e-9) for c in cs]
-             for dim, cs in models.items()}
+    apart = {dim: [_gaps(c) for c in cs] for dim, cs in models.items()}
 
     def cells(rows: np.ndarray, dim: int):
-        margin = sine * min(1.0, reach / math.sqrt(dim))
+        margin = _margin(cosine, reach, dim)
         home, near = np.zeros(len(rows), np.int64), [[0] for _ in range(len(rows))]
         for centroids, gaps in zip(models.get(dim, []), apart.get(dim, [])):
-            score = rows @ centroids.T
-            best = score.argmax(axis=1)
-            inside = (score[np.arange(len(rows)), best][:, None] - score) / gaps[best] <= margin
-            inside[np.arange(len(rows)), best] = True
+            best, inside = _entered(rows, centroids, gaps, margin)
             home = home * len(centroids) + best
             near = [[at * len(centroids) + c for at in ats for c in np.flatnonzero(ok).tolist()]
                     for ats, ok in zip(near, inside)]
@@ -164,7 +178,7 @@ def _compare(placed: DataFrame, cosine: float) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
-                 cosine: float = 0.95, reach: float = 4.0) -> DataFrame:
+                 cosine: float = 0.95, reach: float = math.inf) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
 
     Links join vectors of a cosine of at least ``cosine``. Vectors that are
@@ -181,7 +195,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
         .agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"),
              F.any_value("vec").alias("vec")), "classes")
     total = classes.count()
-    models = _fit(classes, total)
+    models = _fit(classes, total, cosine, reach)
     placed = materialize(_place(classes, models, cosine, reach), "placed")
     found = materialize(_compare(placed, cosine), "found")
     comps = connected_components(
@@ -201,10 +215,22 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _fit(classes: DataFrame, total: int) -> dict[int, list[np.ndarray]]:
+def _worthwhile(unit: np.ndarray, layers: list[np.ndarray], margin: float, total: float) -> bool:
+    """Whether cells move fewer rows than the blocks of one cell; judged on a sample."""
+    unit = unit[:2048]
+    copies = math.prod(
+        _entered(unit, c, _gaps(c), margin)[1].sum() / len(unit) for c in layers)
+    copies = (1 + copies) / 2  # only to lower-numbered cells
+    held = total * copies / math.prod(map(len, layers))
+    return copies * math.ceil(held / BLOCK) < math.ceil(total / BLOCK)
+
+
+def _fit(classes: DataFrame, total: int, cosine: float,
+         reach: float) -> dict[int, list[np.ndarray]]:
     """Centroids by vector length, from the SAMPLE classes first in hash order.
 
-    Lengths the sample does not hold are one cell, cut into blocks like any other.
+    Lengths the sample does not hold, and those whose cells would not pay, are
+    one cell, cut into blocks like any other.
     """
     if not total:
         return {}
@@ -219,4 +245,7 @@ def _fit(classes: DataFrame, total: int) -> dict[int, list[np.ndarray]]:
         unit = unit_rows(from_bytes(part.column("vec"), dim))
         models[dim] = [spherical_kmeans(unit, min(count, max(1, len(unit) // 8)), seed)
                        for seed in range(layers)]
+        if not _worthwhile(unit, models[dim], _margin(cosine, reach, dim),
+                           total * len(unit) / len(dims)):
+            models[dim] = []
     return models

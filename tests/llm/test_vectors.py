@@ -67,6 +67,22 @@ def test_recall_with_the_usual_reach(spark):
     assert 0 < exact and 0.99 * exact <= found <= exact
 
 
+@pytest.mark.parametrize("block", [1024, 32])
+def test_low_rank_links_are_all_found(spark, block, monkeypatch):
+    monkeypatch.setattr(sphere_cells, "BLOCK", block)
+    fitted, real = [], sphere_cells._fit
+    monkeypatch.setattr(sphere_cells, "_fit", lambda *a: fitted.append(real(*a)) or fitted[-1])
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1000, 4))
+    near = base + rng.normal(size=(1000, 4)) * 0.12
+    unit = np.concatenate([base, near]) @ np.linalg.qr(rng.normal(size=(256, 4)))[0].T
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = ((unit @ unit.T) >= 0.95).sum(axis=1) - 1
+    got = near_vectors(frame(spark, [(i, v.tolist()) for i, v in enumerate(unit)]))
+    assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(links.tolist()))
+    assert bool(fitted[0][256]) == (block == 32)  # both cells and a single one are tried
+
+
 def test_kmeans_centroids_are_unit_vectors():
     rows = np.random.default_rng(1).normal(size=(300, 6))
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
