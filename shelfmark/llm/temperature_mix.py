@@ -42,18 +42,23 @@ def _block(key: Column, blocks: Column) -> Column:
     return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), blocks)
 
 
-def _exponent(tokens: Column, max_repeats: float, max_entropy: float | None) -> Column:
-    """Bisects over the array of source tokens (all positive), inside one expression."""
+def _exponent(least: Column, most: Column, totals: Column | None, max_repeats: float,
+              max_entropy: float | None) -> Column:
+    """Bisects inside one expression over the fewest and most tokens of a source.
+
+    t ** (alpha - 1) falls as t grows, so these two decide the repeats. Only the
+    entropy needs ``totals``: each (tokens, sources that have as many) once.
+    """
 
     def fits(alpha: Column) -> Column:
-        ratio = F.transform(tokens, lambda t: F.pow(t, alpha - 1))
-        ok = F.array_max(ratio) / F.array_min(ratio) <= max_repeats
+        ok = F.pow(least, alpha - 1) / F.pow(most, alpha - 1) <= max_repeats
         if max_entropy is None:
             return ok
-        power = F.transform(tokens, lambda t: F.pow(t, alpha))
-        total = F.aggregate(power, F.lit(0.0), lambda a, x: a + x)
+        power = F.transform(totals, lambda t: F.struct(
+            F.pow(t["t"], alpha).alias("x"), t["n"].alias("n")))
+        total = F.aggregate(power, F.lit(0.0), lambda a, p: a + p["x"] * p["n"])
         entropy = F.log(total) - F.aggregate(
-            power, F.lit(0.0), lambda a, x: a + x * F.log(x)) / total
+            power, F.lit(0.0), lambda a, p: a + p["x"] * F.log(p["x"]) * p["n"]) / total
         return ok & (entropy <= max_entropy)
 
     def step(state: Column, _: Column) -> Column:
@@ -80,9 +85,17 @@ def mixture(light: DataFrame, *, max_repeats: float = 2.0,
     totals = materialize(light.groupBy("source_key").agg(
         F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), "totals")
     filled = totals.filter("tokens > 0")
-    exponent = filled.agg(F.sort_array(F.collect_list(F.col("tokens").cast("double")))
-                          .alias("all")).select(
-        F.when(F.size("all") > 0, _exponent(F.col("all"), max_repeats, max_entropy))
+    tokens = F.col("tokens").cast("double")
+    ends = [F.min(tokens).alias("least"), F.max(tokens).alias("most")]
+    if max_entropy is None:
+        known, listed = filled.agg(*ends), None
+    else:  # different totals are at most the root of twice all tokens, whatever the sources
+        known = filled.groupBy("tokens").agg(F.count("*").cast("double").alias("n")).agg(
+            *ends, F.sort_array(F.collect_list(F.struct(tokens.alias("t"), "n"))).alias("all"))
+        listed = F.col("all")
+    exponent = known.select(
+        F.when(F.col("least").isNotNull(), _exponent(
+            F.col("least"), F.col("most"), listed, max_repeats, max_entropy))
         .otherwise(1.0).alias("exponent"))
     # One row; the sums below are over sources.
     named = totals.withColumn("exponent", exponent.scalar())

@@ -10,7 +10,7 @@ import corpus_pipeline
 from shelfmark.llm import queries
 from shelfmark.llm.log_bilinear import LogBilinear, contexts, score_texts
 from shelfmark.llm.sentence_spans import Sentences, remove_repeats
-from shelfmark.llm.temperature_mix import mix, mix_order
+from shelfmark.llm.temperature_mix import mix, mix_order, mixture
 from shelfmark.llm.toxic_automata import Lexicon, Matcher, features, keep_clean, quoted, toxicity, train
 from tests_llm_odd import FIELDS, WORDS, frame, prose, rows
 
@@ -205,6 +205,30 @@ def test_entropy_bound_keeps_weights_apart(spark):
 
 # -- language model ------------------------------------------------------------
 
+def test_exponent_does_not_gather_the_sources(spark):
+    light = spark.range(600).selectExpr("concat('=', id) AS source_key",
+                                        "CASE WHEN id < 500 THEN 7 ELSE id END AS tokens")
+    totals, limit = [7] * 500 + list(range(500, 600)), 6.0
+
+    def bisected(fits):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+        return hi
+
+    def entropy(a):
+        total = sum(t ** a for t in totals)
+        return -sum(t ** a / total * math.log(t ** a / total) for t in totals)
+
+    plain = mixture(light, max_repeats=2.0)
+    assert "collect_list" not in plain._jdf.queryExecution().toString()
+    repeats = lambda a, most: (7 / 599) ** (a - 1) <= most
+    assert plain.first().exponent == pytest.approx(bisected(lambda a: repeats(a, 2.0)), abs=1e-9)
+    bound = mixture(light, max_repeats=1e9, max_entropy=limit).first().exponent
+    assert 0 < bound == pytest.approx(bisected(lambda a: entropy(a) <= limit), abs=1e-9)
+
+
 def test_scores_and_counts(spark):
     rng = random.Random(3)
     data = rows()
