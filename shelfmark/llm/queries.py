@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm.ball_tree import top_k
 from shelfmark.llm.bitplane import token_files
+from shelfmark.llm.filter_audit import audit
+from shelfmark.llm.license_templates import license_labels
 from shelfmark.llm.log_bilinear import score_texts
 from shelfmark.llm.minhash_bayes import near_duplicates
 from shelfmark.llm.mixture_packing import pack
@@ -15,6 +17,7 @@ from shelfmark.llm.sphere_cells import near_vectors
 from shelfmark.llm.temperature_mix import mix_order
 from shelfmark.llm.toxic_automata import toxicity
 from shelfmark.llm.url_cascade import judge_urls
+from shelfmark.llm.vector_codes import vector_codes
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
          ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -68,6 +71,18 @@ def op10_log_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(_table(spark, sf, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes(_table(spark, sf, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op13_license_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return license_labels(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
     "op2_minhash_bayes": op2_minhash_bayes,
@@ -79,9 +94,76 @@ QUERIES = {
     "op8_temperature_mix": op8_temperature_mix,
     "op9_ball_tree": op9_ball_tree,
     "op10_log_bilinear": op10_log_bilinear,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_license_templates": op13_license_templates,
 }
 
+_SQUARE = ("(list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, e.x)"
+           " + list_inner_product(e.x, e.x))::BIGINT")
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assigning and moving as one chain of tables; e is an entry's number."""
+    tables = ["""
+kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label,
+  [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL
+  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+v AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x
+  FROM kept, range(4) AS t(p)),
+e0 AS MATERIALIZED (SELECT p, r AS e, x FROM v WHERE r < 256)"""]
+    for n in range(rounds + 1):
+        tables.append(f"""
+a{n} AS MATERIALIZED (SELECT r, p, any_value(v.x) AS x, min({_SQUARE} * 256 + e) AS m
+  FROM v JOIN e{n} AS e USING (p) GROUP BY r, p)""")
+        tables.append(f"""
+m{n} AS (SELECT p, e, list(c ORDER BY i) AS x FROM (
+  SELECT p, m % 256 AS e, i, floor(sum(x[i]) / count(*)) AS c
+  FROM a{n}, (SELECT unnest(range(1, 1 + max(len(x)))) AS i FROM v) GROUP BY p, m % 256, i)
+  GROUP BY p, e),
+e{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{n}.x, e{n}.x) AS x
+  FROM e{n} LEFT JOIN m{n} USING (p, e))""")
+    last = rounds
+    return f"""
+WITH {",".join(tables)},
+coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', m % 256), '' ORDER BY p) AS code,
+  sum(m // 256)::BIGINT AS error FROM kept JOIN a{last} USING (r) GROUP BY r, vec_id, label),
+digest AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS h
+  FROM (SELECT p, e, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM e{last}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  h AS codebooks_sha256 FROM coded, digest"""
+
+
 ORACLE = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+  min(doc_id) OVER (PARTITION BY t) AS lowest FROM d),
+facts AS (SELECT doc_id, part, (len(ws) < 50)::INT
+  + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > lowest)::INT AS mask FROM w),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+  FROM labels GROUP BY doc_id),
+counts AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good,
+  sum(coalesce(toxic, 0)) AS toxic FROM facts LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+perms AS (SELECT l1.c || l2.c || l3.c || l4.c || l5.c AS o, [l1.b, l2.b, l3.b, l4.b, l5.b] AS bs
+  FROM l l1, l l2, l l3, l l4, l l5 WHERE l1.b + l2.b + l3.b + l4.b + l5.b = 31
+  AND len(list_distinct([l1.b, l2.b, l3.b, l4.b, l5.b])) = 5),
+steps AS (SELECT o, s, bs[s] AS bit, coalesce(list_sum(bs[1:s - 1]), 0)::INT AS before
+  FROM perms, range(1, 6) AS t(s)),
+sums AS (SELECT part, o, s, bit,
+  coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, o, s, bit)
+SELECT part, o AS filter_order, s::INT AS step, kept, removed, redundant, unique_fails, good_lost,
+  toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM sums""",
     "op3_sphere_cells": """
 WITH RECURSIVE unit AS (SELECT vec_id, embedding::DOUBLE[] AS v,
   sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
