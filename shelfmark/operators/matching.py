@@ -1,11 +1,15 @@
-"""Term matching between request texts and captions as an inverted-index join."""
+"""Term matching between request texts and captions: an inverted index, rarest terms first."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import caption_terms, content_terms
+from shelfmark.functions.text import caption_terms, content_terms, singular, tokens
+
+CAPTIONS, REQUESTS = 2_048, 128  # in a split, in a block
 
 
 def request_terms(requests: DataFrame) -> DataFrame:
@@ -20,6 +24,9 @@ def request_terms(requests: DataFrame) -> DataFrame:
 def term_hits(captions: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, path, hits): query terms a caption holds, repeats counted.
 
+    Every caption that shares one term is a row, which may be most of the
+    catalog for each request; ``matches_over`` gives those over a threshold.
+
     A caption's terms are distinct before they are exploded, so one aggregate
     is enough. With ``terms`` broadcast the join only filters, and the sums are
     complete inside a map task, as a caption never spans two.
@@ -29,3 +36,196 @@ def term_hits(captions: DataFrame, terms: DataFrame) -> DataFrame:
         words.join(terms, "term").groupBy("query_id", "path")
         .agg(F.sum("copies").cast("int").alias("hits"))
     )
+
+
+def held_terms(captions: DataFrame, terms: DataFrame) -> DataFrame:
+    """(path, own): which of the asked terms each caption holds; captions without one are left out."""
+    words = captions.select("path", F.explode(F.array_distinct(tokens(F.col("caption")))).alias("t"))
+    return (
+        # Folded as a column, which is compiled, and not inside the array.
+        words.select("path", singular(F.col("t")).alias("term"))
+        .join(terms.select("term").distinct(), "term", "left_semi")
+        .groupBy("path").agg(F.collect_set("term").alias("own"))
+    )
+
+
+def term_plans(terms: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, listed, total): each request's (n, term, copies), rarest term first.
+
+    ``n`` is the number of captions that hold the term. A request's terms are
+    bounded by its text.
+    """
+    counted = held.select(F.explode("own").alias("term")).groupBy("term").agg(
+        F.count("*").alias("n"))
+    return (
+        terms.join(counted, "term", "left")
+        .groupBy("query_id").agg(
+            F.array_sort(F.collect_list(F.struct(
+                F.coalesce("n", F.lit(0)).alias("n"), "term", "copies"))).alias("listed"),
+            F.sum("copies").cast("int").alias("total"))
+    )
+
+
+def hits_in(listed: Column, own: Column) -> Column:
+    """How many of a request's terms a caption holds, repeats counted."""
+    held = F.filter(listed, lambda t: F.array_contains(own, t["term"]))
+    return F.aggregate(held, F.lit(0).cast("long"), lambda n, t: n + t["copies"]).cast("int")
+
+
+class _Captions:
+    """Captions of one split: for each term, the rows that hold it."""
+
+    def __init__(self, row: dict):
+        self.paths = pa.array(row["paths"], pa.string())
+        rows, starts = np.frombuffer(row["rows"], "<i4"), np.frombuffer(row["starts"], "<i4")
+        self.holders = {term: rows[a:b] for term, a, b in zip(row["terms"], starts, starts[1:])}
+
+
+class _Wanted:
+    """The requests of one block: their terms, rarest first."""
+
+    def __init__(self, asked: list[dict]):
+        self.ids = pa.array([a["query_id"] for a in asked], pa.string())
+        self.needed = np.array([a["needed"] for a in asked])
+        self.total = np.array([a["total"] for a in asked])
+        self.apart = np.array([bool(a["apart"]) for a in asked])
+        spots: dict = {}
+        for slot, request in enumerate(asked):
+            left = request["total"]
+            for term in request["listed"]:
+                # A match without this and every rarer term cannot be one.
+                opens = left >= request["needed"]
+                spots.setdefault((term["n"], term["term"]), ([], []))[not opens].append(
+                    (slot, term["copies"]))
+                left -= term["copies"]
+        self.terms = [(term, *(np.array(s, np.int64).reshape(-1, 2).T for s in spots[n, term]))
+                      for n, term in sorted(spots)]
+
+    def hits(self, captions: _Captions) -> np.ndarray:
+        """[caption, request] copies held, 0 where the needed hits are out of reach."""
+        found = np.zeros((len(captions.paths), len(self.ids)), np.int64)
+        for term, opening, others in self.terms:
+            rows = captions.holders.get(term)
+            if rows is None:
+                continue
+            if opening.size:
+                found[np.ix_(rows, opening[0])] += opening[1]
+            if others.size:
+                met = np.ix_(rows, others[0])
+                found[met] += np.where(found[met] > 0, others[1], 0)
+        found[found < self.needed] = 0
+        return found
+
+
+def _packed(held: DataFrame) -> DataFrame:
+    """(paths, terms, starts, rows): some thousand captions a row, turned into lists by term."""
+
+    def kernel(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CAPTIONS):
+                part = batch.slice(at, CAPTIONS)
+                own = part.column(1)
+                terms = own.flatten().dictionary_encode()
+                codes = terms.indices.to_numpy()
+                rows = np.repeat(np.arange(part.num_rows, dtype="<i4"),
+                                 np.diff(own.offsets.to_numpy()))
+                order = np.argsort(codes, kind="stable")
+                sizes = np.bincount(codes, minlength=len(terms.dictionary))
+                yield pa.RecordBatch.from_pydict({
+                    "paths": [part.column(0).to_pylist()],
+                    "terms": [terms.dictionary.to_pylist()],
+                    "starts": [np.concatenate([[0], np.cumsum(sizes)]).astype("<i4").tobytes()],
+                    "rows": [rows[order].astype("<i4").tobytes()]}, schema=layout)
+
+    layout = pa.schema([("paths", pa.list_(pa.string())), ("terms", pa.list_(pa.string())),
+                        ("starts", pa.binary()), ("rows", pa.binary())])
+    return held.select("path", "own").mapInArrow(
+        kernel, "paths array<string>, terms array<string>, starts binary, rows binary")
+
+
+def _met(held: DataFrame, plans: DataFrame, total: int, kernel, schema: str) -> DataFrame:
+    """Splits of captions x blocks of requests through ``kernel``."""
+    blocks = max(1, -(-total // REQUESTS))
+    asked = plans.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
+        F.struct("query_id", "needed", "total", "apart", "listed").alias("one"),
+    ).groupBy("block").agg(F.collect_list("one").alias("asked"))
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            captions, last = None, None
+            numbers = batch.column("block").to_pylist()
+            for i, block in enumerate(numbers):
+                row = batch.slice(i, 1)
+                starts = row.column("starts")[0].as_py(), row.column("rows")[0].as_py()
+                if captions is None or starts != last:
+                    last = starts
+                    captions = _Captions(
+                        row.select(["paths", "terms", "starts", "rows"]).to_pylist()[0])
+                if block not in known:
+                    known[block] = _Wanted(row.column("asked")[0].as_py())
+                yield from kernel(captions, known[block])
+
+    return _packed(held).crossJoin(asked).mapInArrow(run, schema)
+
+
+def _emitted(captions: _Captions, wanted: _Wanted, hits: np.ndarray) -> dict:
+    rows, slots = np.nonzero(hits)
+    return {"query_id": wanted.ids.take(pa.array(slots)),
+            "path": captions.paths.take(pa.array(rows)),
+            "hits": pa.array(hits[rows, slots].astype(np.int32))}
+
+
+def matches_over(held: DataFrame, plans: DataFrame, total: int) -> DataFrame:
+    """(query_id, path, hits) of the captions that reach each request's ``needed`` hits.
+
+    ``plans`` is ``term_plans`` with a column ``needed`` (at least 1), ``total``
+    about how many requests there are. Requests come in blocks, captions in
+    splits with a list of rows by term. Terms are taken rarest first: as long
+    as the terms to come, this one included, could still make a match, a term
+    opens rows for its request; after that it only counts in rows already
+    open. Nothing under the threshold leaves the task.
+    """
+
+    def kernel(captions, wanted):
+        found = wanted.hits(captions)
+        if found.any():
+            yield pa.RecordBatch.from_pydict(_emitted(captions, wanted, found))
+
+    return _met(held, plans.withColumn("apart", F.lit(False)), total, kernel,
+                "query_id string, path string, hits int")
+
+
+def match_counts(held: DataFrame, plans: DataFrame, total: int,
+                 pool: DataFrame | None = None) -> DataFrame:
+    """(query_id, full_count, partial_count): captions with all terms, and with the needed ones.
+
+    ``plans`` as for ``matches_over``, with a flag ``apart`` for requests that
+    see only their (query_id, path) rows of ``pool``. All others are counted
+    where the captions are, and only numbers leave the task.
+    """
+
+    def kernel(captions, wanted):
+        found = wanted.hits(captions)
+        full = found == wanted.total
+        yield pa.RecordBatch.from_pydict({
+            "query_id": wanted.ids, "path": pa.nulls(len(wanted.ids), pa.string()),
+            "full": pa.array(np.where(wanted.apart, 0, full.sum(axis=0))),
+            "part": pa.array(np.where(wanted.apart, 0, (found > 0).sum(axis=0)))})
+        found[:, ~wanted.apart] = 0
+        if found.any():
+            rows = _emitted(captions, wanted, found)
+            at, slot = np.nonzero(found)
+            yield pa.RecordBatch.from_pydict({
+                "query_id": rows["query_id"], "path": rows["path"],
+                "full": pa.array(full[at, slot].astype(np.int64)),
+                "part": pa.array(np.ones(len(at), np.int64))})
+
+    rows = _met(held, plans, total, kernel,
+                "query_id string, path string, full long, part long")
+    if pool is not None:
+        rows = rows.join(pool.withColumn("_in", F.lit(True)), ["query_id", "path"], "left").filter(
+            F.col("path").isNull() | F.col("_in"))
+    return rows.groupBy("query_id").agg(F.sum("full").cast("int").alias("full_count"),
+                                        F.sum("part").cast("int").alias("partial_count"))

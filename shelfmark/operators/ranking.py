@@ -75,6 +75,20 @@ def top_within(
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
 
 
+def salted_top(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, salts: int = 16,
+) -> DataFrame:
+    """The first ``n`` rows of each group, in two levels.
+
+    Every task leaves ``n`` rows of a group, and with many tasks one reducer
+    would meet them all; a first round over ``salts`` shares of each group
+    leaves it ``salts`` x ``n`` rows. The row hash must tell rows apart.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    share = top_within(df.withColumn("_salt", salt), [*by, "_salt"], order, n)
+    return top_within(share.drop("rank", "_salt"), by, order, n)
+
+
 def largest(groups: DataFrame, size: str, key: str, n: int) -> DataFrame:
     """The ``n`` groups of the greatest ``size``, numbered from 1; ties by ``key``.
 

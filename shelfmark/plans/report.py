@@ -16,7 +16,7 @@ from shelfmark.operators.filters import (
     resolve_names,
 )
 from shelfmark.operators.understanding import understand
-from shelfmark.plans.search import Corpus, Options, Outcome, modality_ranks, search
+from shelfmark.plans.search import Corpus, Options, Outcome, search, shown_ranks
 from shelfmark.session import materialize
 
 
@@ -116,15 +116,8 @@ def search_payload(
     pool: DataFrame | None = None,
 ) -> DataFrame:
     """Result rows with each row's ranks in both modalities and its record."""
-    ranks = modality_ranks(requests, corpus, pool)
-
-    def side(name: str) -> DataFrame:
-        return ranks.filter(F.col("side") == name).select(
-            "query_id", "path", F.col("rank").alias(f"{name}_rank"))
-
-    rows = outcome.results.join(side("image"), ["query_id", "path"], "left").join(
-        side("caption"), ["query_id", "path"], "left")
-    return with_records(rows, items)
+    ranks = shown_ranks(outcome.results, requests, corpus, pool)
+    return with_records(outcome.results.join(ranks, ["query_id", "path"], "left"), items)
 
 
 def result_captions(outcome: Outcome, captions: DataFrame) -> DataFrame:

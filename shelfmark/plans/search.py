@@ -5,42 +5,43 @@ mode (hybrid | image | caption), top_k (0 = derive the count), trim, and
 has_filter. Requests with a filter see only their rows of ``pool``; a filter
 that matched nothing is a flagged request without pool rows.
 
-How a pass runs, for at most PASS_REQUESTS requests:
-
-1. Term hits by an inverted-index join (map-side filter, matches shuffled).
-2. One scan per index keeps each task's best rows per request; these give the
-   cut of the score gradient and the candidates of the fused ranking.
-3. One summary row per request picks its branch.
-4. Fused branch: a row outside both lists' first ``rrf_k + 2n`` ranks cannot
-   reach the first n of the fused order, so only those candidates are looked
-   up, and a counting scan gives their exact ranks. Nothing is sorted whole.
-5. Matched branch: matched rows are scored by a join and ordered with a
-   range-partitioned ordinal, as they may be a large part of the catalog.
-6. Requests without text list their pool in catalog order.
+How a request log runs, in the same number of jobs whatever its length:
+
+1. The log is packed into blocks and the indexes into splits
+   (``operators.splits``); requests never pass the driver, only counts do.
+2. Captions meet requests on their rarest terms; matches are counted.
+3. Blocks meet splits once: the best rows of both sides, with both scores,
+   give the cut of the score gradient and the candidates of the fusion.
+4. One summary row per request picks its branch.
+5. Fused branch: a row outside both lists' first ``rrf_k + 2n`` ranks cannot
+   reach the first n of the fused order, so only those candidates are given
+   exact ranks, by counting the rows ahead of them. Nothing is sorted whole.
+   A fixed count above COUNTED_TOP is most of a ranking and is sorted.
+6. Matched branch: only captions at the branch's threshold are written; they
+   are scored where their splits are and ordered with a range-partitioned
+   ordinal, as they may be a large part of the catalog.
+7. Requests without text list their pool in catalog order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import content_terms
-from shelfmark.operators.matching import request_terms, term_hits
-from shelfmark.operators.ranking import (
-    CUT_CEILING, CUT_FLOOR, RRF_K, fuse_rankings, gradient_cut, rank_within,
-    reciprocal_rank, spread_trim, top_within,
+from shelfmark.operators import splits
+from shelfmark.operators.matching import (
+    held_terms, hits_in, match_counts, matches_over, request_terms, term_plans,
 )
-from shelfmark.operators.scoring import (
-    Probe, best_rows, rows_ahead, score_all, score_pairs, with_permits,
+from shelfmark.operators.ranking import (
+    CUT_CEILING, CUT_FLOOR, RRF_K, gradient_cut, fuse_rankings, rank_within, reciprocal_rank,
+    salted_top, spread_trim, top_within,
 )
 from shelfmark.session import materialize
 
-PASS_REQUESTS = 256  # requests whose vectors travel with the tasks at once
 COUNTED_TOP = 1_000  # largest top_k ranked by counting; above it, by sorting
 MIN_PARTIAL_TERMS = 2
 SEMANTIC_DROP = 0.80
@@ -58,6 +59,13 @@ class Corpus:
 
     image: DataFrame
     caption: DataFrame
+    _stored: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def stored(self) -> splits.StoredIndex:
+        """Both indexes packed into splits, once for all searches of this corpus."""
+        if "index" not in self._stored:
+            self._stored["index"] = splits.store_index(self.image, self.caption)
+        return self._stored["index"]
 
     def catalog_order(self) -> list[Column]:
         named = "pos" in self.caption.columns
@@ -77,8 +85,8 @@ class Options:
 class Outcome:
     """``results`` one row per answer row, ``summary`` one per request.
 
-    ``hits`` holds the term hits of every request, ``trimmed`` the rows cut
-    from a matched set.
+    ``hits`` holds the matches of the requests answered by a match, ``trimmed``
+    the rows cut from a matched set.
     """
 
     results: DataFrame
@@ -88,36 +96,18 @@ class Outcome:
 
 
 @dataclass(frozen=True)
-class _Pass:
-    spark: SparkSession
+class _State:
+    """A log on its way: requests with their number of terms, blocks, marks, term tables."""
+
     corpus: Corpus
     options: Options
-    rows: list[Row]
     requests: DataFrame
+    known: Row  # counts over the requests
+    blocks: DataFrame
+    marks: DataFrame | None
     pool: DataFrame | None
-    text_ids: frozenset[str] = field(default=frozenset())
-
-    def probes(self, side: str, ids=None, depth=None, targets=None) -> list[Probe]:
-        keep = self.text_ids if ids is None else ids
-        return [
-            Probe(
-                row["query_id"], tuple(row[f"{side}_query"]), bool(row["has_filter"]),
-                depth(row) if depth else 0,
-                tuple((targets or {}).get(row["query_id"], ())),
-            )
-            for row in self.rows
-            if row["query_id"] in keep and row[f"{side}_query"] is not None
-        ]
-
-    def index(self, side: str) -> DataFrame:
-        table = self.corpus.image if side == "image" else self.corpus.caption
-        return with_permits(table.filter("vec IS NOT NULL"), self.pool)
-
-
-_REQUEST_SCHEMA = (
-    "query_id string, text string, mode string, top_k int, trim boolean, "
-    "has_filter boolean, people array<string>, event_names array<string>"
-)
+    terms: DataFrame
+    held: DataFrame | None
 
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
@@ -141,10 +131,42 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def _passes(requests: DataFrame) -> Iterator[list[Row]]:
-    rows = prepare_requests(requests).orderBy("query_id").toLocalIterator()
-    while chunk := list(islice(rows, PASS_REQUESTS)):
-        yield chunk
+def _state(requests: DataFrame, corpus: Corpus, pool: DataFrame | None, options: Options,
+           match: bool = True) -> _State:
+    """Write the log with what every stage needs; ``match`` also reads the captions."""
+    wanted = F.when((F.col("top_k") > 0) & (F.col("top_k") <= COUNTED_TOP), F.col("top_k")
+                    ).otherwise(options.ceiling)
+    most = F.greatest(wanted, F.lit(options.ceiling))
+    rows = materialize(prepare_requests(requests).withColumns({
+        "total_terms": F.size(content_terms(F.col("text"))),
+        # Rows of each list that can hold one of the first n fused rows.
+        "depth": F.when(F.col("mode") != "hybrid", most).otherwise(
+            F.lit(options.rrf_k) + 2 * most).cast("int"),
+    }), "requests")
+    known = rows.agg(
+        F.count("*").alias("n"), F.count_if("has_filter").alias("filtered"),
+        F.count_if(F.col("total_terms") > 0).alias("texts"), F.max("depth").alias("depth"),
+        F.count_if((F.col("total_terms") > 0) & F.col("has_filter")).alias("filtered_texts"),
+    ).first()
+    if known["filtered"] and pool is None:
+        raise ValueError("a request has a filter but no pool was given")
+    inside = None
+    if known["filtered"]:
+        filtered = rows.filter("has_filter").select("query_id")
+        inside = materialize(
+            pool.select(F.col("query_id").cast("string"), "path").distinct()
+            .join(filtered, "query_id", "left_semi"), "pool")
+    texts = rows.filter("total_terms > 0") if match else rows
+    blocks = splits.request_blocks(
+        texts.select("query_id", "image_query", "caption_query", "has_filter", "depth"),
+        known["texts"] if match else known["n"])
+    marked = known["filtered_texts"] if match else known["filtered"]
+    marks = splits.pair_marks(inside, corpus.stored(), blocks) if marked else None
+    terms = request_terms(texts)
+    held = None
+    if match and known["texts"]:
+        held = materialize(held_terms(corpus.caption, terms), "held")
+    return _State(corpus, options, rows, known, blocks, marks, inside, terms, held)
 
 
 def search(
@@ -152,150 +174,105 @@ def search(
     options: Options | None = None,
 ) -> Outcome:
     """Answer every request; see the module text for the stages."""
-    options = options or Options()
-    done = [_run_pass(rows, corpus, pool, options) for rows in _passes(requests)]
-    if not done:
+    state = _state(requests, corpus, pool, options or Options())
+    if not state.known["n"]:
         raise ValueError("search needs at least one request")
-    if len(done) > 1:
-        # Many passes: cut each one's plan, so the union stays small.
-        done = [
-            Outcome(*(materialize(getattr(o, n), f"search-{n}")
-                      for n in ("results", "summary", "hits", "trimmed")))
-            for o in done
-        ]
-    return Outcome(*(
-        reduce(DataFrame.unionByName, [getattr(o, n) for o in done])
-        for n in ("results", "summary", "hits", "trimmed")
-    ))
-
-
-def _run_pass(rows: list[Row], corpus: Corpus, pool: DataFrame | None,
-              options: Options) -> Outcome:
-    spark = corpus.caption.sparkSession
-    plain = [tuple(r[c.split()[0]] for c in _REQUEST_SCHEMA.split(", ")) for r in rows]
-    requests = spark.createDataFrame(plain, _REQUEST_SCHEMA)
-    filtered = [r["query_id"] for r in rows if r["has_filter"]]
-    pass_pool = None
-    if filtered and pool is not None:
-        pass_pool = materialize(
-            pool.filter(F.col("query_id").isin(filtered)).select("query_id", "path"), "pool")
-    elif filtered:
-        raise ValueError("a request has a filter but no pool was given")
-
-    sized = requests.select(
-        "query_id", F.size(content_terms(F.col("text"))).alias("total_terms")
-    )
-    counted_terms = sized.collect()  # one row per request of the pass
-    sized = spark.createDataFrame(counted_terms, sized.schema)
-    text_ids = frozenset(r["query_id"] for r in counted_terms if r["total_terms"])
-    state = _Pass(spark, corpus, options, rows, requests, pass_pool, text_ids)
-
-    hits = _pass_hits(state)
-    tops = _pass_tops(state)
-    plan = _pass_summary(state, sized, hits, tops)
-    settled = plan.collect()  # one row per request of the pass
-    summary = spark.createDataFrame(settled, plan.schema)
-    branch = {r["query_id"]: r for r in settled}
-
-    fused_ids = [q for q, r in branch.items() if r["basis_kind"] in ("top_k", "gradient")]
-    matched_ids = [
-        q for q, r in branch.items() if r["basis_kind"] in ("full_match", "partial_match")
-    ]
-    listed_ids = [q for q in branch if branch[q]["basis_kind"] in ("filter_only", "no_query")]
-
+    plans = _plans(state)
+    tops = _tops(state)
+    summary = materialize(_summary(state, plans, tops), "summary")
+    kind, fixed = F.col("basis_kind"), F.col("top_k") > COUNTED_TOP
+    fused, matched = kind.isin("top_k", "gradient"), kind.isin("full_match", "partial_match")
+    branch = summary.agg(
+        F.count_if(fused & ~fixed).alias("near"), F.count_if(fused & fixed).alias("deep"),
+        F.count_if(matched).alias("matched"), F.count_if(matched & F.col("trim")).alias("trim"),
+        F.count_if(kind.isin("filter_only", "no_query")).alias("listed"),
+    ).first()
     parts = []
-    if fused_ids:
-        parts.append(_fused_results(state, tops, hits, branch, fused_ids))
-    trimmed = None
-    if matched_ids:
-        kept, trimmed = _matched_results(state, hits, summary, branch, matched_ids)
+    if branch["near"]:
+        parts.append(_near_results(state, summary.filter(fused & ~fixed), tops))
+    if branch["deep"]:
+        parts.append(_deep_results(state, summary.filter(fused & fixed)))
+    spark = summary.sparkSession
+    hits = spark.createDataFrame([], "query_id string, path string, hits int")
+    trimmed = spark.createDataFrame([], "query_id string, path string, score double")
+    if branch["matched"]:
+        hits = _matches(state, summary.filter(matched), plans)
+        kept, cut = _matched_results(state, summary.filter(matched), hits, bool(branch["trim"]))
         parts.append(kept)
-    if listed_ids:
-        parts.append(_listed_results(state, listed_ids))
-    schema = ("query_id string, rank long, path string, score double, term_hits int, "
-              "matched boolean")
-    results = reduce(
-        DataFrame.unionByName, parts or [spark.createDataFrame([], schema)]
-    )
-    if trimmed is None:
-        trimmed = spark.createDataFrame([], "query_id string, path string, score double")
+        trimmed = trimmed if cut is None else cut
+    if branch["listed"]:
+        parts.append(_listed_results(state, summary))
+    if branch["trim"]:
+        counted = trimmed.groupBy("query_id").agg(F.count("*").cast("int").alias("trimmed"))
+        summary = summary.join(counted, "query_id", "left")
+    else:
         summary = summary.withColumn("trimmed", F.lit(0))
+    empty = spark.createDataFrame([], "query_id string, rank long, path string, score double, "
+                                      "term_hits int, matched boolean")
+    results = reduce(DataFrame.unionByName, parts or [empty])
+    return Outcome(results.select(RESULT_COLUMNS), _with_basis(summary), hits, trimmed)
+
+
+def _plans(state: _State) -> DataFrame | None:
+    if state.held is None:
+        return None
+    return materialize(term_plans(state.terms, state.held), "plans")
+
+
+def _inside(state: _State, rows: DataFrame) -> DataFrame:
+    """Those of (query_id, path, ...) rows that the requests' filters let through."""
+    if state.pool is None:
+        return rows
+    flags = state.requests.select("query_id", "has_filter")
+    allowed = state.pool.withColumn("_in", F.lit(True))
+    return rows.join(flags, "query_id").join(allowed, ["query_id", "path"], "left").filter(
+        ~F.col("has_filter") | F.col("_in")).drop("has_filter", "_in")
+
+
+def _tops(state: _State) -> DataFrame:
+    """(side, query_id, path, image_score, caption_score, score, rank): heads of both rankings."""
+    schema = ("side string, query_id string, path string, image_score double, "
+              "caption_score double, score double, rank int")
+    if not state.known["texts"]:
+        return state.requests.sparkSession.createDataFrame([], schema)
+    heads = splits.best_rows(state.corpus.stored(), state.blocks, state.marks)
+    scored = heads.withColumn("score", F.when(
+        F.col("side") == "image", F.col("image_score")).otherwise(F.col("caption_score")))
+    return materialize(salted_top(
+        scored, ["side", "query_id"], [F.desc("score"), F.col("path")], state.known["depth"]),
+        "tops")
+
+
+def _threshold(options: Options) -> Column:
+    return F.least(F.lit(options.min_partial_terms), F.col("total_terms"))
+
+
+def _summary(state: _State, plans: DataFrame | None, tops: DataFrame) -> DataFrame:
+    options, rows = state.options, state.requests
+    if plans is None:
+        rows = rows.withColumns({c: F.lit(None).cast("int") for c in (
+            "full_count", "partial_count")})
     else:
-        counted = trimmed.groupBy("query_id").agg(F.count("*").cast("int").alias("trimmed"))
-        summary = summary.join(F.broadcast(counted), "query_id", "left")
-    summary = _with_basis(summary)
-    return Outcome(results.select(RESULT_COLUMNS), summary, hits, trimmed)
-
-
-def _pass_hits(state: _Pass) -> DataFrame:
-    if not state.text_ids:
-        return state.spark.createDataFrame([], "query_id string, path string, hits int")
-    texts = state.requests.filter(F.col("query_id").isin(list(state.text_ids)))
-    hits = term_hits(state.corpus.caption, request_terms(texts))
-    if state.pool is not None:
-        open_ids = [r["query_id"] for r in state.rows if not r["has_filter"]]
-        inside = hits.join(state.pool, ["query_id", "path"], "left_semi")
-        hits = hits.filter(F.col("query_id").isin(open_ids)).unionByName(inside)
-    return materialize(hits, "hits")
-
-
-def _depth(state: _Pass, row: Row) -> int:
-    """Rows of each list that can hold one of the first n fused rows."""
-    wanted = row["top_k"] if 0 < row["top_k"] <= COUNTED_TOP else state.options.ceiling
-    if row["mode"] != "hybrid":
-        return max(wanted, state.options.ceiling)
-    return state.options.rrf_k + 2 * max(wanted, state.options.ceiling)
-
-
-def _pass_tops(state: _Pass) -> DataFrame:
-    """(side, query_id, path, score, rank): the head of both rankings."""
-    schema = "side string, query_id string, path string, score double, rank int"
-    sides = []
-    for side in ("image", "caption"):
-        probes = state.probes(side, depth=lambda row: _depth(state, row))
-        if not probes:
-            continue
-        heads = best_rows(state.index(side), probes)
-        ranked = top_within(
-            heads, ["query_id"], [F.desc("score"), F.col("path")],
-            max(p.depth for p in probes),
-        )
-        sides.append(ranked.select(F.lit(side).alias("side"), "query_id", "path",
-                                   "score", "rank"))
-    if not sides:
-        return state.spark.createDataFrame([], schema)
-    return materialize(reduce(DataFrame.unionByName, sides), "tops")
-
-
-def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFrame) -> DataFrame:
-    options = state.options
-    counts = hits.join(F.broadcast(sized), "query_id").groupBy("query_id").agg(
-        F.count_if(F.col("hits") == F.col("total_terms")).cast("int").alias("full_count"),
-        F.count_if(
-            F.col("hits") >= F.least(F.lit(options.min_partial_terms), F.col("total_terms"))
-        ).cast("int").alias("partial_count"),
-    )
+        least = plans.join(rows.select("query_id", "has_filter"), "query_id").withColumns({
+            "needed": F.least(F.lit(options.min_partial_terms), F.col("total")),
+            "apart": F.col("has_filter")})
+        counts = match_counts(state.held, least, state.known["texts"], state.pool)
+        rows = rows.join(counts, "query_id", "left")
     cut = gradient_cut(tops, ["side", "query_id"], options.floor, options.ceiling)
-    cuts = cut.groupBy("query_id").agg(*[
+    rows = rows.join(cut.groupBy("query_id").agg(*[
         F.max(F.when(F.col("side") == side, F.col(column))).alias(f"{short}_{column}")
         for side, short in (("image", "img"), ("caption", "cap"))
         for column in ("cut", "plateau")
-    ])
+    ]), "query_id", "left")
 
     corpus_size = state.corpus.caption.agg(F.count("*")).scalar()
-    # Every table here has at most one row per request of the pass.
-    rows = (
-        state.requests.join(F.broadcast(sized), "query_id")
-        .join(F.broadcast(counts), "query_id", "left")
-        .join(F.broadcast(cuts), "query_id", "left")
-    )
     pool_size: Column = corpus_size
     if state.pool is not None:
         sizes = (
             state.pool.join(state.corpus.caption.select("path"), "path", "left_semi")
-            .groupBy("query_id").agg(F.count_distinct("path").alias("_pool"))
+            .groupBy("query_id").agg(F.count("*").alias("_pool"))
         )
-        rows = rows.join(F.broadcast(sizes), "query_id", "left")
+        rows = rows.join(sizes, "query_id", "left")
         pool_size = F.when(F.col("has_filter"), F.coalesce("_pool", F.lit(0))).otherwise(
             pool_size)
 
@@ -321,7 +298,7 @@ def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFra
     img_plateau = F.coalesce("img_plateau", ~has_text)
     cap_plateau = F.coalesce("cap_plateau", ~has_text)
     return rows.select(
-        "query_id", "mode", "top_k", "trim", "people", "event_names", "total_terms",
+        "query_id", "mode", "top_k", "trim", "people", "event_names", "has_filter", "total_terms",
         full.alias("full_count"), partial.alias("partial_count"),
         F.coalesce("img_cut", has_text.cast("int")).alias("img_cut"),
         img_plateau.alias("img_plateau"),
@@ -336,106 +313,74 @@ def _pass_summary(state: _Pass, sized: DataFrame, hits: DataFrame, tops: DataFra
         .when(kind.isin("full_match", "partial_match"), "caption_cosine")
         .otherwise("none").alias("score_kind"),
         ((kind == "gradient") & ~(img_plateau | cap_plateau)).alias("low_confidence"),
-        F.least(F.lit(options.min_partial_terms), F.col("total_terms")).alias("_threshold"),
+        _threshold(options).alias("_threshold"),
     )
 
 
-def _wanted(row: Row) -> int:
-    return row["top_k"] if row["top_k"] > 0 else max(row["img_cut"], row["cap_cut"])
-
-
-def _fused_results(
-    state: _Pass, tops: DataFrame, hits: DataFrame, branch: dict, ids: list[str]
-) -> DataFrame:
-    deep = [q for q in ids if branch[q]["top_k"] > COUNTED_TOP]
-    near = [q for q in ids if q not in set(deep)]
-    limits = state.spark.createDataFrame(
-        [(q, _wanted(branch[q])) for q in ids], "query_id string, _limit int"
-    )
-    k = state.options.rrf_k
-    parts = []
-    hybrid = [q for q in near if branch[q]["mode"] == "hybrid"]
-    for side in ("image", "caption"):
-        alone = [q for q in near if branch[q]["mode"] == side]
-        if alone:
-            one = tops.filter((F.col("side") == side) & F.col("query_id").isin(alone))
-            parts.append(one.select(
-                "query_id", "path", reciprocal_rank(F.col("rank"), k).alias("score")))
-    if hybrid:
-        parts.append(_fuse_by_counting(state, tops, hybrid).select("query_id", "path", "score"))
-    chosen = []
-    if parts:
-        # At most 2 x depth candidates per request here, so a plain window.
-        ranked = top_within(
-            reduce(DataFrame.unionByName, parts).join(F.broadcast(limits), "query_id"),
-            ["query_id"], [F.desc("score"), F.col("path")], F.col("_limit"),
-        )
-        ranked = ranked.select("query_id", F.col("rank").cast("long"), "path", "score")
-        held = hits.join(F.broadcast(ranked.select("query_id", "path")), ["query_id", "path"])
-        chosen.append(ranked.join(F.broadcast(held), ["query_id", "path"], "left"))
-    if deep:
-        fused = _fuse_by_sorting(state, branch, deep)
-        ranked = rank_within(
-            fused, ["query_id"], [F.desc("score"), F.col("path")], few_groups=True)
-        chosen.append(
-            ranked.join(F.broadcast(limits), "query_id").filter("rank <= _limit")
-            .select("query_id", "rank", "path", "score")
-            .join(hits, ["query_id", "path"], "left")
-        )
-    return reduce(DataFrame.unionByName, chosen).select(
-        "query_id", "rank", "path", "score",
-        F.coalesce("hits", F.lit(0)).alias("term_hits"), F.lit(False).alias("matched"))
-
-
-def _fuse_by_counting(state: _Pass, tops: DataFrame, ids: list[str]) -> DataFrame:
-    candidates = F.broadcast(
-        tops.filter(F.col("query_id").isin(ids)).select("query_id", "path").distinct()
-    )
-    ranks = []
-    for side in ("image", "caption"):
-        probes = state.probes(side, ids)
-        if not probes:
-            ranks.append(state.spark.createDataFrame(
-                [], "query_id string, path string, rank long"))
-            continue
-        # Bounded: two heads per request of the pass.
-        scored = score_pairs(candidates, state.index(side), probes).collect()
-        targets: dict[str, list[tuple[float, str]]] = {}
-        for row in scored:
-            targets.setdefault(row["query_id"], []).append((row["score"], row["path"]))
-        for listed in targets.values():
-            listed.sort(key=lambda t: (-t[0], t[1]))
-        counted = rows_ahead(state.index(side), state.probes(side, ids, targets=targets))
-        ranks.append(counted.select(
-            "query_id", "path", (F.col("ahead") + 1).alias("rank")))
-    return fuse_rankings(ranks[0], ranks[1], state.options.rrf_k)
-
-
-def _fuse_by_sorting(state: _Pass, branch: dict, ids: list[str]) -> DataFrame:
-    ranks = modality_ranks_of(state, ids)
-    one_sided = {
-        side: [q for q in ids if branch[q]["mode"] not in ("hybrid", side)]
-        for side in ("image", "caption")
-    }
-    sides = [
-        ranks.filter((F.col("side") == side) & ~F.col("query_id").isin(one_sided[side]))
-        for side in ("image", "caption")
-    ]
-    return fuse_rankings(sides[0], sides[1], state.options.rrf_k).select(
+def _with_hits(state: _State, ranked: DataFrame) -> DataFrame:
+    """(query_id, rank, path, score) rows with the number of terms their captions hold."""
+    plans = term_plans(state.terms, state.held)
+    held = ranked.join(plans.select("query_id", "listed"), "query_id", "left").join(
+        state.held, "path", "left")
+    return held.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "path", "score",
+        F.coalesce(hits_in(F.col("listed"), F.col("own")), F.lit(0)).alias("term_hits"),
+        F.lit(False).alias("matched"))
+
+
+def _limits(summary: DataFrame) -> DataFrame:
+    return summary.select("query_id", "mode", F.when(
+        F.col("top_k") > 0, F.col("top_k")).otherwise(
+        F.greatest("img_cut", "cap_cut")).alias("_limit"))
+
+
+def _near_results(state: _State, summary: DataFrame, tops: DataFrame) -> DataFrame:
+    """The first rows of the fused order, from candidates whose ranks are counted."""
+    limits, k = _limits(summary), state.options.rrf_k
+    heads = tops.join(limits, "query_id")
+    alone = heads.filter(F.col("side") == F.col("mode")).select(
+        "query_id", "path", reciprocal_rank(F.col("rank"), k).alias("score"), "_limit")
+    candidates = heads.filter("mode = 'hybrid'").select(
+        "query_id", "path", "image_score", "caption_score").distinct()
+    ranks = splits.counted_ranks(state.corpus.stored(), state.blocks, candidates, state.marks)
+    both = ranks.select("query_id", "path", (
+        F.coalesce(reciprocal_rank(F.col("image_rank"), k), F.lit(0.0))
+        + F.coalesce(reciprocal_rank(F.col("caption_rank"), k), F.lit(0.0))).alias("score")
+    ).join(limits.select("query_id", "_limit"), "query_id")
+    # At most 2 x depth candidates per request, so a plain window.
+    ranked = top_within(alone.unionByName(both), ["query_id"], [F.desc("score"), F.col("path")],
+                        F.col("_limit"))
+    return _with_hits(state, materialize(
+        ranked.select("query_id", "rank", "path", "score"), "fused"))
+
+
+def _deep_results(state: _State, summary: DataFrame) -> DataFrame:
+    limits = _limits(summary)
+    ranks = _sorted_ranks(state, summary.select("query_id", F.col("mode").alias("_mode")))
+    sides = [ranks.filter((F.col("side") == side) & F.col("_mode").isin("hybrid", side))
+             for side in splits.SIDES]
+    fused = fuse_rankings(sides[0], sides[1], state.options.rrf_k).select(
         "query_id", "path", "score")
-
-
-def modality_ranks_of(state: _Pass, ids) -> DataFrame:
-    scored = []
-    for side in ("image", "caption"):
-        probes = state.probes(side, ids)
-        if probes:
-            scored.append(score_all(state.index(side), probes)
-                          .select(F.lit(side).alias("side"), "query_id", "path", "score"))
+    ranked = rank_within(fused, ["query_id"], [F.desc("score"), F.col("path")])
+    return _with_hits(state, ranked.join(limits, "query_id").filter("rank <= _limit").select(
+        "query_id", "rank", "path", "score"))
+
+
+def _sorted_ranks(state: _State, only: DataFrame) -> DataFrame:
+    """(side, query_id, path, score, rank, ...) of every row for the requests of ``only``."""
+    rows = state.requests.join(only, "query_id", "left_semi").select(
+        "query_id", "image_query", "caption_query", "has_filter", "depth")
+    blocks = splits.request_blocks(rows, only.count())
+    inside = state.pool
+    marks = None if inside is None else splits.pair_marks(
+        inside.join(only, "query_id", "left_semi"), state.corpus.stored(), blocks)
+    scored = materialize(splits.score_all(state.corpus.stored(), blocks, marks), "scored")
+    sides = [scored.filter(F.col(f"{side}_score").isNotNull()).select(
+        F.lit(side).alias("side"), "query_id", "path", F.col(f"{side}_score").alias("score"))
+        for side in splits.SIDES]
     return rank_within(
-        reduce(DataFrame.unionByName, scored), ["side", "query_id"],
-        [F.desc("score"), F.col("path")], few_groups=True,
-    )
+        sides[0].unionByName(sides[1]).join(only, "query_id"), ["side", "query_id"],
+        [F.desc("score"), F.col("path")])
 
 
 def modality_ranks(
@@ -443,79 +388,75 @@ def modality_ranks(
 ) -> DataFrame:
     """(side, query_id, path, score, rank) of every row for every request.
 
-    The complete rankings, for reports that show each row's rank. They hold
-    requests x catalog rows; ``search`` itself does not need them.
+    The complete rankings, for reports about whole indexes. They hold requests
+    x catalog rows; ``search`` does not need them, nor does ``shown_ranks``.
     """
-    parts = []
-    for rows in _passes(requests):
-        ids = [r["query_id"] for r in rows]
-        filtered = [r["query_id"] for r in rows if r["has_filter"]]
-        inside = None
-        if filtered:
-            if pool is None:
-                raise ValueError("a request has a filter but no pool was given")
-            inside = pool.filter(F.col("query_id").isin(filtered))
-        state = _Pass(corpus.caption.sparkSession, corpus, Options(), rows, requests, inside)
-        parts.append(modality_ranks_of(state, ids))
-    return reduce(DataFrame.unionByName, parts)
+    state = _state(requests, corpus, pool, Options(), match=False)
+    return _sorted_ranks(state, state.requests.select("query_id"))
 
 
-def _matched_results(
-    state: _Pass, hits: DataFrame, summary: DataFrame, branch: dict, ids: list[str]
-) -> tuple[DataFrame, DataFrame | None]:
-    info = F.broadcast(summary.filter(F.col("query_id").isin(ids)).select(
-        "query_id", "basis_kind", "total_terms", "_threshold", "trim"))
+def shown_ranks(
+    rows: DataFrame, requests: DataFrame, corpus: Corpus, pool: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, path, image_rank, caption_rank) of the shown (query_id, path) rows.
+
+    Ranks are counted, one list of targets for some thousand shown rows; no
+    other row of the catalog is written.
+    """
+    state = _state(requests, corpus, pool, Options(), match=False)
+    index = corpus.stored()
+    targets = materialize(splits.score_pairs(index, state.blocks, rows.select(
+        "query_id", "path").distinct()), "shown")
+    return splits.counted_ranks(index, state.blocks, targets, state.marks)
+
+
+def _matches(state: _State, summary: DataFrame, plans: DataFrame) -> DataFrame:
+    """(query_id, path, hits) at or over the threshold of each request's branch, written once."""
     needed = F.when(F.col("basis_kind") == "full_match", F.col("total_terms")).otherwise(
         F.col("_threshold"))
-    inside = hits.join(info, "query_id").filter(F.col("hits") >= needed)
-    parts = []
-    for side, modes in (("image", ("image",)), ("caption", ("hybrid", "caption"))):
-        own = [q for q in ids if branch[q]["mode"] in modes]
-        if not own:
-            continue
-        rows = inside.filter(F.col("query_id").isin(own)).select(
-            "query_id", "path", "hits", "trim")
-        table = state.corpus.image if side == "image" else state.corpus.caption
-        scored = score_pairs(rows, table.filter("vec IS NOT NULL"), state.probes(side, own))
-        # A matched row absent from the index keeps its place, last.
-        parts.append(rows.join(scored, ["query_id", "path"], "left"))
-    rows = reduce(DataFrame.unionByName, parts)
+    chosen = plans.join(summary.select("query_id", needed.alias("needed")), "query_id")
+    return materialize(_inside(state, matches_over(state.held, chosen, state.known["texts"])), "matches")
+
+
+def _matched_results(
+    state: _State, summary: DataFrame, hits: DataFrame, trim: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    scores = splits.score_pairs(state.corpus.stored(), state.blocks, hits)
+    asked = summary.select("query_id", "mode", "trim")
+    # A matched row absent from the index keeps its place, last.
+    rows = hits.join(asked, "query_id").join(scores, ["query_id", "path"], "left").select(
+        "query_id", "path", "hits", "trim", F.when(
+            F.col("mode") == "image", F.col("image_score")).otherwise(
+            F.col("caption_score")).alias("score"))
     trimmed = None
-    if any(r["trim"] for r in state.rows if r["query_id"] in set(ids)):
+    if trim:
         rows = materialize(spread_trim(
-            rows, ["query_id"], drop_ratio=state.options.semantic_drop,
-            when=F.col("trim"), few_groups=True,
-        ), "matched")
+            materialize(rows, "scored"), ["query_id"], drop_ratio=state.options.semantic_drop,
+            when=F.col("trim")), "matched")
         trimmed = rows.filter("trimmed").select("query_id", "path", "score")
         rows = rows.filter(~F.col("trimmed"))
+    else:
+        rows = materialize(rows, "matched")
     kept = rank_within(
         rows.select("query_id", "path", "score", F.col("hits").alias("term_hits")),
-        ["query_id"], [F.desc_nulls_last("score"), F.col("path")], few_groups=True,
+        ["query_id"], [F.desc_nulls_last("score"), F.col("path")],
     ).withColumn("matched", F.lit(True))
     return kept, trimmed
 
 
-def _listed_results(state: _Pass, ids: list[str]) -> DataFrame:
-    flagged = {r["query_id"] for r in state.rows if r["has_filter"]}
+def _listed_results(state: _State, summary: DataFrame) -> DataFrame:
+    """Whole pools in catalog order: what a request without text asks for."""
+    listed = summary.filter(F.col("basis_kind").isin("filter_only", "no_query")).select(
+        "query_id", "has_filter")
     catalog = state.corpus.caption
-    columns = [c for c in ("path", "pos") if c in catalog.columns]
-    parts = []
-    whole = [q for q in ids if q not in flagged]
-    if whole:
-        parts.append(catalog.select(
-            *columns, F.explode(F.array(*[F.lit(q) for q in whole])).alias("query_id")))
-    inside = [q for q in ids if q in flagged]
-    if inside:
-        rows = state.pool.filter(F.col("query_id").isin(inside))
-        parts.append(catalog.select(*columns).join(rows, "path"))
-    listed = rank_within(
-        reduce(DataFrame.unionByName, parts), ["query_id"], state.corpus.catalog_order(),
-        few_groups=True,
-    )
-    return listed.select(
+    catalog = catalog.select(*(c for c in ("path", "pos") if c in catalog.columns))
+    rows = catalog.crossJoin(listed.filter("NOT has_filter").select("query_id"))
+    if state.pool is not None:
+        own = state.pool.join(listed.filter("has_filter"), "query_id", "left_semi")
+        rows = rows.unionByName(catalog.join(own, "path").select(rows.columns))
+    return rank_within(rows, ["query_id"], state.corpus.catalog_order()).select(
         "query_id", "rank", "path", F.lit(0.0).alias("score"), F.lit(0).alias("term_hits"),
-        F.lit(False).alias("matched"),
-    )
+        F.lit(False).alias("matched"))
 
 
 def _with_basis(summary: DataFrame) -> DataFrame:
@@ -562,4 +503,4 @@ def _with_basis(summary: DataFrame) -> DataFrame:
     )
     return summary.withColumn("basis", F.concat(sentence, tail)).withColumn(
         "trimmed", cut.cast("int")
-    ).drop("_threshold", "top_k", "trim")
+    ).drop("_threshold", "top_k", "trim", "has_filter")

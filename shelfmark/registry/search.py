@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import base_name, caption_terms, content_terms
@@ -14,19 +10,20 @@ from shelfmark.operators.filters import (
     combine_pools, event_candidates, filter_counts, images_in_any, images_with_all,
     name_candidates, resolve_events, resolve_names,
 )
-from shelfmark.operators.matching import request_terms, term_hits
+from shelfmark.operators.matching import (
+    held_terms, matches_over, request_terms, term_hits, term_plans,
+)
 from shelfmark.operators.ranking import (
-    fuse_rankings, gradient_cut, spread_trim, top_within,
+    fuse_rankings, gradient_cut, salted_top, spread_trim, top_within,
 )
-from shelfmark.operators.scoring import Probe, best_rows
+from shelfmark.operators.splits import best_rows, request_blocks
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.report import (
     answer_requests, regression_run, result_captions, search_payload,
 )
-from shelfmark.plans.search import (
-    PASS_REQUESTS, Options, modality_ranks, prepare_requests, search,
-)
+from shelfmark.plans.search import Options, modality_ranks, prepare_requests, search
 from shelfmark.registry import base
+from shelfmark.session import materialize
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -313,15 +310,30 @@ words AS (SELECT DISTINCT path, {base.sql_fold('t')} AS term
 SELECT query_id, path, sum(copies)::INT AS hits FROM words JOIN terms USING (term) GROUP BY ALL"""
 
 
+def _term_matches(spark, sf):
+    """Captions that hold four fifths of a benchmark item's terms."""
+    docs = base.documents(spark, sf).select("path", F.col("text").alias("caption"))
+    terms = request_terms(base.load(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("query_id"), "text"))
+    held = materialize(held_terms(docs, terms), "held")
+    plans = term_plans(terms, held).withColumn("needed", F.ceil(F.col("total") * 0.8))
+    return matches_over(held, plans, plans.count())
+
+
+QUERIES["term_matches"] = _term_matches
+ORACLE["term_matches"] = ORACLE["term_hits"].replace("SELECT query_id, path, sum", """,
+total AS (SELECT query_id, ceil(sum(copies) * 0.8) AS needed FROM terms GROUP BY ALL),
+found AS (SELECT query_id, path, sum""") + """)
+SELECT found.* FROM found JOIN total USING (query_id) WHERE hits >= needed"""
+
+
 def _vector_topk(spark, sf):
     """The ten nearest documents of every benchmark item's vector."""
-    asked = prepare_requests(_batch_requests(spark, sf)).toLocalIterator()
-    index, found = base.corpus(spark, sf).image, []
-    while chunk := list(islice(asked, PASS_REQUESTS)):  # as many as travel with the tasks
-        found.append(best_rows(index, [
-            Probe(r["query_id"], tuple(r["image_query"]), depth=10) for r in chunk]))
-    best = top_within(reduce(DataFrame.unionByName, found), ["query_id"],
-                      [F.desc("score"), F.col("path")], 10)
+    asked = prepare_requests(_batch_requests(spark, sf)).withColumn("depth", F.lit(10))
+    blocks = request_blocks(asked.select(
+        "query_id", "image_query", "caption_query", "has_filter", "depth"), asked.count())
+    heads = best_rows(base.corpus(spark, sf).stored(), blocks, sides=("image",))
+    best = salted_top(heads, ["query_id"], [F.desc("image_score"), F.col("path")], 10)
     return best.select("query_id", "path", F.col("rank").cast("long").alias("rank"))
 
 

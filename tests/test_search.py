@@ -3,9 +3,10 @@ import math
 import numpy as np
 import pytest
 
-from shelfmark.operators.ranking import gradient_cut, rank_within, spread_trim
-from shelfmark.plans.search import Corpus, Options, modality_ranks, search
 import shelfmark.plans.search as plan
+from shelfmark.operators import matching, splits
+from shelfmark.operators.ranking import gradient_cut, rank_within, salted_top, spread_trim
+from shelfmark.plans.search import Corpus, Options, modality_ranks, search, shown_ranks
 from pyspark.sql import functions as F
 
 WALL = "a plain wall"
@@ -155,13 +156,118 @@ def test_counted_and_sorted_rankings_agree_with_brute_force(spark, monkeypatch):
     assert order(out, "q") == expected[:200]
 
 
-def test_many_passes_equal_one(spark, monkeypatch):
-    rows = [{"query_id": f"q{i}", "text": t} for i, t in enumerate(["plain", "zebra", "the", "wall"])]
+def test_many_blocks_and_splits_equal_one(spark, monkeypatch):
+    rows = [{"query_id": f"q{i}", "text": t, "has_filter": i == 5} for i, t in enumerate(
+        ["plain", "zebra", "the", "wall", "zebra plain wall", "zebra", "a wall zebra"])]
+    captions = {"p2": "a zebra", "p5": "the zebra wall"}
+    pool = spark.createDataFrame([("q5", "p1"), ("q5", "p3"), ("q5", "p6"), ("q1", "p1")],
+                                 "query_id string, path string")
+    index = corpus(spark, DECLINE, captions)
+    whole = sorted(map(tuple, search(ask(spark, *rows), index, pool).results.collect()))
+    monkeypatch.setattr(splits, "BLOCK", 2)
+    monkeypatch.setattr(splits, "SPLIT_ROWS", 2)
+    monkeypatch.setattr(matching, "REQUESTS", 2)
+    monkeypatch.setattr(matching, "CAPTIONS", 2)
+    index = corpus(spark, DECLINE, captions)
+    parts = sorted(map(tuple, search(ask(spark, *rows), index, pool).results.collect()))
+    assert whole == parts and {r[0] for r in whole} == {f"q{i}" for i in range(7)}
+
+
+def above_vectors(df):
+    """Plan nodes over the scans of packed vectors."""
+    lines = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines()
+    found = []
+    for i, line in enumerate(lines):
+        if "FileScan" in line and "image_width" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            for upper in reversed(lines[:i]):
+                d = len(upper) - len(upper.lstrip(" :+-"))
+                if upper.strip() and d < depth:
+                    found.append(upper.strip(" :+-"))
+                    depth = d
+    return found
+
+
+def test_vectors_are_never_shuffled(spark):
+    index = corpus(spark, DECLINE).stored()
+    asked = plan.prepare_requests(ask(spark, {"query_id": "q", "has_filter": True})).withColumn(
+        "depth", F.lit(9))
+    blocks = splits.request_blocks(asked.select(
+        "query_id", "image_query", "caption_query", "has_filter", "depth"), 1)
+    pairs = spark.range(1000).select(
+        F.lit("q").alias("query_id"), F.concat(F.lit("p"), "id").alias("path"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        marks = splits.pair_marks(pairs, index, blocks)
+        for df in (splits.best_rows(index, blocks, marks), splits.score_all(index, blocks, marks),
+                   splits.score_pairs(index, blocks, pairs)):
+            nodes = above_vectors(df)
+            assert any("ShuffledHashJoin" in n for n in nodes), nodes
+            assert not any(n.startswith(("Exchange", "BroadcastExchange", "Sort")) for n in nodes)
+        assert {r.path for r in splits.best_rows(index, blocks, marks).collect()} == set(DECLINE)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_jobs_do_not_grow_with_the_log(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK", 4)
     index = corpus(spark, DECLINE)
-    whole = sorted(map(tuple, search(ask(spark, *rows), index).results.collect()))
-    monkeypatch.setattr(plan, "PASS_REQUESTS", 2)
-    parts = sorted(map(tuple, search(ask(spark, *rows), index).results.collect()))
-    assert whole == parts and len(whole) == 6 + 6 + 6 + 6
+    index.stored()
+    counts = [jobs_of(spark, f"log{n}", lambda: search(ask(spark, *(
+        {"query_id": f"q{i}", "text": "plain" if i % 2 else "zebra"} for i in range(n))), index))
+        for n in (2, 40)]
+    assert abs(counts[0] - counts[1]) <= 3 and max(counts) < 80, counts
+
+
+def test_hot_scores_keep_the_first_paths(spark, monkeypatch):
+    monkeypatch.setattr(splits, "SPLIT_ROWS", 7)
+    scores = {f"h{i:03d}": (.5, .5 if i % 2 else .25) for i in range(300)}
+    index = corpus(spark, scores).stored()
+    asked = plan.prepare_requests(ask(spark, {"query_id": "q"})).withColumn("depth", F.lit(9))
+    blocks = splits.request_blocks(asked.select(
+        "query_id", "image_query", "caption_query", "has_filter", "depth"), 1)
+    heads = splits.best_rows(index, blocks)
+    top = salted_top(heads.filter("side = 'image'"), ["query_id"],
+                     [F.desc("image_score"), F.col("path")], 9)
+    assert sorted(r.path for r in top.collect()) == [f"h{i:03d}" for i in range(9)]
+    assert heads.count() < 300  # rows behind what a task has seen are left out
+
+
+def test_shown_ranks_equal_whole_rankings(spark, monkeypatch):
+    monkeypatch.setattr(splits, "TARGETS", 3)
+    rng = np.random.default_rng(8)
+    scores = {f"r{i:03d}": tuple(np.round(rng.normal(size=2), 1).tolist()) for i in range(200)}
+    index = corpus(spark, scores)
+    asked = ask(spark, {"query_id": "q"}, {"query_id": "f", "has_filter": True})
+    pool = spark.createDataFrame([("f", f"r{i:03d}") for i in range(0, 200, 3)],
+                                 "query_id string, path string")
+    whole = {}
+    for r in modality_ranks(asked, index, pool).collect():
+        whole.setdefault((r.query_id, r.path), {})[r.side] = r["rank"]
+    shown = spark.createDataFrame([(q, f"r{i:03d}") for q in "qf" for i in range(0, 200, 9)],
+                                  "query_id string, path string")
+    got = {(r.query_id, r.path): {"image": r.image_rank, "caption": r.caption_rank}
+           for r in shown_ranks(shown, asked, index, pool).collect()}
+    assert got == {k: v for k, v in whole.items() if int(k[1][1:]) % 9 == 0}
+
+
+def test_rows_of_one_index_only(spark):
+    image = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [.5, 0.0])], "path string, vec array<double>")
+    caption = spark.createDataFrame([("b", "x", [.9, 0.0]), ("c", "y", [.8, 0.0]), ("d", "z", None)],
+                                    "path string, caption string, vec array<double>")
+    asked = spark.createDataFrame([("q", "zebra", [1.0, 0.0], [1.0, 0.0], 4)], "query_id string, "
+                                  "text string, image_query array<double>, caption_query array<double>, top_k int")
+    out = search(asked, Corpus(image, caption))
+    got = {r.path: r.score for r in out.results.collect()}
+    assert got == {"a": 1 / 61, "b": 1 / 62 + 1 / 61, "c": 1 / 62}
 
 
 def test_modality_ranks(spark):

@@ -1,3 +1,6 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from shelfmark.functions.dates import capture_time, display_time
@@ -5,7 +8,10 @@ from shelfmark.functions.text import (
     caption_terms, clean_subject, comparable_words, content_terms, mentioned, normal_path,
     padded_id, singular, suffix,
 )
-from shelfmark.operators.matching import request_terms, term_hits
+from shelfmark.operators import matching
+from shelfmark.operators.matching import (
+    held_terms, match_counts, matches_over, request_terms, term_hits, term_plans,
+)
 
 
 def one(spark, column):
@@ -45,6 +51,37 @@ def test_hits(spark):
         ("twice", "p1"): 2, ("twice", "p2"): 2, ("twice", "p5"): 3}
 
 
+def test_matches_are_those_over_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CAPTIONS", 16)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    captions = {f"p{i:03d}": set(rng.choices(words, weights=range(12, 0, -1), k=rng.randint(1, 6)))
+                for i in range(150)}
+    asked = {f"q{i}": rng.choices([*words, "absent"], k=rng.randint(1, 7)) for i in range(40)}
+    terms = request_terms(spark.createDataFrame(
+        [(q, " ".join(t)) for q, t in asked.items()], "query_id string, text string"))
+    held = held_terms(spark.createDataFrame(
+        [(p, " ".join(t)) for p, t in captions.items()], "path string, caption string"), terms)
+    plans = term_plans(terms, held)
+    pool = {(q, p) for q in asked for p in captions if rng.random() < .4}
+    for share in (0.01, 0.4, 1.0):
+        needed = {q: max(1, math.ceil(len(t) * share)) for q, t in asked.items()}
+        over = plans.withColumn("needed", F.greatest(F.lit(1), F.ceil(F.col("total") * share)))
+        want = {(q, p): h for q, t in asked.items() for p, own in captions.items()
+                if (h := sum(x in own for x in t)) >= needed[q]}
+        got = matches_over(held, over, 40).collect()
+        assert len(got) == len(want)
+        assert {(r.query_id, r.path): r.hits for r in got} == want
+        apart = over.withColumn("apart", F.col("query_id").endswith("3"))
+        counts = match_counts(held, apart, 40, spark.createDataFrame(
+            sorted(pool), "query_id string, path string")).collect()
+        for r in counts:
+            mine = [h for (q, p), h in want.items()
+                    if q == r.query_id and (not q.endswith("3") or (q, p) in pool)]
+            assert (r.full_count, r.partial_count) == (
+                sum(h == len(asked[r.query_id]) for h in mine), len(mine))
+
+
 def test_subjects_paths_ids(spark):
     assert one(spark, clean_subject(F.lit(" Re: FWD : fw:  Hello re: x "))) == "Hello re: x"
     assert one(spark, normal_path(F.lit("/a//b/./c.jpg"))) == "/a/b/c.jpg"
