@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import caption_terms, content_terms, singular, tokens
+from shelfmark.functions.text import caption_terms, content_terms
+from shelfmark.session import materialize
 
 CAPTIONS, REQUESTS = 2_048, 128  # in a split, in a block
+TERMS = 1_024  # in one product
 
 
 def request_terms(requests: DataFrame) -> DataFrame:
@@ -38,25 +42,52 @@ def term_hits(captions: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def held_terms(captions: DataFrame, terms: DataFrame) -> DataFrame:
-    """(path, own): which of the asked terms each caption holds; captions without one are left out."""
-    words = captions.select("path", F.explode(F.array_distinct(tokens(F.col("caption")))).alias("t"))
-    return (
-        # Folded as a column, which is compiled, and not inside the array.
-        words.select("path", singular(F.col("t")).alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("path").agg(F.collect_set("term").alias("own"))
-    )
+def index_captions(captions: DataFrame) -> DataFrame:
+    """(split, paths, terms, sizes, starts, rows): captions by term, some thousand to a row.
+
+    ``rows[starts[i]:starts[i + 1]]`` are the places in ``paths`` that hold
+    ``terms[i]``, ``sizes[i]`` of them. Made in one scan without a shuffle and
+    written once for all searches.
+    """
+
+    def kernel(batches):
+        split = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, CAPTIONS):
+                part = batch.slice(at, CAPTIONS)
+                own = part.column(1)
+                terms = own.flatten().dictionary_encode()
+                codes = terms.indices.to_numpy()
+                rows = np.repeat(np.arange(part.num_rows, dtype="<i4"),
+                                 np.diff(own.offsets.to_numpy()))
+                order = np.argsort(codes, kind="stable")
+                sizes = np.bincount(codes, minlength=len(terms.dictionary))
+                yield pa.RecordBatch.from_pydict({
+                    "split": [split], "paths": [part.column(0).to_pylist()],
+                    "terms": [terms.dictionary.to_pylist()], "sizes": [sizes],
+                    "starts": [np.concatenate([[0], np.cumsum(sizes)]).astype("<i4").tobytes()],
+                    "rows": [rows[order].astype("<i4").tobytes()]}, schema=layout)
+                split += 1
+
+    layout = pa.schema([("split", pa.int64()), ("paths", pa.list_(pa.string())),
+                        ("terms", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())),
+                        ("starts", pa.binary()), ("rows", pa.binary())])
+    words = captions.select("path", caption_terms(F.col("caption")).alias("own"))
+    return materialize(words.mapInArrow(
+        kernel, "split long, paths array<string>, terms array<string>, sizes array<int>, "
+                "starts binary, rows binary"), "captions")
 
 
-def term_plans(terms: DataFrame, held: DataFrame) -> DataFrame:
+def term_plans(terms: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, listed, total): each request's (n, term, copies), rarest term first.
 
     ``n`` is the number of captions that hold the term. A request's terms are
     bounded by its text.
     """
-    counted = held.select(F.explode("own").alias("term")).groupBy("term").agg(
-        F.count("*").alias("n"))
+    listed = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("_t")).select(
+        F.col("_t.terms").alias("term"), F.col("_t.sizes").alias("n"))
+    counted = listed.join(terms.select("term"), "term", "left_semi").groupBy("term").agg(
+        F.sum("n").alias("n"))
     return (
         terms.join(counted, "term", "left")
         .groupBy("query_id").agg(
@@ -66,108 +97,94 @@ def term_plans(terms: DataFrame, held: DataFrame) -> DataFrame:
     )
 
 
-def hits_in(listed: Column, own: Column) -> Column:
-    """How many of a request's terms a caption holds, repeats counted."""
-    held = F.filter(listed, lambda t: F.array_contains(own, t["term"]))
-    return F.aggregate(held, F.lit(0).cast("long"), lambda n, t: n + t["copies"]).cast("int")
-
-
 class _Captions:
-    """Captions of one split: for each term, the rows that hold it."""
+    """Captions of one split, from row ``i`` of a batch."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.paths = batch.column("paths")[i].values
+        self.terms = batch.column("terms")[i].values
+        self.rows, self.starts = (
+            np.frombuffer(batch.column(c)[i].as_py(), "<i4") for c in ("rows", "starts"))
 
-    def __init__(self, row: dict):
-        self.paths = pa.array(row["paths"], pa.string())
-        rows, starts = np.frombuffer(row["rows"], "<i4"), np.frombuffer(row["starts"], "<i4")
-        self.holders = {term: rows[a:b] for term, a, b in zip(row["terms"], starts, starts[1:])}
+    def holders(self, term: int) -> np.ndarray:
+        return self.rows[self.starts[term]:self.starts[term + 1]]
 
 
 class _Wanted:
-    """The requests of one block: their terms, rarest first."""
+    """The requests of one block, as [term, request] copies; terms come rarest first."""
 
     def __init__(self, asked: list[dict]):
         self.ids = pa.array([a["query_id"] for a in asked], pa.string())
         self.needed = np.array([a["needed"] for a in asked])
         self.total = np.array([a["total"] for a in asked])
         self.apart = np.array([bool(a["apart"]) for a in asked])
-        spots: dict = {}
+        order = sorted({(t["n"], t["term"]) for a in asked for t in a["listed"]})
+        spots = {term: i for i, (_, term) in enumerate(order)}
+        self.terms = pa.array([term for _, term in order], pa.string())
+        self.only = [a["only"] for a in asked]
+        self.copies = np.zeros((len(order), len(asked)), np.float32)
+        self.opens = np.zeros(len(order), bool)
         for slot, request in enumerate(asked):
             left = request["total"]
             for term in request["listed"]:
-                # A match without this and every rarer term cannot be one.
-                opens = left >= request["needed"]
-                spots.setdefault((term["n"], term["term"]), ([], []))[not opens].append(
-                    (slot, term["copies"]))
+                at = spots[term["term"]]
+                self.copies[at, slot] = term["copies"]
+                # A caption without this and every rarer term cannot be a match.
+                self.opens[at] |= left >= request["needed"]
                 left -= term["copies"]
-        self.terms = [(term, *(np.array(s, np.int64).reshape(-1, 2).T for s in spots[n, term]))
-                      for n, term in sorted(spots)]
 
     def hits(self, captions: _Captions) -> np.ndarray:
-        """[caption, request] copies held, 0 where the needed hits are out of reach."""
-        found = np.zeros((len(captions.paths), len(self.ids)), np.int64)
-        for term, opening, others in self.terms:
-            rows = captions.holders.get(term)
-            if rows is None:
-                continue
-            if opening.size:
-                found[np.ix_(rows, opening[0])] += opening[1]
-            if others.size:
-                met = np.ix_(rows, others[0])
-                found[met] += np.where(found[met] > 0, others[1], 0)
+        """[caption, request] copies held, 0 under the needed hits."""
+        n = len(captions.paths)
+        found = np.zeros((n, len(self.ids)), np.float32)
+        # (place among the asked terms, place among the split's terms) of what both have.
+        there = pc.index_in(self.terms, value_set=captions.terms).fill_null(-1).to_numpy()
+        met = [(at, there[at]) for at in np.flatnonzero(there >= 0).tolist()]
+        open_rows = np.zeros(n, bool)
+        for at, term in met:
+            if self.opens[at]:
+                open_rows[captions.holders(term)] = True
+        if any(only is not None for only in self.only):
+            shown = pa.array(sorted({path for only in self.only for path in only or ()}),
+                             pa.string())
+            open_rows &= pc.is_in(captions.paths, value_set=shown).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(open_rows)
+        place = np.cumsum(open_rows) - 1
+        for start in range(0, len(met) if rows.size else 0, TERMS):
+            part = met[start:start + TERMS]  # whole numbers, exact in single precision
+            held = np.zeros((len(rows), len(part)), np.float32)
+            for column, (_, term) in enumerate(part):
+                own = captions.holders(term)
+                held[place[own[open_rows[own]]], column] = 1
+            found[rows] += held @ self.copies[[at for at, _ in part]]
         found[found < self.needed] = 0
-        return found
+        return found.astype(np.int64)
 
 
-def _packed(held: DataFrame) -> DataFrame:
-    """(paths, terms, starts, rows): some thousand captions a row, turned into lists by term."""
-
-    def kernel(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, CAPTIONS):
-                part = batch.slice(at, CAPTIONS)
-                own = part.column(1)
-                terms = own.flatten().dictionary_encode()
-                codes = terms.indices.to_numpy()
-                rows = np.repeat(np.arange(part.num_rows, dtype="<i4"),
-                                 np.diff(own.offsets.to_numpy()))
-                order = np.argsort(codes, kind="stable")
-                sizes = np.bincount(codes, minlength=len(terms.dictionary))
-                yield pa.RecordBatch.from_pydict({
-                    "paths": [part.column(0).to_pylist()],
-                    "terms": [terms.dictionary.to_pylist()],
-                    "starts": [np.concatenate([[0], np.cumsum(sizes)]).astype("<i4").tobytes()],
-                    "rows": [rows[order].astype("<i4").tobytes()]}, schema=layout)
-
-    layout = pa.schema([("paths", pa.list_(pa.string())), ("terms", pa.list_(pa.string())),
-                        ("starts", pa.binary()), ("rows", pa.binary())])
-    return held.select("path", "own").mapInArrow(
-        kernel, "paths array<string>, terms array<string>, starts binary, rows binary")
-
-
-def _met(held: DataFrame, plans: DataFrame, total: int, kernel, schema: str) -> DataFrame:
+def _met(index: DataFrame, plans: DataFrame, total: int, kernel, schema: str) -> DataFrame:
     """Splits of captions x blocks of requests through ``kernel``."""
     blocks = max(1, -(-total // REQUESTS))
+    for name, kind in (("apart", "boolean"), ("only", "array<string>")):
+        if name not in plans.columns:
+            plans = plans.withColumn(name, F.lit(None).cast(kind))
     asked = plans.select(
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-        F.struct("query_id", "needed", "total", "apart", "listed").alias("one"),
+        F.struct("query_id", "needed", "total", "apart", "only", "listed").alias("one"),
     ).groupBy("block").agg(F.collect_list("one").alias("asked"))
 
     def run(batches):
         known: dict = {}
+        captions, last = None, None
         for batch in batches:
-            captions, last = None, None
-            numbers = batch.column("block").to_pylist()
-            for i, block in enumerate(numbers):
-                row = batch.slice(i, 1)
-                starts = row.column("starts")[0].as_py(), row.column("rows")[0].as_py()
-                if captions is None or starts != last:
-                    last = starts
-                    captions = _Captions(
-                        row.select(["paths", "terms", "starts", "rows"]).to_pylist()[0])
+            splits, blocks_ = batch.column("split").to_pylist(), batch.column("block").to_pylist()
+            for i, (split, block) in enumerate(zip(splits, blocks_)):
+                if split != last:
+                    captions, last = _Captions(batch, i), split
                 if block not in known:
-                    known[block] = _Wanted(row.column("asked")[0].as_py())
+                    known[block] = _Wanted(batch.column("asked")[i].as_py())
                 yield from kernel(captions, known[block])
 
-    return _packed(held).crossJoin(asked).mapInArrow(run, schema)
+    return index.drop("sizes").crossJoin(asked).mapInArrow(run, schema)
 
 
 def _emitted(captions: _Captions, wanted: _Wanted, hits: np.ndarray) -> dict:
@@ -177,15 +194,16 @@ def _emitted(captions: _Captions, wanted: _Wanted, hits: np.ndarray) -> dict:
             "hits": pa.array(hits[rows, slots].astype(np.int32))}
 
 
-def matches_over(held: DataFrame, plans: DataFrame, total: int) -> DataFrame:
+def matches_over(index: DataFrame, plans: DataFrame, total: int) -> DataFrame:
     """(query_id, path, hits) of the captions that reach each request's ``needed`` hits.
 
-    ``plans`` is ``term_plans`` with a column ``needed`` (at least 1), ``total``
+    ``index`` is ``index_captions``, ``plans`` is ``term_plans`` with a column
+    ``needed`` (at least 1) and maybe ``only`` (the paths it may match), ``total``
     about how many requests there are. Requests come in blocks, captions in
-    splits with a list of rows by term. Terms are taken rarest first: as long
-    as the terms to come, this one included, could still make a match, a term
-    opens rows for its request; after that it only counts in rows already
-    open. Nothing under the threshold leaves the task.
+    splits with a list of rows by term. Of a request's terms, rarest first, as
+    many open captions as could still make a match together with those after
+    them; only opened captions are counted, as one product of (caption, term)
+    and (term, request). Nothing under the threshold leaves the task.
     """
 
     def kernel(captions, wanted):
@@ -193,11 +211,20 @@ def matches_over(held: DataFrame, plans: DataFrame, total: int) -> DataFrame:
         if found.any():
             yield pa.RecordBatch.from_pydict(_emitted(captions, wanted, found))
 
-    return _met(held, plans.withColumn("apart", F.lit(False)), total, kernel,
-                "query_id string, path string, hits int")
+    return _met(index, plans, total, kernel, "query_id string, path string, hits int")
+
+
+def hits_among(index: DataFrame, plans: DataFrame, total: int, shown: DataFrame) -> DataFrame:
+    """(query_id, path, hits) of the shown (query_id, path) rows that hold any term.
+
+    A request shows a bounded number of rows; their paths travel with its terms.
+    """
+    only = shown.groupBy("query_id").agg(F.collect_list("path").alias("only"))
+    found = matches_over(index, plans.join(only, "query_id").withColumn("needed", F.lit(1)), total)
+    return found.join(shown.select("query_id", "path"), ["query_id", "path"], "left_semi")
 
 
-def match_counts(held: DataFrame, plans: DataFrame, total: int,
+def match_counts(index: DataFrame, plans: DataFrame, total: int,
                  pool: DataFrame | None = None) -> DataFrame:
     """(query_id, full_count, partial_count): captions with all terms, and with the needed ones.
 
@@ -222,7 +249,7 @@ def match_counts(held: DataFrame, plans: DataFrame, total: int,
                 "full": pa.array(full[at, slot].astype(np.int64)),
                 "part": pa.array(np.ones(len(at), np.int64))})
 
-    rows = _met(held, plans, total, kernel,
+    rows = _met(index, plans, total, kernel,
                 "query_id string, path string, full long, part long")
     if pool is not None:
         rows = rows.join(pool.withColumn("_in", F.lit(True)), ["query_id", "path"], "left").filter(

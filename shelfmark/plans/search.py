@@ -11,7 +11,8 @@ How a request log runs, in the same number of jobs whatever its length:
    (``operators.splits``); requests never pass the driver, only counts do.
 2. Captions meet requests on their rarest terms; matches are counted.
 3. Blocks meet splits once: the best rows of both sides, with both scores,
-   give the cut of the score gradient and the candidates of the fusion.
+   give the cut of the score gradient and, for requests without a match, the
+   candidates of the fusion.
 4. One summary row per request picks its branch.
 5. Fused branch: a row outside both lists' first ``rrf_k + 2n`` ranks cannot
    reach the first n of the fused order, so only those candidates are given
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import content_terms
 from shelfmark.operators import splits
 from shelfmark.operators.matching import (
-    held_terms, hits_in, match_counts, matches_over, request_terms, term_plans,
+    hits_among, index_captions, match_counts, matches_over, term_plans,
 )
 from shelfmark.operators.ranking import (
     CUT_CEILING, CUT_FLOOR, RRF_K, gradient_cut, fuse_rankings, rank_within, reciprocal_rank,
@@ -67,6 +68,12 @@ class Corpus:
             self._stored["index"] = splits.store_index(self.image, self.caption)
         return self._stored["index"]
 
+    def terms(self) -> DataFrame:
+        """The captions by term, once for all searches of this corpus."""
+        if "terms" not in self._stored:
+            self._stored["terms"] = index_captions(self.caption)
+        return self._stored["terms"]
+
     def catalog_order(self) -> list[Column]:
         named = "pos" in self.caption.columns
         return [F.col("pos"), F.col("path")] if named else [F.col("path")]
@@ -106,8 +113,8 @@ class _State:
     blocks: DataFrame
     marks: DataFrame | None
     pool: DataFrame | None
-    terms: DataFrame
-    held: DataFrame | None
+    plans: DataFrame | None
+    counts: DataFrame | None
 
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
@@ -137,8 +144,9 @@ def _state(requests: DataFrame, corpus: Corpus, pool: DataFrame | None, options:
     wanted = F.when((F.col("top_k") > 0) & (F.col("top_k") <= COUNTED_TOP), F.col("top_k")
                     ).otherwise(options.ceiling)
     most = F.greatest(wanted, F.lit(options.ceiling))
-    rows = materialize(prepare_requests(requests).withColumns({
-        "total_terms": F.size(content_terms(F.col("text"))),
+    read = prepare_requests(requests).withColumn("_terms", content_terms(F.col("text")))
+    rows = materialize(read.withColumns({
+        "total_terms": F.size("_terms"),
         # Rows of each list that can hold one of the first n fused rows.
         "depth": F.when(F.col("mode") != "hybrid", most).otherwise(
             F.lit(options.rrf_k) + 2 * most).cast("int"),
@@ -157,16 +165,21 @@ def _state(requests: DataFrame, corpus: Corpus, pool: DataFrame | None, options:
             pool.select(F.col("query_id").cast("string"), "path").distinct()
             .join(filtered, "query_id", "left_semi"), "pool")
     texts = rows.filter("total_terms > 0") if match else rows
+    terms = texts.select("query_id", F.explode("_terms").alias("term"))
+    plans = counts = None
+    if match and known["texts"]:
+        plans, counts = _counted(rows, terms, corpus.terms(), inside, options, known["texts"])
+        # A request that its matches answer needs no more rows than the gradient reads.
+        found = counts.filter("partial_count > 0").select(
+            "query_id", F.lit(options.ceiling).alias("_less"))
+        texts = texts.join(found, "query_id", "left").withColumn("depth", F.when(
+            F.col("top_k") == 0, F.coalesce("_less", "depth")).otherwise(F.col("depth")))
     blocks = splits.request_blocks(
         texts.select("query_id", "image_query", "caption_query", "has_filter", "depth"),
         known["texts"] if match else known["n"])
     marked = known["filtered_texts"] if match else known["filtered"]
     marks = splits.pair_marks(inside, corpus.stored(), blocks) if marked else None
-    terms = request_terms(texts)
-    held = None
-    if match and known["texts"]:
-        held = materialize(held_terms(corpus.caption, terms), "held")
-    return _State(corpus, options, rows, known, blocks, marks, inside, terms, held)
+    return _State(corpus, options, rows, known, blocks, marks, inside, plans, counts)
 
 
 def search(
@@ -177,9 +190,8 @@ def search(
     state = _state(requests, corpus, pool, options or Options())
     if not state.known["n"]:
         raise ValueError("search needs at least one request")
-    plans = _plans(state)
     tops = _tops(state)
-    summary = materialize(_summary(state, plans, tops), "summary")
+    summary = materialize(_summary(state, tops), "summary")
     kind, fixed = F.col("basis_kind"), F.col("top_k") > COUNTED_TOP
     fused, matched = kind.isin("top_k", "gradient"), kind.isin("full_match", "partial_match")
     branch = summary.agg(
@@ -196,7 +208,7 @@ def search(
     hits = spark.createDataFrame([], "query_id string, path string, hits int")
     trimmed = spark.createDataFrame([], "query_id string, path string, score double")
     if branch["matched"]:
-        hits = _matches(state, summary.filter(matched), plans)
+        hits = _matches(state, summary.filter(matched))
         kept, cut = _matched_results(state, summary.filter(matched), hits, bool(branch["trim"]))
         parts.append(kept)
         trimmed = trimmed if cut is None else cut
@@ -213,10 +225,15 @@ def search(
     return Outcome(results.select(RESULT_COLUMNS), _with_basis(summary), hits, trimmed)
 
 
-def _plans(state: _State) -> DataFrame | None:
-    if state.held is None:
-        return None
-    return materialize(term_plans(state.terms, state.held), "plans")
+def _counted(rows: DataFrame, terms: DataFrame, index: DataFrame, pool: DataFrame | None,
+             options: Options, texts: int) -> tuple[DataFrame, DataFrame]:
+    """(term plans, match counts) of the requests with text."""
+    copies = terms.groupBy("query_id", "term").agg(F.count("*").alias("copies"))
+    plans = materialize(term_plans(copies, index), "plans")
+    least = plans.join(rows.select("query_id", "has_filter"), "query_id").withColumns({
+        "needed": F.least(F.lit(options.min_partial_terms), F.col("total")),
+        "apart": F.col("has_filter")})
+    return plans, materialize(match_counts(index, least, texts, pool), "counts")
 
 
 def _inside(state: _State, rows: DataFrame) -> DataFrame:
@@ -247,34 +264,34 @@ def _threshold(options: Options) -> Column:
     return F.least(F.lit(options.min_partial_terms), F.col("total_terms"))
 
 
-def _summary(state: _State, plans: DataFrame | None, tops: DataFrame) -> DataFrame:
-    options, rows = state.options, state.requests
-    if plans is None:
-        rows = rows.withColumns({c: F.lit(None).cast("int") for c in (
-            "full_count", "partial_count")})
-    else:
-        least = plans.join(rows.select("query_id", "has_filter"), "query_id").withColumns({
-            "needed": F.least(F.lit(options.min_partial_terms), F.col("total")),
-            "apart": F.col("has_filter")})
-        counts = match_counts(state.held, least, state.known["texts"], state.pool)
-        rows = rows.join(counts, "query_id", "left")
+def _summary(state: _State, tops: DataFrame) -> DataFrame:
+    options, requests = state.options, state.requests
+    facts = []  # rows of (query_id, one fact or more), brought together by one exchange
+    if state.counts is not None:
+        facts.append(state.counts)
     cut = gradient_cut(tops, ["side", "query_id"], options.floor, options.ceiling)
-    rows = rows.join(cut.groupBy("query_id").agg(*[
-        F.max(F.when(F.col("side") == side, F.col(column))).alias(f"{short}_{column}")
+    facts.append(cut.select("query_id", *[
+        F.when(F.col("side") == side, F.col(column)).alias(f"{short}_{column}")
         for side, short in (("image", "img"), ("caption", "cap"))
-        for column in ("cut", "plateau")
-    ]), "query_id", "left")
-
+        for column in ("cut", "plateau")]))
     corpus_size = state.corpus.caption.agg(F.count("*")).scalar()
     pool_size: Column = corpus_size
     if state.pool is not None:
-        sizes = (
-            state.pool.join(state.corpus.caption.select("path"), "path", "left_semi")
-            .groupBy("query_id").agg(F.count("*").alias("_pool"))
-        )
-        rows = rows.join(sizes, "query_id", "left")
+        inside = state.pool.join(state.corpus.caption.select("path"), "path", "left_semi")
+        facts.append(inside.groupBy("query_id").agg(F.count("*").alias("_pool")))
         pool_size = F.when(F.col("has_filter"), F.coalesce("_pool", F.lit(0))).otherwise(
-            pool_size)
+            corpus_size)
+    own = [c for c in requests.columns if c not in (
+        "query_id", "text", "image_query", "caption_query", "depth", "_terms")]
+    rows = requests.select("query_id", F.struct(own).alias("_own"))
+    for fact in facts:
+        rows = rows.unionByName(fact, allowMissingColumns=True)
+    found = [c for c in rows.columns if c not in ("query_id", "_own")]
+    rows = rows.groupBy("query_id").agg(
+        F.first("_own", ignorenulls=True).alias("_own"), *(F.max(c).alias(c) for c in found))
+    rows = rows.select("query_id", "_own.*", *found, *(
+        F.lit(None).cast("int").alias(c) for c in ("full_count", "partial_count")
+        if c not in found))
 
     has_text = F.col("total_terms") > 0
     filtered = (F.size("people") > 0) | (F.size("event_names") > 0) | F.col("has_filter")
@@ -317,15 +334,11 @@ def _summary(state: _State, plans: DataFrame | None, tops: DataFrame) -> DataFra
     )
 
 
-def _with_hits(state: _State, ranked: DataFrame) -> DataFrame:
+def _with_hits(ranked: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, rank, path, score) rows with the number of terms their captions hold."""
-    plans = term_plans(state.terms, state.held)
-    held = ranked.join(plans.select("query_id", "listed"), "query_id", "left").join(
-        state.held, "path", "left")
-    return held.select(
+    return ranked.join(hits, ["query_id", "path"], "left").select(
         "query_id", F.col("rank").cast("long").alias("rank"), "path", "score",
-        F.coalesce(hits_in(F.col("listed"), F.col("own")), F.lit(0)).alias("term_hits"),
-        F.lit(False).alias("matched"))
+        F.coalesce("hits", F.lit(0)).alias("term_hits"), F.lit(False).alias("matched"))
 
 
 def _limits(summary: DataFrame) -> DataFrame:
@@ -350,8 +363,9 @@ def _near_results(state: _State, summary: DataFrame, tops: DataFrame) -> DataFra
     # At most 2 x depth candidates per request, so a plain window.
     ranked = top_within(alone.unionByName(both), ["query_id"], [F.desc("score"), F.col("path")],
                         F.col("_limit"))
-    return _with_hits(state, materialize(
-        ranked.select("query_id", "rank", "path", "score"), "fused"))
+    ranked = materialize(ranked.select("query_id", "rank", "path", "score"), "fused")
+    return _with_hits(ranked, hits_among(
+        state.corpus.terms(), state.plans, state.known["texts"], ranked))
 
 
 def _deep_results(state: _State, summary: DataFrame) -> DataFrame:
@@ -362,8 +376,13 @@ def _deep_results(state: _State, summary: DataFrame) -> DataFrame:
     fused = fuse_rankings(sides[0], sides[1], state.options.rrf_k).select(
         "query_id", "path", "score")
     ranked = rank_within(fused, ["query_id"], [F.desc("score"), F.col("path")])
-    return _with_hits(state, ranked.join(limits, "query_id").filter("rank <= _limit").select(
-        "query_id", "rank", "path", "score"))
+    ranked = ranked.join(limits, "query_id").filter("rank <= _limit").select(
+        "query_id", "rank", "path", "score")
+    # Most of a ranking is shown, so all captions with a term are counted.
+    any_term = state.plans.join(limits.select("query_id"), "query_id", "left_semi").withColumn(
+        "needed", F.lit(1))
+    return _with_hits(ranked, matches_over(
+        state.corpus.terms(), any_term, state.known["texts"]))
 
 
 def _sorted_ranks(state: _State, only: DataFrame) -> DataFrame:
@@ -410,12 +429,13 @@ def shown_ranks(
     return splits.counted_ranks(index, state.blocks, targets, state.marks)
 
 
-def _matches(state: _State, summary: DataFrame, plans: DataFrame) -> DataFrame:
+def _matches(state: _State, summary: DataFrame) -> DataFrame:
     """(query_id, path, hits) at or over the threshold of each request's branch, written once."""
     needed = F.when(F.col("basis_kind") == "full_match", F.col("total_terms")).otherwise(
         F.col("_threshold"))
-    chosen = plans.join(summary.select("query_id", needed.alias("needed")), "query_id")
-    return materialize(_inside(state, matches_over(state.held, chosen, state.known["texts"])), "matches")
+    chosen = state.plans.join(summary.select("query_id", needed.alias("needed")), "query_id")
+    return materialize(_inside(state, matches_over(
+        state.corpus.terms(), chosen, state.known["texts"])), "matches")
 
 
 def _matched_results(

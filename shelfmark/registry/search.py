@@ -11,7 +11,7 @@ from shelfmark.operators.filters import (
     name_candidates, resolve_events, resolve_names,
 )
 from shelfmark.operators.matching import (
-    held_terms, matches_over, request_terms, term_hits, term_plans,
+    index_captions, matches_over, request_terms, term_hits, term_plans,
 )
 from shelfmark.operators.ranking import (
     fuse_rankings, gradient_cut, salted_top, spread_trim, top_within,
@@ -23,7 +23,6 @@ from shelfmark.plans.report import (
 )
 from shelfmark.plans.search import Options, modality_ranks, prepare_requests, search
 from shelfmark.registry import base
-from shelfmark.session import materialize
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -315,9 +314,9 @@ def _term_matches(spark, sf):
     docs = base.documents(spark, sf).select("path", F.col("text").alias("caption"))
     terms = request_terms(base.load(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), "text"))
-    held = materialize(held_terms(docs, terms), "held")
-    plans = term_plans(terms, held).withColumn("needed", F.ceil(F.col("total") * 0.8))
-    return matches_over(held, plans, plans.count())
+    index = index_captions(docs)
+    plans = term_plans(terms, index).withColumn("needed", F.ceil(F.col("total") * 0.8))
+    return matches_over(index, plans, plans.count())
 
 
 QUERIES["term_matches"] = _term_matches

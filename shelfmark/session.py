@@ -24,6 +24,8 @@ def local_session(app: str = "shelfmark", cores: str = "*", **conf) -> SparkSess
         # No stack trace for every column expression: plans are built twice as fast.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # Lists of a few values per key are hashed; the default sorts from 128 keys on.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -10,7 +10,7 @@ from shelfmark.functions.text import (
 )
 from shelfmark.operators import matching
 from shelfmark.operators.matching import (
-    held_terms, match_counts, matches_over, request_terms, term_hits, term_plans,
+    hits_among, index_captions, match_counts, matches_over, request_terms, term_hits, term_plans,
 )
 
 
@@ -60,8 +60,8 @@ def test_matches_are_those_over_the_threshold(spark, monkeypatch):
     asked = {f"q{i}": rng.choices([*words, "absent"], k=rng.randint(1, 7)) for i in range(40)}
     terms = request_terms(spark.createDataFrame(
         [(q, " ".join(t)) for q, t in asked.items()], "query_id string, text string"))
-    held = held_terms(spark.createDataFrame(
-        [(p, " ".join(t)) for p, t in captions.items()], "path string, caption string"), terms)
+    held = index_captions(spark.createDataFrame(
+        [(p, " ".join(t)) for p, t in captions.items()], "path string, caption string"))
     plans = term_plans(terms, held)
     pool = {(q, p) for q in asked for p in captions if rng.random() < .4}
     for share in (0.01, 0.4, 1.0):
@@ -80,6 +80,9 @@ def test_matches_are_those_over_the_threshold(spark, monkeypatch):
                     if q == r.query_id and (not q.endswith("3") or (q, p) in pool)]
             assert (r.full_count, r.partial_count) == (
                 sum(h == len(asked[r.query_id]) for h in mine), len(mine))
+    shown = spark.createDataFrame(sorted(pool), "query_id string, path string")
+    assert {(r.query_id, r.path): r.hits for r in hits_among(held, plans, 40, shown).collect()} == {
+        (q, p): h for q, p in pool if (h := sum(x in captions[p] for x in asked[q]))}
 
 
 def test_subjects_paths_ids(spark):
