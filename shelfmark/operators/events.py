@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions.dates import month_span
 from shelfmark.functions.text import clean_subject, padded_id
 from shelfmark.operators.filters import UNASSIGNED
+from shelfmark.operators.ranking import rank_within
+from shelfmark.session import materialize
 
 GAP_HOURS = 72.0
 NAME_SHARE = 0.6
@@ -29,8 +31,10 @@ def gap_sessions(
     width = int(gap_hours * 3_600_000_000)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     bucketed = rows.withColumn("_bucket", F.floor(micros / F.lit(width)))
-    edges = bucketed.groupBy(*by, "_bucket").agg(
+    edges = bucketed.filter("_bucket IS NOT NULL").groupBy(*by, "_bucket").agg(
         F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
+    if not by:
+        return bucketed.join(_one_order(edges, width, name), "_bucket").drop("_bucket")
     order = Window.partitionBy(*by).orderBy("_bucket")
     starts = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) > width, F.lit(True))
     numbered = (
@@ -41,6 +45,32 @@ def gap_sessions(
     return bucketed.join(numbered, [*by, "_bucket"]).drop("_bucket")
 
 
+def _one_order(edges: DataFrame, width: int, name: str) -> DataFrame:
+    """(_bucket, session) over all buckets: a prefix scan in two passes.
+
+    Ranges of buckets are numbered on their own; a range hands on its last
+    time and its number of sessions. One row per range, so at most as many as
+    there are shuffle partitions, is carried through the driver.
+    """
+    laid = materialize(
+        edges.repartitionByRange("_bucket").withColumn("_range", F.spark_partition_id()), "edges")
+    order = Window.partitionBy("_range").orderBy("_bucket")
+    starts = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) > width, F.lit(False))
+    local = laid.withColumn("_start", starts.cast("int")).withColumn(
+        "_local", F.sum("_start").over(order))
+    ranges = local.groupBy("_range").agg(
+        F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.sum("_start").alias("n"))
+    carried, session, last = [], 0, None
+    for row in sorted(ranges.collect(), key=lambda r: r["_range"]):
+        session += last is None or row["lo"] - last > width
+        carried.append((row["_range"], session))
+        session += row["n"]
+        last = row["hi"]
+    before = edges.sparkSession.createDataFrame(carried, "_range int, _before long")
+    return local.join(F.broadcast(before), "_range").select(
+        "_bucket", (F.col("_before") + F.col("_local")).cast("int").alias(name))
+
+
 def session_spans(
     rows: DataFrame, ts: str = "ts", gap_hours: float = GAP_HOURS, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -102,9 +132,11 @@ def build_events(catalog: DataFrame, gap_hours: float = GAP_HOURS) -> DataFrame:
     ``ts`` is the parsed capture time, NULL where unknown. Every row comes out
     once: dated, borrowed through its thread, or unassigned.
     """
-    dated = gap_sessions(catalog.filter("ts IS NOT NULL"), "ts", gap_hours, name="event")
-    undated = catalog.filter("ts IS NULL")
-    borrowed = thread_placement(dated.select("thread", "event"), undated)
+    # Both feed several of the tables below.
+    dated = materialize(
+        gap_sessions(catalog.filter("ts IS NOT NULL"), "ts", gap_hours, name="event"), "dated")
+    borrowed = materialize(thread_placement(
+        dated.select("thread", "event"), catalog.filter("ts IS NULL")), "borrowed")
     counts = borrowed.groupBy("event").agg(F.count("*").alias("borrowed"))
     names = event_names(dated).join(
         counts.filter("event IS NOT NULL"), "event", "left"
@@ -151,9 +183,9 @@ def event_index(rows: DataFrame) -> DataFrame:
 def event_roster(index: DataFrame) -> DataFrame:
     """Events with their list order: unassigned first, then newest first.
 
-    ``place`` is dense over the events, which number at most span / gap + 1.
+    ``place`` is dense over the events; it is numbered range by range.
     """
-    order = Window.orderBy(
-        F.desc(F.col("event_id") == UNASSIGNED),
-        F.desc(F.coalesce(F.col("start").cast("string"), F.lit(""))), F.col("event_id"))
-    return index.withColumn("place", F.row_number().over(order))
+    order = [F.desc(F.col("event_id") == UNASSIGNED),
+             F.desc(F.coalesce(F.col("start").cast("string"), F.lit(""))), F.col("event_id")]
+    return rank_within(materialize(index, "index"), [], order, "place").withColumn(
+        "place", F.col("place").cast("int"))

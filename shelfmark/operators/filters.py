@@ -165,18 +165,53 @@ def images_with_all(wanted: DataFrame, members: DataFrame) -> DataFrame:
     ``wanted`` is (query_id, name), ``members`` (name, path). Asking for one
     name twice asks for it once.
     """
-    asked = wanted.select("query_id", "name").distinct()
-    needed = asked.groupBy("query_id").agg(F.count("*").alias("_need"))
+    asked = _with_need(wanted.select("query_id", "name").distinct())
     return (
         asked.join(members.select("name", "path").distinct(), "name")
         .groupBy("query_id", "path")
-        .agg(F.count("*").alias("_have"))
-        .join(needed, "query_id")
+        .agg(F.count("*").alias("_have"), F.max("_need").alias("_need"))
         .filter(F.col("_have") == F.col("_need"))
         .select("query_id", "path")
     )
 
 
+def _with_need(asked: DataFrame) -> DataFrame:
+    """``asked`` with the number of its rows per request, which then travels with them.
+
+    Only request rows meet here; whoever is in most paths meets them by name.
+    """
+    needed = asked.groupBy("query_id").agg(F.count("*").alias("_need"))
+    return asked.join(needed, "query_id")
+
+
+def filter_pool(
+    persons: DataFrame, members: DataFrame, chosen: DataFrame, event_members: DataFrame
+) -> DataFrame:
+    """(query_id, path) that hold all of a request's persons and lie in any of its events.
+
+    ``persons`` is (query_id, name), ``chosen`` (query_id, event_id). What a
+    request needs (each person, and one of its events) is counted on the
+    request rows and carried through the matches into one aggregate, so no
+    pool is joined by its request.
+    """
+    person = persons.select("query_id", "name", F.lit(None).cast("string").alias("event_id"))
+    event = chosen.select("query_id", F.lit(None).cast("string").alias("name"), "event_id")
+    asked = person.unionByName(event).distinct()
+    need = asked.groupBy("query_id").agg(
+        (F.count("name") + F.max(F.col("event_id").isNotNull().cast("int"))).alias("_need"))
+    asked = asked.join(need, "query_id")
+    one, zero = F.lit(1), F.lit(0)
+    found = asked.filter("name IS NOT NULL").join(
+        members.select("name", "path").distinct(), "name").select(
+        "query_id", "path", "_need", one.alias("_p"), zero.alias("_e")).unionByName(
+        asked.filter("event_id IS NOT NULL").join(
+            event_members.select("event_id", "path"), "event_id").select(
+            "query_id", "path", "_need", zero.alias("_p"), one.alias("_e")))
+    return found.groupBy("query_id", "path").agg(
+        (F.sum("_p") + F.max("_e")).alias("_have"), F.max("_need").alias("_need")
+    ).filter(F.col("_have") == F.col("_need")).select("query_id", "path")
+
+
 def images_in_any(wanted: DataFrame, members: DataFrame) -> DataFrame:
     """(query_id, path) in any wanted event; ``members`` is (event_id, path)."""
     return (

@@ -43,14 +43,23 @@ def rank_within(
     sizes = spread.groupBy(*by, "_chunk").agg(
         F.count("*").alias("_n"), F.min("_slot").alias("_first")
     )
-    earlier = (
-        Window.partitionBy(*by).orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        *by, "_chunk", "_first",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-    )
+    if by:
+        earlier = (
+            Window.partitionBy(*by).orderBy("_chunk")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        offsets = sizes.select(
+            *by, "_chunk", "_first",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        )
+    else:
+        # One order: its chunks, one row per partition, are added up by the driver.
+        found, before = [], 0
+        for row in sorted(sizes.collect(), key=lambda r: r["_chunk"]):
+            found.append((row["_chunk"], row["_first"], before))
+            before += row["_n"]
+        offsets = df.sparkSession.createDataFrame(
+            found, "_chunk long, _first long, _before long")
     if few_groups or not by:
         offsets = F.broadcast(offsets)  # groups + partitions rows at most
     ordinal = F.col("_slot") - F.col("_first") + F.col("_before") + 1

@@ -12,9 +12,9 @@ from shelfmark.operators.audit import regression_report
 from shelfmark.operators.catalog import with_records
 from shelfmark.operators.enrich import output_rows, run_enricher, scanned_rows, todo
 from shelfmark.operators.filters import (
-    combine_pools, filter_counts, images_in_any, images_with_all, resolve_events,
-    resolve_names,
+    filter_counts, filter_pool, resolve_events, resolve_names,
 )
+from shelfmark.operators.ranking import rank_within
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.search import Corpus, Options, Outcome, search, shown_ranks
 from shelfmark.session import materialize
@@ -55,9 +55,7 @@ def resolve_filters(
         "query_id", "at", F.col("resolved").alias("name"))
     chosen = good.filter("`as` = 'event'").select(
         "query_id", "at", F.col("resolved").alias("event_id"))
-    pool = combine_pools(
-        persons, images_with_all(persons, members), chosen,
-        images_in_any(chosen, event_members))
+    pool = filter_pool(persons, members, chosen, event_members)
     titled = chosen.join(events.select("event_id", F.col("name").alias("title")), "event_id")
 
     def listed(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -120,6 +118,23 @@ def search_payload(
     return with_records(outcome.results.join(ranks, ["query_id", "path"], "left"), items)
 
 
+def payload_heads(outcome: Outcome, requests: DataFrame) -> DataFrame:
+    """One row per request: its summary, and how many images each of its filters holds.
+
+    ``requests`` is what ``resolve_filters`` returns, or any table with
+    query_id, person_counts and event_counts (maps).
+    """
+    return outcome.summary.join(
+        requests.select("query_id", "person_counts", "event_counts"), "query_id", "left")
+
+
+def payload_trimmed(outcome: Outcome, items: DataFrame) -> DataFrame:
+    """(query_id, place, path, score, record ...) of the rows cut from a matched set, best first."""
+    ranked = rank_within(materialize(outcome.trimmed, "trimmed"), ["query_id"],
+                         [F.desc("score"), F.col("path")], "place")
+    return with_records(ranked, items)
+
+
 def result_captions(outcome: Outcome, captions: DataFrame) -> DataFrame:
     """Result rows with the caption they were matched by."""
     return outcome.results.join(captions.select("path", "caption"), "path", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import base_name, caption_terms, content_terms
 from shelfmark.operators.audit import regression_files, regression_report
 from shelfmark.operators.filters import (
-    combine_pools, event_candidates, filter_counts, images_in_any, images_with_all,
+    combine_pools, event_candidates, filter_counts, filter_pool, images_in_any, images_with_all,
     name_candidates, resolve_events, resolve_names,
 )
 from shelfmark.operators.matching import (
@@ -19,7 +19,8 @@ from shelfmark.operators.ranking import (
 from shelfmark.operators.splits import best_rows, request_blocks
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.report import (
-    answer_requests, regression_run, result_captions, search_payload,
+    answer_requests, payload_heads, payload_trimmed, regression_run, result_captions,
+    search_payload,
 )
 from shelfmark.plans.search import Options, modality_ranks, prepare_requests, search
 from shelfmark.registry import base
@@ -158,6 +159,14 @@ QUERIES["person_intersection"] = lambda spark, sf: _pools(spark, sf)[1]
 ORACLE["person_intersection"] = _SQL_MODEL + "SELECT query_id, path FROM person_pool"
 QUERIES["event_union"] = lambda spark, sf: _pools(spark, sf)[3]
 ORACLE["event_union"] = _SQL_MODEL + "SELECT query_id, path FROM event_pool"
+def _filter_pool(spark, sf):
+    people = spark.createDataFrame(_PEOPLE, "query_id string, name string")
+    trips = spark.createDataFrame(_TRIPS, "query_id string, event_id string")
+    return filter_pool(people, base.members(spark, sf), trips, base.source_events(spark, sf))
+
+
+QUERIES["filter_pool"] = _filter_pool
+ORACLE["filter_pool"] = _SQL_MODEL + "SELECT query_id, path FROM pool"
 QUERIES["filter_combine"] = lambda spark, sf: combine_pools(*_pools(spark, sf))
 ORACLE["filter_combine"] = _SQL_MODEL + "SELECT query_id, path FROM pool"
 
@@ -273,6 +282,77 @@ ORACLE["search_empty_pool"] = base.sql_search(
     "low_confidence FROM summary")
 
 
+# What filters say about themselves: typed names, sentences, counts.
+_NAMED = [("both", "", ["Guest 001", "Guest 002"], []), ("mixed", "that", ["Guest 003"], ["Trip A"]),
+          ("trips", "people", [], ["Trip A", "Trip B"]), ("apart", "", ["Guest 001"], ["Trip A"]),
+          ("nobody", "that", ["Guest 999"], [])]
+
+
+def _heads(spark, sf):
+    """Summaries with their sentences and the image count of every filter."""
+    named = spark.createDataFrame(
+        _NAMED, "query_id string, text string, people array<string>, event_names array<string>")
+    asked = base.requests(spark, sf, [{"query_id": r[0], "text": r[1]} for r in _NAMED]).drop(
+        "text").join(named, "query_id").withColumn("has_filter", F.lit(True))
+    people = spark.createDataFrame(_PEOPLE, "query_id string, name string")
+    trips = spark.createDataFrame(_TRIPS, "query_id string, event_id string")
+    members, joined = base.members(spark, sf), base.source_events(spark, sf)
+    out = search(asked, base.corpus(spark, sf), filter_pool(people, members, trips, joined))
+    counts = asked.join(
+        filter_counts(people, members, "name").withColumnRenamed("counts", "person_counts"),
+        "query_id", "left").join(
+        filter_counts(trips, joined, "event_id").withColumnRenamed("counts", "event_counts"),
+        "query_id", "left")
+    entries = [F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), "|").alias(c)
+        for c in ("person_counts", "event_counts")]
+    return payload_heads(out, counts).select(
+        "query_id", "basis_kind", "basis", "pool_size", *entries)
+
+
+QUERIES["search_heads"] = _heads
+_SQL_NAMED = ", ".join(f"('{q}', '{t}', {p}, {e})" for q, t, p, e in (
+    (q, t, f"{p}::VARCHAR[]", f"{e}::VARCHAR[]") for q, t, p, e in _NAMED))
+# The sentences must read as the search itself words them.
+ORACLE["search_heads"] = base.sql_search(_SQL_POOLS + ", " + base.sql_requests(
+    [{"query_id": r[0], "text": r[1]} for r in _NAMED], "true"), "pool") + f""",
+named(query_id, words, people, trips) AS (VALUES {_SQL_NAMED}),
+pc AS (SELECT query_id, string_agg(name || '=' || n, '|' ORDER BY name) AS person_counts FROM (
+  SELECT w.query_id, w.name, count(DISTINCT path) AS n FROM wanted w JOIN members USING (name)
+  GROUP BY ALL) GROUP BY ALL),
+ec AS (SELECT query_id, string_agg(event_id || '=' || n, '|' ORDER BY event_id) AS event_counts
+  FROM (SELECT t.query_id, t.event_id, count(DISTINCT path) AS n FROM trips t
+  JOIN source_events USING (event_id) GROUP BY ALL) GROUP BY ALL)
+SELECT query_id, basis_kind, CASE basis_kind
+    WHEN 'filter_only' THEN 'There is no query text, so this is everything matching '
+      || array_to_string(list_filter([array_to_string(people, ' and '),
+        array_to_string(n.trips, ' or ')], lambda s: s <> ''), ', within ') || ', in catalog order.'
+    WHEN 'empty_pool' THEN 'Nothing matches this filter, so there was nothing to search.'
+    WHEN 'full_match' THEN 'Every caption here mentions the query term.'
+    ELSE 'No caption mentions these terms, so these are the closest images by score, cut where '
+      || 'the similarity gradient flattens.' END AS basis,
+  pool_size, person_counts, event_counts
+FROM summary JOIN named n USING (query_id) LEFT JOIN pc USING (query_id)
+LEFT JOIN ec USING (query_id)"""
+
+
+def _trimmed(spark, sf):
+    """What trimming cut from a matched set, with records."""
+    asked = base.requests(spark, sf, [_TEXTS["search_trim"]])
+    items = base.documents(spark, sf).select(
+        "pos", "path", F.sha2("text", 256).alias("sha256"), F.col("lang").alias("filename"),
+        F.lit("").alias("caption"))
+    rows = payload_trimmed(search(asked, base.corpus(spark, sf)), items)
+    return rows.select("query_id", "place", "path", F.round("score", 6).alias("score"), "sha256")
+
+
+QUERIES["search_trimmed"] = _trimmed
+ORACLE["search_trimmed"] = ORACLE["search_trim"].removesuffix(_SHOWN) + """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS place, path,
+  round(score, 6) AS score, sha256(text) AS sha256
+FROM flagged JOIN docs USING (path) WHERE trimmed"""
+
+
 # -- the parts of a search -------------------------------------------------------
 
 def _terms(spark, sf):

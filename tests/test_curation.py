@@ -61,6 +61,32 @@ def test_sessions_match_a_sorted_scan(spark):
             assert got[i] == session
 
 
+def test_one_order_is_numbered_range_by_range(spark):
+    rng = random.Random(6)
+    times, now = [], 0
+    for _ in range(3000):
+        now += rng.choice([600, 3_000, 30_000, 90_000, 400_000])
+        times += [now] * rng.choice([1, 1, 3])
+    rows = [(i, t) for i, t in enumerate(times)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id long, at long").repartition(9).select(
+        "id", F.timestamp_seconds("at").alias("ts"))
+    found = gap_sessions(df, "ts", 20.0)
+    want, session, last = {}, 0, None
+    for i, t in enumerate(times):
+        session += last is None or t - last > 20 * 3600
+        want[i], last = session, t
+    assert {r.id: r.session for r in found.collect()} == want
+    assert "SinglePartition" not in found._jdf.queryExecution().toString()
+    roster = event_roster(spark.createDataFrame(
+        [(f"e{i:03d}", str(2000 + i % 50)) for i in range(500)] + [("unassigned", None)],
+        "event_id string, start string"))
+    assert "SinglePartition" not in roster._jdf.queryExecution().toString()
+    got = [r.event_id for r in roster.orderBy("place").collect()]
+    assert got == ["unassigned", *sorted((f"e{i:03d}" for i in range(500)),
+                                         key=lambda e: (-(int(e[1:]) % 50), e))]
+    assert gap_sessions(df.filter("id < 0"), "ts").count() == 0
+
+
 def test_event_build(spark):
     def row(pos, hours, subject, thread):
         ts = None if hours is None else T0 + timedelta(hours=hours)

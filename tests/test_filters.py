@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators.filters import (
-    combine_pools, images_in_any, images_with_all, resolve_events, resolve_names,
+    combine_pools, filter_pool, images_in_any, images_with_all, resolve_events, resolve_names,
 )
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.report import answer_requests, resolve_filters, search_payload
@@ -192,3 +192,30 @@ def test_resolve_filters_counts(spark, logbook):
     assert row.event_counts == {"Spring Regatta": 15}
     assert {int(r.path[1:]) for r in pool.collect()} == people["Marta Okonjo"] & races["r-07"]
     assert problems.count() == 0
+
+
+def test_one_pool_equals_both_pools(spark):
+    rng = random.Random(4)
+    members = [(f"n{rng.randint(0, 4)}", f"p{rng.randint(0, 60)}") for _ in range(300)]
+    members += [("hot", f"p{i}") for i in range(60)]
+    trips = [(f"e{rng.randint(0, 5)}", f"p{i}") for i in range(60)]
+    persons = [(f"q{rng.randint(0, 20)}", rng.choice(["n0", "n1", "n2", "hot", "nobody"]))
+               for _ in range(30)]
+    chosen = [(f"q{rng.randint(0, 20)}", f"e{rng.randint(0, 6)}") for _ in range(30)]
+    has, lies = {}, {}
+    for name, path in members:
+        has.setdefault(path, set()).add(name)
+    for event, path in trips:
+        lies.setdefault(path, set()).add(event)
+    want = set()
+    for q in {q for q, _ in persons + chosen}:
+        names, events = {n for k, n in persons if k == q}, {e for k, e in chosen if k == q}
+        want |= {(q, f"p{i}") for i in range(61) if names <= has.get(f"p{i}", set())
+                 and (not events or events & lies.get(f"p{i}", set()))}
+    pool = filter_pool(
+        spark.createDataFrame(persons, "query_id string, name string"),
+        spark.createDataFrame(members, "name string, path string"),
+        spark.createDataFrame(chosen, "query_id string, event_id string"),
+        spark.createDataFrame(trips, "event_id string, path string"))
+    got = [tuple(r) for r in pool.collect()]
+    assert len(got) == len(want) and set(got) == want
