@@ -1,11 +1,14 @@
 """Exact cosine self-join, and density clustering on top of it.
 
-Vectors are split into cells around pivots. For unit vectors within chord
-length r, the far one lies at most r beyond the plane halfway between its own
-pivot and the other's, so a vector visits just the cells it can reach; where the
-geometry allows no pruning this becomes plain block-by-block comparison. Cells
-are cut into blocks, so a crowded cell is many tasks of bounded size, and equal
-vectors are compared once.
+Vectors are laid out as a tree of three levels: cells around pivots, chunks of
+a cell that fit a task, and blocks that a task cuts from its chunk by halving
+it between far points. Every level has a centre and the greatest angle to it
+(a cap), and each vector is stored once, in its block. Two caps whose centres
+lie further apart than both radii and the threshold's angle hold no pair, so
+cells rule out cells, chunks then rule out blocks, and only the blocks that are
+left are brought together, one row each. This is exact at every size; where
+the geometry allows no pruning it becomes plain block-by-block comparison.
+Equal vectors are compared once.
 """
 
 from __future__ import annotations
@@ -14,22 +17,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.components import connected_components, star_forest, thin_edges
 from shelfmark.session import materialize, spread
 
-BLOCK = 2_048  # vectors per side of one comparison task
-MAX_PIVOTS = 1_024  # of one clustering; they travel with the tasks
+BLOCK = 1_024  # vectors in a block
+CHUNK_BLOCKS = 32  # blocks that a task cuts from one chunk
+PIVOTS = 1_024  # the first level is that wide at most; the levels below it grow with the data
 
 COSINE = 0.92
 EPS = 0.45
 MIN_SAMPLES = 3
 
-_SLACK = 1e-9
-_TASK = ["cell", "kind", "i", "j"]
+_SLACK = 1e-6  # of angles, far above their rounding
 
 
 def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -53,120 +55,195 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     ).select("id", "vec", "copies", "_k1", "_k2")
 
 
-def place(vectors: DataFrame, threshold: float, cells: int | None = None,
-          block: int = BLOCK) -> DataFrame:
-    """Comparison tasks: (cell, kind, i, j, left, id, vec, copies).
-
-    Every pair at or above ``threshold`` meets in exactly one task. ``kind`` 0
-    compares two blocks of a cell's own vectors, 1 a block of its own with a
-    block of visitors from higher cells. Cells grow with the vectors: beyond
-    MAX_PIVOTS a second, independent set of pivots is crossed with the first.
-    """
-    if cells is None:
-        cells = math.ceil(vectors.count() / block)
-    layers = 1 if cells <= MAX_PIVOTS else 2
-    each = max(1, cells if layers == 1 else min(MAX_PIVOTS, math.ceil(math.sqrt(cells))))
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(layers * each).select("vec").collect()
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _cap(unit: np.ndarray) -> tuple[np.ndarray, float]:
+    """A centre of the rows and the greatest angle to it."""
+    middle = unit.sum(axis=0)
+    length = np.sqrt((middle * middle).sum())
+    centre = middle / length if length > 0 else unit[0]
+    return centre, float(_angles(unit @ centre).max())
+
+
+def cut_blocks(unit: np.ndarray, block: int) -> list[np.ndarray]:
+    """Row numbers of blocks of at most ``block`` rows, parted between far points."""
+    done, stack = [], [np.arange(len(unit))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= block:
+            done.append(rows)
+            continue
+        own = unit[rows]
+        one = own[(own @ own[0]).argmin()]
+        other = own[(own @ one).argmin()]
+        lean = own @ (other - one)
+        nearer = lean > 0
+        if min(nearer.sum(), len(rows) - nearer.sum()) < len(rows) // 8:
+            nearer = np.zeros(len(rows), bool)  # too uneven: half of them
+            nearer[np.argpartition(lean, len(rows) // 2)[len(rows) // 2:]] = True
+        stack += [rows[nearer], rows[~nearer]]
+    return done
+
+
+def _pivots(vectors: DataFrame, cells: int) -> np.ndarray:
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()
     raw = np.array([row["vec"] for row in picked], dtype=np.float64).reshape(len(picked), -1)
     length = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-    pivots = raw / np.where(length == 0, 1.0, length)
-    # Chord length of the threshold; everything is in reach at -1.
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-    sets = [pivots[i::layers] for i in range(layers) if len(pivots[i::layers])]
-    gaps = [np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T))) for p in sets]
-
-    def cells_of(unit):
-        """Home cell of each row, and (row, cell) of every lower cell in reach."""
-        home = np.zeros(len(unit), np.int64)
-        row, cell = np.arange(len(unit)), np.zeros(len(unit), np.int64)
-        for p, gap in zip(sets, gaps):
-            near = unit @ p.T
-            best = near.argmax(axis=1)
-            own = near[np.arange(len(best)), best]
-            seen = (own[:, None] - near) <= reach * gap[best] + _SLACK
-            seen[np.arange(len(best)), best] = True
-            at, which = np.nonzero(seen[row])
-            home, row, cell = home * len(p) + best, row[at], cell[at] * len(p) + which
-        lower = cell < home[row]
-        return home, row[lower], cell[lower]
+    return raw / np.where(length == 0, 1.0, length)
+
+
+def _layout(vectors: DataFrame, cells: int, block: int) -> tuple[DataFrame, np.ndarray]:
+    """(blocks, pivots): one row per block (cell, chunk, block, centre, radius, away, its vectors).
+
+    ``away`` is the greatest angle of its vectors to the cell's pivot.
+    """
+    pivots = _pivots(vectors, cells)
 
     def assign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, row, cell = cells_of(_unit_rows(batch.column("vec")))
-            rows = np.concatenate([np.arange(len(home)), row])
-            cell = np.concatenate([home, cell])
-            guest = np.arange(len(rows)) >= len(home)
-            taken = batch.take(pa.array(rows))
+            near = _unit_rows(batch.column("vec")) @ pivots.T
+            best = near.argmax(axis=1)
+            away = _angles(near[np.arange(len(best)), best])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell), pa.array(guest), *taken.columns],
-                names=["cell", "guest", "id", "vec", "copies"],
-            )
+                [pa.array(best), pa.array(away), *batch.columns],
+                names=["cell", "away", "id", "vec", "copies"])
 
     kind = dict(vectors.dtypes)["vec"]
     placed = materialize(
         vectors.select(F.col("id").cast("long"), "vec", F.col("copies").cast("long"))
-        .mapInArrow(assign, f"cell long, guest boolean, id long, vec {kind}, copies long"),
-        "cells",
-    )
+        .mapInArrow(assign, f"cell long, away double, id long, vec {kind}, copies long"), "cells")
     sizes = placed.groupBy("cell").agg(
-        F.count_if(~F.col("guest")).alias("_own"), F.count_if("guest").alias("_guests")
-    ).select(
-        "cell",
-        *[F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(k)
-          for c, k in (("_own", "ko"), ("_guests", "kg"))],
-        (F.col("_guests") > 0).alias("_visited"),
-    )
-    rows = placed.join(sizes, "cell").withColumn(
-        "blk",
-        F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("kg")).otherwise(F.col("ko")))
-        .cast("int"),
-    )
-
-    def upto(n):
-        return F.sequence(F.lit(0), n - 1)
-
-    def task(kind, i, j, left):
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"),
-                        left.alias("left"))
-
-    blk = F.col("blk")
-    own_pairs = F.transform(upto(F.col("ko")), lambda o: task(
-        0, F.least(blk, o), F.greatest(blk, o), blk <= o))
-    own_guests = F.when(F.col("_visited"), F.transform(
-        upto(F.col("kg")), lambda g: task(1, blk, g, F.lit(True))))
-    guests = F.transform(upto(F.col("ko")), lambda o: task(1, o, blk, F.lit(False)))
-    tasks = F.when(F.col("guest"), guests).otherwise(
-        F.concat(own_pairs, F.coalesce(own_guests, F.slice(own_pairs, 1, 0))))
-    out = rows.select("cell", F.explode(tasks).alias("_t"), "id", "vec", "copies").select(
-        "cell", "_t.kind", "_t.i", "_t.j", "_t.left", "id", "vec", "copies")
-    return spread(out, *_TASK)
-
-
-def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
-    """Left and right rows of a task, and whether it is a block with itself."""
-    left = table.filter(table.column("left"))
-    right = table.filter(pc.invert(table.column("left")))
-    same = table.column("kind")[0].as_py() == 0 and (
-        table.column("i")[0].as_py() == table.column("j")[0].as_py())
-    return left, (left if same else right), same
-
-
-def _meets(left: pa.Table, right: pa.Table, same: bool, threshold: float):
-    if not left.num_rows or not right.num_rows:
-        empty = np.empty(0, dtype=np.int64)
-        return empty, empty, np.empty(0)
-    sims = _unit_rows(left.column("vec")) @ _unit_rows(right.column("vec")).T
-    hit = sims >= threshold
-    if same:
-        hit = np.triu(hit, 1)
-    a, b = np.nonzero(hit)
-    return a, b, sims[a, b]
-
-
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy()
+        F.ceil(F.count("*") / (block * CHUNK_BLOCKS)).alias("_chunks"))
+    dealt = placed.join(sizes, "cell").withColumn(
+        "chunk", F.pmod(F.xxhash64("id"), F.col("_chunks"))).drop("_chunks")
+
+    def pack(table: pa.Table) -> pa.Table:
+        unit, away = _unit_rows(table.column("vec")), table.column("away").to_numpy()
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        cell, chunk = table.column("cell")[0].as_py(), table.column("chunk")[0].as_py()
+        rows = []
+        for i, own in enumerate(cut_blocks(unit, block)):
+            centre, radius = _cap(unit[own])
+            rows.append({
+                "cell": cell, "chunk": chunk, "block": (cell << 48) + (chunk << 16) + i,
+                "centre": centre.tobytes(), "radius": radius, "away": float(away[own].max()),
+                "ids": ids[own].astype("<i8").tobytes(),
+                "copies": copies[own].astype("<i8").tobytes(), "unit": unit[own].tobytes()})
+        return pa.Table.from_pylist(rows, schema=layout)
+
+    layout = pa.schema([("cell", pa.int64()), ("chunk", pa.int64()), ("block", pa.int64()),
+                        ("centre", pa.binary()), ("radius", pa.float64()), ("away", pa.float64()),
+                        ("ids", pa.binary()), ("copies", pa.binary()), ("unit", pa.binary())])
+    # A chunk is some CHUNK_BLOCKS blocks, whatever a cell's share of all vectors.
+    blocks = spread(dealt, "cell", "chunk").groupBy("cell", "chunk").applyInArrow(
+        pack, "cell long, chunk long, block long, centre binary, radius double, away double, "
+              "ids binary, copies binary, unit binary")
+    return materialize(blocks, "blocks"), pivots
+
+
+def near_blocks(blocks: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): the pairs of blocks, a <= b, that may hold a pair at the threshold.
+
+    Cells are compared by their caps first (at most PIVOTS of them, on the
+    driver), then the blocks of two chunks at once.
+    """
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + _SLACK
+    spark = blocks.sparkSession
+    radius = np.full(len(pivots), -np.inf)
+    for row in blocks.groupBy("cell").agg(F.max("away").alias("away")).collect():
+        radius[row["cell"]] = row["away"]
+    apart = _angles(pivots @ pivots.T) if len(pivots) else np.zeros((0, 0))
+    one, two = np.nonzero(np.triu(apart <= radius[:, None] + radius[None, :] + reach))
+    pairs = spark.createDataFrame(
+        pa.table({"cell_a": pa.array(one, pa.int64()), "cell_b": pa.array(two, pa.int64())}))
+    chunks = blocks.groupBy("cell", "chunk").agg(F.collect_list(
+        F.struct("block", "radius", "centre")).alias("caps"))
+
+    def side(name: str) -> DataFrame:
+        return chunks.select(*(F.col(c).alias(f"{c}_{name}") for c in ("cell", "chunk", "caps")))
+
+    met = pairs.join(side("a"), "cell_a").join(side("b"), "cell_b").filter(
+        "cell_a < cell_b OR chunk_a <= chunk_b")
+
+    def caps(scalar):
+        rows = scalar.as_py()
+        return (np.array([r["block"] for r in rows]), np.array([r["radius"] for r in rows]),
+                np.array([np.frombuffer(r["centre"]) for r in rows]))
+
+    def kernel(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, ra, ca), (b, rb, cb) = (caps(batch.column(c)[i]) for c in ("caps_a", "caps_b"))
+                near = _angles(ca @ cb.T) <= ra[:, None] + rb[None, :] + reach
+                at, to = np.nonzero(near)
+                keep = np.full(len(at), True) if (a[0] >> 16) != (b[0] >> 16) else a[at] <= b[to]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[at][keep]), pa.array(b[to][keep])], names=["a", "b"])
+
+    return met.select("caps_a", "caps_b").mapInArrow(kernel, "a long, b long")
+
+
+class _Vectors:
+    def __init__(self, row: dict, side: str):
+        self.ids, self.copies = (
+            np.frombuffer(row[f"{c}_{side}"], "<i8") for c in ("ids", "copies"))
+        self.unit = np.frombuffer(row[f"unit_{side}"]).reshape(len(self.ids), -1)
+        core = row.get(f"core_{side}")
+        self.core = None if core is None else np.frombuffer(core, bool)
+
+
+class Layout:
+    """Blocks of a table of distinct vectors and the pairs of blocks that have to be compared."""
+
+    def __init__(self, vectors: DataFrame, threshold: float, cells: int | None = None,
+                 block: int = BLOCK):
+        if threshold > 0:  # vectors without a direction are near to nothing
+            vectors = vectors.filter(F.exists("vec", lambda x: x != 0))
+        if cells is None:
+            cells = min(PIVOTS, math.ceil(vectors.count() / block))
+        self.threshold = threshold
+        self.blocks, pivots = _layout(vectors, cells, block)
+        self.pairs = materialize(near_blocks(self.blocks, pivots, threshold), "pairs")
+
+    def compared(self) -> tuple[int, int]:
+        """(pairs of blocks that are compared, all there are)."""
+        n = self.blocks.count()
+        return self.pairs.count(), n * (n + 1) // 2
+
+    def meet(self, kernel, schema: str, extra: DataFrame | None = None) -> DataFrame:
+        """``kernel(left, right, at, to, cosines)`` over the pairs at or above the threshold.
+
+        A block is sent once for each of its pairs, as one row. ``extra`` adds
+        a column ``core`` by block.
+        """
+        blocks = self.blocks.select("block", "ids", "copies", "unit")
+        columns = ["ids", "copies", "unit"]
+        if extra is not None:
+            blocks, columns = blocks.join(extra, "block"), [*columns, "core"]
+
+        def side(name: str) -> DataFrame:
+            return blocks.select(F.col("block").alias(name),
+                                 *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    left, right = _Vectors(row, "a"), _Vectors(row, "b")
+                    cosines = left.unit @ right.unit.T
+                    hit = cosines >= self_threshold
+                    if row["a"] == row["b"]:
+                        hit = np.triu(hit, 1)
+                    at, to = np.nonzero(hit)
+                    yield from kernel(left, right, at, to, cosines[at, to])
+
+        self_threshold = self.threshold
+        met = self.pairs.join(side("a"), "a").join(side("b"), "b")
+        return spread(met, "a", "b").mapInArrow(run, schema)
 
 
 def cosine_pairs(
@@ -176,16 +253,13 @@ def cosine_pairs(
 
     ``rows`` is (id: BIGINT, vec), ids of distinct vectors; ``src < dst``.
     """
-    def kernel(table: pa.Table) -> pa.Table:
-        left, right, same = _sides(table)
-        a, b, sims = _meets(left, right, same, threshold)
-        one, two = _numbers(left, "id")[a], _numbers(right, "id")[b]
-        return pa.table({
-            "src": np.minimum(one, two), "dst": np.maximum(one, two), "sim": sims})
+    def kernel(left, right, at, to, cosines):
+        one, two = left.ids[at], right.ids[to]
+        yield pa.RecordBatch.from_pydict({
+            "src": np.minimum(one, two), "dst": np.maximum(one, two), "sim": cosines})
 
     vectors = rows.select("id", "vec", F.lit(1).alias("copies"))
-    return place(vectors, threshold, cells, block).groupBy(*_TASK).applyInArrow(
-        kernel, "src long, dst long, sim double")
+    return Layout(vectors, threshold, cells, block).meet(kernel, "src long, dst long, sim double")
 
 
 def cosine_edges(
@@ -205,55 +279,58 @@ def cosine_edges(
     return stars.unionByName(thin_edges(pairs.select("src", "dst")))
 
 
-def neighbour_counts(
-    placed: DataFrame, vectors: DataFrame, threshold: float
-) -> DataFrame:
+def neighbour_counts(layout: Layout, vectors: DataFrame) -> DataFrame:
     """(id, neighbours): rows within the threshold, itself and copies included."""
-    def kernel(table: pa.Table) -> pa.Table:
-        left, right, same = _sides(table)
-        a, b, _ = _meets(left, right, same, threshold)
-        ids, counts = [], []
-        for mine, other, at, to in ((left, right, a, b), (right, left, b, a)):
-            if not mine.num_rows:
-                continue
-            total = np.bincount(at, weights=_numbers(other, "copies")[to].astype(float),
-                                minlength=mine.num_rows).astype(np.int64)
+    def kernel(left, right, at, to, cosines):
+        for mine, other, one, two in ((left, right, at, to), (right, left, to, at)):
+            total = np.bincount(one, weights=other.copies[two].astype(float),
+                                minlength=len(mine.ids)).astype(np.int64)
             seen = total > 0
-            ids.append(_numbers(mine, "id")[seen])
-            counts.append(total[seen])
-        if not ids:
-            ids, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        return pa.table({"id": np.concatenate(ids), "n": np.concatenate(counts)})
+            yield pa.RecordBatch.from_pydict({"id": mine.ids[seen], "n": total[seen]})
 
-    partial = placed.groupBy(*_TASK).applyInArrow(kernel, "id long, n long")
     own = vectors.select("id", F.col("copies").cast("long").alias("n"))
-    return partial.unionByName(own).groupBy("id").agg(F.sum("n").alias("neighbours"))
+    return layout.meet(kernel, "id long, n long").unionByName(own).groupBy("id").agg(
+        F.sum("n").alias("neighbours"))
+
+
+def _core_bits(layout: Layout, cores: DataFrame) -> DataFrame:
+    """(block, core): which of a block's vectors are core, a byte each in their order."""
+    def members(batches):
+        for batch in batches:
+            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(ids, "<i8")
+                yield pa.RecordBatch.from_pydict({
+                    "block": np.full(len(own), block), "at": np.arange(len(own)), "id": own})
+
+    spots = layout.blocks.select("block", "ids").mapInArrow(
+        members, "block long, at long, id long")
+    bit = F.when(F.col("core"), F.lit(b"\1")).otherwise(F.lit(b"\0"))
+    listed = spots.join(cores, "id").groupBy("block").agg(  # as many as a block holds
+        F.array_sort(F.collect_list(F.struct("at", bit.alias("bit")))).alias("_bits"))
+    return listed.select("block", F.aggregate(
+        "_bits", F.lit(b""), lambda all_, one: F.concat(all_, one["bit"])).alias("core"))
 
 
-def _density_links(placed: DataFrame, cores: DataFrame, threshold: float) -> DataFrame:
+def _density_links(layout: Layout, cores: DataFrame) -> DataFrame:
     """(src, dst, border): core-core links, thinned later, and border-core pairs.
 
     A border row has fewer than min_samples neighbours, so its pairs are few.
     """
-    def kernel(table: pa.Table) -> pa.Table:
-        left, right, same = _sides(table)
-        a, b, _ = _meets(left, right, same, threshold)
-        one, two = _numbers(left, "id")[a], _numbers(right, "id")[b]
-        core_a = left.column("core").to_numpy(zero_copy_only=False).astype(bool)[a]
-        core_b = right.column("core").to_numpy(zero_copy_only=False).astype(bool)[b]
+    def kernel(left, right, at, to, cosines):
+        one, two = left.ids[at], right.ids[to]
+        core_a, core_b = left.core[at], right.core[to]
         both = np.flatnonzero(core_a & core_b)
         low, node = star_forest(one[both], two[both])
         edge = np.flatnonzero(core_a != core_b)
         outer = np.where(core_a[edge], two[edge], one[edge])
         inner = np.where(core_a[edge], one[edge], two[edge])
-        return pa.table({
+        yield pa.RecordBatch.from_pydict({
             "src": np.concatenate([low, outer]),
             "dst": np.concatenate([node, inner]),
             "border": np.concatenate([np.zeros(len(low), bool), np.ones(len(edge), bool)]),
         })
 
-    flagged = placed.join(cores, "id").select(*_TASK, "left", "id", "vec", "copies", "core")
-    return spread(flagged, *_TASK).groupBy(*_TASK).applyInArrow(kernel, "src long, dst long, border boolean")
+    return layout.meet(kernel, "src long, dst long, border boolean", _core_bits(layout, cores))
 
 
 def density_clusters(
@@ -268,13 +345,13 @@ def density_clusters(
     """
     threshold = 1.0 - eps
     vectors = materialize(distinct_vectors(rows), "vectors")
-    placed = place(vectors, threshold, cells, block)
+    layout = Layout(vectors, threshold, cells, block)
     cores = materialize(
-        neighbour_counts(placed, vectors, threshold)
+        neighbour_counts(layout, vectors)
         .select("id", (F.col("neighbours") >= min_samples).alias("core")),
         "cores",
     )
-    links = materialize(_density_links(placed, cores, threshold), "links")
+    links = materialize(_density_links(layout, cores), "links")
     joined = connected_components(
         thin_edges(links.filter(~F.col("border")).select("src", "dst"))
     )

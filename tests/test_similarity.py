@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import text_signatures
 from shelfmark.operators.components import connected_components, thin_edges
+from shelfmark.operators import cosine
 from shelfmark.operators.cosine import cosine_pairs, density_clusters, distinct_vectors
 from shelfmark.operators.duplicates import duplicate_report, nested_groups, redundancy
 from shelfmark.operators.hamming import band_masks, hamming_edges, hamming_pairs
@@ -130,6 +131,34 @@ def test_cosine_pairs(spark, cells, block):
     assert got == expected and got
 
 
+def test_blocks_far_apart_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(cosine, "CHUNK_BLOCKS", 4)
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(20, 24))
+    raw = np.repeat(middles, 60, axis=0) + rng.normal(size=(1200, 24)) * .15
+    raw[::97] = 0.0  # vectors without a direction are near to nothing
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(raw)],
+                               "id long, vec array<double>, copies int")
+    layout = cosine.Layout(df, .95, cells=12, block=16)
+    few, all_ = layout.compared()
+    assert few < all_ / 4, (few, all_)
+    length = np.linalg.norm(raw, axis=1, keepdims=True)
+    sims = (raw / np.where(length == 0, 1, length)) @ (raw / np.where(length == 0, 1, length)).T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(sims >= .95, 1)))}
+    got = [(r.src, r.dst) for r in cosine_pairs(df.select("id", "vec"), .95, 12, 16).collect()]
+    assert len(got) == len(want) and set(got) == want
+    # At a threshold that everything reaches, every pair of blocks is compared.
+    assert len(set(cosine.Layout(df, -1.0, 12, 16).compared())) == 1
+
+
+def test_blocks_hold_every_row_once():
+    rows = np.random.default_rng(1).normal(size=(1000, 5))
+    for unit in (rows, np.ones((300, 4)) / 2):
+        blocks = cosine.cut_blocks(unit, 37)
+        assert sorted(np.concatenate(blocks).tolist()) == list(range(len(unit)))
+        assert max(map(len, blocks)) <= 37
+
+
 def test_chain_and_noise(spark):
     angles = {0: 0, 1: 20, 2: 40, 3: 60, 4: 180}
     rows = [(i, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))])
