@@ -26,6 +26,7 @@ def test_entry_runs(spark):
     "search_hybrid_gradient", "event_grouping", "dedup_exact", "catalog_provenance", "palette",
     "library_page", "library_neighbours", "vector_topk", "name_resolution", "label_status",
     "index_fingerprint", "multiset_delta", "cosine_pairs", "capture_times", "keeper_text_sizes",
-    "source_csv", "source_index", "source_baseline", "source_files", "event_largest"])
+    "source_csv", "source_index", "source_baseline", "source_files", "event_largest",
+    "term_matches", "filter_pool", "search_trimmed", "event_roster", "dbscan"])
 def test_small_folder_agrees_with_sql(spark, name):
     assert compare(spark, connect(SMALL), SMALL, name) == ""
