@@ -228,7 +228,7 @@ def test_jobs_do_not_grow_with_the_log(spark, monkeypatch):
 
 
 def test_hot_scores_keep_the_first_paths(spark, monkeypatch):
-    monkeypatch.setattr(splits, "SPLIT_ROWS", 7)
+    monkeypatch.setattr(splits, "SPLIT_ROWS", 20)
     scores = {f"h{i:03d}": (.5, .5 if i % 2 else .25) for i in range(300)}
     index = corpus(spark, scores).stored()
     asked = plan.prepare_requests(ask(spark, {"query_id": "q"})).withColumn("depth", F.lit(9))
