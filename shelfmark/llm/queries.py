@@ -56,7 +56,7 @@ def op6_bitplane_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"), whole=2)
+    return remove_repeats(_table(spark, sf, "documents").select("doc_id", "text"), whole=3)
 
 
 def op8_temperature_mix(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,8 @@ sentence, the shortest run of at least ``sentences`` sentences and
 ``min_words`` words is a span (or of over ``alone`` words in fewer sentences).
 Both directions together cover every sentence of a shared passage of more than
 ``alone`` words. With ``whole``, every run of that many whole sentences is a span
-too, however few its words; a capital inside a sentence starts none of those. Of
+too, however few its words; a capital inside a sentence starts none of those. Spans
+are equal where 128 bits of hash are. Every text is cut once. Of
 equal spans the first by (document, place) stays; sentences covered by any other
 one are removed.
 
@@ -19,33 +20,40 @@ back, and what is gathered per document is bounded by its own length.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfmark.llm.common import lean, mixed
 from shelfmark.session import materialize
 
 WORD = re.compile(r"\S+")
-CAPITAL, CLOSING = np.uint64(1), np.uint64(2)
+CAPITAL, CLOSING = 1, 2
 
 
 class _Words(dict):
-    """Hash of a word's lower-cased form; the lowest bits say how it is written."""
+    """Numbers of words; by number, 128 bits of hash of the lower-cased form and how it is written."""
 
     LIMIT = 200_000
 
+    def __init__(self):
+        super().__init__()
+        self.codes, self.marks = np.empty((2, 4096), np.uint64), np.empty(4096, np.uint8)
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) & ~3
-        value |= word[0].isupper() | (word[-1] in ".!?") << 1
-        self[word] = value
-        return value
+        i = len(self)
+        if i == len(self.marks):
+            self.codes = np.concatenate([self.codes, np.empty_like(self.codes)], axis=1)
+            self.marks = np.concatenate([self.marks, np.empty_like(self.marks)])
+        code = xxhash.xxh3_128_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        self.codes[:, i] = code >> 64, code & 0xFFFFFFFFFFFFFFFF
+        self.marks[i] = word[0].isupper() * CAPITAL | (word[-1] in ".!?") * CLOSING
+        self[word] = i
+        return i
 
 
 class Sentences:
@@ -59,24 +67,24 @@ class Sentences:
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def cut(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(word hashes, first word of each sentence and the number of words)."""
-        return self._cut(text)[:2]
-
-    def _cut(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What ``cut`` says, and which of these places do not rest on a capital alone."""
+    def cut(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(two rows of word hashes, the first word of each sentence and the number of words,
+        which of these places do not rest on a capital alone)."""
+        if len(self.words) > self.words.LIMIT:
+            self.words = _Words()
         lines = [line.split() for line in text.split("\n")] if text else []
         flat = [w for line in lines for w in line]
         if not flat:
-            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.ones(1, bool)
-        values = np.fromiter(map(self.words.__getitem__, flat), np.uint64, len(flat))
-        sure = np.append((values & CLOSING) > 0, True)
+            return np.zeros((2, 0), np.uint64), np.zeros(1, np.int64), np.ones(1, bool)
+        known = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        marks = self.words.marks[known]
+        sure = np.append((marks & CLOSING) > 0, True)
         sure[1:] = sure[:-1].copy()
         sure[np.cumsum([0, *map(len, lines)])] = True
         starts = sure.copy()
-        starts[:-1] |= (values & CAPITAL) > 0
+        starts[:-1] |= (marks & CAPITAL) > 0
         starts = np.flatnonzero(starts)
-        return values & ~np.uint64(3), starts, sure[starts]
+        return self.words.codes[:, known], starts, sure[starts]
 
     def _grow(self, n: int) -> None:
         if n > len(self.powers):
@@ -86,10 +94,10 @@ class Sentences:
             self.inverses = np.cumprod(np.append(np.ones(1, np.uint64),
                                                  np.full(size - 1, self.inverse)))
 
-    def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first sentence, sentences) of every span of a text."""
-        values, starts, sure = self._cut(text)
-        total, last = len(values), len(starts) - 1
+    def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(two rows of hashes, first sentence, sentences) of every span, and all sentences."""
+        values, starts, sure = self.cut(text)
+        total, last = values.shape[1], len(starts) - 1
         at = np.arange(last + 1)
         ahead = np.minimum(
             np.maximum(np.searchsorted(starts, starts + self.min_words), at + self.sentences),
@@ -102,16 +110,14 @@ class Sentences:
             np.stack([at, ahead], axis=1)[ahead <= last],
             np.stack([back, at], axis=1)[back >= 0],
             self._whole_runs(np.flatnonzero(sure))])
-        if not len(pairs):
-            none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none
         code = np.unique(pairs[:, 0] * (last + 1) + pairs[:, 1])
         first, stop = code // (last + 1), code % (last + 1)
         self._grow(total + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.powers[:total])])
+        sums = np.zeros((2, total + 1), np.uint64)
+        np.cumsum(values * self.powers[:total], axis=1, out=sums[:, 1:])
         begin, end = starts[first], starts[stop]
-        hashed = (sums[end] - sums[begin]) * self.inverses[begin]
-        return mixed(hashed ^ mixed((end - begin).astype(np.uint64))), first, stop - first
+        hashed = (sums[:, end] - sums[:, begin]) * self.inverses[begin]
+        return mixed(hashed ^ mixed((end - begin).astype(np.uint64))), first, stop - first, last
 
     def _whole_runs(self, bounds: np.ndarray) -> np.ndarray:
         """(first, stop) of the runs of ``whole`` sentences between ``bounds``."""
@@ -119,9 +125,9 @@ class Sentences:
             return np.zeros((0, 2), np.int64)
         return np.stack([bounds[:-self.whole], bounds[self.whole:]], axis=1)
 
-    def without(self, text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
-        """(text without the sentences of ``cuts``, sentences, sentences removed)."""
-        _, starts = self.cut(text)
+    def without(self, text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
+        """(text without the sentences of ``cuts``, sentences removed)."""
+        starts = self.cut(text)[1]
         gone = np.zeros(len(starts), bool)
         for first, count in cuts:
             gone[first:first + count] = True
@@ -133,79 +139,97 @@ class Sentences:
                 kept.append(text[at:start])
             at = stop
         left = "".join(kept) + text[at:]
-        return left if left.strip() else "", len(starts) - 1, int(gone.sum())
+        return left if left.strip() else "", int(gone.sum())
 
 
 def _spans(rows: DataFrame, sizes: tuple[int, int, int, int]) -> DataFrame:
+    """Every span of every row, and a row with count 0 that has the number of sentences."""
+
     def kernel(batches):
         tool = Sentences(*sizes)
         for batch in batches:
             keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).to_pylist()
-            found = [tool.spans(t) for t in texts]
-            counts = [len(f[0]) for f in found]
-            hashes, first, many = (np.concatenate(c) for c in zip(*found))
+            found = [tool.spans(t) for t in batch.column(2).to_pylist()]
+            totals = np.array([f[3] for f in found])
+            counts = [len(f[1]) for f in found]
+            none = np.zeros(len(found), np.int64)
+            hashes = np.concatenate([f[0] for f in found], axis=1).view(np.int64)
+            columns = [np.append(c, none) for c in hashes]
+            columns += [np.append(np.repeat(k, counts), k) for k in keys]
+            columns += [np.append(np.concatenate([f[1] for f in found]), totals).astype(np.int32),
+                        np.append(np.concatenate([f[2] for f in found]), none).astype(np.int32)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), *(pa.array(np.repeat(k, counts)) for k in keys),
-                 pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))],
-                names=["hash", "doc_id", "version", "first", "count"])
+                [pa.array(c) for c in columns],
+                names=["high", "low", "doc_id", "version", "first", "count"])
 
     return rows.mapInArrow(
-        lean(kernel), "hash long, doc_id long, version long, first int, count int")
+        lean(kernel), "high long, low long, doc_id long, version long, first int, count int")
+
+
+def _cleaned(sizes: tuple[int, int, int, int]):
+    """A function of (text, cuts): the text left and the sentences removed; of null cuts nothing."""
+
+    @F.arrow_udf("text string, removed int")
+    def clean(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        tool = Sentences(*sizes)
+        for texts, cuts in batches:
+            left, removed = [], []
+            for at in range(0, len(texts), 256):  # few texts alive at once
+                for text, spots in zip(texts.slice(at, 256).to_pylist(),
+                                       cuts.slice(at, 256).to_pylist()):
+                    new, gone = (None, None) if spots is None else tool.without(
+                        text, [(s["first"], s["count"]) for s in spots])
+                    left.append(new)
+                    removed.append(gone)
+            yield pa.StructArray.from_arrays(
+                [pa.array(left, pa.string()), pa.array(removed, pa.int32())],
+                names=["text", "removed"])
+
+    return clean
 
 
 def remove_repeats(docs: DataFrame, *, sentences: int = 2, min_words: int = 30, alone: int = 50,
-                   whole: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   whole: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text cleaned, plus n_sentences and n_removed.
 
-    Columns of these two names in ``docs`` are replaced. Equal rows under one
-    id count as one occurrence and are all treated alike; other rows that
-    share an id are ordered by a hash of their text. Rows with a null id are
-    neither compared nor changed (both counts null). Null and empty texts have
-    no sentences and stay; a text of which nothing is left is empty. A text
-    that loses nothing is returned unchanged, to the byte.
+    Columns of these two names in ``docs`` are replaced; any other name may
+    occur. Equal rows under one id count as one occurrence and are all treated
+    alike; other rows that share an id are ordered by a hash of their text.
+    Rows with a null id are neither compared nor changed (both counts null).
+    Null and empty texts have no sentences and stay; a text of which nothing is
+    left is empty. A text that loses nothing is returned unchanged, to the byte,
+    and never leaves the JVM after its one reading.
     """
     sizes = (sentences, min_words, alone, whole)
     keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    version = F.xxhash64(text_col)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), version.alias("version"),
-        F.col(text_col).alias("text"))
-    spans = _spans(rows, sizes)
+    named = F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version")
+    spans = materialize(_spans(
+        docs.filter(F.col(id_col).isNotNull()).select(*named, F.col(text_col).alias("text")),
+        sizes), "spans")
     place = F.struct("doc_id", "version", "first")
+    real = spans.filter("count > 0")
     repeated = materialize(
-        spans.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-        .filter("lo <> hi").select("hash", "lo"), "repeats")
-    cuts = materialize(
-        spans.join(repeated, "hash").filter(place != F.col("lo"))
-        .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "first", "count")
-        .distinct().groupBy("_id", "_version")
-        .agg(F.collect_list(F.struct("first", "count")).alias("_cuts")), "cuts")
-    joined = docs.select(*keep).join(
-        cuts, (F.col(id_col) == F.col("_id")) & (version == F.col("_version")), "left"
-    ).drop("_id", "_version")
-    schema = T.StructType([docs.schema[c] for c in keep] + [
-        T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
-    at, known = keep.index(text_col), keep.index(id_col)
-
-    def kernel(batches):
-        tool = Sentences(*sizes)
-        for batch in batches:
-            texts, cut = batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist()
-            named = batch.column(known).is_valid().to_pylist()
-            out, total, removed = [], [], []
-            for text, spots, own in zip(texts, cut, named):
-                n, gone = (len(tool.cut(text)[1]) - 1, 0) if own else (None, None)
-                if spots:
-                    text, n, gone = tool.without(
-                        text, [(s["first"], s["count"]) for s in spots])
-                out.append(text)
-                total.append(n)
-                removed.append(gone)
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns[at] = pa.array(out, columns[at].type)
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(total, pa.int32()), pa.array(removed, pa.int32())],
-                names=[*keep, "n_sentences", "n_removed"])
-
-    return joined.mapInArrow(lean(kernel), schema)
+        real.groupBy("high", "low").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+        .filter("lo <> hi").select("high", "low", "lo"), "repeats")
+    cuts = (
+        real.join(repeated, ["high", "low"]).filter(place != F.col("lo"))
+        .select("doc_id", "version", "first", "count").distinct()
+    )
+    # Each document's own row says how many sentences it has, the others what to cut.
+    found = materialize(
+        spans.filter("count = 0").select("doc_id", "version", "first", "count")
+        .unionByName(cuts).groupBy("doc_id", "version")
+        .agg(F.max(F.when(F.col("count") == 0, F.col("first"))).alias("total"),
+             F.collect_list(F.when(F.col("count") > 0, F.struct("first", "count"))).alias("cuts"))
+        .select("doc_id", "version", "total",
+                F.when(F.size("cuts") > 0, F.col("cuts")).alias("cuts")), "cuts")
+    joined = docs.select(*named, F.struct(*keep).alias("row")).join(
+        found, ["doc_id", "version"], "left").select("row", "total", "cuts")
+    text = F.col("row").getField(text_col)
+    cleaned = joined.withColumn("new", _cleaned(sizes)(
+        F.when(F.col("cuts").isNotNull(), text), F.col("cuts")))
+    return cleaned.select(
+        *(F.coalesce("new.text", text).alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+          for c in keep),
+        F.col("total").alias("n_sentences"),
+        F.when(F.col("total").isNotNull(), F.coalesce("new.removed", F.lit(0))).alias("n_removed"))

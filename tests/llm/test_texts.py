@@ -99,11 +99,25 @@ def test_rejected_rows_go_and_all_columns_stay(spark, judged):
 
 # -- repeated passages ---------------------------------------------------------
 
-def brute(data, sizes=(2, 30, 50)):
-    tool, seen, out = Sentences(*sizes), set(), []
+def sentences_of(text):
+    """(words, first word of each sentence and the end, places that do not rest on a capital)."""
+    words, sure, starts = [], {0}, {0}
+    for line in (text or "").split("\n"):
+        for word in line.split():
+            if word[0].isupper():
+                starts.add(len(words))
+            words.append(word)
+            if word[-1] in ".!?":
+                sure.add(len(words))
+        sure.add(len(words))
+    return words, sorted(starts | sure), sure
+
+
+def brute(data, sizes=(2, 30, 50, 3)):
+    seen, out = set(), []
     for i, text, _ in data:
-        _, starts = tool.cut(text)
-        words, m, spans = (text or "").split(), len(starts) - 1, set()
+        words, starts, sure = sentences_of(text)
+        m, spans = len(starts) - 1, set()
         enough = (lambda s, e: (starts[e] - starts[s] >= sizes[1] and e - s >= sizes[0])
                   or starts[e] - starts[s] > sizes[2])
         for s in range(m):
@@ -112,6 +126,9 @@ def brute(data, sizes=(2, 30, 50)):
         for e in range(1, m + 1):
             spans |= {(s, e) for s in [next((s for s in range(e - 1, -1, -1) if enough(s, e)), -1)]
                       if s >= 0}
+        bounds = [k for k, start in enumerate(starts) if start in sure]
+        if sizes[3]:
+            spans |= set(zip(bounds, bounds[sizes[3]:]))
         gone = [False] * m
         for s, e in sorted(spans):
             key = " ".join(words[starts[s]:starts[e]]).lower()
@@ -123,15 +140,18 @@ def brute(data, sizes=(2, 30, 50)):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("whole", [3, 0, 2])
+def test_repeats_equal_brute_force(spark, whole):
     rng = random.Random(7)
     shared = [prose(rng, 8) for _ in range(3)]
     data = [r for r in rows()[:44]]
     data = [(i, t, s) for i, t, s in data if t]
     for i in range(60, 90):
         data.append((i, f"{prose(rng, 4)} and then {shared[i % 3]} {prose(rng, 3)}", "s"))
-    got = {r.doc_id: r for r in remove_repeats(frame(spark, data)).collect()}
-    for i, words, total, gone in brute(data):
+        data.append((i + 100, f"{prose(rng, 2)}\nNo. Read on\nof Anna. {prose(rng, 1)}", "s"))
+    data.sort()
+    got = {r.doc_id: r for r in remove_repeats(frame(spark, data), whole=whole).collect()}
+    for i, words, total, gone in brute(data, (2, 30, 50, whole)):
         assert ((got[i].text or "").split(), got[i].n_sentences, got[i].n_removed) == (
             words, total, gone)
     for i, text, _ in data:
@@ -141,10 +161,10 @@ def test_repeats_equal_brute_force(spark):
 
 
 def test_short_runs_of_whole_sentences_go_in_query_and_pipeline(spark, tmp_path):
-    footer = "Read on. Sign up here."
+    footer = "Read on. Sign up here. It is free."
     texts = [f"Text one of Anna ends so.\n{footer}", f"{footer}\nText two of Bob goes on.",
-             f"Text three is new. {footer} More follows.", "See Anna. Sign up now.",
-             "Met Anna. Sign off now.", "Ask Bob. Text one is it.", "Text one is it. Ask Bob."]
+             f"Text three is new. {footer} More follows.", "See Anna. Sign up now. So it is.",
+             "Met Anna. Sign off now. So it is.", "Yes. No. A new end.", "Yes. No. An old end."]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(
         f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -165,6 +185,18 @@ def test_odd_rows_keep_their_texts(spark):
     assert remove_repeats(spark.createDataFrame([], FIELDS)).count() == 0
 
 
+def test_any_other_column_name_may_occur(spark):
+    names = ["_id", "_version", "_cuts", "version", "cuts", "total", "row", "new", "first", "count",
+             "high", "low", "n_sentences", "n_removed"]
+    again = " ".join(f"Word {i} of it." for i in range(20))
+    data = [(i, f"Text {i} begins. {again}", *range(len(names))) for i in range(3)]
+    got = remove_repeats(spark.createDataFrame(
+        data, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))).collect()
+    assert {r.doc_id: (r.text.strip(), r["_id"], r["new"], r["low"]) for r in got} == {
+        0: (data[0][1], 0, 7, 11), 1: ("Text 1 begins.", 0, 7, 11), 2: ("Text 2 begins.", 0, 7, 11)}
+    assert {r.n_removed for r in got} == {0, 20} and {r.n_sentences for r in got} == {21}
+
+
 # -- mixing --------------------------------------------------------------------
 
 def test_budgets_hold_and_nothing_is_dropped(spark):
