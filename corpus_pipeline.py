@@ -47,7 +47,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars, where there is one, follows the text of documents that changed.
     """
-    cut = remove_repeats(docs, whole=2)
+    cut = remove_repeats(docs, whole=3)
     changed = F.coalesce(F.col("n_removed") > 0, F.lit(False))
     cut = cut.filter(~(changed & (F.col("text") == "")))
     if "n_chars" in docs.columns:
