@@ -112,6 +112,16 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def _key(host: Column, path: Column) -> Column:
+    """Host and path with a slash between them, which no host holds, so that each pair is its own."""
+    return F.concat(host, F.lit("/"), path)
+
+
+def _rule(key: Column) -> Column:
+    """Host and path of a key as the rule's string."""
+    return F.regexp_replace(key, "^([^/]*)/", "$1")
+
+
 def _candidates(forms: list[tuple[int, int]]) -> Column:
     """(length, key) of every key a rule of one of ``forms`` could have in common."""
     keys = [
@@ -120,8 +130,8 @@ def _candidates(forms: list[tuple[int, int]]) -> Column:
             F.struct(
                 (F.length(F.substring_index("host", ".", -labels)) + length).alias("length"),
                 F.length(F.substring_index("host", ".", -labels)).alias("host_length"),
-                F.concat(F.substring_index("host", ".", -labels),
-                         F.substring("path", 1, length)).alias("key")),
+                _key(F.substring_index("host", ".", -labels),
+                     F.substring("path", 1, length)).alias("key")),
         )
         for labels, length in forms
     ]
@@ -138,18 +148,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     fitting rule wins (of equally long ones the longer host), and block wins
     over allow for one and the same rule. Urls no rule fits get ``default``
     and a null rule. Null urls, and those without ``://``, have an empty host
-    and path. Rules with a null or empty host fit nothing, a null path is
+    and path. Rules with a null or empty host, or one that holds ``/``, ``?``
+    or ``#``, fit nothing, nor does a path without its slash; a null path is
     empty, and other columns of either table are ignored. Repeated ids stay
     repeated; empty tables give no rows, or ``default`` for all.
     """
     host, path = url_parts(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     listed = materialize(
-        rules.filter("host <> ''").select(
+        rules.filter("host <> '' AND NOT host RLIKE '[/?#]'").select(
             F.translate("host", UPPER, LOWER).alias("host"),
             F.coalesce("path", F.lit("")).alias("path"),
             (F.col("verdict") == "block").alias("block"))
-        .groupBy(F.concat("host", "path").alias("key"),
+        .groupBy(_key(F.col("host"), F.col("path")).alias("key"),
                  F.expr("size(split(host, '[.]'))").alias("labels"),
                  F.length("path").alias("length"))
         .agg(F.max("block").alias("block")), "rules")
@@ -169,10 +180,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     if any_rule is None or block is None:
         return _judge_by_join(parsed, keys, listed, id_col, default)
     best = F.array_max(F.filter(keys, lambda k: any_rule.member(k["key"])))["key"]
-    judged = parsed.select(id_col, "host", "path", best.alias("rule"))
+    judged = parsed.select(id_col, "host", "path", best.alias("best"))
     return judged.select(
-        "*", F.when(F.col("rule").isNull(), F.lit(default))
-        .when(block.member(F.col("rule")), F.lit("block"))
+        id_col, "host", "path", _rule(F.col("best")).alias("rule"),
+        F.when(F.col("best").isNull(), F.lit(default))
+        .when(block.member(F.col("best")), F.lit("block"))
         .otherwise(F.lit("allow")).alias("verdict"))
 
 
@@ -187,6 +199,6 @@ def _judge_by_join(parsed: DataFrame, keys: Column, listed: DataFrame, id_col: s
         .agg(F.max(F.struct("length", "host_length", "key", "block")).alias("best"))
     )
     return parsed.join(found, ["host", "path"], "left").select(
-        id_col, "host", "path", F.col("best.key").alias("rule"),
+        id_col, "host", "path", _rule(F.col("best.key")).alias("rule"),
         F.when(F.col("best").isNull(), F.lit(default))
         .when(F.col("best.block"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))

@@ -6,12 +6,14 @@ from shelfmark.llm.url_cascade import build_cascade, judge_urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("a.b.org", "", "block"),
          ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
-         (None, "/", "block"), ("COM", "/de/", "allow")]
+         (None, "/", "block"), ("COM", "/de/", "allow"), ("b.exam", "ple.net/", "block"),
+         ("example.net", "/", "allow"), ("example.net/x", "/y", "block")]
 URLS = ["http://example.org/es/1", "http://x.EXAMPLE.org/es/?q", "https://org/", "https://org",
         "http://notexample.com/de/x", "http://notexample.com/fr/x", "ftp://a.com:80/de/", None, "",
         "no scheme org/", "http://", "http://?a://b.org/", "http://a.b.org", "x://a.b.org/y/#/z",
         "http://example.org/EN/1", "http://example.org/en/12", "http://" + "w." * 5000 + "org/a",
-        "http://org/" + "p" * 100_000, "http://example.org/es/1"]
+        "http://org/" + "p" * 100_000, "http://example.org/es/1", "http://b.example.net/",
+        "http://example.net/x/y", "http://b.exam/ple.net/"]
 
 
 def expected(url):
