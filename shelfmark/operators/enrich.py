@@ -66,9 +66,13 @@ def run_enricher(
                 "reason": [r for _, r in results], "found": [len(made) for made, _ in results],
                 "outputs": [made for made, _ in results]})
 
-    return rows.mapInPandas(
-        batches, "path string, status string, reason string, found int, "
-                 f"outputs array<struct<{schema}>>")
+    return rows.mapInPandas(batches, stored_schema(schema))
+
+
+def stored_schema(schema: str) -> str:
+    """The columns of ``run_enricher`` whose outputs have ``schema``."""
+    return ("path string, status string, reason string, found int, "
+            f"outputs array<struct<{schema}>>")
 
 
 def scanned_rows(enriched: DataFrame) -> DataFrame:
@@ -150,5 +154,6 @@ def rendition_plan(catalog: DataFrame, existing: DataFrame, force: bool = False)
 
 __all__ = [
     "acceptable", "fit_longest", "output_rows", "pending_renditions", "quality_counts",
-    "rendition_plan", "run_enricher", "scanned_rows", "todo",
+    "rendition_plan", "run_enricher", "scanned_rows",
+    "stored_schema", "todo",
 ]

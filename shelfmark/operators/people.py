@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import padded_id
 from shelfmark.operators.filters import UNASSIGNED
 from shelfmark.operators.ranking import rank_within, top_within
+from shelfmark.session import materialize
 
 SHEET_LIMIT = 24
 
@@ -104,15 +105,23 @@ def label_votes(faces: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_status(faces: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per cluster: faces, name, votes, and the share note when not unanimous."""
-    sizes = faces.groupBy("cluster").agg(F.count("*").alias("faces"))
+    """Per cluster: faces, name, votes, the share note when not unanimous, and its place.
+
+    The list shows large clusters first, equally large ones as they first
+    come, and the unassigned last.
+    """
+    sizes = faces.groupBy("cluster").agg(
+        F.count("*").alias("faces"), F.min("pos").alias("_came"))
     rows = sizes.join(label_votes(faces, labels), "cluster", "left")
     note = F.when(F.col("name").isNull(), "-").when(
         F.col("votes") < F.col("faces"),
         F.format_string("%s  (%d/%d known)", "name", "votes", "faces"),
     ).otherwise(F.col("name"))
-    return rows.withColumn("note", note).withColumn(
-        "last", F.col("cluster") == UNASSIGNED)
+    noted = materialize(rows.withColumn("note", note).withColumn(
+        "last", F.coalesce(F.col("cluster") == UNASSIGNED, F.lit(True))), "label-status")
+    return rank_within(
+        noted, [], [F.col("last"), F.desc("faces"), F.col("_came"), F.col("cluster")], "place"
+    ).drop("_came", "_first")
 
 
 def label_totals(status: DataFrame) -> DataFrame:

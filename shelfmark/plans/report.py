@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import base_name
 from shelfmark.operators.audit import regression_report
 from shelfmark.operators.catalog import with_records
-from shelfmark.operators.enrich import output_rows, run_enricher, scanned_rows, todo
+from shelfmark.operators.enrich import (
+    output_rows, run_enricher, scanned_rows, stored_schema, todo,
+)
 from shelfmark.operators.filters import (
     filter_counts, filter_pool, resolve_events, resolve_names,
 )
-from shelfmark.operators.ranking import rank_within
+from shelfmark.operators.ranking import rank_within, with_position
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.search import Corpus, Options, Outcome, search, shown_ranks
 from shelfmark.session import materialize
+from shelfmark.sources.tables import append_table, read_optional_table
 
 
 def ordered_union(first: Column, second: Column) -> Column:
@@ -165,3 +168,30 @@ def enrichment_run(
     made = materialize(run_enricher(
         todo(catalog, done, force, limit), enrich, schema, batch_rows), "enriched")
     return scanned_rows(made), output_rows(made, existing_outputs)
+
+
+def enrichment_by_chunks(
+    catalog: DataFrame, folder: str, enrich: Callable, schema: str, chunk_rows: int = 100_000,
+    existing_outputs: int = 0, limit: int | None = None, batch_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(ledger, outputs) of everything in ``folder``, after adding what it lacks of ``catalog``.
+
+    ``catalog`` is (pos, path, ...), one row per path. What is left is worked
+    off in path order, ``chunk_rows`` at a time, and each chunk is committed
+    before the next one begins. A stored row is an item's status together with
+    its outputs, so a run that breaks off loses a chunk at most, no item is
+    half done, and the same call again does the rest and nothing twice. Ids of
+    outputs continue from ``existing_outputs`` in path order over the folder.
+    Items that could not be read count as done, as in the ledger of a run.
+    """
+    spark = catalog.sparkSession
+    stored = stored_schema(schema)
+    done, _ = read_optional_table(spark, folder, stored)
+    left = materialize(with_position(
+        todo(catalog, done, limit=limit), [F.col("path")], "_at"), "left")
+    # One job per chunk; the driver only knows how many rows are left.
+    for start in range(0, left.count(), chunk_rows):
+        chunk = left.filter(F.col("_at").between(start, start + chunk_rows - 1)).drop("_at")
+        append_table(run_enricher(chunk, enrich, schema, batch_rows), folder)
+    made, _ = read_optional_table(spark, folder, stored)
+    return scanned_rows(made), output_rows(made, existing_outputs)

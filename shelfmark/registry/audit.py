@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfmark.operators.audit import (
@@ -12,8 +14,9 @@ from shelfmark.operators.duplicates import exact_members
 from shelfmark.operators.enrich import (
     acceptable, pending_renditions, quality_counts, rendition_plan, todo,
 )
-from shelfmark.plans.report import enrichment_run
+from shelfmark.plans.report import enrichment_by_chunks, enrichment_run
 from shelfmark.registry import base
+from shelfmark.session import checkpoint_root
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -284,6 +287,25 @@ ORACLE["enrich_outputs"] = _SQL_TODO + """, l AS (SELECT path, unnest(string_spl
 SELECT path, line, (row_number() OVER (ORDER BY path, i) - 1 + 1000)::VARCHAR AS face_id FROM l"""
 
 
+def _chunks(part):
+    def run(spark, sf):
+        """Two runs into one folder: the first ends half-way, the second does the rest."""
+        folder = f"{checkpoint_root(spark)}/shelfmark/enriched-{uuid.uuid4().hex}"
+        catalog = todo(base.documents(spark, sf), _done(spark, sf))
+        half = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+        for rows in (catalog.filter(half), catalog):
+            ledger, outputs = enrichment_by_chunks(
+                rows, folder, _paragraphs, "line: string", 50_000, existing_outputs=1000)
+        return ledger if part == "ledger" else outputs
+    return run
+
+
+QUERIES["enrich_chunks_ledger"] = _chunks("ledger")
+ORACLE["enrich_chunks_ledger"] = ORACLE["enrich_ledger"]
+QUERIES["enrich_chunks_outputs"] = _chunks("outputs")
+ORACLE["enrich_chunks_outputs"] = ORACLE["enrich_outputs"]
+
+
 def _detections(spark, sf):
     """Line items as detections: a score, a box, and a vector now and then zero."""
     return base.load(spark, sf, "lineitem").select(

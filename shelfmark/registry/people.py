@@ -58,11 +58,12 @@ status AS (SELECT cluster, count(*) AS faces, any_value(name) AS name, any_value
 QUERIES["label_votes"] = lambda spark, sf: label_votes(*_faces(spark, sf))
 ORACLE["label_votes"] = _MODEL + _VOTES + "SELECT cluster, name, votes FROM voted"
 QUERIES["label_status"] = lambda spark, sf: label_status(*_faces(spark, sf)).select(
-    "cluster", "faces", "name", "votes", "note", "last")
+    "cluster", "faces", "name", "votes", "note", "last", "place")
 ORACLE["label_status"] = _MODEL + _VOTES + """SELECT cluster, faces, name, votes,
   CASE WHEN name IS NULL THEN '-' WHEN votes < faces
     THEN name || '  (' || votes || '/' || faces || ' known)' ELSE name END AS note,
-  cluster = 'unassigned' AS last FROM status"""
+  cluster = 'unassigned' AS last, row_number() OVER (ORDER BY cluster = 'unassigned', faces DESC,
+    (SELECT min(pos) FROM faces f WHERE f.cluster = status.cluster)) AS place FROM status"""
 QUERIES["label_totals"] = lambda spark, sf: label_totals(label_status(*_faces(spark, sf))).select(
     "clusters", "named_clusters", "faces", "covered_faces",
     F.round("coverage_pct", 6).alias("coverage_pct"))

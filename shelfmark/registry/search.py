@@ -597,22 +597,27 @@ def _trip_index(spark, sf):
     return base.source_events(spark, sf).select("event_id", "name", "start").distinct()
 
 
+def _trip_reference():
+    number, pick = base.source_number(), F.pmod("pos", F.lit(5))
+    return (
+        F.when(pick == 0, F.format_string("event-%03d", number))
+        .when(pick == 1, F.concat(F.lit("TRIP TO "), F.col("source")))
+        .when(pick == 2, F.format_string("2015-%02d", number % 14))
+        .when(pick == 3, F.concat(F.lit("to "), F.col("source")))
+        .otherwise(F.format_string("-%03d", number)))
+
+
 def _trip_references(spark, sf):
-    number = base.source_number()
-    return base.documents(spark, sf).select(
-        F.when(F.pmod("pos", F.lit(5)) == 0, F.format_string("event-%03d", number))
-        .when(F.pmod("pos", F.lit(5)) == 1, F.concat(F.lit("TRIP TO "), F.col("source")))
-        .when(F.pmod("pos", F.lit(5)) == 2, F.format_string("2015-%02d", number % 14))
-        .when(F.pmod("pos", F.lit(5)) == 3, F.concat(F.lit("to "), F.col("source")))
-        .otherwise(F.format_string("-%03d", number)).alias("reference"))
+    return base.documents(spark, sf).select(_trip_reference().alias("reference"))
 
 
 _SQL_TRIPS = f"""{base.SQL_DOCS}, {base.SQL_EVENTS},
 idx AS (SELECT DISTINCT event_id, name, start FROM source_events),
-refs AS (SELECT DISTINCT CASE pos % 5 WHEN 0 THEN 'event-' || lpad(num::VARCHAR, 3, '0')
+said AS (SELECT *, CASE pos % 5 WHEN 0 THEN 'event-' || lpad(num::VARCHAR, 3, '0')
   WHEN 1 THEN 'TRIP TO ' || source WHEN 2 THEN '2015-' || lpad((num % 14)::VARCHAR, 2, '0')
   WHEN 3 THEN 'to ' || source ELSE '-' || lpad(num::VARCHAR, 3, '0') END AS reference
   FROM (SELECT *, regexp_extract(source, '(\\d+)$', 1)::INT AS num FROM docs)),
+refs AS (SELECT DISTINCT reference FROM said),
 asked AS (SELECT reference, lower(trim(reference)) AS q FROM refs),
 cand AS (SELECT reference, event_id, name, CASE WHEN event_id = q THEN 1 WHEN lower(name) = q THEN 2
   ELSE 3 END AS tier FROM asked JOIN idx ON contains(lower(name), q) OR starts_with(start, q)
@@ -622,10 +627,11 @@ agg AS (SELECT reference, count(*) FILTER (tier = 1) AS n1, count(*) FILTER (tie
   min(event_id) AS e3 FROM cand GROUP BY ALL)"""
 QUERIES["event_resolution"] = lambda spark, sf: resolve_events(
     _trip_references(spark, sf), _trip_index(spark, sf))
-ORACLE["event_resolution"] = f"""WITH {_SQL_TRIPS},
+_SQL_RESOLVED = f"""{_SQL_TRIPS},
 o AS (SELECT reference, CASE WHEN n1 > 0 OR n2 = 1 THEN 1 ELSE coalesce(n, 0) END AS c,
   CASE WHEN n1 > 0 THEN e1 WHEN n2 = 1 THEN e2 ELSE e3 END AS v
-  FROM refs LEFT JOIN agg USING (reference))
+  FROM refs LEFT JOIN agg USING (reference))"""
+ORACLE["event_resolution"] = f"""WITH {_SQL_RESOLVED}
 SELECT reference, CASE WHEN c = 0 THEN 'unknown' WHEN c > 1 THEN 'ambiguous' ELSE 'ok' END AS status,
   CASE WHEN c = 1 THEN v END AS resolved, c::INT AS candidates FROM o"""
 QUERIES["event_candidates"] = lambda spark, sf: event_candidates(
@@ -653,8 +659,26 @@ def _answers(spark, sf):
         .otherwise(said).alias("answer"))
 
 
-def _understanding(spark, sf):
-    out = understand(_answers(spark, sf), _roster(spark, sf), _trip_index(spark, sf))
+def _event_answers(spark, sf):
+    """Queries answered with events: ids, names, months and parts of them, once or twice or not."""
+    pick, text = F.pmod("pos", F.lit(4)), F.pmod("pos", F.lit(3))
+    one = F.concat(F.lit('"'), _trip_reference(), F.lit('"'))
+    return base.documents(spark, sf).select(
+        F.col("path").alias("query_id"),
+        F.when(text == 0, F.concat(F.lit("Sunset of the TRIP to "), F.col("source")))
+        .when(text == 1, F.lit("sunset beach"))
+        .otherwise(F.format_string("at event %d", base.source_number())).alias("text"),
+        F.when(pick == 3, F.lit('{"persons": [], "events": []}'))
+        .when(pick == 2, F.concat(F.lit('{"events": ['), one, F.lit(", "), one, F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"events": ['), one, F.lit("]}"))).alias("answer"))
+
+
+def _understanding(answers):
+    return lambda spark, sf: _understood(understand(
+        answers(spark, sf), _roster(spark, sf), _trip_index(spark, sf)))
+
+
+def _understood(out):
     return out.select(
         "query_id", "query", F.array_join("persons", "|").alias("persons"),
         F.array_join("events", "|").alias("events"), "terms",
@@ -663,7 +687,7 @@ def _understanding(spark, sf):
         "source", "note")
 
 
-QUERIES["query_understanding"] = _understanding
+QUERIES["query_understanding"] = _understanding(_answers)
 ORACLE["query_understanding"] = """WITH a AS (SELECT o_orderkey::VARCHAR AS query_id,
   'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS name, o_orderkey % 7 AS pick,
   o_orderpriority AS pr, lpad(o_custkey::VARCHAR, 9, '0') AS num FROM orders),
@@ -683,3 +707,23 @@ SELECT query_id, query, CASE WHEN known AND pick IN (2, 3, 6) THEN name ELSE ''
   CASE WHEN pick = 0 THEN 'model unavailable' WHEN pick = 1 THEN 'model returned no usable JSON'
     WHEN known AND pick IN (2, 3, 6) THEN '' ELSE 'nothing proposed survived validation' END AS note
 FROM b"""
+QUERIES["event_understanding"] = _understanding(_event_answers)
+ORACLE["event_understanding"] = f"""WITH {_SQL_RESOLVED},
+a AS (SELECT path AS query_id, pos % 4 AS pick, pos % 3 <> 1 AS named, CASE pos % 3
+    WHEN 0 THEN 'Sunset of the TRIP to ' || source WHEN 1 THEN 'sunset beach'
+    ELSE 'at event ' || num END AS query, reference, c, CASE WHEN c = 1 THEN v END AS v
+  FROM said JOIN o USING (reference)),
+b AS (SELECT a.*, pick <> 3 AND c = 1 AND named AS kept, name,
+    list_filter({base.sql_tokens('name')}, lambda t: len(t) > 1) AS taken,
+    CASE WHEN c > 1 THEN reference || '/event/ambiguous' WHEN c = 0 THEN reference
+      || '/event/unknown' WHEN NOT named THEN name || '/event/not named in the query' END AS why
+  FROM a LEFT JOIN idx ON event_id = v)
+SELECT query_id, query, '' AS persons, CASE WHEN kept THEN v ELSE '' END AS events,
+  CASE WHEN kept THEN array_to_string(list_filter(string_split(query, ' '), lambda w:
+    NOT list_contains(taken, lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')))), ' ')
+    ELSE query END AS terms,
+  CASE WHEN pick = 3 OR why IS NULL THEN '' WHEN pick = 2 THEN why || '|' || why ELSE why END
+    AS dropped,
+  CASE WHEN pick = 3 THEN 'fallback' ELSE 'model' END AS source,
+  CASE WHEN pick = 3 THEN 'no person or event named' WHEN kept THEN ''
+    ELSE 'nothing proposed survived validation' END AS note FROM b"""

@@ -36,8 +36,8 @@ ORACLE["source_csv"] = "SELECT doc_id, lang, sha256(text) AS digest FROM documen
 
 def _optional(spark, sf):
     """Rows of a table that was written and of one that never was."""
-    path, schema = _place(spark, "csv"), "n_nationkey BIGINT, n_name STRING"
-    tables.write_csv(base.load(spark, sf, "nation").select("n_nationkey", "n_name"), path)
+    path, schema = _place(spark, "csv"), "o_orderkey BIGINT, o_orderstatus STRING"
+    tables.write_csv(base.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), path)
     parts = []
     for name, place in (("written", path), ("never", _place(spark, "none"))):
         rows, there = tables.read_optional(spark, place, schema)
@@ -47,7 +47,7 @@ def _optional(spark, sf):
 
 
 QUERIES["source_optional"] = _optional
-ORACLE["source_optional"] = """SELECT 'written' AS name, true AS there, count(*) AS rows FROM nation
+ORACLE["source_optional"] = """SELECT 'written' AS name, true AS there, count(*) AS rows FROM orders
 UNION ALL SELECT 'never', false, 0"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,21 @@ def read_optional(
     "Nothing recorded" and "never built" are different answers, so callers get
     both.
     """
+    return _or_empty(spark, lambda: read_csv(spark, path, schema), schema)
+
+
+def read_optional_table(
+    spark: SparkSession, path: str, schema: str
+) -> tuple[DataFrame, bool]:
+    """``read_optional`` for a table of ``append_table`` or ``write_table``."""
+    return _or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema)
+
+
+def _or_empty(
+    spark: SparkSession, read: Callable[[], DataFrame], schema: str
+) -> tuple[DataFrame, bool]:
     try:
-        return read_csv(spark, path, schema), True
+        return read(), True
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

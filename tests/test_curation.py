@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -22,7 +23,7 @@ from shelfmark.operators.people import (
     forget_label, label_status, label_votes, labels_json, name_clusters, people_index,
     people_roster, read_label_map, set_label, unplaced_counts,
 )
-from shelfmark.plans.report import enrichment_run
+from shelfmark.plans.report import enrichment_by_chunks, enrichment_run
 from shelfmark.sources.tables import (
     append_table, hash_files, list_files, publish_index, read_baseline, read_index, read_labels,
     read_manifest, read_optional, write_baseline, write_csv,
@@ -387,6 +388,39 @@ def test_enrichment_resumes(spark):
                             ("8", "/p/2.jpg", 1.0), ("9", "/p/4.jpg", 0.0)]
 
 
+def test_a_run_that_breaks_off_loses_one_chunk(spark, tmp_path):
+    calls, folder = tmp_path / "calls", str(tmp_path / "enriched")
+    calls.mkdir()
+    catalog = spark.createDataFrame(
+        [(i, f"/p/{i:02d}.jpg") for i in range(11)], "pos long, path string")
+    ready = str(tmp_path / "ready")
+
+    def enrich(row):
+        if row["pos"] == 7 and not os.path.exists(ready):
+            os._exit(1)  # as when the machine goes
+        with open(f"{calls}/{row['pos']}", "a") as file:
+            file.write("x")
+        return [{"score": float(i)} for i in range(row["pos"] % 3)]
+
+    def run():
+        return enrichment_by_chunks(catalog, folder, enrich, "score: double", chunk_rows=3)
+
+    with pytest.raises(Exception):
+        run()
+    first = {r.path for r in spark.read.parquet(folder).collect()}
+    assert first == {f"/p/{i:02d}.jpg" for i in range(6)}
+    (tmp_path / "ready").touch()
+    ledger, outputs = run()
+    assert sorted(r.path for r in ledger.collect()) == [f"/p/{i:02d}.jpg" for i in range(11)]
+    assert all((calls / str(i)).read_text() == "x" for i in range(6))
+    whole, numbered = enrichment_run(
+        catalog, ledger.limit(0), enrich, "score: double")
+    assert sorted(map(tuple, ledger.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, outputs.collect())) == sorted(map(tuple, numbered.collect()))
+    before = len((calls / "0").read_text())
+    assert run()[0].count() == 11 and len((calls / "0").read_text()) == before
+
+
 def test_files_and_tables(spark, tmp_path):
     import hashlib
 

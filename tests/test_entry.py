@@ -27,6 +27,8 @@ def test_entry_runs(spark):
     "library_page", "library_neighbours", "vector_topk", "name_resolution", "label_status",
     "index_fingerprint", "multiset_delta", "cosine_pairs", "capture_times", "keeper_text_sizes",
     "source_csv", "source_index", "source_baseline", "source_files", "event_largest",
-    "term_matches", "filter_pool", "search_trimmed", "event_roster", "dbscan"])
+    "term_matches", "filter_pool", "search_trimmed", "event_roster", "dbscan",
+    "event_understanding", "query_understanding", "enrich_chunks_ledger", "enrich_chunks_outputs",
+    "source_optional"])
 def test_small_folder_agrees_with_sql(spark, name):
     assert compare(spark, connect(SMALL), SMALL, name) == ""
