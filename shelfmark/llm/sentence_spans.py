@@ -8,7 +8,7 @@ sentence, the shortest run of at least ``sentences`` sentences and
 Both directions together cover every sentence of a shared passage of more than
 ``alone`` words. With ``whole``, every run of that many whole sentences is a span
 too, however few its words; a capital inside a sentence starts none of those. Spans
-are equal where 128 bits of hash are. Every text is cut once. Of
+are equal where 96 bits of hash are (64 and 32 of two sums over 128-bit words). Every text is cut once. Of
 equal spans the first by (document, place) stays; sentences covered by any other
 one are removed.
 
@@ -153,8 +153,9 @@ def _spans(rows: DataFrame, sizes: tuple[int, int, int, int]) -> DataFrame:
             totals = np.array([f[3] for f in found])
             counts = [len(f[1]) for f in found]
             none = np.zeros(len(found), np.int64)
-            hashes = np.concatenate([f[0] for f in found], axis=1).view(np.int64)
-            columns = [np.append(c, none) for c in hashes]
+            high, low = np.concatenate([f[0] for f in found], axis=1)
+            columns = [np.append((high >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                                 none.astype(np.int32)), np.append(low.view(np.int64), none)]
             columns += [np.append(np.repeat(k, counts), k) for k in keys]
             columns += [np.append(np.concatenate([f[1] for f in found]), totals).astype(np.int32),
                         np.append(np.concatenate([f[2] for f in found]), none).astype(np.int32)]
@@ -163,7 +164,7 @@ def _spans(rows: DataFrame, sizes: tuple[int, int, int, int]) -> DataFrame:
                 names=["high", "low", "doc_id", "version", "first", "count"])
 
     return rows.mapInArrow(
-        lean(kernel), "high long, low long, doc_id long, version long, first int, count int")
+        lean(kernel), "high int, low long, doc_id long, version long, first int, count int")
 
 
 def _cleaned(sizes: tuple[int, int, int, int]):
@@ -209,8 +210,8 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, min_words: int = 30,
     place = F.struct("doc_id", "version", "first")
     real = spans.filter("count > 0")
     repeated = materialize(
-        real.groupBy("high", "low").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-        .filter("lo <> hi").select("high", "low", "lo"), "repeats")
+        real.groupBy("high", "low").agg(F.min(place).alias("lo"), F.count("*").alias("n"))
+        .filter("n > 1").select("high", "low", "lo"), "repeats")
     cuts = (
         real.join(repeated, ["high", "low"]).filter(place != F.col("lo"))
         .select("doc_id", "version", "first", "count").distinct()
