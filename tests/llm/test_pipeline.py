@@ -55,4 +55,4 @@ def test_small_folder_agrees_with_sql(spark, name):
 @given
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registered.queries() if n[:2] == "op")
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
