@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNASSIGNED = "unassigned"
-GRAM = 4  # gram length of the substring index; shorter references probe whole
+GRAMS = (1, 2, 3, 4, 8, 12)  # gram lengths of the substring index
 
 
 def _pieces(lowered: Column, n: int) -> Column:
@@ -24,25 +24,34 @@ def _pieces(lowered: Column, n: int) -> Column:
 
 
 def _grams(text: Column) -> Column:
-    """Every distinct gram of length 0 to GRAM of a lower-cased text."""
+    """Every distinct gram of a lower-cased text, the empty one included."""
     lowered = F.lower(text)
-    pieces = [_pieces(lowered, n) for n in range(1, GRAM + 1)]
+    pieces = [_pieces(lowered, n) for n in GRAMS]
     return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
 
 
+def _longest_grams(lowered: Column) -> Column:
+    """A reference's grams of the greatest indexed length that it reaches."""
+    own = F.array(lowered)
+    for n in GRAMS:
+        own = F.when(F.length(lowered) >= n, _pieces(lowered, n)).otherwise(own)
+    return own
+
+
 def _probes(references: DataFrame, grams: DataFrame) -> DataFrame:
     """(reference, _q, _gram): each reference with its rarest gram in the index.
 
     A text that contains the reference contains all of its grams, so any one
-    finds every match; the rarest meets the fewest texts.
+    finds every match; the rarest meets the fewest texts. The optimiser does
+    not see how many grams a text has, so whatever is exploded is merged: taken
+    for small, it would be broadcast.
     """
     asked = references.select("reference").distinct().withColumn(
         "_q", F.lower(F.trim("reference")))
-    own = F.when(F.length("_q") >= GRAM, _pieces(F.col("_q"), GRAM)).otherwise(F.array("_q"))
     seen = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
     return (
-        asked.select("reference", "_q", F.explode(own).alias("_gram"))
-        .join(seen, "_gram", "left")
+        asked.select("reference", "_q", F.explode(_longest_grams(F.col("_q"))).alias("_gram"))
+        .join(seen.hint("merge"), "_gram", "left")
         .groupBy("reference", "_q")
         .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     )
@@ -66,7 +75,7 @@ def name_candidates(references: DataFrame, roster: DataFrame) -> DataFrame:
         .when(F.contains(lowered, F.col("_q")), 3)
     )
     return (
-        _probes(references, names).join(names, "_gram")
+        _probes(references, names).join(names.hint("merge"), "_gram")
         .select("reference", "name", tier.alias("tier"))
         .filter("tier IS NOT NULL")
     )
@@ -89,7 +98,7 @@ def resolve_names(references: DataFrame, roster: DataFrame) -> DataFrame:
         F.count("*").alias("_n2"), F.min("name").alias("_name2"))
     asked = references.select("reference").distinct().withColumn(
         "_q", F.lower(F.trim("reference")))
-    known = asked.join(whole, "_q", "left").join(begun, "_q", "left")
+    known = asked.join(whole.hint("merge"), "_q", "left").join(begun.hint("merge"), "_q", "left")
     inside = name_candidates(
         known.filter("_name1 IS NULL AND _n2 IS NULL").select("reference"), roster
     ).groupBy("reference").agg(F.count("*").alias("_n3"), F.min("name").alias("_name3"))
@@ -131,7 +140,7 @@ def event_candidates(references: DataFrame, events: DataFrame) -> DataFrame:
               | F.contains(F.col("event_id"), F.col("_q")), 3)
     )
     return (
-        _probes(references, known).join(known, "_gram")
+        _probes(references, known).join(known.hint("merge"), "_gram")
         .select("reference", "event_id", "name", tier.alias("tier"))
         .filter("tier IS NOT NULL")
     )

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators.filters import (
-    combine_pools, filter_pool, images_in_any, images_with_all, resolve_events, resolve_names,
+    combine_pools, event_candidates, filter_pool, images_in_any, images_with_all, name_candidates,
+    resolve_events, resolve_names,
 )
 from shelfmark.operators.understanding import understand
 from shelfmark.plans.report import answer_requests, resolve_filters, search_payload
@@ -45,6 +46,28 @@ def test_names_equal_the_rule(spark):
     assert got == {a: name_answer(a, names) for a in asked}
 
 
+def test_long_references_find_every_name(spark):
+    names = ["Customer#000000123", "Customer#000001234", "customer#000000123 b", "Custom"]
+    asked = ["customer#000000123", "#00000012", "0000123", "00012", "omer#0000001", "custom", "r#"]
+    got = {(r.reference, r.name) for r in name_candidates(
+        column(spark, asked, "reference"), column(spark, names, "name")).collect()}
+    assert got == {(a, n) for a in asked for n in names if a in n.lower()}
+
+
+def test_exploded_texts_are_not_broadcast(spark, tmp_path):
+    asked = column(spark, CREW, "reference")
+    for df, name in ((column(spark, CREW, "name"), "roster"), (asked, "asked"),
+                     (spark.createDataFrame(REGATTAS, CLUB), "club")):
+        df.write.parquet(f"{tmp_path}/{name}")  # files so small that any side may be broadcast
+    roster, asked, club = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("roster", "asked", "club"))
+    for found in (name_candidates(asked, roster), resolve_names(asked, roster),
+                  event_candidates(asked, club)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        broadcast = plan.split("BroadcastExchange")[1:]
+        assert not any("Generate explode" in part for part in broadcast)
+        assert "SortMergeJoin" in plan
+
+
 def test_events_by_id_name_or_part(spark):
     asked = ["R-09", "lantern row", "harbour relay", "2019-04", "2019-09", "r-1", "relay", "gala"]
     got = {r.reference: (r.status, r.resolved) for r in resolve_events(
