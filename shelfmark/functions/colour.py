@@ -59,8 +59,12 @@ def angle_distance(left: Column, right: Column) -> Column:
 
 
 def mean_angle(sin_sum: Column, cos_sum: Column) -> Column:
-    """The direction of summed sines and cosines, in 0-360."""
-    return F.pmod(F.degrees(F.atan2(sin_sum, cos_sum)), F.lit(360.0))
+    """The direction of summed sines and cosines, in 0-360.
+
+    The full turn is always added: the last bits of the sums, which depend on
+    the order of the pixels, then drop out of small angles too.
+    """
+    return (F.degrees(F.atan2(sin_sum, cos_sum)) + 360.0) % 360.0
 
 
 def circular_mean(degrees: Column) -> Column:

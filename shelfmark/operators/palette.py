@@ -33,21 +33,28 @@ MIN_MARK, MAX_MARK, ASSUMED_LIGHTNESS = 5.0, 72.0, 0.5
 
 
 def _parts(pixels: DataFrame, key: str) -> DataFrame:
-    """(key, _slot, _edge, _n, _sin, _cos, _light): pixels summed per half hue bin.
+    """(key, _bin, _under, _over, _n, _sin, _cos, _light): pixels summed per hue bin.
 
-    ``_slot`` is NULL for pixels without a usable hue; ``_edge`` marks values
-    exactly on a slot's lower boundary. A picture has at most 4 x BINS + 1 rows,
-    combined map-side, so one with very many pixels shuffles no more.
+    ``_bin`` is NULL for pixels without a usable hue; ``_under`` and ``_over``
+    tell whether a pixel lies within one width of the centre of the bin before
+    and after its own, by the distance itself, since rounding decides on the
+    boundary. A picture has at most 4 x BINS + 1 rows, combined map-side, so one
+    with very many pixels shuffles no more.
     """
-    half = 180.0 / BINS
+    width = 360.0 / BINS
     h = F.col("hue")
     carries = (F.col("saturation") >= MIN_SATURATION) & (F.col("value") >= MIN_VALUE)
     coloured = with_hsv(pixels.select(key, "r", "g", "b")).select(
         key, F.when(carries, h).alias("hue"),
         luminance(F.col("r"), F.col("g"), F.col("b")).alias("_y"),
-    ).withColumns({"_slot": F.floor(h / half).cast("int"), "_a": F.radians(h)})
-    coloured = coloured.withColumn("_edge", h == F.col("_slot") * half)
-    return coloured.groupBy(key, "_slot", "_edge").agg(
+    ).withColumns({"_bin": F.floor(h / width).cast("int"), "_a": F.radians(h)})
+
+    def within(step: int) -> Column:
+        centre = (F.pmod(F.col("_bin") + step, F.lit(BINS)) + 0.5) * width
+        return angle_distance(h, centre) <= width
+
+    coloured = coloured.withColumns({"_under": within(-1), "_over": within(1)})
+    return coloured.groupBy(key, "_bin", "_under", "_over").agg(
         F.count("*").alias("_n"), F.sum(F.sin("_a")).alias("_sin"),
         F.sum(F.cos("_a")).alias("_cos"), F.sum("_y").alias("_light"))
 
@@ -59,18 +66,19 @@ def palette(pixels: DataFrame, key: str = "id") -> DataFrame:
     width on both sides of its centre; NULL when every pixel is near grey or
     black. Lightness is that of the mean luminance.
     """
-    slot = F.col("_slot")
+    bin_ = F.col("_bin")
     # At most 4 x BINS + 1 rows per picture, so these windows are small.
-    parts = _parts(pixels, key).withColumn("_bin", F.floor(slot / 2).cast("int"))
+    parts = _parts(pixels, key)
     full = F.sum("_n").over(Window.partitionBy(key, "_bin"))
     parts = parts.withColumn(
-        "_rank", F.when(slot.isNotNull(), full * BINS + (BINS - 1 - F.col("_bin"))))
+        "_rank", F.when(bin_.isNotNull(), full * BINS + (BINS - 1 - bin_)))
     best = F.max("_rank").over(Window.partitionBy(key))
     parts = parts.withColumn("_peak", BINS - 1 - F.pmod(best, F.lit(BINS)))
-    # Half bins 2b-1 .. 2b+2 lie within one width of the centre; so does a
-    # value exactly on the far boundary, which opens half bin 2b+3.
-    ahead = F.pmod(slot - (2 * F.col("_peak") - 1), F.lit(2 * BINS))
-    near = (ahead < 4) | ((ahead == 4) & F.col("_edge"))
+    ahead = F.pmod(bin_ - F.col("_peak"), F.lit(BINS))
+    near = (
+        (ahead == 0) | ((ahead == 1) & F.col("_under"))
+        | ((ahead == BINS - 1) & F.col("_over"))
+    )
     return parts.groupBy(key).agg(
         mean_angle(F.sum(F.when(near, F.col("_sin"))), F.sum(F.when(near, F.col("_cos"))))
         .alias("hue"),

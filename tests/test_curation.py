@@ -325,6 +325,13 @@ def test_palette(spark):
     assert got["mostly"].hue == pytest.approx(240)
 
 
+def test_a_hue_on_the_boundary_goes_by_its_rounded_distance(spark):
+    """125.00000000000001 lies 10 from a centre of 115, as far as doubles tell."""
+    pixels = [("over", 21, 252, 0)] * 3 + [("over", 0, 48, 4)]
+    got = palette(spark.createDataFrame(pixels, "id string, r int, g int, b int")).first()
+    assert got.hue == pytest.approx(117.49, abs=0.02)  # 115 without the boundary's pixel
+
+
 def test_anchor_and_strip(spark):
     def anchor(hue):
         return spark.range(1).select(nearest_anchor(F.lit(hue).cast("double")).alias("a")).first().a
