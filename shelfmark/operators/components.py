@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.session import materialize
 
 MAX_ROUNDS = 64
+HELD = 1 << 20  # edges that a task holds before it thins them
 
 
 def star_forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,18 +31,51 @@ def star_forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[low[moved]], nodes[moved]
 
 
+class HeldEdges:
+    """Edges of one task, thinned to a forest whenever HELD of them have gathered."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, src: np.ndarray, dst: np.ndarray):
+        """Takes edges; yields a forest that is too wide to be held on."""
+        self.parts.append((src, dst))
+        self.size += len(src)
+        if self.size >= HELD:
+            self._thin()
+            if self.size >= HELD // 2:
+                yield from self.rest()
+
+    def rest(self):
+        """Yields what is held, thinned."""
+        if self.size:
+            self._thin()
+            yield self.parts[0]
+        self.parts, self.size = [], 0
+
+    def _thin(self) -> None:
+        self.parts = [star_forest(*(np.concatenate(side) for side in zip(*self.parts)))]
+        self.size = len(self.parts[0][0])
+
+
 def thin_edges(edges: DataFrame) -> DataFrame:
-    """Edges (src, dst: BIGINT) with the same components, at most one per node of a batch.
+    """Edges (src, dst: BIGINT) with the same components, few per node of a task.
 
-    Every batch of edges becomes the stars of its own components, so a dense
-    neighbourhood leaves a task as a tree. Nothing is remembered between
-    batches.
+    The edges of a task become the stars of their own components, so a dense
+    neighbourhood leaves it as a tree. At most HELD edges are remembered.
     """
 
     def kernel(batches):
+        held = HeldEdges()
+
+        def out(forests):
+            for src, dst in forests:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(src), pa.array(dst)], names=["src", "dst"])
+
         for batch in batches:
-            src, dst = star_forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+            yield from out(held.add(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        yield from out(held.rest())
 
     return edges.select(
         F.col("src").cast("long"), F.col("dst").cast("long")

@@ -6,9 +6,10 @@ it between far points. Every level has a centre and the greatest angle to it
 (a cap), and each vector is stored once, in its block. Two caps whose centres
 lie further apart than both radii and the threshold's angle hold no pair, so
 cells rule out cells, chunks then rule out blocks, and only the blocks that are
-left are brought together, one row each. This is exact at every size; where
-the geometry allows no pruning it becomes plain block-by-block comparison.
-Equal vectors are compared once.
+left are brought together, one row each. They meet as a product of partitions,
+which are read again for each other and never shuffled. This is exact at every
+size; where the geometry allows no pruning it becomes plain block-by-block
+comparison. Equal vectors are compared once.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.components import connected_components, star_forest, thin_edges
+from shelfmark.operators.components import HeldEdges, connected_components, thin_edges
 from shelfmark.session import materialize, spread
 
 BLOCK = 1_024  # vectors in a block
 CHUNK_BLOCKS = 32  # blocks that a task cuts from one chunk
+TILE = 64  # blocks in a partition of the product; a task meets two partitions
 PIVOTS = 1_024  # the first level is that wide at most; the levels below it grow with the data
 
 COSINE = 0.92
@@ -206,28 +208,32 @@ class Layout:
         if cells is None:
             cells = min(PIVOTS, math.ceil(vectors.count() / block))
         self.threshold = threshold
-        self.blocks, pivots = _layout(vectors, cells, block)
-        self.pairs = materialize(near_blocks(self.blocks, pivots, threshold), "pairs")
+        blocks, pivots = _layout(vectors, cells, block)
+        self.pairs = materialize(near_blocks(blocks, pivots, threshold), "pairs")
+        # Every block with the blocks it has to meet: as many as there are at most.
+        near = self.pairs.groupBy(F.col("a").alias("block")).agg(F.collect_list("b").alias("near"))
+        self.blocks = materialize(blocks.join(near, "block"), "near")
 
     def compared(self) -> tuple[int, int]:
         """(pairs of blocks that are compared, all there are)."""
         n = self.blocks.count()
         return self.pairs.count(), n * (n + 1) // 2
 
-    def meet(self, kernel, schema: str, extra: DataFrame | None = None) -> DataFrame:
+    def meet(self, kernel, schema: str, extra: DataFrame | None = None, last=None) -> DataFrame:
         """``kernel(left, right, at, to, cosines)`` over the pairs at or above the threshold.
 
-        A block is sent once for each of its pairs, as one row. ``extra`` adds
-        a column ``core`` by block.
+        A task meets two partitions of TILE blocks, one row a block. ``extra``
+        adds a column ``core`` by block; ``last()`` gives a task's last batches.
         """
-        blocks = self.blocks.select("block", "ids", "copies", "unit")
-        columns = ["ids", "copies", "unit"]
+        blocks, columns = self.blocks, ["ids", "copies", "unit"]
         if extra is not None:
-            blocks, columns = blocks.join(extra, "block"), [*columns, "core"]
+            blocks, columns = materialize(blocks.join(extra, "block"), "cores"), [*columns, "core"]
+        workers = blocks.sparkSession.sparkContext.defaultParallelism
+        tiles = max(math.ceil(blocks.count() / TILE), math.ceil(math.sqrt(4 * workers)))
 
-        def side(name: str) -> DataFrame:
-            return blocks.select(F.col("block").alias(name),
-                                 *(F.col(c).alias(f"{c}_{name}") for c in columns))
+        def side(name: str, *more: str) -> DataFrame:
+            return blocks.select(F.col("block").alias(name), *more,
+                                 *(F.col(c).alias(f"{c}_{name}") for c in columns)).coalesce(tiles)
 
         def run(batches):
             for batch in batches:
@@ -240,10 +246,13 @@ class Layout:
                         hit = np.triu(hit, 1)
                     at, to = np.nonzero(hit)
                     yield from kernel(left, right, at, to, cosines[at, to])
+            if last is not None:
+                yield from last()
 
         self_threshold = self.threshold
-        met = self.pairs.join(side("a"), "a").join(side("b"), "b")
-        return spread(met, "a", "b").mapInArrow(run, schema)
+        met = side("a", "near").join(
+            side("b").hint("shuffle_replicate_nl"), F.array_contains("near", F.col("b")))
+        return met.drop("near").mapInArrow(run, schema)
 
 
 def cosine_pairs(
@@ -316,21 +325,29 @@ def _density_links(layout: Layout, cores: DataFrame) -> DataFrame:
 
     A border row has fewer than min_samples neighbours, so its pairs are few.
     """
+    held = HeldEdges()  # each task has its own copy
+
+    def out(src, dst, border: bool):
+        return pa.RecordBatch.from_pydict(
+            {"src": src, "dst": dst, "border": np.full(len(src), border)})
+
     def kernel(left, right, at, to, cosines):
         one, two = left.ids[at], right.ids[to]
         core_a, core_b = left.core[at], right.core[to]
         both = np.flatnonzero(core_a & core_b)
-        low, node = star_forest(one[both], two[both])
+        for forest in held.add(one[both], two[both]):
+            yield out(*forest, False)
         edge = np.flatnonzero(core_a != core_b)
         outer = np.where(core_a[edge], two[edge], one[edge])
         inner = np.where(core_a[edge], one[edge], two[edge])
-        yield pa.RecordBatch.from_pydict({
-            "src": np.concatenate([low, outer]),
-            "dst": np.concatenate([node, inner]),
-            "border": np.concatenate([np.zeros(len(low), bool), np.ones(len(edge), bool)]),
-        })
+        yield out(outer, inner, True)
+
+    def last():
+        for forest in held.rest():
+            yield out(*forest, False)
 
-    return layout.meet(kernel, "src long, dst long, border boolean", _core_bits(layout, cores))
+    return layout.meet(
+        kernel, "src long, dst long, border boolean", _core_bits(layout, cores), last)
 
 
 def density_clusters(

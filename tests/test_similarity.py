@@ -38,6 +38,23 @@ def test_components_of_chains_hubs_and_loops(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_a_task_leaves_one_forest_of_its_edges(spark):
+    edges = [(a, b) for a in range(220) for b in range(a)]  # more than one batch of rows
+    thin = thin_edges(spark.createDataFrame(edges, "src long, dst long").coalesce(1))
+    assert thin.count() == 219
+    assert {r.component for r in connected_components(thin).collect()} == {0}
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    rows = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (
+        F.xxhash64("id", i) % 1000).cast("double")).alias("vec"), F.lit(1).alias("copies"))
+    layout = cosine.Layout(rows, 0.3, None, 16)
+    assert layout.compared()[0] > 300
+    met = layout.meet(lambda left, right, at, to, cosines: (), "src long")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def signatures(seed):
     rng = np.random.default_rng(seed)
     out = [int(x) for x in rng.integers(-2**63, 2**63 - 1, size=120)]
