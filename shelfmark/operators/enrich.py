@@ -18,6 +18,8 @@ MIN_PIXELS = 40
 # Longest edge in pixels of each rendition.
 RENDITIONS = {"grid": 400, "lightbox": 1600}
 
+GIVEN = 256  # rows whose results leave together, about
+
 
 def todo(catalog: DataFrame, done: DataFrame, force: bool = False,
          limit: int | None = None) -> DataFrame:
@@ -57,14 +59,19 @@ def run_enricher(
                     yield from tried(frame.iloc[i:i + 1])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            step = batch_rows or 1
-            results = [r for i in range(0, len(frame), step)
-                       for r in tried(frame.iloc[i:i + step])]
-            yield pd.DataFrame({
-                "path": frame["path"], "status": ["unreadable" if r else "ok" for _, r in results],
-                "reason": [r for _, r in results], "found": [len(made) for made, _ in results],
-                "outputs": [made for made, _ in results]})
+        step = batch_rows or 1
+        given = max(step, GIVEN // step * step)
+        for whole_frame in frames:
+            # Results leave in pieces, so that those of a whole batch are never held.
+            for start in range(0, len(whole_frame), given):
+                frame = whole_frame.iloc[start:start + given]
+                results = [r for i in range(0, len(frame), step)
+                           for r in tried(frame.iloc[i:i + step])]
+                yield pd.DataFrame({
+                    "path": frame["path"].to_numpy(),
+                    "status": ["unreadable" if r else "ok" for _, r in results],
+                    "reason": [r for _, r in results], "found": [len(made) for made, _ in results],
+                    "outputs": [made for made, _ in results]})
 
     return rows.mapInPandas(batches, stored_schema(schema))
 

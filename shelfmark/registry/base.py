@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.plans.search import Corpus
-from shelfmark.session import LOCAL_SPREAD
+from shelfmark.session import LOCAL_SPREAD, bound_batches
 
 CAPTION_SHIFT = 7
 
@@ -24,6 +24,7 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
     because the given tables are single files there (``LOCAL_SPREAD``).
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf}/{table}.parquet")
     cores = spark.conf.get(LOCAL_SPREAD, None)
     return df.repartition(int(cores)) if cores else df

@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 # Set by local sessions only: over how many partitions given tables are dealt.
 LOCAL_SPREAD = "shelfmark.local.spread"
 
+# What one batch handed to a Python worker may hold; Spark's own bound is eight times that.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go by their bytes, however long the texts of a table are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def local_session(app: str = "shelfmark", cores: str = "*", **conf) -> SparkSession:
     """A local session for tests and benches. Clusters bring their own."""

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ from shelfmark.operators.audit import (
 from shelfmark.operators.catalog import (
     build_catalog, library, library_page, missing_files, orphan_files, with_records,
 )
-from shelfmark.operators.enrich import acceptable, fit_longest, quality_counts, todo
+from shelfmark.operators.enrich import (
+    acceptable, fit_longest, quality_counts, run_enricher, todo,
+)
 from shelfmark.operators.events import build_events, event_index, event_roster, gap_sessions
 from shelfmark.operators.palette import nearest_anchor, palette, timeline
 from shelfmark.operators.people import (
@@ -395,6 +398,30 @@ def test_enrichment_resumes(spark):
                             ("8", "/p/2.jpg", 1.0), ("9", "/p/4.jpg", 0.0)]
 
 
+def test_batches_go_by_their_bytes(spark, tmp_path):
+    from shelfmark.registry import base
+
+    spark.createDataFrame([("x",)], "text string").write.parquet(f"{tmp_path}/t.parquet")
+    base.load(spark, str(tmp_path), "t")  # as every registered query does
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    rows = spark.range(0, 3_000, 1, 1).select(F.repeat(F.lit("12345678"), 1_250).alias("text"))
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 9 << 20
+
+
+def test_pieces_of_a_batch_are_whole(spark):
+    rows = spark.range(0, 700, 1, 1).select(F.col("id").cast("string").alias("path"))
+    for step in (None, 300):
+        made = (lambda r: [{"n": r["path"]}]) if step is None else (
+            lambda f: [[{"n": p}] for p in f["path"]])
+        got = run_enricher(rows, made, "n string", step).collect()
+        assert sorted(int(r.path) for r in got) == list(range(700))
+        assert all(r.outputs[0].n == r.path and r.status == "ok" for r in got)
+
+
 def test_a_run_that_breaks_off_loses_one_chunk(spark, tmp_path):
     calls, folder = tmp_path / "calls", str(tmp_path / "enriched")
     calls.mkdir()
