@@ -1,21 +1,32 @@
-"""Exact Hamming self-join of 64-bit signatures by banded equi-joins."""
+"""Exact Hamming self-join of 64-bit signatures by blocks that are read again, not shuffled.
+
+Signatures are packed into blocks of one row each, and the blocks meet as a
+product of partitions. Nothing is exploded or shuffled by key, so a value that
+most signatures share makes no task larger. Inside a task two blocks meet on
+band values that must agree where those tell the signatures apart, and
+otherwise one against all; both ways are exact.
+"""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.hashing import HASH_BITS, hamming
-from shelfmark.session import spread
+from shelfmark.functions.hashing import HASH_BITS
+from shelfmark.operators.components import HeldEdges, star_forest, thin_edges
+from shelfmark.session import materialize
 
 DISTANCE = 6
-HOT_BUCKET = 4_000  # signatures one band value may hold before it is split
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << HASH_BITS) if mask >= 1 << (HASH_BITS - 1) else mask
+BLOCK = 32_768  # signatures in a block
+STEP = 1 << 17  # pairs compared, or candidates held, at a time
+LOOKUP = 16  # comparisons that cost as much as one candidate of a band
+SAMPLE = 2_048  # rows of a block by which the number of candidates is judged
 
 
 def _slices(positions: list[int], parts: int) -> list[int]:
@@ -26,10 +37,6 @@ def _slices(positions: list[int], parts: int) -> list[int]:
     ]
 
 
-def _choices(distance: int, bands: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(bands), bands - distance))
-
-
 def band_masks(distance: int, bands: int) -> list[int]:
     """Masks of every choice of ``bands - distance`` of ``bands`` bit bands.
 
@@ -37,140 +44,202 @@ def band_masks(distance: int, bands: int) -> list[int]:
     bands, so they agree on at least one of these masks.
     """
     parts = _slices(list(range(HASH_BITS)), bands)
-    return [sum(parts[b] for b in chosen) for chosen in _choices(distance, bands)]
-
-
-def _child_masks(mask: int, distance: int) -> list[int]:
-    """Finer masks: the same bits plus one of distance + 1 parts of the rest."""
-    rest = [p for p in range(HASH_BITS) if not mask >> p & 1]
-    return [mask | part for part in _slices(rest, distance + 1)]
-
-
-def _array(masks: list[int]) -> Column:
-    return F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks])
-
-
-def _is_first_choice(last: Column, differing: Column, distance: int, bands: int) -> Column:
-    """Whether a choice of bands is the first one two signatures agree on.
-
-    It is when the agreeing bands up to its ``last`` one are just its own.
+    return [sum(parts[b] for b in chosen) for chosen in combinations(range(bands), bands - distance)]
+
+
+def _agreeing(left: np.ndarray, right: np.ndarray, mask: np.uint64):
+    """(order, first, last): right[order[first[i]:last[i]]] agree with left[i] under the mask."""
+    keys = right & mask
+    order = np.argsort(keys)
+    keys = keys[order]
+    wanted = left & mask
+    return order, np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+
+
+def _few_candidates(left: np.ndarray, right: np.ndarray, masks: list[np.uint64]) -> bool:
+    """Whether looking up band values costs less than comparing all; only the cost hangs on it."""
+    one, two = (side[::-(-len(side) // SAMPLE)] for side in (left, right))
+    met = 0
+    for mask in masks:
+        _, first, last = _agreeing(one, two, mask)
+        met += int((last - first).sum())
+    return met * LOOKUP < len(one) * len(two)
+
+
+def _by_bands(left: np.ndarray, right: np.ndarray, distance: int, masks: list[np.uint64]):
+    for k, mask in enumerate(masks):
+        order, first, last = _agreeing(left, right, mask)
+        size = last - first
+        ends = np.cumsum(size)
+        start = 0
+        while start < len(left):
+            # A row more than fits, so at most STEP candidates and one row's.
+            done = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, done + STEP)) + 1
+            n = size[start:stop]
+            at = np.repeat(np.arange(start, start + len(n)), n)
+            inside = np.arange(len(at)) - np.repeat(ends[start:stop] - n - done, n)
+            to = order[first[at] + inside]
+            differing = left[at] ^ right[to]
+            near = np.bitwise_count(differing) <= distance
+            for earlier in masks[:k]:  # the first mask under which two agree gives the pair
+                near &= (differing & earlier) != 0
+            yield at[near], to[near]
+            start = stop
+
+
+def _by_all(left: np.ndarray, right: np.ndarray, distance: int):
+    rows = max(1, STEP // len(right))
+    bits = np.empty((rows, len(right)), np.uint64)
+    count, near = np.empty(bits.shape, np.uint8), np.empty(bits.shape, bool)
+    for start in range(0, len(left), rows):
+        own = left[start:start + rows]
+        n = len(own)
+        np.bitwise_xor(own[:, None], right[None, :], out=bits[:n])
+        np.bitwise_count(bits[:n], out=count[:n])
+        np.less_equal(count[:n], distance, out=near[:n])
+        at, to = np.divmod(np.flatnonzero(near[:n]), len(right))
+        yield at + start, to
+
+
+def near_rows(left: np.ndarray, right: np.ndarray, distance: int, masks: list[int]):
+    """Chunks (at, to) of every pair of rows at most ``distance`` bits apart, each pair once."""
+    masks = [np.uint64(m) for m in masks]
+    if not len(left) or not len(right):
+        return iter(())
+    if _few_candidates(left, right, masks):
+        return _by_bands(left, right, distance, masks)
+    return _by_all(left, right, distance)
+
+
+def _blocks(signatures: DataFrame, block: int) -> DataFrame:
+    """(block, ids, sigs): the rows packed, at most ``block`` to a row."""
+    # As many as let every worker meet some pair of blocks, however few rows there are.
+    workers = signatures.sparkSession.sparkContext.defaultParallelism
+    n = max(math.ceil(signatures.count() / block), math.ceil(math.sqrt(8 * workers)))
+
+    def pack(batches):
+        number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def row(table: pa.Table, number: int) -> pa.RecordBatch:
+            ids, sigs = (table.column(c).to_numpy().astype("<i8").tobytes() for c in (0, 1))
+            return pa.RecordBatch.from_pydict(
+                {"block": pa.array([number], pa.int64()), "ids": [ids], "sigs": [sigs]})
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= block:
+                table = pa.Table.from_batches(held)
+                for at in range(0, size - block + 1, block):
+                    yield row(table.slice(at, block), number)
+                    number += 1
+                held = table.slice(size - size % block).to_batches()
+                size %= block
+        if size:
+            yield row(pa.Table.from_batches(held), number)
+
+    dealt = signatures.select(
+        F.col("id").cast("long"), F.col("signature").cast("long")
+    ).filter("id IS NOT NULL AND signature IS NOT NULL").repartition(n, "signature")
+    return materialize(
+        dealt.mapInArrow(pack, "block long, ids binary, sigs binary"), "signature_blocks")
+
+
+def _meet(signatures: DataFrame, distance: int, bands: int | None, block: int, kernel, schema: str,
+          last=None) -> DataFrame:
+    """``kernel(left ids, right ids, chunks)`` over every two blocks, and every block with itself.
+
+    ``chunks`` are (at, to, differing) of the near pairs. ``last()`` gives a task's last batches.
     """
-    agreeing = F.lit(0)
-    for b, mask in enumerate(_slices(list(range(HASH_BITS)), bands)):
-        same = differing.bitwiseAND(F.lit(_signed(mask)).cast("bigint")) == 0
-        agreeing = agreeing + F.when(same & (last >= b), 1).otherwise(0)
-    return agreeing == bands - distance
-
-
-def _first_agreeing(masks: list[Column], differing: Column) -> Column:
-    """Position of the first of a few masks under which two signatures agree."""
-    first = F.lit(None).cast("int")
-    for i, mask in reversed(list(enumerate(masks))):
-        first = F.when(differing.bitwiseAND(mask) == 0, F.lit(i)).otherwise(first)
-    return first
+    masks = band_masks(distance, distance + 2 if bands is None else bands)
+    blocks = _blocks(signatures, block)
+
+    def chunks(left, right, same: bool):
+        for at, to in near_rows(left, right, distance, masks):
+            if same:
+                keep = at < to
+                at, to = at[keep], to[keep]
+            if len(at):
+                yield at, to, left[at] ^ right[to]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                left, right = (np.frombuffer(row[c], "<u8") for c in ("sigs_a", "sigs_b"))
+                ids = (np.frombuffer(row[c], "<i8") for c in ("ids_a", "ids_b"))
+                yield from kernel(*ids, chunks(left, right, row["a"] == row["b"]))
+        if last is not None:
+            yield from last()
+
+    def side(name: str) -> DataFrame:
+        return blocks.select(*(F.col(c).alias(n) for c, n in (
+            ("block", name), ("ids", f"ids_{name}"), ("sigs", f"sigs_{name}"))))
+
+    # Of the two orders of a pair one is taken, so that every task has about half of its own.
+    low_first = F.pmod(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), F.lit(2)) == 0
+    once = (F.col("a") == F.col("b")) | (low_first == (F.col("a") < F.col("b")))
+    return side("a").join(side("b").hint("shuffle_replicate_nl"), once).mapInArrow(run, schema)
 
 
 def hamming_pairs(
-    signatures: DataFrame, distance: int = DISTANCE, bands: int | None = None,
-    hot_bucket: int = HOT_BUCKET,
+    signatures: DataFrame, distance: int = DISTANCE, bands: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """(src, dst, bits) for every pair of *distinct* signatures within ``distance``.
 
     ``signatures`` is (id: BIGINT, signature: BIGINT) with each signature once;
-    ``src < dst`` are ids. Rows meet only on equal band values. A band value
-    shared by many signatures is refined by further bits, and what is still
-    crowded is cut into blocks joined block by block, so no key holds more than
-    about two blocks. The first agreeing mask alone emits a pair, which spares
-    a distinct over the result.
+    ``src < dst`` are ids. ``bands`` sets how long the band values are, ``block``
+    how many signatures a block holds; neither changes the pairs. The table is
+    read more than once, so it should be written.
     """
-    if bands is None:
-        # More rows need longer keys: about 16, 21 or 25 bits per mask.
-        known = signatures.count()
-        bands = distance + (2 if known <= 1 << 18 else 3 if known <= 1 << 26 else 4)
-    masks = band_masks(distance, bands)
-    lasts = F.array(*[F.lit(chosen[-1]) for chosen in _choices(distance, bands)])
-    coarse = signatures.select(
-        "id", "signature", F.posexplode(_array(masks)).alias("m", "_mask")
-    ).select(
-        "id", "signature", "m", F.get(lasts, F.col("m")).alias("last"),
-        F.col("signature").bitwiseAND(F.col("_mask")).alias("value"),
-    )
-    keys = ["m", "value"]
-    coarse = spread(coarse, *keys)
-    hot = coarse.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket)
-    hot = hot.select(*keys)
-
-    def differing(a: str = "a", b: str = "b") -> Column:
-        return F.col(f"{a}.signature").bitwiseXOR(F.col(f"{b}.signature"))
-
-    def meet(rows: DataFrame, keys: list[str], extra: Column) -> DataFrame:
-        a, b = rows.alias("a"), rows.alias("b")
-        on = F.lit(True)
-        for key in keys:
-            on = on & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-        close = hamming(F.col("a.signature"), F.col("b.signature")) <= distance
-        return a.join(
-            b, on & (F.col("a.signature") < F.col("b.signature")) & close & extra
-        ).select(
-            F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"),
-            F.bit_count(differing()).alias("bits"),
-        )
-
-    first = _is_first_choice(F.col("a.last"), differing(), distance, bands)
-    found = meet(coarse.join(hot, keys, "left_anti"), keys, first)
-
-    if hot.isEmpty():
-        return found
-
-    children = [_child_masks(m, distance) for m in masks]
-    table = F.array(*[_array(c) for c in children])
-    fine = coarse.join(hot, keys, "left_semi").select(
-        "id", "signature", "m", "last",
-        F.posexplode(F.get(table, F.col("m"))).alias("c", "_mask")
-    ).select(
-        "id", "signature", "m", "last", "c",
-        F.col("signature").bitwiseAND(F.col("_mask")).alias("value"),
-    )
-    keys = ["m", "c", "value"]
-    fine = spread(fine, *keys)
-    crowd = fine.groupBy(*keys).agg(F.count("*").alias("n"))
-    crowd = crowd.filter(F.col("n") > hot_bucket).select(
-        *keys, F.ceil(F.col("n") / hot_bucket).cast("int").alias("k"))
-    first = first & (
-        _first_agreeing(
-            [F.get(F.get(table, F.col("a.m")), F.lit(c)) for c in range(distance + 1)],
-            differing()) == F.col("a.c")
-    )
-    found = found.unionByName(meet(fine.join(crowd, keys, "left_anti"), keys, first))
-    if crowd.isEmpty():
-        return found
-    blocks = fine.join(crowd, keys).withColumn(
-        "blk", F.pmod(F.xxhash64("signature"), F.col("k")).cast("int")
-    ).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "id", "signature", "last", *keys, "blk",
-        F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
-    )
-    # Inside a task of two blocks only the cross pairs are new.
-    cross = (F.col("a.i") == F.col("a.j")) | (F.col("a.blk") != F.col("b.blk"))
-    keys = [*keys, "i", "j"]
-    return found.unionByName(meet(spread(blocks, *keys), keys, first & cross))
+    def kernel(left, right, chunks):
+        for at, to, differing in chunks:
+            one, two = left[at], right[to]
+            yield pa.RecordBatch.from_pydict({
+                "src": np.minimum(one, two), "dst": np.maximum(one, two),
+                "bits": np.bitwise_count(differing).astype(np.int32)})
+
+    return _meet(signatures, distance, bands, block, kernel, "src long, dst long, bits int")
 
 
 def hamming_edges(
-    rows: DataFrame, distance: int = DISTANCE, bands: int | None = None,
-    hot_bucket: int = HOT_BUCKET,
+    rows: DataFrame, distance: int = DISTANCE, bands: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """(src, dst) edges whose components are those of "within ``distance`` bits".
 
     Rows of one signature form a star around their lowest id instead of a
-    clique; only one row per signature enters the banded join.
+    clique; only one row per signature enters the join, and a task passes on a
+    spanning forest of the pairs it finds.
     """
-    lone = rows.groupBy("signature").agg(F.min("id").alias("lead"))
+    lone = materialize(rows.groupBy("signature").agg(F.min("id").alias("lead")), "lone")
     stars = (
         rows.join(lone, "signature").filter("id <> lead")
         .select(F.col("lead").alias("src"), F.col("id").alias("dst"))
     )
-    pairs = hamming_pairs(
-        lone.select(F.col("lead").alias("id"), "signature"), distance, bands, hot_bucket
-    )
-    return stars.unionByName(pairs.select("src", "dst"))
+    held = HeldEdges()  # each task has its own copy
+
+    def out(forests):
+        for src, dst in forests:
+            yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
+
+    def kernel(left, right, chunks):
+        # Pairs inside one tree are passed over, so that few are ever held.
+        low = np.arange(len(left) + len(right))
+        for at, to, _ in chunks:
+            one, two = low[at], low[to + len(left)]
+            new = one != two
+            if new.any():
+                root, node = star_forest(one[new], two[new])
+                roots = np.arange(len(low))
+                roots[node] = root
+                low = roots[low]
+        moved = np.flatnonzero(low != np.arange(len(low)))
+        if len(moved):
+            ids = np.concatenate([left, right])
+            yield from out(held.add(ids[low[moved]], ids[moved]))
+
+    pairs = _meet(lone.select(F.col("lead").alias("id"), "signature"), distance, bands, block,
+                  kernel, "src long, dst long", lambda: out(held.rest()))
+    return stars.unionByName(thin_edges(pairs))

@@ -8,6 +8,7 @@ from shelfmark.operators.components import connected_components, thin_edges
 from shelfmark.operators import cosine
 from shelfmark.operators.cosine import cosine_pairs, density_clusters, distinct_vectors
 from shelfmark.operators.duplicates import duplicate_report, nested_groups, redundancy
+from shelfmark.operators import hamming
 from shelfmark.operators.hamming import band_masks, hamming_edges, hamming_pairs
 
 
@@ -78,6 +79,36 @@ def test_hamming_pairs_are_exact_and_unique(spark, hot, bands):
     assert got == expected
 
 
+def test_signatures_meet_without_a_shuffle(spark):
+    # All agree on most bands, as signatures of texts do: 28 copies of each were shuffled.
+    rows = spark.range(600).select("id", F.xxhash64("id").bitwiseAND(F.lit(0x3FF)).alias("signature"))
+    lone = rows.groupBy("signature").agg(F.min("id").alias("id")).select("id", "signature")
+    found = hamming_pairs(lone, block=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+    sigs = {r.id: r.signature for r in lone.collect()}
+    expected = {(a, b, bin(sigs[a] ^ sigs[b]).count("1")) for a in sigs for b in sigs
+                if a < b and bin(sigs[a] ^ sigs[b]).count("1") <= 6}
+    got = found.collect()
+    assert len(got) == len(expected) and {(r.src, r.dst, r.bits) for r in got} == expected
+    assert {r.node: r.component for r in connected_components(hamming_edges(rows)).collect()} == \
+        brute_components([*((a, b) for a, b, _ in expected), *(
+            (min(i for i, s in sigs.items() if s == r.signature), r.id) for r in rows.collect())])
+
+
+def test_both_ways_to_meet_find_the_same_rows():
+    rng = np.random.default_rng(3)
+    masks = [np.uint64(m) for m in band_masks(6, 8)]
+    left = rng.integers(0, 2**64, size=5000, dtype=np.uint64)
+    right = np.concatenate([left[:900] ^ np.uint64(0b111 << 30), left[:700] ^ np.uint64(0xFE),
+                            left[:1], rng.integers(0, 2**64, size=999, dtype=np.uint64)])
+    assert hamming._few_candidates(left, right, masks)
+    ways = [sorted((int(a), int(b)) for at, to in way for a, b in zip(at, to)) for way in (
+        hamming._by_bands(left, right, 6, masks), hamming._by_all(left, right, 6))]
+    assert ways[0] == ways[1] and len(ways[0]) >= 901
+    assert not hamming._few_candidates(left & masks[0], right & masks[0], masks)
+
+
 def test_band_masks_cover_every_bit():
     masks = band_masks(6, 8)
     assert len(masks) == 28 and len(set(masks)) == 28
