@@ -11,7 +11,7 @@ from shelfmark.functions.dates import month_span
 from shelfmark.functions.text import clean_subject, padded_id
 from shelfmark.operators.filters import UNASSIGNED
 from shelfmark.operators.ranking import rank_within
-from shelfmark.session import materialize
+from shelfmark.session import materialize, spread
 
 GAP_HOURS = 72.0
 NAME_SHARE = 0.6
@@ -138,14 +138,15 @@ def build_events(catalog: DataFrame, gap_hours: float = GAP_HOURS) -> DataFrame:
     borrowed = materialize(thread_placement(
         dated.select("thread", "event"), catalog.filter("ts IS NULL")), "borrowed")
     counts = borrowed.groupBy("event").agg(F.count("*").alias("borrowed"))
-    names = event_names(dated).join(
+    # Written, so that few events are known to be few and no event's rows are gathered for them.
+    names = materialize(event_names(dated).join(
         counts.filter("event IS NOT NULL"), "event", "left"
     ).select(
         "event", padded_id("event-", F.col("event")).alias("event_id"),
         F.col("name").alias("event_name"), F.col("start").alias("event_start"),
         F.col("end").alias("event_end"),
         (F.col("dated") + F.coalesce("borrowed", F.lit(0))).alias("image_count"),
-    )
+    ), "names")
     lost = counts.filter("event IS NULL").select(F.col("borrowed").alias("image_count"))
     columns = ["event_id", "event_name", "event_start", "event_end", "image_count",
                "date_source", "path", "filename", "capture_time", "subject", "thread"]
@@ -172,12 +173,19 @@ def event_index(rows: DataFrame) -> DataFrame:
 
     The first row of an id supplies its name and span.
     """
-    return rows.groupBy("event_id").agg(
-        F.min_by("event_name", "pos").alias("name"),
-        F.min_by("event_start", "pos").alias("start"),
-        F.min_by("event_end", "pos").alias("end"),
-        F.count_distinct("path").alias("images"),
-    )
+    # One event may hold most rows: paths are told apart over all tasks, then counted.
+    seen = spread(rows.select("event_id", "path", "pos"), "event_id", "path").groupBy(
+        "event_id", "path").agg(F.min("pos").alias("pos"))
+    sizes = seen.groupBy("event_id").agg(
+        F.min("pos").alias("_pos"), F.count("path").alias("images"))
+    sizes = materialize(sizes, "sizes")
+    first = sizes.select(F.col("event_id").alias("_id"), "_pos")
+    head = rows.join(first, F.col("event_id").eqNullSafe(F.col("_id")) & (
+        F.col("pos") == F.col("_pos"))).groupBy("_id").agg(F.any_value(F.struct(
+            "event_name", "event_start", "event_end")).alias("_head"))
+    return sizes.join(head, F.col("event_id").eqNullSafe(F.col("_id")), "left").select(
+        "event_id", F.col("_head.event_name").alias("name"),
+        F.col("_head.event_start").alias("start"), F.col("_head.event_end").alias("end"), "images")
 
 
 def event_roster(index: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ SELECT event_id, event_name, {_sql_iso('lo')} AS event_start, {_sql_iso('hi')} A
 
 def _roster(spark, sf):
     rows = build_events(_catalog(spark, sf), GAP).withColumn(
-        "pos", F.substring("path", 4, 8).cast("long"))
+        "pos", F.expr("substring(path, 4)").cast("long"))
     return event_roster(event_index(rows)).select(
         "event_id", "name", _iso("start").alias("start"), _iso("end").alias("end"), "images",
         "place")

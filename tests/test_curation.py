@@ -280,6 +280,23 @@ def test_coverage_equals_sets(spark):
     assert report["baseless"].status == "UNMEASURABLE - lost.csv missing"
 
 
+def test_event_index_gathers_no_event(spark):
+    # Nearly all rows are of one event: its rows were sorted together, in one task.
+    rows = spark.range(2000).select(
+        F.when(F.col("id") % 500 == 499, "rare").when(F.col("id") > 0, "big").alias("event_id"),
+        F.concat(F.lit("n"), F.col("id") % 7).alias("event_name"),
+        F.timestamp_seconds("id").alias("event_start"), F.timestamp_seconds("id").alias("event_end"),
+        F.when(F.col("id") % 10 != 3, F.concat(F.lit("p"), F.col("id") % 100)).alias("path"),
+        (-F.col("id")).alias("pos"))
+    index = event_index(rows)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "distinct" not in plan
+    got = {r.event_id: (r.name, r.start, r.images) for r in index.collect()}
+    start = {r.pos: r.event_start for r in rows.collect()}
+    assert got == {None: ("n0", start[0], 1), "rare": ("n4", start[-1999], 1),
+                   "big": ("n3", start[-1998], 90)}
+
+
 def test_regression_equals_multisets(spark):
     rng = random.Random(12)
 
