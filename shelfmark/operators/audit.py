@@ -268,15 +268,16 @@ def regression_report(
     Inputs are (query, filename) rows. ``*_queries`` (query) list the suites, so
     that a query without results is still part of one.
     """
-    def suite(rows: DataFrame, given: DataFrame | None, flag: str) -> DataFrame:
-        return (given if given is not None else rows).select("query").distinct().withColumn(
-            flag, F.lit(True))
-
-    delta = multiset_delta(baseline, measured, ["query", "filename"]).groupBy("query").agg(
+    # Both tables are read once: a query with rows on a side is in that side's suite.
+    rows = multiset_delta(baseline, measured, ["query", "filename"]).groupBy("query").agg(
         *[F.sum(c).alias(c) for c in ("was", "now", "gained", "lost")])
-    known = suite(baseline, baseline_queries, "_old").join(
-        suite(measured, measured_queries, "_new"), "query", "full_outer")
-    rows = known.join(delta, "query", "left")
+    for given, count, flag in ((baseline_queries, "was", "_old"), (measured_queries, "now", "_new")):
+        if given is None:
+            rows = rows.withColumn(flag, F.when(F.col(count) > 0, F.lit(True)))
+        else:
+            listed = given.select("query").distinct().withColumn(flag, F.lit(True))
+            rows = rows.join(listed, "query", "full_outer")
+    rows = rows.filter("_old OR _new")
     number = {c: F.coalesce(c, F.lit(0)) for c in ("was", "now", "gained", "lost")}
     kind = (
         F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "dropped")

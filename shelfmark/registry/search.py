@@ -24,6 +24,7 @@ from shelfmark.plans.report import (
 )
 from shelfmark.plans.search import Options, modality_ranks, prepare_requests, search
 from shelfmark.registry import base
+from shelfmark.session import materialize
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -509,18 +510,27 @@ _CHANGED = [{"query_id": "that tion", "text": "that tion", "trim": True},
             {"query_id": "zebra", "text": "zebra"}, {"query_id": "thth", "text": "thth"}]
 
 
-def _measured(spark, sf, rows):
-    out = search(base.requests(spark, sf, rows), base.corpus(spark, sf), options=Options())
-    return out.results.select(F.col("query_id").alias("query"),
-                              base_name(F.col("path")).alias("filename"))
+def _measured(requests, corpus):
+    return search(requests, corpus, options=Options()).results.select(
+        F.col("query_id").alias("query"), base_name(F.col("path")).alias("filename"))
+
+
+def _both(spark, sf):
+    """The answers of both suites, from one search of all their requests."""
+    marked = [row | {"query_id": side + row["query_id"]}
+              for side, suite in (("b", _SUITE), ("m", _CHANGED)) for row in suite]
+    found = materialize(_measured(base.requests(spark, sf, marked), base.corpus(spark, sf)),
+                        "measured")
+    return [found.filter(F.col("query").startswith(side)).select(
+        F.expr("substring(query, 2)").alias("query"), "filename") for side in "bm"]
 
 
 def _regression(spark, sf):
-    return regression_report(_measured(spark, sf, _SUITE), _measured(spark, sf, _CHANGED))
+    return regression_report(*_both(spark, sf))
 
 
 def _regression_files(spark, sf):
-    return regression_files(_measured(spark, sf, _SUITE), _measured(spark, sf, _CHANGED))
+    return regression_files(*_both(spark, sf))
 
 
 def _sql_run(rows):
@@ -542,8 +552,9 @@ SELECT query, CASE WHEN was = 0 THEN 'new' WHEN now = 0 THEN 'dropped' ELSE 'mov
 
 def _regression_run(spark, sf):
     """A suite measured anew against the stored answers of another one."""
-    return regression_run(base.requests(spark, sf, _CHANGED), base.corpus(spark, sf),
-                          _measured(spark, sf, _SUITE), Options())
+    corpus = base.corpus(spark, sf)
+    return regression_run(base.requests(spark, sf, _CHANGED), corpus,
+                          _measured(base.requests(spark, sf, _SUITE), corpus), Options())
 
 
 QUERIES["regression_run"] = _regression_run
