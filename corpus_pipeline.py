@@ -13,6 +13,8 @@ not compared for passages. Empty tables pass through as empty ones.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,26 @@ from shelfmark.llm.mixture_packing import pack
 from shelfmark.llm.sentence_spans import remove_repeats
 from shelfmark.llm.temperature_mix import mix
 from shelfmark.llm.toxic_automata import keep_clean, train, training_labels
-from shelfmark.session import materialize
+from shelfmark.session import bound_batches, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+# Stages run one after the other on the same executors, whose memory holds what the
+# earlier ones grew to: a batch of whole texts is kept far below Spark's 64 MB.
+BATCH_BYTES = "2m"
+
+
+def bounded(stage):
+    """``stage`` with batches for Python workers of BATCH_BYTES at most."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@bounded
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5, learned from the labels of these documents."""
     labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,6 +52,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_clean(docs, lexicon, weights)
 
 
+@bounded
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that a smaller id of their group stands for."""
     dropped = materialize(
@@ -42,6 +60,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(checked_broadcast(dropped), "doc_id", "left_anti").select(docs.columns)
 
 
+@bounded
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without sentences of repeated passages; documents of nothing else go.
 
@@ -57,11 +76,13 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(docs.columns)
 
 
+@bounded
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, and those of small sources up to twice."""
     return mix(docs, max_repeats=2.0)
 
 
+@bounded
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of the packed sequences."""
     return pack(docs, VOCABULARY, end_id=1)

@@ -14,9 +14,9 @@ LOCAL_SPREAD = "shelfmark.local.spread"
 BATCH_BYTES = "8m"
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
     """Batches that go by their bytes, however long the texts of a table are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def local_session(app: str = "shelfmark", cores: str = "*", **conf) -> SparkSession:

@@ -24,6 +24,18 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_every_stage_bounds_the_batches_of_its_workers(spark, folder, name, stage):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder)
+        assert spark.conf.get(key) == corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_stages_keep_columns_and_clean_documents(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
