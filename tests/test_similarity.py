@@ -241,6 +241,24 @@ def test_duplicate_tiers_and_keepers(spark):
     assert [[m.path for m in p.members] for p in pages] == [["a", "b", "c"], ["e"]]
 
 
+def test_a_report_shuffles_few_rows_a_row(spark):
+    # Signatures agree on most bands, as those of texts do: some 130 rows were shuffled for each.
+    rows = spark.range(1000).withColumnRenamed("id", "pos")
+    signatures = rows.select(
+        "pos", F.xxhash64("pos").bitwiseAND(F.lit(0x3FF0003F)).alias("signature"))
+    catalog = rows.select("pos", F.lit("").alias("sha256"), F.lit(1).alias("width"),
+                          F.lit(1).alias("height"))
+    vectors = rows.select("pos", F.array(F.lit(1.0), F.lit(0.0)).alias("vec"))
+    context = spark.sparkContext
+    context.setJobGroup("report", "")
+    totals = redundancy(duplicate_report(catalog, signatures, vectors)).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in totals] == [("NEAR", 1, 1000, 999)]
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("report") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 40_000
+
+
 def test_signatures_of_whole_texts(spark):
     base = " ".join(f"word{i}" for i in range(400))
     rows = spark.createDataFrame(
