@@ -1,10 +1,11 @@
 """Token ids of whole texts from a public tokenizer file, with words remembered.
 
 A byte-level BPE with the usual pattern never joins text across a single space
-that has other characters on both sides, so a text is cut there, pieces seen
-before are looked up, and only new ones go through the tokenizers library,
-many in one call. The ids are those of the whole text. Any other tokenizer
-encodes whole texts.
+or line break that has other characters on both sides, nor letters with the
+marks behind them, so a text is cut there, pieces seen before are looked up,
+and only new ones go through the tokenizers library. What is only letters is
+one piece to its pattern as well and goes to its model directly. The ids are
+those of the whole text. Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import itertools
 import json
 import os
 import re
+import string
 import sys
 import types
 
@@ -22,7 +24,8 @@ import numpy as np
 GAP = re.compile(r"(?<=\S) (?=\S)")
 # Every character that Python counts as white space, but for the space itself.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-LONGEST, GENERATION, KEPT = 48, 150_000, 50_000
+MARKS = string.punctuation
+LONGEST, GENERATION, KEPT = 48, 200_000, 50_000
 
 
 def _pieces(text: str) -> list[str]:
@@ -34,10 +37,70 @@ def _pieces(text: str) -> list[str]:
     return parts
 
 
+def _byte_letters() -> str:
+    """The character that stands for each byte in the vocabulary of a byte-level model."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = itertools.count(0x100)
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
+
+
+class Words(dict):
+    """Ids of words as they read after a space, found out when they are first asked for.
+
+    A key with a line break in front is a word that follows it. ``whole`` and ``letters`` give
+    the ids of any text and of letters that the model never parts before it joins them.
+    """
+
+    def __init__(self, known: dict[str, bytes], whole, letters):
+        super().__init__(known)
+        self.whole, self.letters = whole, letters
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}  # the long ones, to forget
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.old.get(word)) is None and (ids := self.long.get(word)) is None:
+            body = word.rstrip(MARKS)
+            if body.isalpha():
+                if len(body) < len(word):
+                    # Letters and the marks behind them are never joined.
+                    seen = body in self or body in self.old
+                    ids = self[body] + self._tail(word[len(body):])
+                    if not seen:  # most such words never come again
+                        return ids
+                else:
+                    ids = self.letters(" ", word)
+            elif word[0] == "\n":
+                if body[1:].isalpha():
+                    ids = self._tail("\n") + self.letters("", body[1:]) + self._tail(word[len(body):])
+                else:
+                    ids = self.whole(word)
+            elif "\n" in word and (lines := word.split("\n")) == word.split():
+                # A line break between two other characters is joined with neither.
+                return self[lines[0]] + b"".join([self["\n" + line] for line in lines[1:]])
+            else:
+                ids = self.whole(" " + word)
+        if len(word) > LONGEST:
+            self.long[word] = ids
+            return ids
+        if len(self) >= GENERATION:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _tail(self, marks: str) -> bytes:
+        if (ids := self.tails.get(marks)) is None:
+            ids = self.whole(marks) if marks else b""
+            if len(marks) <= LONGEST and len(self.tails) < GENERATION:
+                self.tails[marks] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, ``width`` bytes an id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: dict[str, bytes] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,6 +108,7 @@ class Encoder:
             spec = json.load(file)
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merge = self.model.model.tokenize  # of the library too, without the cutting before it
         size = self.model.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65_536 else "<u4")
         cut = spec.get("pre_tokenizer") or {}
@@ -52,74 +116,34 @@ class Encoder:
             spec.get("normalizer") is None and cut.get("type") == "ByteLevel"
             and not cut.get("add_prefix_space") and cut.get("use_regex", True)
             and spec["model"].get("type") == "BPE"
+            and all(t.get("special") for t in spec.get("added_tokens") or [])
         )
-        self.heads = np.zeros(size, bool)
-        if self.cuts:
-            space = self.model.id_to_token(self.model.encode(
-                " ", add_special_tokens=False).ids[0])
-            for token, at in self.model.get_vocab().items():
-                self.heads[at] = token.startswith(space)
-        self.marks = {c: self._whole(c) for c in ".,;:!?"} if self.cuts else {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.codes = [n.to_bytes(self.dtype.itemsize, "little") for n in range(size)]
+        self.bytes = _byte_letters()
+        self.words = Words(known or {}, self._whole, self._letters)
 
     def _whole(self, text: str) -> bytes:
         ids = self.model.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, words: set[str]) -> list[str]:
-        """Remember the ids of ``words``, each as it reads after a space; the long ones, to forget."""
-        if len(self.young) > GENERATION:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh, ended, long = set(), [], []
-        for word in words.difference(young):
-            if (known := old.get(word)) is not None:
-                young[word] = known
-            elif len(word) > LONGEST:
-                young[word] = self._whole(" " + word)
-                long.append(word)
-            elif word[-1] in self.marks and word[:-1].isalpha():
-                # Letters and the mark behind them are never joined.
-                ended.append(word)
-                if (body := word[:-1]) not in young:
-                    if (known := old.get(body)) is not None:
-                        young[body] = known
-                    else:
-                        fresh.add(body)
-            else:
-                fresh.add(word)
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 1000):
-            part = fresh[at:at + 1000]
-            ids = np.array(self.model.encode(
-                " " + " ".join(part), add_special_tokens=False).ids, self.dtype)
-            starts = np.flatnonzero(self.heads[ids])
-            if len(starts) != len(part):
-                young.update((w, self._whole(" " + w)) for w in part)
-                continue
-            data, step = ids.tobytes(), self.dtype.itemsize
-            ends = np.append(starts[1:], len(ids)) * step
-            young.update(
-                (w, data[s:e]) for w, s, e in zip(part, (starts * step).tolist(), ends.tolist()))
-        for word in ended:
-            young[word] = young[word[:-1]] + self.marks[word[-1]]
-        return long
+    def _letters(self, before: str, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.bytes)
+        if before:
+            text = self.bytes[0x20] + text
+        return b"".join([self.codes[token.id] for token in self.merge(text)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; of a null text none."""
         if not self.cuts:
             return [self._whole(t) if t else b"" for t in texts]
-        parts = [_pieces(t) if t else [] for t in texts]
-        heads = [p[0] if p else "" for p in parts]
-        for p in parts:
-            del p[:1]
-        long = self._learn(set().union(*parts))
-        find = self.young.__getitem__
-        out = [(self._whole(h) if h else b"") + b"".join(map(find, p))
-               for h, p in zip(heads, parts)]
-        for word in long:
-            del self.young[word]
+        find, out = self.words.__getitem__, []
+        for text in texts:
+            parts = _pieces(text) if text else [""]
+            head = self._whole(parts[0]) if parts[0] else b""
+            del parts[:1]
+            out.append(head + b"".join(map(find, parts)))
+        self.words.long.clear()
         return out
 
 
@@ -132,12 +156,13 @@ def encoding(path: str):
     because idle workers share an executor with later stages.
     """
     kept = sys.modules.setdefault("kept_words", types.ModuleType("kept_words")).__dict__
-    model = Encoder(path)
-    model.young = kept.pop(path, {})
+    model = Encoder(path, kept.pop(path, None))
     try:
         yield model
     finally:
-        kept[path] = dict(itertools.islice({**model.old, **model.young}.items(), KEPT))
+        words = model.words
+        kept[path] = dict(itertools.islice(
+            itertools.chain(words.old.items(), words.items()), KEPT))
 
 
 def slices(texts: list, characters: int = 1_000_000):

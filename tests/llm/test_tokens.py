@@ -39,6 +39,30 @@ def test_remembered_words_give_the_ids_of_whole_texts(model):
     assert got == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_marks_and_line_breaks_are_cut_off_before_the_library(model):
+    rng, own = random.Random(4), Encoder(PATH)
+    words = ["".join(rng.choices("abcdéñouß", k=rng.randint(1, 60))) for _ in range(300)]
+    ends = ["", ".", "$$$", ".***", "!\n", ",\n", "\n", "'", "_", "?\nthe\n", "\t", "\n\n", "1"]
+    texts = [" ".join(rng.choice(words) + rng.choice(ends) + rng.choice(["", rng.choice(words)])
+                      for _ in range(200)) for _ in range(40)]
+    plain = [" ".join(w + rng.choice(("", ".***", "$$$", ".\n" + w)) for w in words) for _ in range(9)]
+    for some in (texts, plain, texts):
+        got = [np.frombuffer(b, own.dtype).tolist() for b in own.encode(some)]
+        assert got == [e.ids for e in model.encode_batch(some, add_special_tokens=False)]
+
+    class Counted:
+        sent = 0
+
+        def encode(self, text, **options):
+            self.sent += len(text)
+            return model.encode(text, **options)
+
+    own = Encoder(PATH)
+    own.model = Counted()
+    own.encode(plain)  # of all words only the first of a text goes through the pattern
+    assert own.model.sent < sum(map(len, plain)) // 20
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip_and_ranges(tmp_path, bits):
     rng = np.random.default_rng(1)
