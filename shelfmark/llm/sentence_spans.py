@@ -12,9 +12,11 @@ are equal where 96 bits of hash are (64 and 32 of two sums over 128-bit words).
 equal spans the first by (document, place) stays; sentences covered by any other
 one are removed.
 
-Counting runs map-side first and keeps one row per hash, so a passage that
-every document holds is one row per task. Only spans that repeat are joined
-back, and what is gathered per document is bounded by its own length.
+A span that its own text had before is known where the text is read and carries
+no hash. Of the others the smallest and the largest document are found by hash,
+map-side first and one row per hash, so a passage that every document holds is
+one row per task. Only spans of several documents are joined back, and what is
+gathered per document is bounded by its own length.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import lean, mixed
+from shelfmark.llm.common import checked_broadcast, lean, mixed
 from shelfmark.session import materialize
 
 WORD = re.compile(r"\S+")
@@ -142,8 +144,23 @@ class Sentences:
         return left if left.strip() else "", int(gone.sum())
 
 
+def _seen(numbers: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which rows have the number and both hashes of an earlier one; numbers ascend."""
+    order = np.lexsort((high, low))  # stable, so by number, and the first of equal rows leads
+    equal = np.ones(max(len(order) - 1, 0), bool)
+    for values in (numbers, high, low):
+        values = values[order]
+        equal &= values[1:] == values[:-1]
+    seen = np.zeros(len(order), bool)
+    seen[order[1:]] = equal
+    return seen
+
+
 def _spans(rows: DataFrame, sizes: tuple[int, int, int, int]) -> DataFrame:
-    """Every span of every row, and a row with count 0 that has the number of sentences."""
+    """Every span of every row, and a row with count 0 that has the number of sentences.
+
+    The latter and spans that came before in the same text have null hashes.
+    """
 
     def kernel(batches):
         tool = Sentences(*sizes)
@@ -154,13 +171,15 @@ def _spans(rows: DataFrame, sizes: tuple[int, int, int, int]) -> DataFrame:
             counts = [len(f[1]) for f in found]
             none = np.zeros(len(found), np.int64)
             high, low = np.concatenate([f[0] for f in found], axis=1)
-            columns = [np.append((high >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                                 none.astype(np.int32)), np.append(low.view(np.int64), none)]
-            columns += [np.append(np.repeat(k, counts), k) for k in keys]
+            high = (high >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            unmarked = np.append(_seen(np.repeat(np.arange(len(found)), counts), high, low),
+                                 np.ones(len(found), bool))
+            hashes = np.append(high, none.astype(np.int32)), np.append(low.view(np.int64), none)
+            columns = [np.append(np.repeat(k, counts), k) for k in keys]
             columns += [np.append(np.concatenate([f[1] for f in found]), totals).astype(np.int32),
                         np.append(np.concatenate([f[2] for f in found]), none).astype(np.int32)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns],
+                [*(pa.array(c, mask=unmarked) for c in hashes), *map(pa.array, columns)],
                 names=["high", "low", "doc_id", "version", "first", "count"])
 
     return rows.mapInArrow(
@@ -207,21 +226,27 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, min_words: int = 30,
     spans = materialize(_spans(
         docs.filter(F.col(id_col).isNotNull()).select(*named, F.col(text_col).alias("text")),
         sizes), "spans")
-    place = F.struct("doc_id", "version", "first")
-    real = spans.filter("count > 0")
+    spot, one = ["doc_id", "version", "first", "count"], ["high", "low"]
+    real = spans.filter("low IS NOT NULL")
     repeated = materialize(
-        real.groupBy("high", "low").agg(F.min(place).alias("lo"), F.count("*").alias("n"))
-        .filter("n > 1").select("high", "low", "lo"), "repeats")
-    cuts = (
-        real.join(repeated, ["high", "low"]).filter(place != F.col("lo"))
-        .select("doc_id", "version", "first", "count").distinct()
-    )
+        real.groupBy(*one).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        .filter("lo < hi").select(*one, "lo"), "repeats")
+    cuts = real.join(repeated, one).filter("doc_id > lo").select(spot)
+    # Rows that share an id but not their text: the smallest version has what others repeat.
+    shared = materialize(
+        spans.filter("count = 0").groupBy("doc_id")
+        .agg(F.min("version").alias("lo"), F.max("version").alias("hi"))
+        .filter("lo < hi").select("doc_id"), "shared")
+    inside = real.join(checked_broadcast(shared), "doc_id")
+    earliest = inside.groupBy("doc_id", *one).agg(
+        F.min("version").alias("lo"), F.max("version").alias("hi")).filter("lo < hi")
+    later = inside.join(earliest, ["doc_id", *one]).filter("version > lo").select(spot)
     # Each document's own row says how many sentences it has, the others what to cut.
     found = materialize(
-        spans.filter("count = 0").select("doc_id", "version", "first", "count")
-        .unionByName(cuts).groupBy("doc_id", "version")
+        spans.filter("low IS NULL").select(spot).unionByName(cuts).unionByName(later)
+        .groupBy("doc_id", "version")
         .agg(F.max(F.when(F.col("count") == 0, F.col("first"))).alias("total"),
-             F.collect_list(F.when(F.col("count") > 0, F.struct("first", "count"))).alias("cuts"))
+             F.collect_set(F.when(F.col("count") > 0, F.struct("first", "count"))).alias("cuts"))
         .select("doc_id", "version", "total",
                 F.when(F.size("cuts") > 0, F.col("cuts")).alias("cuts")), "cuts")
     joined = docs.select(*named, F.struct(*keep).alias("row")).join(

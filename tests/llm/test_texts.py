@@ -175,6 +175,36 @@ def test_short_runs_of_whole_sentences_go_in_query_and_pipeline(spark, tmp_path)
                                 "Text three is new. More follows.", *texts[3:]]))
 
 
+def test_texts_that_share_an_id_count_as_documents(spark):
+    rng = random.Random(9)
+    shared, own = prose(rng, 8), [prose(rng, 3) for _ in range(6)]
+    texts = [(1, f"{shared} {own[0]}"), (1, f"{own[1]} {shared}"), (1, f"{own[1]} {shared}"),
+             (1, f"{shared} {own[2]} {shared}"), (2, f"{own[3]} {shared}"), (3, own[4]), (3, own[5])]
+    got = remove_repeats(spark.createDataFrame(
+        [(i, t, "s") for i, t in texts], "doc_id long, text string, source string")).collect()
+    # Exactly one version of the smallest id keeps the passage, once; equal rows are alike.
+    left = [r for r in got if shared in r.text]
+    assert {r.doc_id for r in left} == {1} and len({r.text for r in left}) == 1
+    assert all(r.text.count(shared) == 1 for r in left)
+    assert sorted(r.text.replace(shared, "").strip() for r in got) == sorted(
+        [own[0], own[1], own[1], own[2], own[3], own[4], own[5]])
+
+
+def test_spans_that_come_again_in_their_text_are_not_shuffled(spark):
+    # Each was shuffled three times: to be counted, to be joined, and to be told apart.
+    again = " ".join(["Here is a line. It comes again. And once more."] * 400)
+    docs = spark.createDataFrame([(i, f"Text {i}. {again}") for i in range(20)],
+                                 "doc_id long, text string").repartition(4)
+    context = spark.sparkContext
+    context.setJobGroup("passages", "")
+    got = remove_repeats(docs).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(r.n_sentences for r in got) == 20 * 1201 and all(r.n_removed > 1000 for r in got)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("passages") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 2_000
+
+
 def test_odd_rows_keep_their_texts(spark):
     table = frame(spark, rows())
     got = remove_repeats(table)
