@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import contextlib
 import itertools
-import json
 import os
 import re
 import string
@@ -44,6 +43,19 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in shown else next(others)) for b in range(256))
 
 
+def _letters(merge, codes: list[bytes]):
+    """The ids of letters, by the library's model without the cutting before it."""
+    table = _byte_letters()
+    spaces = {"": "", " ": table[0x20]}
+
+    def ids(before: str, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(table)
+        return b"".join([codes[token.id] for token in merge(spaces[before] + text)])
+
+    return ids
+
+
 class Words(dict):
     """Ids of words as they read after a space, found out when they are first asked for.
 
@@ -59,17 +71,19 @@ class Words(dict):
         self.long: dict[str, bytes] = {}  # the long ones, to forget
 
     def __missing__(self, word: str) -> bytes:
-        if (ids := self.old.get(word)) is None and (ids := self.long.get(word)) is None:
-            body = word.rstrip(MARKS)
-            if body.isalpha():
-                if len(body) < len(word):
-                    # Letters and the marks behind them are never joined.
-                    seen = body in self or body in self.old
-                    ids = self[body] + self._tail(word[len(body):])
-                    if not seen:  # most such words never come again
-                        return ids
-                else:
-                    ids = self.letters(" ", word)
+        if (ids := self.old.get(word)) is not None:
+            if len(self) < GENERATION:  # it moves on, so that both hold no word twice
+                self[word] = self.old.pop(word)
+            return ids
+        if (ids := self.long.get(word)) is None:
+            if word.isalpha():
+                ids = self.letters(" ", word)
+            elif (body := word.rstrip(MARKS)).isalpha():
+                # Letters and the marks behind them are never joined.
+                seen = body in self or body in self.old
+                ids = self[body] + self._tail(word[len(body):])
+                if not seen:  # most such words never come again
+                    return ids
             elif word[0] == "\n":
                 if body[1:].isalpha():
                     ids = self._tail("\n") + self.letters("", body[1:]) + self._tail(word[len(body):])
@@ -102,37 +116,26 @@ class Encoder:
 
     def __init__(self, path: str, known: dict[str, bytes] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.merge = self.model.model.tokenize  # of the library too, without the cutting before it
         size = self.model.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65_536 else "<u4")
-        cut = spec.get("pre_tokenizer") or {}
+        cut = self.model.pre_tokenizer
         self.cuts = (
-            spec.get("normalizer") is None and cut.get("type") == "ByteLevel"
-            and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-            and spec["model"].get("type") == "BPE"
-            and all(t.get("special") for t in spec.get("added_tokens") or [])
+            self.model.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel)
+            and not cut.add_prefix_space and cut.use_regex
+            and isinstance(self.model.model, models.BPE)
+            and all(t.special for t in self.model.get_added_tokens_decoder().values())
         )
-        self.codes = [n.to_bytes(self.dtype.itemsize, "little") for n in range(size)]
-        self.bytes = _byte_letters()
-        self.words = Words(known or {}, self._whole, self._letters)
+        codes = [n.to_bytes(self.dtype.itemsize, "little") for n in range(size)]
+        self.words = Words(known or {}, self._whole, _letters(self.model.model.tokenize, codes))
 
     def _whole(self, text: str) -> bytes:
         ids = self.model.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _letters(self, before: str, text: str) -> bytes:
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(self.bytes)
-        if before:
-            text = self.bytes[0x20] + text
-        return b"".join([self.codes[token.id] for token in self.merge(text)])
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; of a null text none."""
         if not self.cuts:
@@ -162,7 +165,7 @@ def encoding(path: str):
     finally:
         words = model.words
         kept[path] = dict(itertools.islice(
-            itertools.chain(words.old.items(), words.items()), KEPT))
+            itertools.chain(words.items(), words.old.items()), KEPT))
 
 
 def slices(texts: list, characters: int = 1_000_000):

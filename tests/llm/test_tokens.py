@@ -7,6 +7,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from shelfmark.llm import tokens
 from shelfmark.llm.bitplane import PlaneReader, PlaneWriter, from_planes, to_planes, token_files
 from shelfmark.llm.mixture_packing import Schedule, deficit_windows, pack
 from shelfmark.llm.tokens import Encoder
@@ -63,6 +64,18 @@ def test_marks_and_line_breaks_are_cut_off_before_the_library(model):
     assert own.model.sent < sum(map(len, plain)) // 20
 
 
+def test_no_word_is_held_twice(model, monkeypatch):
+    monkeypatch.setattr(tokens, "GENERATION", 100)
+    rng, own = random.Random(5), Encoder(PATH)
+    common = ["".join(rng.choices("abcdé", k=6)) for _ in range(60)]
+    texts = [" ".join([*rng.choices(common, k=30), "".join(rng.choices("xyz", k=9))]) for _ in range(200)]
+    for text in texts:
+        (got,) = own.encode([text])
+        assert np.frombuffer(got, own.dtype).tolist() == ids_of(model, text, 0)[:-1]
+        assert not own.words.keys() & own.words.old.keys()
+        assert len(own.words) <= 100 and len(own.words.old) <= 100
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip_and_ranges(tmp_path, bits):
     rng = np.random.default_rng(1)
