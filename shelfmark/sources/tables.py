@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shelfmark.functions.text import suffix
 from shelfmark.operators.audit import FINGERPRINT_CHUNK, index_statistics, order_fingerprint
@@ -19,13 +21,31 @@ from shelfmark.schemas import INDEX_MANIFEST, REGRESSION_BASELINE
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A headed UTF-8 CSV (a byte-order mark is skipped) with declared types.
 
-    Cells that do not fit their type fail the read; an empty cell is NULL.
+    Cells that do not fit their type fail the read; an empty cell is NULL, but
+    a quoted one is an empty text where the type is one.
     """
-    return spark.read.schema(schema).csv(
+    fields = StructType.fromDDL(schema).fields
+    # Cells come as text: Spark's reader has one value for NULL, and every text may be one.
+    cells = spark.read.schema(StructType([StructField(f.name, StringType()) for f in fields])).csv(
         path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST",
-        enforceSchema=False,
+        enforceSchema=False, nullValue=uuid.uuid4().hex, emptyValue="",
+        charToEscapeQuoteEscaping='"',
     )
 
+    def typed(field: StructField) -> Column:
+        cell = F.col(_quoted(field.name))
+        if isinstance(field.dataType, StringType):
+            return cell
+        one = StructType([StructField("cell", field.dataType)])
+        return F.from_csv(F.nullif(cell, F.lit("")), one.toDDL(), {"mode": "FAILFAST"})[
+            "cell"].alias(field.name)
+
+    return cells.select(*map(typed, fields))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
 def read_optional(
     spark: SparkSession, path: str, schema: str
@@ -57,7 +77,11 @@ def _or_empty(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """A headed CSV that ``read_csv`` reads back as it was: NULL is an empty cell, texts are whole."""
+    df.write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', emptyValue='""',
+        charToEscapeQuoteEscaping='"',  # unset it is NUL, which then is lost from texts
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_table(df: DataFrame, path: str) -> None:
