@@ -29,6 +29,8 @@ def local_session(app: str = "shelfmark", cores: str = "*", **conf) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # A long session keeps the figures of its last queries: skipped stages are dropped first.
+        .config("spark.ui.retainedStages", "20000")
         # No stack trace for every column expression: plans are built twice as fast.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
