@@ -25,7 +25,12 @@ from shelfmark.operators.components import HeldEdges, connected_components, thin
 from shelfmark.session import materialize, spread
 
 BLOCK = 1_024  # vectors in a block
+WIDE_BLOCK = 4_096  # the same where there are many: a block is handed over once for every other
+BLOCK_BYTES = 1 << 21  # of a block beyond BLOCK vectors
 CHUNK_BLOCKS = 32  # blocks that a task cuts from one chunk
+CHUNK_ROWS = 32_768  # vectors of a chunk at most
+STRIP = 1 << 18  # cosines of two blocks that are held at a time
+HITS = 1 << 20  # pairs that are handed on at a time
 TILE = 64  # blocks in a partition of the product; a task meets two partitions
 PIVOTS = 1_024  # the first level is that wide at most; the levels below it grow with the data
 
@@ -119,7 +124,7 @@ def _layout(vectors: DataFrame, cells: int, block: int) -> tuple[DataFrame, np.n
         vectors.select(F.col("id").cast("long"), "vec", F.col("copies").cast("long"))
         .mapInArrow(assign, f"cell long, away double, id long, vec {kind}, copies long"), "cells")
     sizes = placed.groupBy("cell").agg(
-        F.ceil(F.count("*") / (block * CHUNK_BLOCKS)).alias("_chunks"))
+        F.ceil(F.count("*") / min(block * CHUNK_BLOCKS, max(block, CHUNK_ROWS))).alias("_chunks"))
     dealt = placed.join(sizes, "cell").withColumn(
         "chunk", F.pmod(F.xxhash64("id"), F.col("_chunks"))).drop("_chunks")
 
@@ -190,23 +195,68 @@ def near_blocks(blocks: DataFrame, pivots: np.ndarray, threshold: float) -> Data
 
 
 class _Vectors:
-    def __init__(self, row: dict, side: str):
-        self.ids, self.copies = (
-            np.frombuffer(row[f"{c}_{side}"], "<i8") for c in ("ids", "copies"))
-        self.unit = np.frombuffer(row[f"unit_{side}"]).reshape(len(self.ids), -1)
-        core = row.get(f"core_{side}")
-        self.core = None if core is None else np.frombuffer(core, bool)
+    def __init__(self, batch: pa.RecordBatch, i: int, side: str):
+        def array(name: str, kind) -> np.ndarray:
+            return np.frombuffer(batch.column(f"{name}_{side}")[i].as_buffer(), kind)
+
+        self.block = batch.column(side)[i].as_py()
+        self.ids, self.copies = array("ids", "<i8"), array("copies", "<i8")
+        self.unit = array("unit", "<f8").reshape(len(self.ids), -1)
+        self.core = array("core", bool) if f"core_{side}" in batch.schema.names else None
+
+
+def near_vectors(left: np.ndarray, right: np.ndarray, threshold: float, same: bool = False):
+    """Chunks (at, to, cosines) of the pairs of unit rows at or above the threshold.
+
+    Short floats leave out what their rounding can't bring up to the threshold;
+    what is left is computed in doubles. ``same`` rows meet once, and not themselves.
+    """
+    dim = left.shape[1]
+    least = threshold - (dim + 4) * 2.0 ** -22  # over four times the rounding of a short product
+    one, two = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+    rows = max(1, STRIP // len(right))
+    held, size = [], 0
+    for start in range(0, len(left), rows):
+        skip = start if same else 0  # earlier rows have met these
+        spots = np.flatnonzero(one[start:start + rows] @ two[:, skip:] >= least)
+        at, to = np.divmod(spots, len(right) - skip)
+        at, to = at + start, to + skip
+        if same:
+            later = at < to
+            at, to = at[later], to[later]
+        if len(at) * 8 > STRIP:  # so many that they cost more one by one
+            cosines = (left[start:start + rows] @ right.T)[at - start, to]
+        else:
+            cosines = np.einsum("ij,ij->i", left[at], right[to])
+        near = cosines >= threshold
+        held.append((at[near], to[near], cosines[near]))
+        size += len(held[-1][0])
+        if size >= HITS:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _block_rows(vectors: DataFrame, n: int) -> int:
+    """BLOCK, or more where that leaves every worker some pairs of blocks and a block small."""
+    first = vectors.select(F.size("vec")).first()
+    workers = vectors.sparkSession.sparkContext.defaultParallelism
+    wide = min(WIDE_BLOCK, BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
+    return max(BLOCK, min(wide, n // (4 * workers)))
 
 
 class Layout:
     """Blocks of a table of distinct vectors and the pairs of blocks that have to be compared."""
 
     def __init__(self, vectors: DataFrame, threshold: float, cells: int | None = None,
-                 block: int = BLOCK):
+                 block: int | None = None):
         if threshold > 0:  # vectors without a direction are near to nothing
             vectors = vectors.filter(F.exists("vec", lambda x: x != 0))
-        if cells is None:
-            cells = min(PIVOTS, math.ceil(vectors.count() / block))
+        if cells is None or block is None:
+            n = vectors.count()
+            block = _block_rows(vectors, n) if block is None else block
+            cells = min(PIVOTS, math.ceil(n / block)) if cells is None else cells
         self.threshold = threshold
         blocks, pivots = _layout(vectors, cells, block)
         self.pairs = materialize(near_blocks(blocks, pivots, threshold), "pairs")
@@ -238,25 +288,21 @@ class Layout:
         def run(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    left, right = _Vectors(row, "a"), _Vectors(row, "b")
-                    cosines = left.unit @ right.unit.T
-                    hit = cosines >= self_threshold
-                    if row["a"] == row["b"]:
-                        hit = np.triu(hit, 1)
-                    at, to = np.nonzero(hit)
-                    yield from kernel(left, right, at, to, cosines[at, to])
+                    left, right = _Vectors(batch, i, "a"), _Vectors(batch, i, "b")
+                    for found in near_vectors(left.unit, right.unit, threshold,
+                                              left.block == right.block):
+                        yield from kernel(left, right, *found)
             if last is not None:
                 yield from last()
 
-        self_threshold = self.threshold
+        threshold = self.threshold
         met = side("a", "near").join(
             side("b").hint("shuffle_replicate_nl"), F.array_contains("near", F.col("b")))
         return met.drop("near").mapInArrow(run, schema)
 
 
 def cosine_pairs(
-    rows: DataFrame, threshold: float = COSINE, cells: int | None = None, block: int = BLOCK,
+    rows: DataFrame, threshold: float = COSINE, cells: int | None = None, block: int | None = None,
 ) -> DataFrame:
     """(src, dst, sim) for every pair of distinct vectors at or above ``threshold``.
 
@@ -272,7 +318,7 @@ def cosine_pairs(
 
 
 def cosine_edges(
-    rows: DataFrame, threshold: float = COSINE, cells: int | None = None, block: int = BLOCK,
+    rows: DataFrame, threshold: float = COSINE, cells: int | None = None, block: int | None = None,
 ) -> DataFrame:
     """(src, dst) edges with the components of "cosine at least ``threshold``".
 
@@ -352,7 +398,7 @@ def _density_links(layout: Layout, cores: DataFrame) -> DataFrame:
 
 def density_clusters(
     rows: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES,
-    cells: int | None = None, block: int = BLOCK,
+    cells: int | None = None, block: int | None = None,
 ) -> DataFrame:
     """(id, cluster): density clusters over cosine distance, NULL for noise.
 
