@@ -31,7 +31,7 @@ CHUNK_BLOCKS = 32  # blocks that a task cuts from one chunk
 CHUNK_ROWS = 32_768  # vectors of a chunk at most
 STRIP = 1 << 18  # cosines of two blocks that are held at a time
 HITS = 1 << 20  # pairs that are handed on at a time
-TILE = 64  # blocks in a partition of the product; a task meets two partitions
+TILE = 64  # blocks of BLOCK vectors in a partition of the product; a task meets two partitions
 PIVOTS = 1_024  # the first level is that wide at most; the levels below it grow with the data
 
 COSINE = 0.92
@@ -258,6 +258,7 @@ class Layout:
             block = _block_rows(vectors, n) if block is None else block
             cells = min(PIVOTS, math.ceil(n / block)) if cells is None else cells
         self.threshold = threshold
+        self.tile = max(1, TILE * BLOCK // max(BLOCK, block))  # wider ones, so many the fewer
         blocks, pivots = _layout(vectors, cells, block)
         self.pairs = materialize(near_blocks(blocks, pivots, threshold), "pairs")
         # Every block with the blocks it has to meet: as many as there are at most.
@@ -272,14 +273,14 @@ class Layout:
     def meet(self, kernel, schema: str, extra: DataFrame | None = None, last=None) -> DataFrame:
         """``kernel(left, right, at, to, cosines)`` over the pairs at or above the threshold.
 
-        A task meets two partitions of TILE blocks, one row a block. ``extra``
+        A task meets two partitions of ``tile`` blocks, one row a block. ``extra``
         adds a column ``core`` by block; ``last()`` gives a task's last batches.
         """
         blocks, columns = self.blocks, ["ids", "copies", "unit"]
         if extra is not None:
             blocks, columns = materialize(blocks.join(extra, "block"), "cores"), [*columns, "core"]
         workers = blocks.sparkSession.sparkContext.defaultParallelism
-        tiles = max(math.ceil(blocks.count() / TILE), math.ceil(math.sqrt(4 * workers)))
+        tiles = max(math.ceil(blocks.count() / self.tile), math.ceil(math.sqrt(4 * workers)))
 
         def side(name: str, *more: str) -> DataFrame:
             return blocks.select(F.col("block").alias(name), *more,

@@ -64,3 +64,9 @@ def test_many_vectors_lie_in_wider_blocks(spark):
     wide = spark.range(1).select(F.array_repeat(F.lit(1.0), 1024).alias("vec"))
     assert cosine._block_rows(wide, 10**6) == 1024
     assert cosine._block_rows(rows.limit(0), 0) == 1024
+
+
+def test_a_partition_of_wider_blocks_holds_no_more_vectors(spark):
+    rows = spark.range(300).select(
+        "id", F.array(F.rand(1), F.rand(2)).alias("vec"), F.lit(1).alias("copies"))
+    assert [cosine.Layout(rows, 0.9, 2, block).tile for block in (32, 1024, 4096)] == [64, 64, 16]
